@@ -4,8 +4,10 @@
    odd sketch: the samples folded into a bitmap of parities. Equal digests make one class, so copies never meet as pairs.
 2. Classes that agree in a band share a bucket. In each bucket every member is held against the first and the
    last member only; the popcount of two sketches' XOR drops pairs far below the threshold, full sets confirm the rest.
-3. Links make components. Where a bucket still holds several components, its members are dealt to blocks of bounded
-   size, and every pair of different components in a block is held against the sketches, then the full sets.
+3. Links make components. Where a bucket still holds several components, members are held against two others drawn by hash,
+   bucket by bucket, a few rounds over, which joins the bulk of a large group with few pairs.
+4. Where a bucket holds several components even then, its members are dealt to blocks of bounded
+   size, and every pair of different components in a block is held against finer sketches, then the full sets.
    So no link that shares a bucket is lost, and no group is ever one task.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.85**4)**24, about 2e-8.
@@ -24,31 +26,39 @@ from pyspark.sql import functions as F
 from slotwise.llm import text_arrays as ta
 from slotwise.llm.storage import cut_lineage
 
-BANDS, ROWS, SKETCH_BITS = 24, 4, 256
-_K = BANDS * ROWS
+BANDS, ROWS = 24, 4
+#: MinHash samples and bits of the sketch that every text has, and of the finer one for large groups.
+COARSE, FINE = (BANDS * ROWS, 256), (1024, 2048)
 _rng = np.random.default_rng(77)
-_A = _rng.integers(0, 2**31, _K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 2**32, _K, dtype=np.uint32)
+_A = _rng.integers(0, 2**31, FINE[0], dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, FINE[0], dtype=np.uint32)
 _ROW_STEP = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _minhash(u: np.ndarray) -> np.ndarray:
+def _minhash(u: np.ndarray, samples: int) -> np.ndarray:
     x = (u >> np.uint64(32)).astype(np.uint32)
-    least = np.full(_K, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(x), 4096):
-        least = np.minimum(least, (x[a : a + 4096, None] * _A + _B).min(axis=0))
+    least = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = (1 << 18) // samples
+    for a in range(0, len(x), step):
+        least = np.minimum(least, (x[a : a + step, None] * _A[:samples] + _B[:samples]).min(axis=0))
     return least
 
 
+def _odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of MinHash samples as bitmaps in words of 64 bits: bit ``h(i, sample i)`` is flipped for each i."""
+    n, k = samples.shape
+    place = ta.mix(samples.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    flat = place.astype(np.int64) + np.arange(n)[:, None] * bits
+    odd = (np.bincount(flat.ravel(), minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket hashes (rows x BANDS) and odd sketches (rows x words of 64 bits)."""
-    n = len(sets)
-    sig = np.stack([_minhash(u) for u in sets]).astype(np.uint64).reshape(n, BANDS, ROWS)
+    """Bucket hashes (rows x BANDS) and coarse sketches."""
+    samples = np.stack([_minhash(u, COARSE[0]) for u in sets])
+    sig = samples.astype(np.uint64).reshape(len(sets), BANDS, ROWS)
     buckets = ta.mix((sig * _ROW_STEP).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    place = ta.mix(sig.reshape(n, _K) + (np.arange(_K, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    flat = place.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
-    odd = (np.bincount(flat.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
-    return buckets, np.packbits(odd, axis=1).view(np.uint64)
+    return buckets, _odd_sketch(samples, COARSE[1])
 
 
 def _digest(u: np.ndarray) -> bytes:
@@ -56,10 +66,20 @@ def _digest(u: np.ndarray) -> bytes:
         return np.array([ta.mix(u).sum(dtype=np.uint64), ta.mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes()
 
 
-def _far_apart(threshold: float, slack: float) -> int:
-    """The XOR popcount above which the estimated similarity is under ``threshold - slack``."""
-    differing = 2 * _K * (1 - (threshold - slack))
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differing / SKETCH_BITS)))
+def _far_apart(sketch: tuple[int, int], similarity: float) -> int:
+    """The XOR popcount above which the estimated similarity is under ``similarity``."""
+    samples, bits = sketch
+    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / bits)))
+
+
+def _fine_sketches(texts: DataFrame, k: int) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in ta.slices(batch, "text"):
+                made = _odd_sketch(np.stack([_minhash(u, FINE[0]) for u in ta.shingle_sets(ta.words(data, offsets), k)]), FINE[1])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array([x.tobytes() for x in made], pa.binary())], ["key", "sketch"])
+
+    return texts.select("key", "text").mapInArrow(each, "key binary, sketch binary")
 
 
 def set_keys(docs: DataFrame, id_col: str, text_col: str, k: int, signed: bool) -> DataFrame:
@@ -124,11 +144,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame, block: int, far: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose sketches are near, found in blocks of at most about 2 x ``block`` rows."""
+def _cross_pairs(members: DataFrame, texts: DataFrame, k: int, block: int, far: int) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket whose fine sketches are near, found in blocks of at most about 2 x ``block`` rows."""
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("c"))
+    held = cut_lineage(members.join(mixed, "bucket").select("bucket", "c", "key", "label"))
+    fine = cut_lineage(_fine_sketches(texts.join(held.select("key").distinct(), "key", "left_semi"), k))
     dealt = (
-        members.join(mixed, "bucket")
+        held.join(fine, "key")
         .withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "sketch")
@@ -140,7 +162,7 @@ def _cross_pairs(members: DataFrame, block: int, far: int) -> DataFrame:
         keys, labels = np.array(rows["key"].to_pylist(), object), np.array(rows["label"].to_pylist(), object)
         _, code = np.unique(labels, return_inverse=True)
         own, i, j = (rows[c].to_numpy() for c in ("own", "i", "j"))
-        sketch = np.array(rows["sketch"].to_pylist(), np.int64).view(np.uint64)
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(rows), -1)
         left = np.flatnonzero(own == i[0])
         right = np.flatnonzero(own == j[0])
         apart = sum(np.bitwise_count(sketch[left, None, w] ^ sketch[None, right, w]).astype(np.int32) for w in range(sketch.shape[1]))
@@ -174,7 +196,11 @@ def _cross_pairs(members: DataFrame, block: int, far: int) -> DataFrame:
     return dealt.mapInArrow(each, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.3, block: int = 512) -> DataFrame:
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 2, block: int = 512) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
     Texts are linked if ``den * intersection >= num * union`` of their sets of ``k``-word shingles (A-Z lowered).
@@ -182,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows and repeated ids are rows like others; a null id counts as larger than any (its row is kept only if
     nothing else of its component has an id; then component_id is null). Other columns are ignored.
     """
-    far = _far_apart(num / den, slack)
+    far = _far_apart(COARSE, num / den - slack)
     signed = cut_lineage(set_keys(docs, id_col, text_col, k, signed=True))
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min_by(F.struct("buckets", "sketch"), F.coalesce("id", F.lit(2**63 - 1))).alias("s"))
     exploded = classes.select("key", F.explode("s.buckets").alias("bucket"), F.col("s.sketch").alias("sketch"))
@@ -190,15 +216,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut_lineage(exploded.join(shared, "bucket").select("bucket", "key", "sketch", "lo", "hi"))
     texts = cut_lineage(set_keys(docs, id_col, text_col, k, signed=False).join(members.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text")))
 
-    sketches = members.select("key", "sketch").distinct()
-    stars = members.select("key", "sketch", F.explode(F.array("lo", "hi")).alias("other")).filter("key <> other").withColumns({"a": F.least("key", "other"), "b": F.greatest("key", "other")}).select("a", "b").distinct()
+    sketches = cut_lineage(members.select("key", "sketch").distinct())
     close = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)") <= far
-    stars = stars.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").filter(close).select("a", "b")
-    links = cut_lineage(_confirmed(stars, texts, k, num, den))
-    labels = connected_components(links)
 
-    held = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "sketch", F.coalesce("label", "key").alias("label"))
-    rest = cut_lineage(_confirmed(_cross_pairs(held, block, far), texts, k, num, den))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Confirmed links among pairs (key, other), by sketch first."""
+        ordered = pairs.filter("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        near = ordered.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").filter(close).select("a", "b")
+        return cut_lineage(_confirmed(near, texts, k, num, den))
+
+    links = linked(members.select("key", F.explode(F.array("lo", "hi")).alias("other")))
+    labels = connected_components(links)
+    for turn in range(rounds):
+        held = _labelled(members, labels)
+        at = F.xxhash64("key", "bucket", F.lit(turn))
+        one = F.struct("key", "label")
+        heads = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(one, at).alias("p"), F.max_by(one, at).alias("q")).filter("lo <> hi").select("bucket", F.explode(F.array("p", "q")).alias("head"))
+        more = linked(held.join(heads, "bucket").filter("label <> head.label").select("key", F.col("head.key").alias("other")))
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = connected_components(links)
+
+    rest = cut_lineage(_confirmed(_cross_pairs(_labelled(members, labels), texts, k, block, _far_apart(FINE, num / den - fine_slack)), texts, k, num, den))
     if not rest.isEmpty():
         labels = connected_components(links.union(rest))
 
