@@ -1,4 +1,8 @@
-"""Registered queries and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from slotwise.plans import audits, growth, maps, profiles, rankings, trends  # noqa: F401  (each registers its own)
+from slotwise.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
