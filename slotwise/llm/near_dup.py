@@ -5,7 +5,7 @@
 2. Classes that agree in a band share a bucket. In each bucket every member is held against the first and the
    last member only; the popcount of two sketches' XOR drops pairs far below the threshold, full sets confirm the rest.
 3. Links make components. Where a bucket still holds several components, members are held against two others drawn by hash,
-   bucket by bucket, a few rounds over, which joins the bulk of a large group with few pairs.
+   bucket by bucket, in one or more rounds, which joins the bulk of a large group with few pairs.
 4. Where a bucket holds several components even then, its members are dealt to blocks of bounded
    size, and every pair of different components in a block is held against finer sketches, then the full sets.
    So no link that shares a bucket is lost, and no group is ever one task.
@@ -200,7 +200,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 2, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 1, block: int = 512) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
     Texts are linked if ``den * intersection >= num * union`` of their sets of ``k``-word shingles (A-Z lowered).

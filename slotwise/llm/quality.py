@@ -167,7 +167,7 @@ def list_expression(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 20_000) -> list[list[Condition]]:
+def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 5_000) -> list[list[Condition]]:
     """The decision list from at most ``sample`` labelled rows that pass the base rules, those of the smallest hash of id.
 
     Rows with a null label or id are left out; label 0 is bad. No usable row gives the empty list, which keeps everything.
@@ -175,20 +175,20 @@ def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     named = features()
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).filter("_id is not null and _label is not null")
     labelled = counted.filter(~base_failed()).select(F.col(id_col).alias("_id"), *(c.alias(f) for f, c in named.items())).join(known, "_id")
-    rows = labelled.orderBy(F.xxhash64("_id"), *named, "_label").limit(sample).toPandas()
-    if rows.empty:
+    rows = labelled.orderBy(F.xxhash64("_id"), *named, "_label").limit(sample).collect()
+    if not rows:
         return []
-    return learn_list({f: rows[f].to_numpy(float) for f in named}, (rows["_label"] == 0).to_numpy())
+    return learn_list({f: np.array([r[f] for r in rows], float) for f in named}, np.array([r["_label"] == 0 for r in rows]))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> DataFrame:
     """Per row: id, ``COUNTS``, ``base_failed`` and ``kept`` (false if ``base_failed``, else the learned list's verdict)."""
     counted = cut_lineage(with_counts(docs.select(id_col, text_col), text_col).drop(text_col))
     rules = learn_from(counted, labels, id_col, sample=sample)
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & list_expression(rules))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps, with their columns."""
     names = docs.columns
     rules = learn_from(with_counts(docs.select(id_col, text_col), text_col).drop(text_col), labels, id_col, sample=sample)
