@@ -112,6 +112,11 @@ def set_keys(docs: DataFrame, id_col: str, text_col: str, k: int, signed: bool)
     return source.select("text").mapInArrow(each, "key binary, text string")
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A sort-merge join, whose hot keys Spark splits: the rounds would else hold dozens of broadcast tables in the driver at once."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of which the full sets have ``den * intersection >= num * union``."""
 
@@ -127,7 +132,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a binary, b binary")
+    return _join(_join(pairs, left, "a"), right, "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a binary, b binary")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -135,10 +140,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = _join(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = _join(labels, near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        step = cut_lineage(lower.join(up, "label").select("node", "old", F.least("label", "above").alias("label")))
+        step = cut_lineage(_join(lower, up, "label").select("node", "old", F.least("label", "above").alias("label")))
         labels = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             return labels
@@ -147,10 +152,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _cross_pairs(members: DataFrame, texts: DataFrame, k: int, block: int, far: int) -> DataFrame:
     """Pairs (a, b) of different labels in a bucket whose fine sketches are near, found in blocks of at most about 2 x ``block`` rows."""
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("c"))
-    held = cut_lineage(members.join(mixed, "bucket").select("bucket", "c", "key", "label"))
-    fine = cut_lineage(_fine_sketches(texts.join(held.select("key").distinct(), "key", "left_semi"), k))
+    held = cut_lineage(_join(members, mixed, "bucket").select("bucket", "c", "key", "label"))
+    fine = cut_lineage(_fine_sketches(_join(texts, held.select("key").distinct(), "key", "left_semi"), k))
     dealt = (
-        held.join(fine, "key")
+        _join(held, fine, "key")
         .withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "sketch")
@@ -197,7 +202,7 @@ def _cross_pairs(members: DataFrame, texts: DataFrame, k: int, block: int, far:
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    return _join(members, labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 1, block: int = 512) -> DataFrame:
@@ -213,8 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min_by(F.struct("buckets", "sketch"), F.coalesce("id", F.lit(2**63 - 1))).alias("s"))
     exploded = classes.select("key", F.explode("s.buckets").alias("bucket"), F.col("s.sketch").alias("sketch"))
     shared = exploded.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
-    members = cut_lineage(exploded.join(shared, "bucket").select("bucket", "key", "sketch", "lo", "hi"))
-    texts = cut_lineage(set_keys(docs, id_col, text_col, k, signed=False).join(members.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text")))
+    members = cut_lineage(_join(exploded, shared, "bucket").select("bucket", "key", "sketch", "lo", "hi"))
+    texts = cut_lineage(_join(set_keys(docs, id_col, text_col, k, signed=False), members.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text")))
 
     sketches = cut_lineage(members.select("key", "sketch").distinct())
     close = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)") <= far
@@ -222,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def linked(pairs: DataFrame) -> DataFrame:
         """Confirmed links among pairs (key, other), by sketch first."""
         ordered = pairs.filter("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        near = ordered.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").filter(close).select("a", "b")
+        near = _join(_join(ordered, sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a"), sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").filter(close).select("a", "b")
         return cut_lineage(_confirmed(near, texts, k, num, den))
 
     links = linked(members.select("key", F.explode(F.array("lo", "hi")).alias("other")))
@@ -232,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = F.xxhash64("key", "bucket", F.lit(turn))
         one = F.struct("key", "label")
         heads = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(one, at).alias("p"), F.max_by(one, at).alias("q")).filter("lo <> hi").select("bucket", F.explode(F.array("p", "q")).alias("head"))
-        more = linked(held.join(heads, "bucket").filter("label <> head.label").select("key", F.col("head.key").alias("other")))
+        more = linked(_join(held, heads, "bucket").filter("label <> head.label").select("key", F.col("head.key").alias("other")))
         if more.isEmpty():
             break
         links = links.union(more)
@@ -242,12 +247,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         labels = connected_components(links.union(rest))
 
-    found = classes.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    found = _join(classes.select("key", "id"), labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = found.groupBy("label").agg(F.min("id").alias("component_id"))
-    answer = found.join(least, "label").select("key", "component_id")
+    answer = _join(found, least, "label").select("key", "component_id")
     return (
-        signed.select("id", "n_shingles", "key")
-        .join(answer, "key", "left")
+        _join(signed.select("id", "n_shingles", "key"), answer, "key", "left")
         .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
