@@ -80,11 +80,11 @@ def day_name(iso_dow: Column) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), iso_dow)
 
 
-def iso_dow(date: Column) -> Column:
+def iso_dow(date: Column | str) -> Column:
     return F.weekday(date) + 1
 
 
-def month_label(date: Column) -> Column:
+def month_label(date: Column | str) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 

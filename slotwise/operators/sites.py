@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from slotwise.functions import columns as C
 from slotwise.operators import core
 
-ALL = Window.partitionBy()  # only over aggregated site or month tables
 
 
 def site_names(*sources: DataFrame) -> DataFrame:
@@ -53,8 +52,8 @@ def site_rankings(sm: DataFrame) -> DataFrame:
     top_month = F.max_by("month_label", F.struct(v, -F.regexp_replace("month_label", "-", "").cast("int")))
     out = sm.groupBy("site_id").agg(F.sum(v).alias("total_volume"), F.count("*").alias("months_present"), F.min("month_label").alias("first_month"), F.max("month_label").alias("last_month"), F.avg(v).alias("avg_monthly_volume"), F.max(v).alias("max_monthly_volume"), top_month.alias("best_month"))
     order = Window.orderBy(F.desc("total_volume"), "site_id")
-    total = F.sum("total_volume").over(ALL)
-    ranked = out.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(ALL), "cumulative_volume": F.sum("total_volume").over(order), "percent_of_network": C.pct(F.col("total_volume"), total)})
+    total = F.sum("total_volume").over(Window.partitionBy())
+    ranked = out.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy()), "cumulative_volume": F.sum("total_volume").over(order), "percent_of_network": C.pct(F.col("total_volume"), total)})
     return ranked.withColumns({"cumulative_percent": C.pct(F.col("cumulative_volume"), total), "percentile_band": C.percentile_band(F.col("rank"), F.col("n"))}).drop("n")
 
 
@@ -66,7 +65,7 @@ def monthly_site_rank(sm: DataFrame) -> DataFrame:
 def concentration_curve(site_totals: DataFrame) -> DataFrame:
     order = Window.orderBy(F.desc("total_volume"), "site_id")
     out = site_totals.withColumns({"rank": F.row_number().over(order), "cumulative_volume": F.sum("total_volume").over(order)})
-    return out.withColumns({"cumulative_share_pct": C.pct(F.col("cumulative_volume"), F.sum("total_volume").over(ALL)), "site_share_pct": C.pct(F.col("rank"), F.count("*").over(ALL))})
+    return out.withColumns({"cumulative_share_pct": C.pct(F.col("cumulative_volume"), F.sum("total_volume").over(Window.partitionBy())), "site_share_pct": C.pct(F.col("rank"), F.count("*").over(Window.partitionBy()))})
 
 
 def concentration_milestones(curve: DataFrame, targets: list[float]) -> DataFrame:
@@ -144,14 +143,14 @@ def archetype_indices(scores: DataFrame) -> DataFrame:
 
 def archetype_summary(classes: DataFrame) -> DataFrame:
     out = classes.groupBy("archetype").agg(F.count("*").alias("sites"), F.sum("total_volume").alias("total_volume"), F.avg("total_volume").alias("avg_total_volume"), F.avg("scale_score").alias("avg_scale_score"))
-    return out.withColumn("traffic_share_pct", C.pct(F.col("total_volume"), F.sum("total_volume").over(ALL)))
+    return out.withColumn("traffic_share_pct", C.pct(F.col("total_volume"), F.sum("total_volume").over(Window.partitionBy())))
 
 
 def tiers(rk: DataFrame, cuts: list[tuple[int, str]], rest: str, name: str) -> DataFrame:
     """Sites grouped by rank: sites, volume, share of volume and of sites, and their ratio."""
     label = C.first_match(*[(F.col("rank") <= n, text) for n, text in cuts], otherwise=rest)
     out = rk.groupBy(label.alias(name)).agg(F.count("*").alias("sites"), F.sum("total_volume").alias("total_volume"))
-    shares = out.withColumns({"traffic_share_pct": C.pct(F.col("total_volume"), F.sum("total_volume").over(ALL)), "site_share_pct": C.pct(F.col("sites"), F.sum("sites").over(ALL))})
+    shares = out.withColumns({"traffic_share_pct": C.pct(F.col("total_volume"), F.sum("total_volume").over(Window.partitionBy())), "site_share_pct": C.pct(F.col("sites"), F.sum("sites").over(Window.partitionBy()))})
     return shares.withColumn("efficiency", C.safe_div(F.col("traffic_share_pct"), F.col("site_share_pct")))
 
 
@@ -177,7 +176,7 @@ def revenue_scenarios(rk: DataFrame, sizes: list[int], cpms: list[float], uses:
 
 def traffic_band(site_totals: DataFrame) -> DataFrame:
     p = 100 * C.pct_rank(F.col("total_volume"))
-    out = site_totals.withColumns({"volume_percentile": p, "ratio_to_max": C.safe_div(F.col("total_volume"), F.max("total_volume").over(ALL))})
+    out = site_totals.withColumns({"volume_percentile": p, "ratio_to_max": C.safe_div(F.col("total_volume"), F.max("total_volume").over(Window.partitionBy()))})
     r = F.col("ratio_to_max")
     return out.withColumns({
         "volume_band": C.first_match((F.col("volume_percentile") >= 95, "very high"), (F.col("volume_percentile") >= 80, "high"), (F.col("volume_percentile") >= 50, "medium"), otherwise="low"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
 
-ALL = Window.partitionBy()
 
 
 def rolling_mean(df: DataFrame, order: str, value: str, n: int, least: int, name: str) -> DataFrame:
@@ -28,7 +27,7 @@ def mask_gaps(monthly: DataFrame, months: list[str], value: str = "month_total_v
 def drop_partial_tail(monthly: DataFrame, value: str = "month_total_volume") -> DataFrame:
     """Without the last month if it is under 0.75 of the median of the six before; only with more than eight months."""
     back = Window.orderBy(F.desc("month_label"))
-    marked = monthly.withColumns({"_r": F.row_number().over(back), "_n": F.count("*").over(ALL), "_m": F.percentile(value, F.lit(0.5)).over(Window.orderBy("month_label").rowsBetween(-6, -1))})
+    marked = monthly.withColumns({"_r": F.row_number().over(back), "_n": F.count("*").over(Window.partitionBy()), "_m": F.percentile(value, F.lit(0.5)).over(Window.orderBy("month_label").rowsBetween(-6, -1))})
     return marked.filter(~((F.col("_r") == 1) & (F.col("_n") > 8) & (F.col(value) < 0.75 * F.col("_m")))).drop("_r", "_n", "_m")
 
 
@@ -65,7 +64,7 @@ def weekday_weekend_trend(split: DataFrame) -> DataFrame:
 
 
 def cumulative_share(df: DataFrame, order: str, value: str, name: str = "cumulative_share_pct") -> DataFrame:
-    return df.withColumn(name, C.pct(F.sum(value).over(Window.orderBy(order)), F.sum(value).over(ALL)))
+    return df.withColumn(name, C.pct(F.sum(value).over(Window.orderBy(order)), F.sum(value).over(Window.partitionBy())))
 
 
 def time_at_share(bins: DataFrame, targets: list[float]) -> DataFrame:
@@ -76,7 +75,7 @@ def time_at_share(bins: DataFrame, targets: list[float]) -> DataFrame:
 
 
 def dow_shape(dow: DataFrame) -> DataFrame:
-    own = lambda d: F.max(F.when(F.col("iso_dow") == d, F.col("avg_daily_volume"))).over(ALL)
+    own = lambda d: F.max(F.when(F.col("iso_dow") == d, F.col("avg_daily_volume"))).over(Window.partitionBy())
     v = F.col("avg_daily_volume")
     return cumulative_share(dow, "iso_dow", "total_volume").withColumns({"drop_from_friday_pct": C.pct(v - own(5), own(5)), "build_from_monday_pct": C.pct(v - own(1), own(1))})
 
@@ -101,7 +100,7 @@ def day_shape(bins: DataFrame) -> DataFrame:
 def plateau(bins: DataFrame, thresholds: list[float]) -> DataFrame:
     """Bins (and hours) at or above a share of the peak."""
     wanted = bins.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold_pct double")
-    held = bins.withColumn("of_peak_pct", C.pct(F.col("avg_daily_volume"), F.max("avg_daily_volume").over(ALL))).join(F.broadcast(wanted), F.col("of_peak_pct") >= F.col("threshold_pct"))
+    held = bins.withColumn("of_peak_pct", C.pct(F.col("avg_daily_volume"), F.max("avg_daily_volume").over(Window.partitionBy()))).join(F.broadcast(wanted), F.col("of_peak_pct") >= F.col("threshold_pct"))
     return held.groupBy("threshold_pct").agg(F.count("*").alias("bins"), (F.count("*") / F.lit(4.0)).alias("hours"), F.min("time_bin").alias("first_bin"), F.max("time_bin").alias("last_bin"))
 
 
@@ -120,7 +119,7 @@ def period_rows(obs: DataFrame, periods: list[tuple[str, str]]) -> DataFrame:
 
 def period_summary(rows: DataFrame, baseline: str) -> DataFrame:
     out = rows.groupBy("period").agg(F.sum("volume_15m").alias("total_volume"), F.countDistinct("site_id").alias("active_sites"))
-    return out.withColumn("index", C.pct(F.col("total_volume"), F.max(F.when(F.col("period") == baseline, F.col("total_volume"))).over(ALL)))
+    return out.withColumn("index", C.pct(F.col("total_volume"), F.max(F.when(F.col("period") == baseline, F.col("total_volume"))).over(Window.partitionBy())))
 
 
 def hourly_change(rows: DataFrame, baseline: str) -> DataFrame:

@@ -9,8 +9,19 @@ from slotwise.operators import core
 from slotwise.operators import profiles as P
 from slotwise.plans.base import add
 
-DATE = F.col("count_date")
-DOW, MOY, YEAR = {"iso_dow": C.iso_dow(DATE)}, {"month_of_year": F.month(DATE)}, {"year": F.year(DATE)}
+DATE = "count_date"
+
+
+def DOW():  # noqa: ANN201, N802
+    return {"iso_dow": C.iso_dow(DATE)}
+
+
+def MOY():  # noqa: ANN201, N802
+    return {"month_of_year": F.month(DATE)}
+
+
+def YEAR():  # noqa: ANN201, N802
+    return {"year": F.year(DATE)}
 
 
 def bins(t):  # noqa: ANN001, ANN201
@@ -43,15 +54,15 @@ add("site_detector_totals", lambda t: t.obs.groupBy("site_id", "detector_id").ag
 add("time_bin_totals", lambda t: t.obs.groupBy("time_bin").agg(F.sum("volume_15m").alias("total_volume")), "SELECT time_bin, total_volume FROM bins")
 add("time_bin_profile", lambda t: P.time_bin_profile(t.obs), "SELECT strftime(count_date, '%Y-%m') AS month_label, time_bin, sum(volume_15m)::BIGINT AS total_volume, count(DISTINCT count_date) AS days_loaded, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS avg_daily_volume FROM obs GROUP BY 1, 2")
 add("time_bin_extremes", lambda t: P.time_bin_extremes(bins(t)), "SELECT a.time_bin AS best_time_bin, a.avg_daily_volume AS best_avg, b.time_bin AS quietest_time_bin, b.avg_daily_volume AS quietest_avg FROM (SELECT * FROM bins ORDER BY avg_daily_volume DESC, time_bin LIMIT 1) a, (SELECT * FROM bins ORDER BY avg_daily_volume, time_bin LIMIT 1) b")
-add("day_of_week_profile", lambda t: core.profile(t.obs, **DOW).withColumn("day_name", C.day_name(F.col("iso_dow"))), "SELECT *, CASE iso_dow WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday' WHEN 3 THEN 'Wednesday' WHEN 4 THEN 'Thursday' WHEN 5 THEN 'Friday' WHEN 6 THEN 'Saturday' ELSE 'Sunday' END AS day_name FROM dow")
-add("month_of_year_profile", lambda t: core.profile(t.obs, **MOY), "SELECT * FROM moy")
-add("yearly_totals", lambda t: core.profile(t.obs, **YEAR), "SELECT * FROM yearly")
+add("day_of_week_profile", lambda t: core.profile(t.obs, **DOW()).withColumn("day_name", C.day_name(F.col("iso_dow"))), "SELECT *, CASE iso_dow WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday' WHEN 3 THEN 'Wednesday' WHEN 4 THEN 'Thursday' WHEN 5 THEN 'Friday' WHEN 6 THEN 'Saturday' ELSE 'Sunday' END AS day_name FROM dow")
+add("month_of_year_profile", lambda t: core.profile(t.obs, **MOY()), "SELECT * FROM moy")
+add("yearly_totals", lambda t: core.profile(t.obs, **YEAR()), "SELECT * FROM yearly")
 _SPLIT = "coalesce(sum(day_total_volume) FILTER (isodow(count_date) < 6), 0)::BIGINT AS weekday_volume, coalesce(sum(day_total_volume) FILTER (isodow(count_date) >= 6), 0)::BIGINT AS weekend_volume, count(*) FILTER (isodow(count_date) < 6) AS weekday_days, count(*) FILTER (isodow(count_date) >= 6) AS weekend_days FROM daily"
 add("weekday_weekend_split", lambda t: core.weekday_weekend(t.obs, C.month_label(DATE).alias("month_label")), f"SELECT strftime(count_date, '%Y-%m') AS month_label, {_SPLIT} GROUP BY 1")
 add("weekday_vs_weekend", lambda t: P.weekday_vs_weekend(t.daily), "SELECT CASE WHEN isodow(count_date) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS days, avg(day_total_volume) AS avg_daily_volume FROM daily GROUP BY 1")
 add("weekday_weekend_rows", lambda t: P.split_rows(core.weekday_weekend(t.obs)), f", s AS (SELECT {_SPLIT}) SELECT 'weekday' AS day_type, weekday_volume AS volume, weekday_days AS days, weekday_volume / weekday_days::DOUBLE AS avg_daily_volume FROM s UNION ALL SELECT 'weekend', weekend_volume, weekend_days, weekend_volume / weekend_days::DOUBLE FROM s")
-add("monday_vs_friday", lambda t: core.profile(t.obs, **DOW).filter(F.col("iso_dow").isin(1, 5)), "SELECT * FROM dow WHERE iso_dow IN (1, 5)")
-add("monday_friday_comparison", lambda t: P.monday_friday_comparison(core.profile(t.obs, **DOW)), ", x AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 1) AS monday_avg, max(avg_daily_volume) FILTER (iso_dow = 5) AS friday_avg FROM dow) SELECT *, friday_avg - monday_avg AS difference, (friday_avg - monday_avg) * 100 / monday_avg AS pct_difference FROM x")
+add("monday_vs_friday", lambda t: core.profile(t.obs, **DOW()).filter(F.col("iso_dow").isin(1, 5)), "SELECT * FROM dow WHERE iso_dow IN (1, 5)")
+add("monday_friday_comparison", lambda t: P.monday_friday_comparison(core.profile(t.obs, **DOW())), ", x AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 1) AS monday_avg, max(avg_daily_volume) FILTER (iso_dow = 5) AS friday_avg FROM dow) SELECT *, friday_avg - monday_avg AS difference, (friday_avg - monday_avg) * 100 / monday_avg AS pct_difference FROM x")
 _PEAK = "sum(volume_15m)::BIGINT AS total_volume, coalesce(sum(volume_15m) FILTER (time_bin >= '07:00' AND time_bin < '10:00'), 0)::BIGINT AS am_volume, coalesce(sum(volume_15m) FILTER (time_bin >= '16:00' AND time_bin < '19:00'), 0)::BIGINT AS pm_volume FROM obs"
 _SHARE = "am_volume::DOUBLE * 100 / nullif(total_volume, 0) AS am_share_pct, pm_volume::DOUBLE * 100 / nullif(total_volume, 0) AS pm_share_pct"
 add("peak_shares", lambda t: core.peak_shares(t.obs, C.month_label(DATE).alias("month_label")), f", x AS (SELECT strftime(count_date, '%Y-%m') AS month_label, {_PEAK} GROUP BY 1) SELECT *, {_SHARE} FROM x")
@@ -60,8 +71,8 @@ add("day_part_shares", lambda t: core.day_part_shares(t.obs),
     ", x AS (SELECT sum(volume_15m)::BIGINT AS total_volume, " + ", ".join(f"coalesce(sum(volume_15m) FILTER ({c}), 0)::BIGINT AS {n}" for n, c in (("am_peak", "time_bin >= '07:00' AND time_bin < '10:00'"), ("pm_peak", "time_bin >= '16:00' AND time_bin < '19:00'"), ("overnight", "time_bin < '05:00'"), ("before_9am", "time_bin < '09:00'"), ("after_6pm", "time_bin >= '18:00'"))) + " FROM obs) SELECT *, " + ", ".join(f"round({n}::DOUBLE * 100 / total_volume, 2) AS {n}_pct" for n in ("am_peak", "pm_peak", "overnight", "before_9am", "after_6pm")) + " FROM x")
 add("peak_hour_summary", lambda t: P.peak_hour_summary(bins(t)),
     ", " + ", ".join(f"{n} AS (SELECT * FROM bins WHERE {c} ORDER BY avg_daily_volume DESC, time_bin LIMIT 1)" for n, c in (("a", "true"), ("b", "time_bin < '12:00'"), ("c", "time_bin >= '12:00'"))) + " SELECT a.time_bin AS peak_time_bin, a.avg_daily_volume AS peak_avg, b.time_bin AS am_peak_time_bin, b.avg_daily_volume AS am_peak_avg, c.time_bin AS pm_peak_time_bin, c.avg_daily_volume AS pm_peak_avg FROM a, b, c")
-add("seasonal_table", lambda t: core.profile(t.obs, **MOY).select("month_of_year", "avg_daily_volume", C.season(F.col("month_of_year")).alias("season")), "SELECT month_of_year, avg_daily_volume, CASE WHEN month_of_year IN (12, 1, 2) THEN 'Summer' WHEN month_of_year <= 5 THEN 'Autumn' WHEN month_of_year <= 8 THEN 'Winter' ELSE 'Spring' END AS season FROM moy")
-add("year_table", lambda t: core.profile(t.obs, **YEAR).select("year", "total_volume", "avg_daily_volume"), "SELECT year, total_volume, avg_daily_volume FROM yearly")
+add("seasonal_table", lambda t: core.profile(t.obs, **MOY()).select("month_of_year", "avg_daily_volume", C.season(F.col("month_of_year")).alias("season")), "SELECT month_of_year, avg_daily_volume, CASE WHEN month_of_year IN (12, 1, 2) THEN 'Summer' WHEN month_of_year <= 5 THEN 'Autumn' WHEN month_of_year <= 8 THEN 'Winter' ELSE 'Spring' END AS season FROM moy")
+add("year_table", lambda t: core.profile(t.obs, **YEAR()).select("year", "total_volume", "avg_daily_volume"), "SELECT year, total_volume, avg_daily_volume FROM yearly")
 add("site_extreme_slots", lambda t: P.site_extreme_slots(t.obs), "SELECT site_id, max(volume_15m) AS max_slot_volume, min(volume_15m) FILTER (volume_15m > 0) AS min_nonzero_slot_volume FROM obs GROUP BY 1")
 _TOP = ", top AS (SELECT site_id FROM st ORDER BY total_volume DESC, site_id LIMIT 5), o AS (SELECT * FROM obs WHERE site_id IN (SELECT site_id FROM top))"
 add("top_site_daily", lambda t: P.site_daily(core.semi_top(t.obs, 5)), _TOP + " SELECT site_id, count_date, sum(volume_15m)::BIGINT AS v FROM o GROUP BY 1, 2")

@@ -21,12 +21,12 @@ for name, asc in (("top_days", False), ("quietest_days", True)):
     add(name, lambda t, asc=asc: core.top(t.daily, 20, "day_total_volume", "count_date", asc=asc), f"SELECT *, row_number() OVER (ORDER BY day_total_volume {'ASC' if asc else 'DESC'}, count_date)::INTEGER AS rank FROM daily QUALIFY rank <= 20")
 for name, asc in (("busiest_time_bins", False), ("quietest_time_bins", True)):
     add(name, lambda t, asc=asc: core.top(bins(t).select("time_bin", "total_volume"), 20, "total_volume", "time_bin", asc=asc), f"SELECT time_bin, total_volume, row_number() OVER (ORDER BY total_volume {'ASC' if asc else 'DESC'}, time_bin)::INTEGER AS rank FROM bins QUALIFY rank <= 20")
-for name, make, table, tie in (("best_day", lambda t: t.daily, "daily", "count_date"), ("best_site", lambda t: t.site_totals, "st", "site_id"), ("best_time_bin", bins, "bins", "time_bin"), ("best_dow", lambda t: core.profile(t.obs, **DOW), "dow", "iso_dow"), ("best_month_of_year", lambda t: core.profile(t.obs, **MOY), "moy", "month_of_year"), ("best_year", lambda t: core.profile(t.obs, **YEAR), "yearly", "year")):
+for name, make, table, tie in (("best_day", lambda t: t.daily, "daily", "count_date"), ("best_site", lambda t: t.site_totals, "st", "site_id"), ("best_time_bin", bins, "bins", "time_bin"), ("best_dow", lambda t: core.profile(t.obs, **DOW()), "dow", "iso_dow"), ("best_month_of_year", lambda t: core.profile(t.obs, **MOY()), "moy", "month_of_year"), ("best_year", lambda t: core.profile(t.obs, **YEAR()), "yearly", "year")):
     metric = {"daily": "day_total_volume", "st": "total_volume"}.get(table, "avg_daily_volume")
     add(name, lambda t, make=make, metric=metric, tie=tie: core.best(make(t), metric, tie), f"SELECT * FROM {table} ORDER BY {metric} DESC, {tie} LIMIT 1")
 for name, asc in (("site_peak_slot", False), ("site_quiet_slot", True)):
     add(name, lambda t, asc=asc: S.site_peak_slot(t.obs, asc), f", x AS (SELECT site_id, time_bin, avg(volume_15m) AS avg_volume FROM obs GROUP BY 1, 2) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY avg_volume {'ASC' if asc else 'DESC'}, time_bin) = 1")
-for name, make, table, tie, n in (("rank_time_bins", bins, "bins", "time_bin", 10), ("rank_months", lambda t: core.profile(t.obs, **MOY), "moy", "month_of_year", 12), ("rank_years", lambda t: core.profile(t.obs, **YEAR), "yearly", "year", 10)):
+for name, make, table, tie, n in (("rank_time_bins", bins, "bins", "time_bin", 10), ("rank_months", lambda t: core.profile(t.obs, **MOY()), "moy", "month_of_year", 12), ("rank_years", lambda t: core.profile(t.obs, **YEAR()), "yearly", "year", 10)):
     add(name, lambda t, make=make, tie=tie, n=n: core.top(make(t), n, "avg_daily_volume", tie), f"SELECT *, row_number() OVER (ORDER BY avg_daily_volume DESC, {tie})::INTEGER AS rank FROM {table} QUALIFY rank <= {n}")
 _G = ", gy AS (SELECT site_id, year(count_date)::INTEGER AS y, sum(volume_15m)::BIGINT AS v FROM obs GROUP BY 1, 2), g AS (SELECT site_id, min(y) AS first_year, arg_min(v, y) AS first_year_volume, max(y) AS last_year, arg_max(v, y) AS last_year_volume FROM gy GROUP BY 1 HAVING min(y) < max(y)), growth AS (SELECT *, last_year_volume - first_year_volume AS absolute_change, round((last_year_volume - first_year_volume)::DOUBLE * 100 / nullif(first_year_volume, 0), 2) AS pct_change FROM g)"
 add("growth_by_year", lambda t: S.growth_by_year(t.obs), _G + " SELECT * FROM growth")

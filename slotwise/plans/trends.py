@@ -41,14 +41,14 @@ _CURVE = ", cv AS (SELECT site_id, total_volume, rank, cumulative_volume, cumula
 add("concentration_curve", lambda t: S.concentration_curve(t.site_totals), _CURVE + " SELECT * FROM cv")
 add("concentration_milestones", lambda t: S.concentration_milestones(S.concentration_curve(t.site_totals), [10, 20, 50, 80, 95]), _CURVE + ", n(target_pct) AS (VALUES (10::DOUBLE), (20), (50), (80), (95)) SELECT target_pct, min(rank) AS sites_needed FROM n JOIN cv ON cumulative_share_pct >= target_pct GROUP BY 1")
 add("pct_rank", lambda t: t.obs_days.groupBy("site_id").agg(F.sum("volume_15m").alias("v")).withColumn("pct_rank", F.round(F.coalesce(C.pct_rank(F.col("v")), F.lit(0.0)), 9)), ", x AS (SELECT site_id, sum(volume_15m)::BIGINT AS v FROM obs_days GROUP BY 1) SELECT *, round(CASE WHEN v IS NULL THEN 0 ELSE (rank() OVER (ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2::DOUBLE) / count(v) OVER () END, 9) AS pct_rank FROM x")
-add("dow_shape", lambda t: T.dow_shape(core.profile(t.obs, **DOW)), ", f AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 5) AS f, max(avg_daily_volume) FILTER (iso_dow = 1) AS m FROM dow) SELECT dow.*, (sum(total_volume) OVER (ORDER BY iso_dow))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct, (avg_daily_volume - f) * 100 / f AS drop_from_friday_pct, (avg_daily_volume - m) * 100 / m AS build_from_monday_pct FROM dow, f")
+add("dow_shape", lambda t: T.dow_shape(core.profile(t.obs, **DOW())), ", f AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 5) AS f, max(avg_daily_volume) FILTER (iso_dow = 1) AS m FROM dow) SELECT dow.*, (sum(total_volume) OVER (ORDER BY iso_dow))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct, (avg_daily_volume - f) * 100 / f AS drop_from_friday_pct, (avg_daily_volume - m) * 100 / m AS build_from_monday_pct FROM dow, f")
 add("dow_volatility", lambda t: _r6(dow_month(t).groupBy("iso_dow").agg(F.avg("avg_daily_volume").alias("mean"), F.stddev_samp("avg_daily_volume").alias("sd")), "mean", "sd"), "SELECT iso_dow, round(avg(avg_daily_volume), 6) AS mean, round(stddev_samp(avg_daily_volume), 6) AS sd FROM dow_month GROUP BY 1")
 add("month_gaps", lambda t: T.month_gaps(t.monthly.filter("month_label not in ('1996-05', '1999-11')"), core.month_calendar(t.obs, extra=1)), ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs) SELECT strftime(m, '%Y-%m') AS month_label FROM cal WHERE month_label NOT IN (SELECT month_label FROM monthly WHERE month_label NOT IN ('1996-05', '1999-11'))")
 add("day_shape", lambda t: T.day_shape(bins(t)),
     "SELECT sum(avg_daily_volume) FILTER (time_bin = '08:00') / sum(avg_daily_volume) FILTER (time_bin = '05:00') AS morning_ramp, sum(avg_daily_volume) FILTER (time_bin = '21:00') / sum(avg_daily_volume) FILTER (time_bin = '17:00') AS evening_decay, max(avg_daily_volume) FILTER (time_bin >= '15:00' AND time_bin < '19:00') / max(avg_daily_volume) FILTER (time_bin >= '06:00' AND time_bin < '10:00') AS pm_to_am_peak, max(avg_daily_volume) / min(avg_daily_volume) AS peak_to_quiet, " + ", ".join(f"coalesce(sum(total_volume) FILTER (time_bin < '{h}:00'), 0)::DOUBLE * 100 / sum(total_volume) AS share_by_{h}" for h in ("09", "12", "17", "19")) + " FROM bins")
 add("plateau", lambda t: T.plateau(bins(t), [70, 80, 90]), ", n(threshold_pct) AS (VALUES (70::DOUBLE), (80), (90)), x AS (SELECT *, avg_daily_volume * 100 / max(avg_daily_volume) OVER () AS p FROM bins) SELECT threshold_pct, count(*) AS bins, count(*) / 4::DOUBLE AS hours, min(time_bin) AS first_bin, max(time_bin) AS last_bin FROM n JOIN x ON p >= threshold_pct GROUP BY 1")
-era = C.first_match((F.col("month_label") < "1998-01", "early"), (F.col("month_label") < "2000-01", "middle"), otherwise="late")
-add("era_profile", lambda t: T.era_profile(dow_month(t), era), ", e AS (SELECT CASE WHEN month_label < '1998-01' THEN 'early' WHEN month_label < '2000-01' THEN 'middle' ELSE 'late' END AS era, iso_dow, sum(total_volume) / sum(days_loaded)::DOUBLE AS avg_daily_volume FROM dow_month GROUP BY 1, 2) SELECT *, avg_daily_volume * 100 / max(avg_daily_volume) FILTER (iso_dow = 5) OVER (PARTITION BY era) AS friday_index FROM e")
+era = lambda: C.first_match((F.col("month_label") < "1998-01", "early"), (F.col("month_label") < "2000-01", "middle"), otherwise="late")
+add("era_profile", lambda t: T.era_profile(dow_month(t), era()), ", e AS (SELECT CASE WHEN month_label < '1998-01' THEN 'early' WHEN month_label < '2000-01' THEN 'middle' ELSE 'late' END AS era, iso_dow, sum(total_volume) / sum(days_loaded)::DOUBLE AS avg_daily_volume FROM dow_month GROUP BY 1, 2) SELECT *, avg_daily_volume * 100 / max(avg_daily_volume) FILTER (iso_dow = 5) OVER (PARTITION BY era) AS friday_index FROM e")
 _WD = {d: n for d, n in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun"), 1)}
 
 
