@@ -7,8 +7,8 @@
 3. Links make components. Where a bucket still holds several components, members are held against two others drawn by hash,
    bucket by bucket, in one or more rounds, which joins the bulk of a large group with few pairs.
 4. Where a bucket holds several components even then, its members are dealt to blocks of bounded
-   size, and every pair of different components in a block is held against finer sketches, then the full sets.
-   So no link that shares a bucket is lost, and no group is ever one task.
+   size, and every pair of different components in a block is held against finer sketches, then the full sets;
+   a pair that shares several buckets is taken in the first. So no link that shares a bucket is lost, and no group is ever one task.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.85**4)**24, about 2e-8.
 """
@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import text_arrays as ta
@@ -149,16 +150,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame, texts: DataFrame, k: int, block: int, far: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose fine sketches are near, found in blocks of at most about 2 x ``block`` rows."""
+def _cross_pairs(members: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, block: int, far: int) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket whose fine sketches are near, found in blocks of at most about 2 x ``block`` rows.
+
+    ``buckets`` has each key's buckets by band. A pair is made once, in its first common bucket: that too holds two labels, so it is dealt.
+    """
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("c"))
     held = cut_lineage(_join(members, mixed, "bucket").select("bucket", "c", "key", "label"))
-    fine = cut_lineage(_fine_sketches(_join(texts, held.select("key").distinct(), "key", "left_semi"), k))
+    mine = held.select("key").distinct()
+    fine = cut_lineage(_join(_fine_sketches(_join(texts, mine, "key", "left_semi"), k), buckets, "key"))
     dealt = (
         _join(held, fine, "key")
         .withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "sketch")
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "sketch", "buckets")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
     )
@@ -170,11 +175,17 @@ def _cross_pairs(members: DataFrame, texts: DataFrame, k: int, block: int, far:
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(rows), -1)
         left = np.flatnonzero(own == i[0])
         right = np.flatnonzero(own == j[0])
-        apart = sum(np.bitwise_count(sketch[left, None, w] ^ sketch[None, right, w]).astype(np.int32) for w in range(sketch.shape[1]))
-        x, y = np.nonzero((apart <= far) & (code[left][:, None] != code[right][None, :]))
-        x, y = left[x], right[y]
+        bands = pc.list_flatten(rows["buckets"]).to_numpy().reshape(len(rows), BANDS)
+        wanted = code[left][:, None] != code[right][None, :]
         if i[0] == j[0]:
-            x, y = x[x < y], y[x < y]
+            wanted &= left[:, None] < right[None, :]
+        for band in range(int(np.flatnonzero(bands[0] == rows["bucket"][0].as_py())[0])):
+            wanted &= bands[left, band][:, None] != bands[right, band][None, :]
+        x, y = (at[z] for at, z in zip((left, right), np.nonzero(wanted), strict=True))
+        close = np.zeros(len(x), bool)
+        for a in range(0, len(x), 1 << 15):
+            close[a : a + (1 << 15)] = np.bitwise_count(sketch[x[a : a + (1 << 15)]] ^ sketch[y[a : a + (1 << 15)]]).sum(axis=1, dtype=np.int32) <= far
+        x, y = x[close], y[close]
         return list(keys[x]), list(keys[y])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +209,16 @@ def _cross_pairs(members: DataFrame, texts: DataFrame, k: int, block: int, far:
         if kept is not None and len(kept) > 1:
             yield done(kept)
 
-    return dealt.mapInArrow(each, "a binary, b binary").distinct()
+    return dealt.mapInArrow(each, "a binary, b binary")
+
+
+def _near(sketch: Column, other: Column, far: int) -> Column:
+    """Whether two odd sketches differ in at most ``far`` bits."""
+    return F.aggregate(F.zip_with(sketch, other, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v) <= far
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return _join(members, labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    return _join(members, labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "sketch", F.coalesce("label", "key").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 1, block: int = 512) -> DataFrame:
@@ -216,34 +232,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = _far_apart(COARSE, num / den - slack)
     signed = cut_lineage(set_keys(docs, id_col, text_col, k, signed=True))
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min_by(F.struct("buckets", "sketch"), F.coalesce("id", F.lit(2**63 - 1))).alias("s"))
+    buckets = classes.select("key", F.col("s.buckets").alias("buckets"))
     exploded = classes.select("key", F.explode("s.buckets").alias("bucket"), F.col("s.sketch").alias("sketch"))
-    shared = exploded.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
-    members = cut_lineage(_join(exploded, shared, "bucket").select("bucket", "key", "sketch", "lo", "hi"))
+    one = F.struct("key", "sketch")
+    shared = exploded.groupBy("bucket").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.key <> hi.key")
+    met = [F.when((F.col("key") != F.col(f"{end}.key")) & _near(F.col("sketch"), F.col(f"{end}.sketch"), far), F.col(f"{end}.key")) for end in ("lo", "hi")]
+    members = cut_lineage(_join(exploded, shared, "bucket").select("bucket", "key", "sketch", F.array_compact(F.array(*met)).alias("near")))
     texts = cut_lineage(_join(set_keys(docs, id_col, text_col, k, signed=False), members.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text")))
 
-    sketches = cut_lineage(members.select("key", "sketch").distinct())
-    close = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)") <= far
-
     def linked(pairs: DataFrame) -> DataFrame:
-        """Confirmed links among pairs (key, other), by sketch first."""
-        ordered = pairs.filter("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        near = _join(_join(ordered, sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a"), sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").filter(close).select("a", "b")
-        return cut_lineage(_confirmed(near, texts, k, num, den))
+        """Confirmed links among pairs (key, other)."""
+        ordered = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        return cut_lineage(_confirmed(ordered, texts, k, num, den))
 
-    links = linked(members.select("key", F.explode(F.array("lo", "hi")).alias("other")))
+    links = linked(members.select("key", F.explode("near").alias("other")))
     labels = connected_components(links)
     for turn in range(rounds):
         held = _labelled(members, labels)
         at = F.xxhash64("key", "bucket", F.lit(turn))
-        one = F.struct("key", "label")
+        one = F.struct("key", "label", "sketch")
         heads = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(one, at).alias("p"), F.max_by(one, at).alias("q")).filter("lo <> hi").select("bucket", F.explode(F.array("p", "q")).alias("head"))
-        more = linked(_join(held, heads, "bucket").filter("label <> head.label").select("key", F.col("head.key").alias("other")))
+        apart = (F.col("label") != F.col("head.label")) & _near(F.col("sketch"), F.col("head.sketch"), far)
+        more = linked(_join(held, heads, "bucket").filter(apart).select("key", F.col("head.key").alias("other")))
         if more.isEmpty():
             break
         links = links.union(more)
         labels = connected_components(links)
 
-    rest = cut_lineage(_confirmed(_cross_pairs(_labelled(members, labels), texts, k, block, _far_apart(FINE, num / den - fine_slack)), texts, k, num, den))
+    rest = cut_lineage(_confirmed(_cross_pairs(_labelled(members, labels), buckets, texts, k, block, _far_apart(FINE, num / den - fine_slack)), texts, k, num, den))
     if not rest.isEmpty():
         labels = connected_components(links.union(rest))
 
