@@ -53,7 +53,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, parts = chunks or 4 * tasks, parts or tasks
+    chunks, parts = chunks or 2 * tasks, parts or tasks
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))
 
