@@ -119,7 +119,7 @@ def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Dat
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of which the full sets have ``den * intersection >= num * union``."""
+    """Labels (la, lb) of those pairs (a, b, la, lb) of which the full sets have ``den * intersection >= num * union``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +129,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
             for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return _join(_join(pairs, left, "a"), right, "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a binary, b binary")
+    return _join(_join(pairs, left, "a"), right, "b").select("la", "lb", "text_a", "text_b").mapInArrow(each, "la binary, lb binary")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, block: int, far: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose fine sketches are near, found in blocks of at most about 2 x ``block`` rows.
+    """Pairs (a, b) of different labels (la, lb) in a bucket whose fine sketches are near, found in blocks of at most about 2 x ``block`` rows.
 
     ``buckets`` has each key's buckets by band. A pair is made once, in its first common bucket: that too holds two labels, so it is dealt.
     """
@@ -168,7 +168,7 @@ def _cross_pairs(members: DataFrame, buckets: DataFrame, texts: DataFrame, k: in
         .sortWithinPartitions("bucket", "i", "j")
     )
 
-    def near(rows: pa.Table) -> tuple[list[bytes], list[bytes]]:
+    def near(rows: pa.Table) -> pa.RecordBatch:
         keys, labels = np.array(rows["key"].to_pylist(), object), np.array(rows["label"].to_pylist(), object)
         _, code = np.unique(labels, return_inverse=True)
         own, i, j = (rows[c].to_numpy() for c in ("own", "i", "j"))
@@ -186,16 +186,12 @@ def _cross_pairs(members: DataFrame, buckets: DataFrame, texts: DataFrame, k: in
         for a in range(0, len(x), 1 << 15):
             close[a : a + (1 << 15)] = np.bitwise_count(sketch[x[a : a + (1 << 15)]] ^ sketch[y[a : a + (1 << 15)]]).sum(axis=1, dtype=np.int32) <= far
         x, y = x[close], y[close]
-        return list(keys[x]), list(keys[y])
+        x, y = np.where(keys[x] < keys[y], x, y), np.where(keys[x] < keys[y], y, x)
+        return pa.RecordBatch.from_arrays([pa.array(z, pa.binary()) for z in (keys[x], keys[y], labels[x], labels[y])], ["a", "b", "la", "lb"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
 
-        def done(table: pa.Table) -> pa.RecordBatch:
-            a, b = near(table)
-            swap = [(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in swap], pa.binary()), pa.array([y for _, y in swap], pa.binary())], ["a", "b"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             kept = table if kept is None else pa.concat_tables([kept, table]).combine_chunks()
@@ -204,12 +200,12 @@ def _cross_pairs(members: DataFrame, buckets: DataFrame, texts: DataFrame, k: in
             bounds = [0, *cuts.tolist()]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    yield done(kept.slice(a, b - a))
+                    yield near(kept.slice(a, b - a))
             kept = kept.slice(bounds[-1])
         if kept is not None and len(kept) > 1:
-            yield done(kept)
+            yield near(kept)
 
-    return dealt.mapInArrow(each, "a binary, b binary")
+    return dealt.mapInArrow(each, "a binary, b binary, la binary, lb binary")
 
 
 def _near(sketch: Column, other: Column, far: int) -> Column:
@@ -218,7 +214,13 @@ def _near(sketch: Column, other: Column, far: int) -> Column:
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return _join(members, labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "sketch", F.coalesce("label", "key").alias("label"))
+    return _join(members, labels, "key").select("bucket", "key", "sketch", "label")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (key, label) once the links (la, lb) between labels hold too. Only labels are searched for components, not all keys and links again."""
+    up = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return cut_lineage(_join(labels, up, "label", "left").select("key", F.coalesce("up", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 1, block: int = 512) -> DataFrame:
@@ -238,32 +240,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = exploded.groupBy("bucket").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.key <> hi.key")
     met = [F.when((F.col("key") != F.col(f"{end}.key")) & _near(F.col("sketch"), F.col(f"{end}.sketch"), far), F.col(f"{end}.key")) for end in ("lo", "hi")]
     members = cut_lineage(_join(exploded, shared, "bucket").select("bucket", "key", "sketch", F.array_compact(F.array(*met)).alias("near")))
-    texts = cut_lineage(_join(set_keys(docs, id_col, text_col, k, signed=False), members.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text")))
+    labels = cut_lineage(members.select("key", F.col("key").alias("label")).distinct())
+    texts = cut_lineage(_join(set_keys(docs, id_col, text_col, k, signed=False), labels.select("key"), "key").groupBy("key").agg(F.min("text").alias("text")))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Confirmed links among pairs (key, other)."""
-        ordered = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        return cut_lineage(_confirmed(ordered, texts, k, num, den))
+        """Links (la, lb) between the labels of those pairs (key, label, other, other_label) that full sets confirm."""
+        one, two = F.struct(F.col("key").alias("k"), F.col("label").alias("l")), F.struct(F.col("other").alias("k"), F.col("other_label").alias("l"))
+        ordered = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb"))
+        return cut_lineage(_confirmed(ordered.distinct(), texts, k, num, den).distinct())
 
-    links = linked(members.select("key", F.explode("near").alias("other")))
-    labels = connected_components(links)
+    met = members.select("key", F.col("key").alias("label"), F.explode("near").alias("other")).withColumn("other_label", F.col("other"))
+    labels = _merged(labels, linked(met))
     for turn in range(rounds):
         held = _labelled(members, labels)
         at = F.xxhash64("key", "bucket", F.lit(turn))
         one = F.struct("key", "label", "sketch")
         heads = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(one, at).alias("p"), F.max_by(one, at).alias("q")).filter("lo <> hi").select("bucket", F.explode(F.array("p", "q")).alias("head"))
         apart = (F.col("label") != F.col("head.label")) & _near(F.col("sketch"), F.col("head.sketch"), far)
-        more = linked(_join(held, heads, "bucket").filter(apart).select("key", F.col("head.key").alias("other")))
+        more = linked(_join(held, heads, "bucket").filter(apart).select("key", "label", F.col("head.key").alias("other"), F.col("head.label").alias("other_label")))
         if more.isEmpty():
             break
-        links = links.union(more)
-        labels = connected_components(links)
+        labels = _merged(labels, more)
 
-    rest = cut_lineage(_confirmed(_cross_pairs(_labelled(members, labels), buckets, texts, k, block, _far_apart(FINE, num / den - fine_slack)), texts, k, num, den))
+    rest = cut_lineage(_confirmed(_cross_pairs(_labelled(members, labels), buckets, texts, k, block, _far_apart(FINE, num / den - fine_slack)), texts, k, num, den).distinct())
     if not rest.isEmpty():
-        labels = connected_components(links.union(rest))
+        labels = _merged(labels, rest)
 
-    found = _join(classes.select("key", "id"), labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    found = _join(classes.select("key", "id"), labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = found.groupBy("label").agg(F.min("id").alias("component_id"))
     answer = _join(found, least, "label").select("key", "component_id")
     return (
