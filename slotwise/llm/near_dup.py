@@ -3,12 +3,14 @@
 1. Each text gets the set of its 5-word shingles, a 128-bit digest of that set, 24 x 4 MinHash samples and an
    odd sketch: the samples folded into a bitmap of parities. Equal digests make one class, so copies never meet as pairs.
 2. Classes that agree in a band share a bucket. In each bucket every member is held against the first and the
-   last member only; the popcount of two sketches' XOR drops pairs far below the threshold, full sets confirm the rest.
+   last member only; the popcount of two sketches' XOR drops pairs below the threshold, full sets confirm the rest.
 3. Links make components. Where a bucket still holds several components, members are held against two others drawn by hash,
    bucket by bucket, in one or more rounds, which joins the bulk of a large group with few pairs.
 4. Where a bucket holds several components even then, its members are dealt to blocks of bounded
    size, and every pair of different components in a block is held against finer sketches, then the full sets;
    a pair that shares several buckets is taken in the first. So no link that shares a bucket is lost, and no group is ever one task.
+   Steps 2 and 3 only save pairs here: a link that they miss is between two components still, so this step finds it. Hence
+   their ``slack`` may be small; that of the finer sketches, ``fine_slack``, is over five standard deviations of an estimate.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.85**4)**24, about 2e-8.
 """
@@ -29,7 +31,7 @@ from slotwise.llm.storage import cut_lineage
 
 BANDS, ROWS = 24, 4
 #: MinHash samples and bits of the sketch that every text has, and of the finer one for large groups.
-COARSE, FINE = (BANDS * ROWS, 256), (1024, 2048)
+COARSE, FINE = (BANDS * ROWS, 256), (2048, 4096)
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**31, FINE[0], dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, FINE[0], dtype=np.uint32)
@@ -223,7 +225,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(_join(labels, up, "label", "left").select("key", F.coalesce("up", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.25, fine_slack: float = 0.075, rounds: int = 1, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.1, fine_slack: float = 0.055, rounds: int = 1, block: int = 512) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
     Texts are linked if ``den * intersection >= num * union`` of their sets of ``k``-word shingles (A-Z lowered).
