@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
-1. Every line with words has a hash (its bytes without outer white space). A line in two or more documents points from each
-   later document to the earliest that has it. Lines that are both short and frequent point nowhere: no block can rest on one.
-2. Each pair of documents so found is aligned by patience diff on their line hashes.
-3. Aligned blocks (lines that follow one another in both) of enough words are deleted from the later document.
+1. Every line with words is cut in units at content-defined words, about seven words each, so that a passage gives the same units in whatever
+   line it stands. A unit has a hash (its bytes without outer white space). A unit in two or more documents points from each
+   later document to the earliest that has it; units that are both short and frequent point nowhere.
+2. Each pair of documents so found is aligned by patience diff on their unit hashes.
+3. Aligned blocks (units that follow one another in both) of enough words are deleted from the later document.
 
-Each later document meets at most as many earlier ones as it has lines, so no group of copies is expanded into pairs.
+Each later document meets at most as many earlier ones as it has units, so no group of copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from slotwise.llm import text_arrays as ta
 from slotwise.llm.storage import cut_lineage
 
+#: Words on each side among which a unit's first word has the least hash.
+REACH = 3
+
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by the first, whose second members increase (patience sorting)."""
@@ -85,91 +90,153 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_lines(a: list[int], b: list[int], n_words: list[int], least: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks that hold ``least`` words or more.
+def aligned_units(a: list[int], b: list[int], n_words: list[int], least: int) -> list[int]:
+    """Positions in ``b`` of all runs of units that ``a`` has too and that hold ``least`` words or more.
 
-    What is left of ``b`` is aligned again until no block is found, so blocks in another order, or found twice in ``b``, go too.
+    Patience diff finds the blocks that stand in one order; those in another order, or found twice in ``b``, are then looked up one by one:
+    a run is covered by those that just reach ``least`` words, counted from each of its units on, and back from each.
     """
     gone: set[int] = set()
-    while True:
-        rest = [j for j in range(len(b)) if j not in gone]
-        found: list[int] = []
-        block: list[int] = []
-        last = (-2, -2)
-        for i, j in [*((i, rest[j]) for i, j in patience(a, [b[j] for j in rest])), (-9, -9)]:
-            if (i, j) != (last[0] + 1, last[1] + 1):
-                if sum(n_words[x] for x in block) >= least:
-                    found.extend(block)
-                block = []
-            block.append(j)
-            last = (i, j)
-        if not found:
-            break
-        gone.update(found)
-        known = set(a)  # a line that is a block by itself needs no further round
-        gone.update(j for j in rest if n_words[j] >= least and b[j] in known)
-    known = set(a)
-    gone.update(j for j in range(len(b)) if n_words[j] >= least and b[j] in known)
+    block: list[int] = []
+    last = (-2, -2)
+    for i, j in [*patience(a, b), (-9, -9)]:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if sum(n_words[x] for x in block) >= least:
+                gone.update(block)
+            block = []
+        block.append(j)
+        last = (i, j)
+    if len(gone) == len(b):
+        return sorted(gone)
+    size = dict(zip(b, n_words, strict=True))
+
+    def reached(units: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        for x in range(len(units)):
+            total, y = 0, x
+            while total < least and y < len(units) and units[y] in size:
+                total += size[units[y]]
+                y += 1
+            if total >= least:
+                yield x, tuple(units[x:y])
+
+    for step in (1, -1):
+        known = {run for _, run in reached(a[::step])}
+        for x, run in reached(b[::step]):
+            if run in known:
+                gone.update(range(x, x + len(run)) if step == 1 else range(len(b) - x - len(run), len(b) - x))
     return sorted(gone)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, hashes, positions, n_words) of the lines with words; rows with a null id are left out."""
+def _cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words; the first word of each unit; the last; the number of line breaks before each unit.
+
+    A line is cut before each word whose hash is the least among ``REACH`` words on both sides in the line, so a passage is cut
+    at the same words in whatever line it stands, but for those near its ends.
+    """
+    w = ta.words(data, offsets)
+    line = np.searchsorted(np.flatnonzero(data == 10), w.start)
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
+    held = np.cumsum(new)
+    least = np.ones(len(line), bool)
+    for s in range(1, REACH + 1):
+        same = held[s:] == held[:-s]
+        least[s:] &= same & (w.hash[s:] <= w.hash[:-s])
+        least[:-s] &= same & (w.hash[:-s] <= w.hash[s:])
+        least[:s] = least[max(len(least) - s, 0) :] = False
+    first = np.flatnonzero(new | least)
+    return w, first, np.append(first[1:], len(line))[: len(first)] - 1, line[first]
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, hashes, n_words) of the units; rows with a null id are left out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in ta.slices(batch, "text"):
-                w = ta.words(data, offsets)
-                breaks = np.flatnonzero(data == 10)
-                # a word's line number in its row: line breaks before it, less those before its row
-                line = np.searchsorted(breaks, w.start) - np.searchsorted(breaks, offsets[w.row])
-                new = np.ones(len(line), bool)
-                new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(line)) - 1
+                w, first, last, _ = _cut_units(data, offsets)
                 hashes = ta.span_hash(data, w.start[first], w.end[last]) if len(first) else np.zeros(0, np.uint64)
                 bounds = pa.array(np.searchsorted(w.row[first], np.arange(b - a + 1)).astype(np.int32))
-                made = [pa.ListArray.from_arrays(bounds, pa.array(v, kind)) for v, kind in ((hashes.view(np.int64), pa.int64()), (line[first], pa.int32()), (last - first + 1, pa.int32()))]
+                made = [pa.ListArray.from_arrays(bounds, pa.array(v, kind)) for v, kind in ((hashes.view(np.int64), pa.int64()), (last - first + 1, pa.int32()))]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *made], ["id", "text_hash", "hashes", "positions", "n_words"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *made], ["id", "text_hash", "hashes", "n_words"])
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(each, "id long, text_hash long, hashes array<long>, positions array<int>, n_words array<int>").filter("size(hashes) > 0")
+    return source.mapInArrow(each, "id long, text_hash long, hashes array<long>, n_words array<int>").filter("size(hashes) > 0")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rare: int = 50) -> DataFrame:
-    """(id, text_hash, lines): the numbers, from 0, of the lines to delete from each later document.
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rare: int = 50) -> DataFrame:
+    """(id, text_hash, units): the numbers, from 0, of the units to delete from each later document.
 
     Documents are ordered by id, then by a hash of the text; rows that repeat both are one document. ``min_words`` is the size of an aligned
-    block, ``rare`` the number of documents up to which a line of fewer words still points to an earlier document.
+    block, ``rare`` the number of documents up to which a unit of fewer words still points to an earlier document.
     """
-    lines = cut_lineage(_lines(docs, id_col, text_col).groupBy("id", "text_hash").agg(F.first("hashes").alias("hashes"), F.first("positions").alias("positions"), F.first("n_words").alias("n_words")))
-    named = lines.withColumn("doc", F.struct("id", "text_hash"))
+    units = cut_lineage(_units(docs, id_col, text_col).groupBy("id", "text_hash").agg(F.first("hashes").alias("hashes"), F.first("n_words").alias("n_words")))
+    named = units.withColumn("doc", F.struct("id", "text_hash"))
     held = named.select("doc", F.explode(F.array_distinct(F.arrays_zip("hashes", "n_words"))).alias("l")).select("doc", F.col("l.hashes").alias("h"), F.col("l.n_words").alias("n"))
     shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("df"), F.max("n").alias("n")).filter((F.col("df") > 1) & ((F.col("df") <= rare) | (F.col("n") >= min_words)))
     pairs = held.select("doc", "h").join(shared.select("h", "first"), "h").filter("doc <> first").select("doc", "first").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = []
-            for early, late, positions, n in zip(*(batch.column(c).to_pylist() for c in ("early", "hashes", "positions", "n_words")), strict=True):
-                cut.append([positions[x] for x in aligned_lines(early, late, n, min_words)])
+            cut = [aligned_units(early, late, n, min_words) for early, late, n in zip(*(batch.column(c).to_pylist() for c in ("early", "hashes", "n_words")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(cut, pa.list_(pa.int32()))], ["id", "text_hash", "cut"])
 
-    early = lines.select(F.struct("id", "text_hash").alias("first"), F.col("hashes").alias("early"))
-    both = pairs.join(early, "first").join(named.drop("id", "text_hash"), "doc").select("doc.id", "doc.text_hash", "early", "hashes", "positions", "n_words")
+    early = units.select(F.struct("id", "text_hash").alias("first"), F.col("hashes").alias("early"))
+    both = pairs.join(early, "first").join(named.drop("id", "text_hash"), "doc").select("doc.id", "doc.text_hash", "early", "hashes", "n_words")
     cut = both.mapInArrow(align, "id long, text_hash long, cut array<int>").filter("size(cut) > 0")
-    return cut.groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("lines"))
+    return cut.groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("units"))
+
+
+def _without(text: bytes, spans: list[tuple[int, int, bool]]) -> tuple[bytes, int]:
+    """A text without its gone units (line, first byte, gone), and the number of lines that lost any. A line that loses all its units goes with its break."""
+    of_line: dict[int, list[tuple[int, bool]]] = {}
+    for n, start, gone in spans:
+        of_line.setdefault(n, []).append((start, gone))
+    out, lost, base = [], 0, 0
+    for n, row in enumerate(text.split(b"\n")):
+        units = of_line.get(n, [])
+        end = base + len(row)
+        if any(gone for _, gone in units):
+            lost += 1
+            stops = [*(start for start, _ in units[1:]), end]
+            left = b"".join(text[start:stop] for (start, gone), stop in zip(units, stops, strict=True) if not gone)
+            if left:
+                out.append(text[base : units[0][0]] + (left.rstrip(b" \t\n\x0b\x0c\r") if units[-1][1] else left))
+        else:
+            out.append(row)
+        base = end + 1
+    return b"\n".join(out), lost
+
+
+@F.arrow_udf(returnType=StructType([StructField("text", StringType()), StructField("lost", IntegerType())]))
+def _cut_text(text: pa.Array, cut: pa.Array) -> pa.Array:
+    out: list[dict[str, object] | None] = []
+    numbers = cut.to_pylist()
+    for a, b, data, offsets in ta.slices(pa.RecordBatch.from_arrays([text], ["text"]), "text"):
+        w, first, _, line = _cut_units(data, offsets)
+        breaks = np.searchsorted(np.flatnonzero(data == 10), offsets)
+        bounds = np.searchsorted(w.row[first], np.arange(b - a + 1))
+        for r in range(b - a):
+            if numbers[a + r] is None:
+                out.append(None)
+                continue
+            at = slice(bounds[r], bounds[r + 1])
+            gone = np.zeros(bounds[r + 1] - bounds[r], bool)
+            gone[numbers[a + r]] = True
+            left, lost = _without(data[offsets[r] : offsets[r + 1]].tobytes(), list(zip((line[at] - breaks[r]).tolist(), (w.start[first[at]] - offsets[r]).tolist(), gone.tolist(), strict=True)))
+            out.append({"text": left.decode("utf-8", "replace"), "lost": lost})
+    return pa.array(out, pa.struct([("text", pa.string()), ("lost", pa.int32())]))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rare: int = 50) -> DataFrame:
-    """``docs`` with those lines cut from the text, and ``n_removed`` (a column of that name is replaced).
+    """``docs`` with those units cut from the text, and ``n_removed``, the number of lines that lost any (a column of that name is replaced).
 
-    A text without removed lines is as it was, byte for byte; one that loses all its lines is empty. Null and empty texts, and rows with a
+    A text without removed units is as it was, byte for byte; one that loses all its lines is empty. Null and empty texts, and rows with a
     null id, stay as they are. Rows that repeat both id and text are one document and are cut alike.
     """
     docs = docs.drop("n_removed")
-    cut = repeated_lines(docs, id_col, text_col, min_words, rare).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_cut"))
+    cut = repeated_units(docs, id_col, text_col, min_words, rare).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("units").alias("_cut"))
     marked = docs.join(cut, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_cut", i)), "\n")
-    return marked.withColumns({text_col: F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(kept), "n_removed": F.coalesce(F.size("_cut"), F.lit(0))}).drop("_id", "_hash", "_cut")
+    done = marked.withColumn("_done", _cut_text(F.when(F.col("_cut").isNotNull(), F.col(text_col)), F.col("_cut")))
+    return done.withColumns({text_col: F.coalesce("_done.text", text_col), "n_removed": F.coalesce("_done.lost", F.lit(0))}).drop("_id", "_hash", "_cut", "_done")

@@ -192,3 +192,12 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copy"}
     assert not out.filter("doc_id in (2, 3)").count()
+
+
+def test_line_dedup_inside_longer_lines(spark):
+    passage, head, tail = words(80), words(40), words(40)
+    rows = [(1, passage), (2, f"x\n{head} {passage} {tail}\ny"), (3, f"{tail[::-1]}\n{words(30)}")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = got[2][0].split()
+    assert got[1] == (passage, 0) and got[3] == (rows[2][1], 0) and got[2][1] == 1
+    assert left[:41] == ["x", *head.split()] and left[-41:] == [*tail.split(), "y"] and len(left) <= 82 + 40
