@@ -1,12 +1,13 @@
 """Line dedup by pairwise alignment.
 
 1. Every line with words is cut in units at content-defined words, about seven words each, so that a passage gives the same units in whatever
-   line it stands. A unit has a hash (its bytes without outer white space). A unit in two or more documents points from each
-   later document to the earliest that has it; units that are both short and frequent point nowhere.
+   line it stands. A unit has a hash (its bytes without outer white space). From each unit on, the run of units that just reaches ten
+   words is hashed too; a run in two or more documents points from each later document to the earliest that has it. Every block
+   of enough words begins with such a run, so however frequent its units are, the earliest document with its run is met.
 2. Each pair of documents so found is aligned by patience diff on their unit hashes.
 3. Aligned blocks (units that follow one another in both) of enough words are deleted from the later document.
 
-Each later document meets at most as many earlier ones as it has units, so no group of copies is expanded into pairs.
+Each later document meets at most as many earlier ones as it has runs, so no group of copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -165,17 +167,54 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(each, "id long, text_hash long, hashes array<long>, n_words array<int>").filter("size(hashes) > 0")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rare: int = 50) -> DataFrame:
+def _run_hashes(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the runs of units that just reach ``least`` words, one from each unit on where its row is long enough."""
+    at = np.arange(len(hashes))
+    total, run = n_words.astype(np.int64), ta.mix(hashes)
+    found: list[np.ndarray] = []
+    made: list[np.ndarray] = []
+    step = 0
+    while len(at):
+        full = total >= least
+        found.append(row[at[full]])
+        made.append(run[full])
+        step += 1
+        at, total, run = at[~full], total[~full], run[~full]
+        inside = at + step < len(hashes)
+        inside[inside] = row[at[inside] + step] == row[at[inside]]
+        at, total, run = at[inside], total[inside], run[inside]
+        total, run = total + n_words[at + step], ta.mix(run * np.uint64(0x9E3779B97F4A7C15) + hashes[at + step])
+    return (np.concatenate(found), np.concatenate(made)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _runs(units: DataFrame, least: int) -> DataFrame:
+    """(id, text_hash, h) of the distinct runs of each document."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column("hashes")).to_numpy()
+            hashes = pc.list_flatten(batch.column("hashes")).to_numpy().view(np.uint64)
+            row, run = _run_hashes(hashes, pc.list_flatten(batch.column("n_words")).to_numpy(), np.repeat(np.arange(len(size)), size), least)
+            by = np.lexsort((run, row))
+            row, run = row[by], run[by]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (run[1:] != run[:-1])
+            row, run = row[new], run[new]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "text_hash")), pa.array(run.view(np.int64))], ["id", "text_hash", "h"])
+
+    return units.select("id", "text_hash", "hashes", "n_words").mapInArrow(each, "id long, text_hash long, h long")
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
     """(id, text_hash, units): the numbers, from 0, of the units to delete from each later document.
 
-    Documents are ordered by id, then by a hash of the text; rows that repeat both are one document. ``min_words`` is the size of an aligned
-    block, ``rare`` the number of documents up to which a unit of fewer words still points to an earlier document.
+    Documents are ordered by id, then by a hash of the text; rows that repeat both are one document. ``min_words`` is the size of an aligned block.
     """
     units = cut_lineage(_units(docs, id_col, text_col).groupBy("id", "text_hash").agg(F.first("hashes").alias("hashes"), F.first("n_words").alias("n_words")))
     named = units.withColumn("doc", F.struct("id", "text_hash"))
-    held = named.select("doc", F.explode(F.array_distinct(F.arrays_zip("hashes", "n_words"))).alias("l")).select("doc", F.col("l.hashes").alias("h"), F.col("l.n_words").alias("n"))
-    shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("df"), F.max("n").alias("n")).filter((F.col("df") > 1) & ((F.col("df") <= rare) | (F.col("n") >= min_words)))
-    pairs = held.select("doc", "h").join(shared.select("h", "first"), "h").filter("doc <> first").select("doc", "first").distinct()
+    held = _runs(units, min_words).select(F.struct("id", "text_hash").alias("doc"), "h")
+    shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
+    pairs = held.join(shared.select("h", "first"), "h").filter("doc <> first").select("doc", "first").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,14 +268,14 @@ def _cut_text(text: pa.Array, cut: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("text", pa.string()), ("lost", pa.int32())]))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rare: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
     """``docs`` with those units cut from the text, and ``n_removed``, the number of lines that lost any (a column of that name is replaced).
 
     A text without removed units is as it was, byte for byte; one that loses all its lines is empty. Null and empty texts, and rows with a
     null id, stay as they are. Rows that repeat both id and text are one document and are cut alike.
     """
     docs = docs.drop("n_removed")
-    cut = repeated_units(docs, id_col, text_col, min_words, rare).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("units").alias("_cut"))
+    cut = repeated_units(docs, id_col, text_col, min_words).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("units").alias("_cut"))
     marked = docs.join(cut, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left")
     done = marked.withColumn("_done", _cut_text(F.when(F.col("_cut").isNotNull(), F.col(text_col)), F.col("_cut")))
     return done.withColumns({text_col: F.coalesce("_done.text", text_col), "n_removed": F.coalesce("_done.lost", F.lit(0))}).drop("_id", "_hash", "_cut", "_done")

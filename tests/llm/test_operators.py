@@ -201,3 +201,12 @@ def test_line_dedup_inside_longer_lines(spark):
     left = got[2][0].split()
     assert got[1] == (passage, 0) and got[3] == (rows[2][1], 0) and got[2][1] == 1
     assert left[:41] == ["x", *head.split()] and left[-41:] == [*tail.split(), "y"] and len(left) <= 82 + 40
+
+
+def test_line_dedup_of_frequent_short_lines(spark):
+    lines = [words(8) for _ in range(10)]
+    rows = [(i, "\n".join([lines[i], words(20)])) for i in range(10)]  # each line alone in an earlier document
+    rows += [(i, "\n".join([words(9), *lines, words(9)])) for i in range(10, 80)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (rows[i][1], 0) for i in range(11))
+    assert all(got[i] == ("\n".join(rows[i][1].split("\n")[:: 11]), 10) for i in range(11, 80))
