@@ -37,7 +37,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

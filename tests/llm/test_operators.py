@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, quality, url_filter
+from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, quality, queries, url_filter
 from slotwise.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy int, n_words int"
@@ -210,3 +210,9 @@ def test_line_dedup_of_frequent_short_lines(spark):
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == (rows[i][1], 0) for i in range(11))
     assert all(got[i] == ("\n".join(rows[i][1].split("\n")[:: 11]), 10) for i in range(11, 80))
+
+
+def test_lm_query_counts_three_words(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "x b c"), (4, "a b c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op6_lm_score(spark, str(tmp_path)).collect()}
+    assert [got[i].known for i in (1, 2, 3, 4)] == [1, 0, 0, 1]  # only "a b c" is elsewhere as a whole
