@@ -30,32 +30,40 @@ def repetition_rates(docs: DataFrame, source_col: str = "source", weights: dict[
     return weighted.crossJoin(total).select("source", F.coalesce(F.expr("try_divide(w / all_w * all_n, n)"), F.lit(0.0)).alias("rate"))
 
 
-def _inverse(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, 2, ... far enough into its tail that 52 bits see no more."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 14).cast("int")
-    first = F.exp(-rate)
+def _inverse(rate: Column) -> tuple[Column, Column]:
+    """(n, distribution function at n, n + 1, n + 2, ...) of a Poisson variable, far enough into its tails that 52 bits see no more.
+
+    From a rate of 500 on, n is not 0 (exp(-rate) vanishes from 745 on): the terms start with 1 twelve standard deviations under the mean
+    and are divided by their sum.
+    """
+    spread = 12 * F.sqrt(rate) + 14
+    most = F.ceil(rate + spread).cast("int")
+    least = F.when(rate < 500, 0).otherwise(F.floor(rate - spread)).cast("int")
+    first = F.when(rate < 500, F.exp(-rate)).otherwise(1.0)
     start = F.struct(first.alias("p"), F.array(first).alias("cdf"))
 
     def step(s: Column, k: Column) -> Column:
         p = s["p"] * rate / k
         return F.struct(p.alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["cdf"])
+    sums = F.aggregate(F.sequence(least + 1, most), start, step, lambda s: s["cdf"])
+    return least, F.when(rate < 500, sums).otherwise(F.transform(sums, lambda c: c / F.element_at(sums, -1)))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, seed: int = 17) -> DataFrame:
     """Each row ``count`` times (column ``copy`` from 1), ``count`` the Poisson quantile of a hash of id and seed; in a global random order.
 
-    The mean of the Poisson distribution is the source's rate (see ``repetition_rates``; under 700). Repeated rows of one id have equal
+    The mean of the Poisson distribution is the source's rate (see ``repetition_rates``), however large. Repeated rows of one id have equal
     counts; a row with a null id is hashed by its text. A null source is a source of its own. An empty table gives an empty one.
     Other columns pass through; a column named ``copy`` is replaced. Sources' distribution functions are a table of one row a source, joined
     on the source, so that Spark splits a hot source.
     """
-    rates = repetition_rates(docs, source_col, weights, temperature).select(F.col("source").alias("_source"), _inverse(F.col("rate")).alias("_cdf"))
+    least, cdf = _inverse(F.col("rate"))
+    rates = repetition_rates(docs, source_col, weights, temperature).select(F.col("source").alias("_source"), least.alias("_least"), cdf.alias("_cdf"))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     u = _uniform(key, F.lit(str(seed)))
     counted = docs.drop("copy").join(rates, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = F.size(F.filter("_cdf", lambda c: c < u))
+    copies = F.col("_least") + F.size(F.filter("_cdf", lambda c: c < u))
     out = counted.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     order = F.xxhash64(key, F.col("copy"), F.lit(seed))
-    return out.withColumn("_at", order).drop("_source", "_cdf", "_n").orderBy("_at").drop("_at")
+    return out.withColumn("_at", order).drop("_source", "_least", "_cdf", "_n").orderBy("_at").drop("_at")

@@ -216,3 +216,13 @@ def test_lm_query_counts_three_words(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "x b c"), (4, "a b c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op6_lm_score(spark, str(tmp_path)).collect()}
     assert [got[i].known for i in (1, 2, 3, 4)] == [1, 0, 0, 1]  # only "a b c" is elsewhere as a whole
+
+
+def test_mixing_at_large_rates(spark):
+    few = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("x").alias("source"))
+    many = spark.range(40, 60_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("y").alias("source"))
+    for share, rate in ((2 / 5, 600), (2 / 3, 1000)):
+        mixed = mixing.mix_sources(few.union(many), weights={"x": share, "y": 1 - share}).filter("source = 'x'")
+        counts = [r["count"] for r in mixed.groupBy("doc_id").count().collect()]
+        assert len(counts) == 40 and len(set(counts)) > 20
+        assert abs(sum(counts) / 40 - rate) < 5 * (rate / 40) ** 0.5 and 0.5 * rate < sum((c - rate) ** 2 for c in counts) / 40 < 2 * rate
