@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm import text_arrays as ta
@@ -86,7 +86,7 @@ def _fine_sketches(texts: DataFrame, k: int) -> DataFrame:
 
 
 def set_keys(docs: DataFrame, id_col: str, text_col: str, k: int, signed: bool) -> DataFrame:
-    """Per row: id, set size, digest of the set (null: no words) and, if ``signed``, buckets and sketch, else the text."""
+    """Per row: id, hash of the text, set size, digest of the set (null: no words) and, if ``signed``, buckets and sketch, else the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +105,13 @@ def set_keys(docs: DataFrame, id_col: str, text_col: str, k: int, signed: bool)
                     for i, x, y in zip(full, *made, strict=True):
                         buckets[i], sketch[i] = x, y
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(u) for u in sets], pa.int64()), key, ta.lists([x.view(np.int64) for x in buckets], pa.int64()), ta.lists([x.view(np.int64) for x in sketch], pa.int64())],
-                    ["id", "n_shingles", "key", "buckets", "sketch"],
+                    [part.column("id"), part.column("text_hash"), pa.array([len(u) for u in sets], pa.int64()), key, ta.lists([x.view(np.int64) for x in buckets], pa.int64()), ta.lists([x.view(np.int64) for x in sketch], pa.int64())],
+                    ["id", "text_hash", "n_shingles", "key", "buckets", "sketch"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     if signed:
-        return source.mapInArrow(each, "id long, n_shingles long, key binary, buckets array<long>, sketch array<long>")
+        return source.mapInArrow(each, "id long, text_hash long, n_shingles long, key binary, buckets array<long>, sketch array<long>")
     return source.select("text").mapInArrow(each, "key binary, text string")
 
 
@@ -225,17 +225,15 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(_join(labels, up, "label", "left").select("key", F.coalesce("up", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.1, fine_slack: float = 0.055, rounds: int = 1, block: int = 512) -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
+def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, slack: float, fine_slack: float, rounds: int, block: int) -> DataFrame:
+    """Per row of ``docs``: doc, n_shingles, key (null: no words), component_id, and ``first``, the least doc of its component.
 
-    Texts are linked if ``den * intersection >= num * union`` of their sets of ``k``-word shingles (A-Z lowered).
-    A text of fewer words has its whole sequence as its set; a null or empty one has no set, no links, and its own id.
-    Repeated rows and repeated ids are rows like others; a null id counts as larger than any (its row is kept only if
-    nothing else of its component has an id; then component_id is null). Other columns are ignored.
+    A doc is (no_id, id, text_hash), so a null id is larger than any.
     """
     far = _far_apart(COARSE, num / den - slack)
     signed = cut_lineage(set_keys(docs, id_col, text_col, k, signed=True))
-    classes = signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min_by(F.struct("buckets", "sketch"), F.coalesce("id", F.lit(2**63 - 1))).alias("s"))
+    doc = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    classes = signed.filter("key is not null").groupBy("key").agg(F.min(doc).alias("doc"), F.min_by(F.struct("buckets", "sketch"), F.coalesce("id", F.lit(2**63 - 1))).alias("s"))
     buckets = classes.select("key", F.col("s.buckets").alias("buckets"))
     exploded = classes.select("key", F.explode("s.buckets").alias("bucket"), F.col("s.sketch").alias("sketch"))
     one = F.struct("key", "sketch")
@@ -268,11 +266,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         labels = _merged(labels, rest)
 
-    found = _join(classes.select("key", "id"), labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = found.groupBy("label").agg(F.min("id").alias("component_id"))
-    answer = _join(found, least, "label").select("key", "component_id")
-    return (
-        _join(signed.select("id", "n_shingles", "key"), answer, "key", "left")
-        .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    found = _join(classes.select("key", "doc"), labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = found.groupBy("label").agg(F.min("doc").alias("first"))
+    answer = _join(found, least, "label").select("key", "first")
+    return _join(signed.select(doc.alias("doc"), "n_shingles", "key"), answer, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc.id")).otherwise(F.col("first.id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.1, fine_slack: float = 0.055, rounds: int = 1, block: int = 512) -> DataFrame:
+    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
+
+    Texts are linked if ``den * intersection >= num * union`` of their sets of ``k``-word shingles (A-Z lowered).
+    A text of fewer words has its whole sequence as its set; a null or empty one has no set, no links, and its own id.
+    Repeated rows and repeated ids are rows like others; a null id counts as larger than any (its row is kept only if
+    nothing else of its component has an id; then component_id is null). Other columns are ignored.
+    """
+    judged = _judged(docs, id_col, text_col, k, num, den, slack, fine_slack, rounds, block)
+    return judged.select(F.col("doc.id").alias("doc_id"), "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100, slack: float = 0.1, fine_slack: float = 0.055, rounds: int = 1, block: int = 512) -> DataFrame:
+    """One row of ``docs`` of each component (see ``near_duplicates``): that of the smallest id, then text hash, a null id last.
+
+    Of rows that repeat both, the one with the smallest hash of all columns stays. Rows without words belong to no component and all stay.
+    """
+    judged = _judged(docs, id_col, text_col, k, num, den, slack, fine_slack, rounds, block).filter("key is not null")
+    wordy = judged.groupBy(F.col("doc").alias("_doc")).agg(F.max(F.col("doc") == F.col("first")).alias("_kept"))
+    named = docs.withColumn("_doc", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash")))
+    left = _join(named, wordy, "_doc", "left").filter("_kept is null or _kept")
+    at = Window.partitionBy("_doc").orderBy(F.xxhash64(*docs.columns))
+    return left.withColumn("_n", F.row_number().over(at)).filter("_kept is null or _n = 1").select(*docs.columns)

@@ -226,3 +226,11 @@ def test_mixing_at_large_rates(spark):
         counts = [r["count"] for r in mixed.groupBy("doc_id").count().collect()]
         assert len(counts) == 40 and len(set(counts)) > 20
         assert abs(sum(counts) / 40 - rate) < 5 * (rate / 40) ** 0.5 and 0.5 * rate < sum((c - rate) ** 2 for c in counts) / 40 < 2 * rate
+
+
+def test_near_dup_stage_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (words(60) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "x"), (2, b, "x"), (None, c, "x"), (None, c, "x"), (None, c + " tail", "x"), (3, d, "x"), (None, d, "x"), (5, "", "x"), (5, "", "x"), (None, None, "x"), (None, None, "x")]
+    left = corpus_pipeline.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left if r.text and "tail" not in r.text and r.text != c) == sorted([("1", a), ("2", b), ("3", d)])
+    assert sum(r.text in (c, c + " tail") for r in left) == 1 and sum(not r.text for r in left) == 4
