@@ -121,7 +121,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Columns: doc_id, text_hash (xxhash64 of the text), item_id, start_word, n_words (the window's), similarity. Each doc_id and text counts once, so
     repeated rows add nothing; null or empty texts and items have no windows. Items are held in the tasks in parts of at most ``part_items``
     (by a hash of the item); a larger benchmark is searched part by part, each over all documents, with the same results.
-    Weights come from the whole benchmark. A pair at the threshold is beyond the radius with a chance of about 2e-4.
+    Weights come from the whole benchmark: with several parts, the windows' shingles are joined to all items' counts. A pair at the threshold is beyond the radius with a chance of about 2e-4.
     """
     spark = docs.sparkSession
     listed = item_shingles(items, item_id_col, item_text_col, k).filter("item_id is not null")
@@ -139,13 +139,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         if not rows:
             continue
         wanted = own.select(F.explode("shingles").alias("shingle")).distinct()
-        found = _part_leaks(docs, rows, _index(rows, n_items, {r["shingle"]: r["n"] for r in holders.join(wanted, "shingle", "left_semi").collect()}, k), id_col, text_col, id_kind, item_kind, k, threshold, radius)
+        found = _part_leaks(docs, rows, _index(rows, n_items, {r["shingle"]: r["n"] for r in holders.join(wanted, "shingle", "left_semi").collect()}, k), id_col, text_col, id_kind, item_kind, k, threshold, radius, holders if n_parts > 1 else None, n_items)
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("similarity"), "start_word")
     return out.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
-def _part_leaks(docs: DataFrame, rows: list, index: _Index, id_col: str, text_col: str, id_kind: str, item_kind: str, k: int, threshold: float, radius: int) -> DataFrame:
+def _weighed(seen: DataFrame, holders: DataFrame, n_items: int) -> DataFrame:
+    """The distinct windows ``seen``, with weights and prints by the counts of all items."""
+    window = ["doc_id", "text_hash", "start_word", "size"]
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*([np.asarray(x.values) for x in batch.column(c)] for c in ("shingles", "weights")), strict=True)
+            prints = pa.array([simhash(s.view(np.uint64), x) for s, x in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in window), prints, batch.column("shingles"), batch.column("weights")], [*window, "print", "shingles", "weights"])
+
+    each = seen.dropDuplicates(window).select(*window, F.posexplode("shingles").alias("at", "shingle"))
+    weight = F.log1p(F.lit(float(n_items)) / F.coalesce("n", F.lit(1)))
+    known = each.join(holders, "shingle", "left").withColumn("s", F.struct("at", "shingle", weight.alias("weight")))
+    whole = known.groupBy(*window).agg(F.array_sort(F.collect_list("s")).alias("s")).select(*window, F.lit(0).cast("long").alias("print"), F.col("s.shingle").alias("shingles"), F.col("s.weight").alias("weights"))
+    return whole.mapInArrow(printed, seen.schema)
+
+
+def _part_leaks(docs: DataFrame, rows: list, index: _Index, id_col: str, text_col: str, id_kind: str, item_kind: str, k: int, threshold: float, radius: int, holders: DataFrame | None, n_items: int) -> DataFrame:
+    """``holders``: (shingle, n items that hold it) of the whole benchmark, where the index has only a part of its shingles."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(index)  # at most part_items items
 
@@ -177,6 +195,8 @@ def _part_leaks(docs: DataFrame, rows: list, index: _Index, id_col: str, text_co
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     seen = source.mapInArrow(windows, f"doc_id {id_kind}, text_hash long, start_word int, size int, print long, shingles array<long>, weights array<double>")
+    if holders is not None:
+        seen = _weighed(seen, holders, n_items)
     prints = []
     for r in rows:
         s = np.array(r["shingles"], np.int64).view(np.uint64)

@@ -234,3 +234,11 @@ def test_near_dup_stage_keeps_one_row_of_each_group(spark):
     left = corpus_pipeline.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
     assert sorted((str(r.doc_id), r.text) for r in left if r.text and "tail" not in r.text and r.text != c) == sorted([("1", a), ("2", b), ("3", d)])
     assert sum(r.text in (c, c + " tail") for r in left) == 1 and sum(not r.text for r in left) == 4
+
+
+def test_decontamination_in_parts_of_items_that_share_text(spark):
+    own, shared = [words(20) for _ in range(24)], [words(12) for _ in range(12)]
+    items = spark.createDataFrame([(i, f"{t} {shared[i // 2]}") for i, t in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{words(9)} {t} {shared[(i // 2 + 5) % 12]} {words(9)}") for i, t in enumerate(own)], "doc_id long, text string")
+    whole, parts = ({(r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontam.find_leaks(docs, items, threshold=0.2, radius=31, part_items=n).collect()} for n in (24, 6))
+    assert whole and parts == whole
