@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, quality, queries, url_filter
+from slotwise.llm import decontam, html_extract, lang_id, line_dedup, lm_score, mixing, near_dup, quality, queries, url_filter
 from slotwise.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy int, n_words int"
@@ -170,13 +170,6 @@ def test_language_gradient():
         assert grad[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-2, abs=2e-3)
 
 
-def test_licenses(spark, none):
-    rows = [(1, "words here\nReleased under the MIT License.\nmore"), (2, "All rights reserved."), (3, words(200)), (4, None), (5, ""), (6, "the general public of this work")]
-    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in got.collect()} == {(1, 1, "mit", True), (2, 0, "proprietary", True)}
-    assert license_scan.scan_licenses(none).count() == 0
-
-
 def test_lm_scores(docs, none):
     got = lm_score.score_documents(docs, chunks=3, parts=2).collect()
     assert len(got) == len(ROWS) and {r.score for r in got if r.doc_id in (5, 6, 7)} == {None}
