@@ -1,13 +1,14 @@
 """Line dedup by pairwise alignment.
 
 1. Every line with words is cut in units at content-defined words, about seven words each, so that a passage gives the same units in whatever
-   line it stands. A unit has a hash (its bytes without outer white space). From each unit on, the run of units that just reaches ten
-   words is hashed too; a run in two or more documents points from each later document to the earliest that has it. Every block
-   of enough words begins with such a run, so however frequent its units are, the earliest document with its run is met.
-2. Each pair of documents so found is aligned by patience diff on their unit hashes.
-3. Aligned blocks (units that follow one another in both) of enough words are deleted from the later document.
-
-Each later document meets at most as many earlier ones as it has runs, so no group of copies is expanded into pairs.
+   line it stands. A unit has a hash (its bytes without outer white space). A run is a shortest sequence of units with ten words or more, counted from a unit
+   on or back from it; whatever two documents share in ten words or more of whole units is covered by runs that both have.
+2. Each run of a document points to an earlier document that has it, with both places. Within a task the runs of its documents are held against
+   each other; only the first document of each run goes on to the shuffle by run, where it is held against the first ones of the other tasks. So the row
+   count of a run that a third of all documents have is the number of tasks, not of documents, and no group of copies is expanded into pairs.
+3. Each pair of documents so found is aligned by patience diff on these places: the longest chain that increases in both, over the runs that
+   stand once on either side. Runs that follow one another in both are one block. What the chain leaves out, for it moved or repeats, makes blocks of its own.
+4. The units of the blocks are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -18,115 +19,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from slotwise.llm import text_arrays as ta
-from slotwise.llm.storage import cut_lineage
 
 #: Words on each side among which a unit's first word has the least hash.
 REACH = 3
 
 
-def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs, sorted by the first, whose second members increase (patience sorting)."""
+def _increasing(values: list[int]) -> list[int]:
+    """Positions of a longest strictly increasing chain of ``values`` (patience sorting)."""
     tops: list[int] = []
     pile_of: list[int] = []
     before: list[int] = []
-    for n, (_, j) in enumerate(pairs):
-        pile = bisect_left(tops, j)
+    for n, v in enumerate(values):
+        pile = bisect_left(tops, v)
         if pile == len(tops):
-            tops.append(j)
+            tops.append(v)
             pile_of.append(n)
         else:
-            tops[pile], pile_of[pile] = j, n
+            tops[pile], pile_of[pile] = v, n
         before.append(pile_of[pile - 1] if pile else -1)
     out, n = [], pile_of[-1] if pile_of else -1
     while n >= 0:
-        out.append(pairs[n])
+        out.append(n)
         n = before[n]
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched positions (i, j) of two lists, increasing in both: equal heads and tails, lines unique on both sides, and so on between them.
+def aligned_blocks(matches: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Blocks (first unit, end) of the later document: those that patience diff aligns, and those that moved or repeat.
 
-    Where no common line is unique, the n-th of a line on one side is held against its n-th on the other.
+    ``matches``: (unit of the later document, unit of the earlier one, number of units) of the runs that both have.
     """
+    left, right = Counter((x, n) for x, _, n in matches), Counter((y, n) for _, y, n in matches)
+    once = sorted((x, y, n) for x, y, n in matches if left[x, n] == 1 and right[y, n] == 1)
+    chain = {(once[k][0], once[k][2]) for k in _increasing([y for _, y, _ in once])}
+    parts: tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]] = ([], [])
+    for m in sorted(set(matches)):
+        parts[(m[0], m[2]) not in chain].append(m)
+    return _joined(parts[0]), _joined(parts[1])
+
+
+def _joined(matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs that touch or overlap at the same distance of their places, put together."""
     out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, ie, j, je = todo.pop()
-        while i < ie and j < je and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < ie and j < je and a[ie - 1] == b[je - 1]:
-            ie, je = ie - 1, je - 1
-            out.append((ie, je))
-        if i == ie or j == je:
-            continue
-        left, right = Counter(a[i:ie]), Counter(b[j:je])
-        place = {h: n for n, h in enumerate(b[j:je], j) if right[h] == 1}
-        anchors = _increasing([(n, place[h]) for n, h in enumerate(a[i:ie], i) if left[h] == 1 and h in place])
-        if not anchors and left.keys() & right.keys():
-            nth: Counter[int] = Counter()
-            place = {}
-            for n, h in enumerate(b[j:je], j):
-                place[h, nth[h]] = n
-                nth[h] += 1
-            nth.clear()
-            common = []
-            for n, h in enumerate(a[i:ie], i):
-                if (h, nth[h]) in place:
-                    common.append((n, place[h, nth[h]]))
-                nth[h] += 1
-            out.extend(_increasing(common))
-            continue
-        if not anchors:
-            continue
-        out.extend(anchors)
-        ends = [(i - 1, j - 1), *anchors, (ie, je)]
-        todo.extend((x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(ends[:-1], ends[1:], strict=True))
-    return sorted(out)
-
-
-def aligned_units(a: list[int], b: list[int], n_words: list[int], least: int) -> list[int]:
-    """Positions in ``b`` of all runs of units that ``a`` has too and that hold ``least`` words or more.
-
-    Patience diff finds the blocks that stand in one order; those in another order, or found twice in ``b``, are then looked up one by one:
-    a run is covered by those that just reach ``least`` words, counted from each of its units on, and back from each.
-    """
-    gone: set[int] = set()
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(n_words[x] for x in block) >= least:
-                gone.update(block)
-            block = []
-        block.append(j)
-        last = (i, j)
-    if len(gone) == len(b):
-        return sorted(gone)
-    size = dict(zip(b, n_words, strict=True))
-
-    def reached(units: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-        for x in range(len(units)):
-            total, y = 0, x
-            while total < least and y < len(units) and units[y] in size:
-                total += size[units[y]]
-                y += 1
-            if total >= least:
-                yield x, tuple(units[x:y])
-
-    for step in (1, -1):
-        known = {run for _, run in reached(a[::step])}
-        for x, run in reached(b[::step]):
-            if run in known:
-                gone.update(range(x, x + len(run)) if step == 1 else range(len(b) - x - len(run), len(b) - x))
-    return sorted(gone)
+    open_at: dict[int, list[int]] = {}
+    for x, y, n in matches:
+        block = open_at.get(x - y)
+        if block and x <= block[1]:
+            block[1] = max(block[1], x + n)
+        else:
+            if block:
+                out.append((block[0], block[1]))
+            open_at[x - y] = [x, x + n]
+    return sorted([*out, *((a, b) for a, b in open_at.values())])
 
 
 def _cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,81 +99,108 @@ def _cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndar
     return w, first, np.append(first[1:], len(line))[: len(first)] - 1, line[first]
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, hashes, n_words) of the units; rows with a null id are left out."""
+def _runs(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First units, numbers of units and hashes of the shortest runs of ``least`` words: from each unit on, and back from each where that is another run."""
+    ends = np.cumsum(n_words, dtype=np.int64)
+    begins = ends - n_words
+    n = len(hashes)
+    at = np.arange(n)
+    on = np.searchsorted(ends, begins + least)  # the unit at which the words from ``at`` on reach ``least``
+    back = np.searchsorted(begins, ends - least, side="right") - 1  # the unit from which the words up to ``at`` reach it
+    fits = on < n
+    fits[fits] = row[on[fits]] == row[fits.nonzero()[0]]
+    held = back >= 0
+    held[held] = row[back[held]] == row[held.nonzero()[0]]
+    held[held] = on[back[held]] != at[held]
+    first, last = np.concatenate([at[fits], back[held]]), np.concatenate([on[fits], at[held]])
+    size = last - first + 1
+    made = np.zeros(len(first), np.uint64)
+    for step in range(int(size.max()) if len(size) else 0):
+        more = size > step
+        made[more] = ta.mix(made[more] * np.uint64(0x9E3779B97F4A7C15) + hashes[first[more] + step] + np.uint64(step + 1))
+    return first, size, made
+
+
+_RUN = "h long, kind boolean, id long, text_hash long, at long, e_id long, e_hash long, e_at long"
+
+
+def _held_against_each_other(run: np.ndarray, doc: np.ndarray, least: int) -> pa.RecordBatch:
+    """Rows of ``_RUN`` from runs (hash) and documents (id, text hash, at): each run's first document as it is (kind true), the others as matches with it."""
+    by = np.lexsort((doc[:, 2], doc[:, 1], doc[:, 0], run))
+    run, doc = run[by], doc[by]
+    new = np.ones(len(run), bool)
+    new[1:] = np.any(doc[1:] != doc[:-1], axis=1) | (run[1:] != run[:-1])
+    run, doc = run[new], doc[new]  # repeated rows of a document are one
+    head = np.ones(len(run), bool)
+    head[1:] = run[1:] != run[:-1]
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    own = np.all(doc[:, :2] == doc[first][:, :2], axis=1)
+    early = [pa.array(doc[first, c], pa.int64(), mask=own) for c in range(3)]
+    key = np.where(own, run, ta.mix(doc[:, 0].astype(np.uint64) + doc[:, 2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), *(pa.array(doc[:, c]) for c in range(3)), *early], ["h", "kind", "id", "text_hash", "at", "e_id", "e_hash", "e_at"])
+
+
+def _document_runs(docs: DataFrame, id_col: str, text_col: str, least: int, most: int = 1 << 21) -> DataFrame:
+    """Rows of ``_RUN``. A place ``at`` is the first unit times ``least`` plus the number of units less one. At most about ``most`` runs are held at once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            for a, b, data, offsets in ta.slices(batch, "text"):
+            keys = np.stack([batch.column(c).to_numpy() for c in ("id", "text_hash")], axis=1)
+            for a, _, data, offsets in ta.slices(batch, "text"):
                 w, first, last, _ = _cut_units(data, offsets)
-                hashes = ta.span_hash(data, w.start[first], w.end[last]) if len(first) else np.zeros(0, np.uint64)
-                bounds = pa.array(np.searchsorted(w.row[first], np.arange(b - a + 1)).astype(np.int32))
-                made = [pa.ListArray.from_arrays(bounds, pa.array(v, kind)) for v, kind in ((hashes.view(np.int64), pa.int64()), (last - first + 1, pa.int32()))]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *made], ["id", "text_hash", "hashes", "n_words"])
+                if not len(first):
+                    continue
+                row = w.row[first]
+                unit, size, run = _runs(ta.span_hash(data, w.start[first], w.end[last]), last - first + 1, row, least)
+                place = (unit - np.searchsorted(row, row[unit])) * least + size - 1
+                runs.append(run)
+                places.append(np.column_stack([keys[a + row[unit]], place]))
+                held += len(run)
+                if held >= most:
+                    yield _held_against_each_other(np.concatenate(runs), np.concatenate(places), least)
+                    runs, places, held = [], [], 0
+        if held:
+            yield _held_against_each_other(np.concatenate(runs), np.concatenate(places), least)
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(each, "id long, text_hash long, hashes array<long>, n_words array<int>").filter("size(hashes) > 0")
-
-
-def _run_hashes(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the runs of units that just reach ``least`` words, one from each unit on where its row is long enough."""
-    at = np.arange(len(hashes))
-    total, run = n_words.astype(np.int64), ta.mix(hashes)
-    found: list[np.ndarray] = []
-    made: list[np.ndarray] = []
-    step = 0
-    while len(at):
-        full = total >= least
-        found.append(row[at[full]])
-        made.append(run[full])
-        step += 1
-        at, total, run = at[~full], total[~full], run[~full]
-        inside = at + step < len(hashes)
-        inside[inside] = row[at[inside] + step] == row[at[inside]]
-        at, total, run = at[inside], total[inside], run[inside]
-        total, run = total + n_words[at + step], ta.mix(run * np.uint64(0x9E3779B97F4A7C15) + hashes[at + step])
-    return (np.concatenate(found), np.concatenate(made)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def _runs(units: DataFrame, least: int) -> DataFrame:
-    """(id, text_hash, h) of the distinct runs of each document."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = pc.list_value_length(batch.column("hashes")).to_numpy()
-            hashes = pc.list_flatten(batch.column("hashes")).to_numpy().view(np.uint64)
-            row, run = _run_hashes(hashes, pc.list_flatten(batch.column("n_words")).to_numpy(), np.repeat(np.arange(len(size)), size), least)
-            by = np.lexsort((run, row))
-            row, run = row[by], run[by]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (run[1:] != run[:-1])
-            row, run = row[new], run[new]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "text_hash")), pa.array(run.view(np.int64))], ["id", "text_hash", "h"])
-
-    return units.select("id", "text_hash", "hashes", "n_words").mapInArrow(each, "id long, text_hash long, h long")
+    return source.mapInArrow(each, _RUN)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
-    """(id, text_hash, units): the numbers, from 0, of the units to delete from each later document.
+    """(id, text_hash, units, aligned, moved): the numbers, from 0, of the units to delete from each later document, and how many blocks of it are aligned and moved.
 
     Documents are ordered by id, then by a hash of the text; rows that repeat both are one document. ``min_words`` is the size of an aligned block.
     """
-    units = cut_lineage(_units(docs, id_col, text_col).groupBy("id", "text_hash").agg(F.first("hashes").alias("hashes"), F.first("n_words").alias("n_words")))
-    named = units.withColumn("doc", F.struct("id", "text_hash"))
-    held = _runs(units, min_words).select(F.struct("id", "text_hash").alias("doc"), "h")
-    shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
-    pairs = held.join(shared.select("h", "first"), "h").filter("doc <> first").select("doc", "first").distinct()
+    same_run = Window.partitionBy("kind", "h").orderBy("id", "text_hash", "at")
+    first = F.first(F.struct(F.col("id").alias("e_id"), F.col("text_hash").alias("e_hash"), F.col("at").alias("e_at"))).over(same_run)
+    own = F.struct("e_id", "e_hash", "e_at")
+    pointed = _document_runs(docs, id_col, text_col, min_words).select("id", "text_hash", "at", F.when(F.col("kind"), first).otherwise(own).alias("e"))
+    matched = pointed.filter((F.col("e.e_id") != F.col("id")) | (F.col("e.e_hash") != F.col("text_hash")))
+    held = matched.groupBy("id", "text_hash").agg(F.collect_set(F.struct("e.e_id", "e.e_hash", "e.e_at", "at")).alias("m"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [aligned_units(early, late, n, min_words) for early, late, n in zip(*(batch.column(c).to_pylist() for c in ("early", "hashes", "n_words")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(cut, pa.list_(pa.int32()))], ["id", "text_hash", "cut"])
-
-    early = units.select(F.struct("id", "text_hash").alias("first"), F.col("hashes").alias("early"))
-    both = pairs.join(early, "first").join(named.drop("id", "text_hash"), "doc").select("doc.id", "doc.text_hash", "early", "hashes", "n_words")
-    cut = both.mapInArrow(align, "id long, text_hash long, cut array<int>").filter("size(cut) > 0")
-    return cut.groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("units"))
+            made = []
+            for matches in batch.column("m").to_pylist():
+                pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+                for m in matches:
+                    (x, n), y = divmod(m["at"], min_words), m["e_at"] // min_words
+                    pairs.setdefault((m["e_id"], m["e_hash"]), []).append((x, y, n + 1))
+                gone: set[int] = set()
+                counts = [0, 0]
+                for found in pairs.values():
+                    for k, blocks in enumerate(aligned_blocks(found)):
+                        counts[k] += len(blocks)
+                        for a, b in blocks:
+                            gone.update(range(a, b))
+                made.append((sorted(gone), *counts))
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), *columns], ["id", "text_hash", "units", "aligned", "moved"])
+
+    return held.mapInArrow(align, "id long, text_hash long, units array<int>, aligned int, moved int")
 
 
 def _without(text: bytes, spans: list[tuple[int, int, bool]]) -> tuple[bytes, int]:
@@ -271,11 +247,14 @@ def _cut_text(text: pa.Array, cut: pa.Array) -> pa.Array:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
     """``docs`` with those units cut from the text, and ``n_removed``, the number of lines that lost any (a column of that name is replaced).
 
+    A block counts from ``min_words`` words on. Other columns pass, whatever their names.
+
     A text without removed units is as it was, byte for byte; one that loses all its lines is empty. Null and empty texts, and rows with a
     null id, stay as they are. Rows that repeat both id and text are one document and are cut alike.
     """
-    docs = docs.drop("n_removed")
-    cut = repeated_units(docs, id_col, text_col, min_words).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("units").alias("_cut"))
-    marked = docs.join(cut, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left")
-    done = marked.withColumn("_done", _cut_text(F.when(F.col("_cut").isNotNull(), F.col(text_col)), F.col("_cut")))
-    return done.withColumns({text_col: F.coalesce("_done.text", text_col), "n_removed": F.coalesce("_done.lost", F.lit(0))}).drop("_id", "_hash", "_cut", "_done")
+    rest = [c for c in docs.columns if c not in (text_col, "n_removed")]
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest"))
+    marked = whole.join(repeated_units(docs, id_col, text_col, min_words).select("id", "text_hash", "units"), ["id", "text_hash"], "left")
+    done = marked.select("text", "rest", _cut_text(F.when(F.col("units").isNotNull(), F.col("text")), F.col("units")).alias("done"))
+    columns = {text_col: F.coalesce("done.text", "text"), **{c: F.col(f"rest.`{c}`") for c in rest}}
+    return done.select(*[columns[c].alias(c) for c in docs.columns if c in columns], F.coalesce("done.lost", F.lit(0)).alias("n_removed"))

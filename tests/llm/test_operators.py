@@ -128,7 +128,7 @@ def test_line_dedup(spark, docs, none):
     got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(1, rows[0][1], 0), (2, "beta", 3), (2, "beta", 3), (3, "alpha\nbeta", 0), (4, "", 1), (5, None, 0), (None, p, 0)], key=str)
     assert line_dedup.dedup_lines(none).count() == 0
-    assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
+    assert line_dedup.aligned_blocks([(0, 5, 1), (1, 6, 1), (2, 0, 2), (7, 8, 1), (9, 8, 1)]) == ([(0, 2)], [(2, 4), (7, 8), (9, 10)])
 
 
 def test_html(spark):
