@@ -137,7 +137,9 @@ def _held_against_each_other(run: np.ndarray, doc: np.ndarray, least: int) -> pa
     own = np.all(doc[:, :2] == doc[first][:, :2], axis=1)
     early = [pa.array(doc[first, c], pa.int64(), mask=own) for c in range(3)]
     key = np.where(own, run, ta.mix(doc[:, 0].astype(np.uint64) + doc[:, 2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), *(pa.array(doc[:, c]) for c in range(3)), *early], ["h", "kind", "id", "text_hash", "at", "e_id", "e_hash", "e_at"])
+    columns = [pa.array(key.view(np.int64)), pa.array(own), *(pa.array(doc[:, c]) for c in range(3)), *early]
+    near = pa.array(np.lexsort((doc[:, 2], doc[:, 1], doc[:, 0])))  # by document, so that its id and hash shrink when they are written
+    return pa.RecordBatch.from_arrays([c.take(near) for c in columns], ["h", "kind", "id", "text_hash", "at", "e_id", "e_hash", "e_at"])
 
 
 def _document_runs(docs: DataFrame, id_col: str, text_col: str, least: int, most: int = 1 << 21) -> DataFrame:
