@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
 1. Every line with words is cut in units at content-defined words, about seven words each, so that a passage gives the same units in whatever
-   line it stands. A unit has a hash (its bytes without outer white space). A run is a shortest sequence of units with ten words or more, counted from a unit
-   on or back from it; whatever two documents share in ten words or more of whole units is covered by runs that both have.
+   line it stands. A unit has a hash (its bytes without outer white space). A run is a shortest sequence of units with ten words or more, counted from any unit
+   on, or back from the last unit of a line. What two documents share in ten words or more of whole lines is covered by runs that both have; of what they
+   share in units that end inside a line, the last ones, nine words at most, may be left.
 2. Each run of a document points to an earlier document that has it, with both places. Within a task the runs of its documents are held against
    each other; only the first document of each run goes on to the shuffle by run, where it is held against the first ones of the other tasks. So the row
    count of a run that a third of all documents have is the number of tasks, not of documents, and no group of copies is expanded into pairs.
@@ -99,8 +100,8 @@ def _cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndar
     return w, first, np.append(first[1:], len(line))[: len(first)] - 1, line[first]
 
 
-def _runs(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First units, numbers of units and hashes of the shortest runs of ``least`` words: from each unit on, and back from each where that is another run."""
+def _runs(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First units, numbers of units and hashes of the shortest runs of ``least`` words: from each unit on, and back from each that ends a line where that is another run."""
     ends = np.cumsum(n_words, dtype=np.int64)
     begins = ends - n_words
     n = len(hashes)
@@ -110,6 +111,7 @@ def _runs(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, least: int)
     fits = on < n
     fits[fits] = row[on[fits]] == row[fits.nonzero()[0]]
     held = back >= 0
+    held[:-1] &= line[1:] != line[:-1]
     held[held] = row[back[held]] == row[held.nonzero()[0]]
     held[held] = on[back[held]] != at[held]
     first, last = np.concatenate([at[fits], back[held]]), np.concatenate([on[fits], at[held]])
@@ -152,11 +154,11 @@ def _document_runs(docs: DataFrame, id_col: str, text_col: str, least: int, most
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("id", "text_hash")], axis=1)
             for a, _, data, offsets in ta.slices(batch, "text"):
-                w, first, last, _ = _cut_units(data, offsets)
+                w, first, last, line = _cut_units(data, offsets)
                 if not len(first):
                     continue
                 row = w.row[first]
-                unit, size, run = _runs(ta.span_hash(data, w.start[first], w.end[last]), last - first + 1, row, least)
+                unit, size, run = _runs(ta.span_hash(data, w.start[first], w.end[last]), last - first + 1, row, line, least)
                 place = (unit - np.searchsorted(row, row[unit])) * least + size - 1
                 runs.append(run)
                 places.append(np.column_stack([keys[a + row[unit]], place]))

@@ -16,19 +16,20 @@ LEAST = 10
 
 
 def units(text):
-    """(first byte, text, words) of the units of a text."""
+    """(bytes, words, whether it ends its line) of the units of a text."""
     for _, _, data, offsets in ta.slices(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]), "text"):
-        w, first, last, _ = line_dedup._cut_units(data, offsets)
-        return [(data[w.start[f] : w.end[e]].tobytes(), int(e - f) + 1) for f, e in zip(first, last, strict=True)]
+        w, first, last, line = line_dedup._cut_units(data, offsets)
+        ends = [*(a != b for a, b in zip(line[:-1], line[1:], strict=True)), True]
+        return [(data[w.start[f] : w.end[e]].tobytes(), int(e - f) + 1, end) for f, e, end in zip(first, last, ends, strict=False)]
     return []
 
 
 def windows(own):
-    """(first, end) of all runs of ``LEAST`` words or more that lose that at either end."""
+    """(first, end) of all runs of ``LEAST`` words or more that lose that without the last unit, or, at the end of a line, without the first."""
     for i in range(len(own)):
         for j in range(i + 1, len(own) + 1):
-            size = sum(n for _, n in own[i:j])
-            if size >= LEAST and (size - own[i][1] < LEAST or size - own[j - 1][1] < LEAST):
+            size = sum(u[1] for u in own[i:j])
+            if size >= LEAST and ((own[j - 1][2] and size - own[i][1] < LEAST) or size - own[j - 1][1] < LEAST):
                 yield i, j
             if size - own[i][1] >= LEAST and size - own[j - 1][1] >= LEAST:
                 break
@@ -39,8 +40,8 @@ def brute(rows):
     docs = {i: units(t) for i, t in rows}
     out = {}
     for i, own in docs.items():
-        known = {tuple(x for x, _ in other[a:b]) for j, other in docs.items() if j < i for a, b in windows(other)}
-        gone = {u for a, b in windows(own) if tuple(x for x, _ in own[a:b]) in known for u in range(a, b)}
+        known = {tuple(u[0] for u in other[a:b]) for j, other in docs.items() if j < i for a, b in windows(other)}
+        gone = {u for a, b in windows(own) if tuple(u[0] for u in own[a:b]) in known for u in range(a, b)}
         if gone:
             out[i] = sorted(gone)
     return out
