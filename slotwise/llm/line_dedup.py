@@ -111,7 +111,7 @@ def _runs(hashes: np.ndarray, n_words: np.ndarray, row: np.ndarray, line: np.nda
     fits = on < n
     fits[fits] = row[on[fits]] == row[fits.nonzero()[0]]
     held = back >= 0
-    held[:-1] &= line[1:] != line[:-1]
+    held[:-1] &= (line[1:] != line[:-1]) | (row[1:] != row[:-1])
     held[held] = row[back[held]] == row[held.nonzero()[0]]
     held[held] = on[back[held]] != at[held]
     first, last = np.concatenate([at[fits], back[held]]), np.concatenate([on[fits], at[held]])
