@@ -50,20 +50,27 @@ def _inverse(rate: Column) -> tuple[Column, Column]:
     return least, F.when(rate < 500, sums).otherwise(F.transform(sums, lambda c: c / F.element_at(sums, -1)))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, seed: int = 17) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, seed: int = 17, broadcast_bytes: int = 32 << 20
+) -> DataFrame:
     """Each row ``count`` times (column ``copy`` from 1), ``count`` the Poisson quantile of a hash of id and seed; in a global random order.
 
     The mean of the Poisson distribution is the source's rate (see ``repetition_rates``), however large. Repeated rows of one id have equal
     counts; a row with a null id is hashed by its text. A null source is a source of its own. An empty table gives an empty one.
-    Other columns pass through; a column named ``copy`` is replaced. Sources' distribution functions are a table of one row a source, joined
-    on the source, so that Spark splits a hot source.
+    Other columns pass through, whatever their names; a column named ``copy`` is replaced.
+
+    The rates are counted first, from the source column alone. Sources' distribution functions are one row a source; they are broadcast where they take
+    ``broadcast_bytes`` at most, so that documents are not dealt by source; else joined by sorting, and Spark splits a hot source. Then the rows are dealt once by a
+    hash of id, text, copy and seed and sorted by it within each partition, which is a random order of the whole; it depends on the number of shuffle partitions.
     """
+    names = [c for c in docs.columns if c != "copy"]
     least, cdf = _inverse(F.col("rate"))
-    rates = repetition_rates(docs, source_col, weights, temperature).select(F.col("source").alias("_source"), least.alias("_least"), cdf.alias("_cdf"))
+    rates = repetition_rates(docs, source_col, weights, temperature).select("source", least.alias("least"), cdf.alias("cdf"))
+    size = rates.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    rates = F.broadcast(rates) if size <= broadcast_bytes else rates.hint("merge")
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    u = _uniform(key, F.lit(str(seed)))
-    counted = docs.drop("copy").join(rates, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = F.col("_least") + F.size(F.filter("_cdf", lambda c: c < u))
-    out = counted.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    order = F.xxhash64(key, F.col("copy"), F.lit(seed))
-    return out.withColumn("_at", order).drop("_source", "_least", "_cdf", "_n").orderBy("_at").drop("_at")
+    rows = docs.select(F.struct(*names).alias("row"), F.col(source_col).alias("of"), key.alias("key"), F.xxhash64(text_col).alias("text_hash"), _uniform(key, F.lit(str(seed))).alias("u"))
+    counted = rows.join(rates, F.col("of").eqNullSafe(F.col("source"))).select("row", "key", "text_hash", (F.col("least") + F.size(F.filter("cdf", lambda c: c < F.col("u")))).alias("n"))
+    copied = counted.filter("n > 0").select("row", "key", "text_hash", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    placed = copied.select("row", "copy", F.xxhash64("key", "text_hash", "copy", F.lit(seed)).alias("at"))
+    return placed.repartition("at").sortWithinPartitions("at").select(*[F.col(f"row.`{c}`").alias(c) for c in names], "copy")

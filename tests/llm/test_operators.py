@@ -106,11 +106,25 @@ def test_mixing(docs, none):
     assert mixed.columns == [*[c for c in docs.columns if c != "copy"], "copy"] and mixed.filter("source is null").count() == 0
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix_sources(docs.repartition(3), weights={"a": 3.0, "b": 1.0}, seed=2).collect()))
     assert mixing.mix_sources(none).count() == 0
+    joined = mixing.mix_sources(docs, weights={"a": 3.0, "b": 1.0}, seed=2, broadcast_bytes=0)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, mixed.collect()))
+    clash = docs.select("doc_id", "text", "source", *[F.lit(1).alias(c) for c in ("row", "of", "key", "u", "rate", "cdf", "least", "at", "n", "text_hash")])
+    assert mixing.mix_sources(clash).columns == [*clash.columns, "copy"]
     many = docs.sparkSession.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("source"))
     share = {r["source"]: r["count"] for r in mixing.mix_sources(many, weights={"x": 1, "y": 1}).groupBy("source").count().collect()}
     assert abs(share["x"] - 2000) < 200 and abs(share["y"] - 2000) < 200
 
 
+def test_mixing_order_is_random_and_fixed(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"), F.lit("x").alias("source"))
+    rows = rows.union(rows.filter("doc_id < 500").withColumn("text", F.lit("other")))  # two texts of one id
+    once, again = ([(r.doc_id, r.text, r.copy) for r in mixing.mix_sources(d).collect()] for d in (rows, rows.repartition(5)))
+    assert once == again
+    ids = [i for i, _, _ in once]
+    ups = sum(a < b for a, b in zip(ids[:-1], ids[1:], strict=True)) / len(ids)
+    assert 0.45 < ups < 0.55 and abs(sum(ids[: len(ids) // 2]) / (len(ids) // 2) - sum(ids) / len(ids)) < 60
+
+
 def test_decontamination(spark, docs, none):
     item = words(30)
     items = spark.createDataFrame([(1, item), (2, "just three words"), (3, None), (4, ""), (None, "x")], "item_id long, text string")
