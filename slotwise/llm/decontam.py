@@ -1,12 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted similarity.
 
-1. Every text is hashed at every word. Where a shingle of a benchmark item stands, the item's beginning is
-   put so that this shingle falls on its place: an item-sized window. (A window that shares no shingle has similarity 0.)
-2. Windows and items get 64-bit weighted SimHashes, cut in ``radius + 1`` blocks. Two fingerprints within ``radius`` agree in
-   at least one block, so an equi-join on (window size, block number, block) finds all pairs within it.
-3. The pairs are confirmed by the exact weighted Jaccard similarity of their shingle counts.
-
-Words are lowered in A-Z and free of ASCII punctuation. A shingle's weight is ln(1 + items / items that hold it).
+1. A window with similarity ``threshold`` to an item shares shingles of that share of the item's weight. So it holds one of the item's rarest shingles, which
+   make up the rest and a little more. Texts are looked up in those alone, so a passage that many items hold brings no candidates, and none is lost.
+2. In each text and item so found, windows of the item's size are put where a shared shingle falls on its place, and where one begins.
+3. Windows and items get 64-bit weighted SimHashes, cut in ``radius + 1`` blocks. Two fingerprints within ``radius`` agree in
+   at least one block; windows that agree in none, or are farther apart, are dropped.
+4. The rest is confirmed by the exact weighted Jaccard similarity of their shingle counts.
+
+Words are lowered in A-Z and free of ASCII punctuation. A shingle's weight is ln(1 + items / items that hold it); one that no item holds counts as held by one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from slotwise.llm import text_arrays as ta
 
@@ -51,59 +54,97 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> DataF
 
 @dataclass
 class _Index:
-    """Item shingles sorted, their weights, and where they stand: (item size, offset) pairs in runs; and the weight of others."""
+    """Items of one part of the benchmark: ids, sizes, shingles, their weights, prints; and lookups of their shingles."""
 
+    ids: list
+    size: np.ndarray
+    shingles: list[np.ndarray]
+    weights_of: list[np.ndarray]
+    prints: np.ndarray
     shingle: np.ndarray
     weight: np.ndarray
-    run: np.ndarray
-    size: np.ndarray
-    offset: np.ndarray
     other: float
+    rare: np.ndarray
+    holders: np.ndarray
+    first: np.ndarray
     filter: np.ndarray
-    short: list[int]
+    lengths: list[int]
 
     def weights(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.shingle, h), len(self.shingle) - 1)
         return np.where(self.shingle[at] == h, self.weight[at], self.other)
 
 
-def _index(rows: list, n_items: int, holders: dict[int, int], k: int) -> _Index:
-    h = np.concatenate([np.array(r["shingles"], np.int64).view(np.uint64) for r in rows])
-    size = np.concatenate([np.full(len(r["shingles"]), r["size"], np.int64) for r in rows])
-    offset = np.concatenate([np.arange(len(r["shingles"])) for r in rows])
-    shingle, inverse = np.unique(h, return_inverse=True)
-    places = np.unique(np.stack([inverse, size, offset], axis=1), axis=0)
+def _index(rows: list, n_items: int, holders: dict[int, int], k: int, threshold: float) -> _Index:
+    shingles = [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
+    size = np.array([r["size"] for r in rows], np.int64)
+    shingle = np.unique(np.concatenate(shingles))
     weight = np.log1p(n_items / np.array([holders[x] for x in shingle.view(np.int64).tolist()]))
+    weights = [weight[np.searchsorted(shingle, s)] for s in shingles]
+    rare: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
+    for n, (s, v) in enumerate(zip(shingles, weights, strict=True)):
+        by = np.lexsort((s, -v))
+        need = int(np.searchsorted(np.cumsum(v[by]), (1 - threshold) * v.sum() + 1e-9)) + 1
+        # all places of a shingle count, so what is left out weighs less than a match must
+        own = np.unique(s[by[:need]])
+        rare.append(own)
+        owner.append(np.full(len(own), n))
+    flat, own = np.concatenate(rare), np.concatenate(owner)
+    by = np.argsort(flat, kind="stable")
+    keys, first = np.unique(flat[by], return_index=True)
     bits = np.zeros(1 << 22, bool)
-    bits[(shingle >> np.uint64(42)).astype(np.int64)] = True
-    return _Index(shingle, weight, np.searchsorted(places[:, 0], np.arange(len(shingle) + 1)), places[:, 1], places[:, 2], float(np.log1p(n_items)), bits, sorted({int(x) for x in size[size < k]}))
+    bits[(keys >> np.uint64(42)).astype(np.int64)] = True
+    prints = np.array([simhash(s, v) for s, v in zip(shingles, weights, strict=True)], np.int64).view(np.uint64)
+    return _Index([r["item_id"] for r in rows], size, shingles, weights, prints, shingle, weight, float(np.log1p(n_items)), keys, own[by], np.append(first, len(flat)), bits, sorted({min(k, int(x)) for x in size}))
 
 
-def _windows(w: ta.Words, ix: _Index, k: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(row, first word within the row, item size, shingles) of every window that an item's shingle anchors."""
-    found: set[tuple[int, int, int]] = set()
-    runs = {m: ta.run_hash(w.hash, m) for m in [*ix.short, k]}
+def _candidates(w: ta.Words, ix: _Index) -> tuple[list[tuple[int, int]], dict[int, np.ndarray]]:
+    """(row, item number) where the row holds a rare shingle of the item; and the hashes of runs by their length."""
+    runs = {m: ta.run_hash(w.hash, m) for m in ix.lengths}
+    found: set[tuple[int, int]] = set()
     for m, run in runs.items():
         at = np.flatnonzero(ix.filter[(run >> np.uint64(42)).astype(np.int64)])
         at = at[ta.whole_runs(w, m)[at]] if len(at) else at
-        if not len(at):
-            continue
-        place = np.minimum(np.searchsorted(ix.shingle, run[at]), len(ix.shingle) - 1)
-        hit = ix.shingle[place] == run[at]
-        at, place = at[hit], place[hit]
-        times = ix.run[place + 1] - ix.run[place]
-        which = np.repeat(ix.run[place] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        size, position = ix.size[which], np.repeat(at, times)
-        fits = (size == m) if m < k else (size >= k)
-        size, row = size[fits], w.row[position[fits]]
-        begin, length = w.first[row], w.first[row + 1] - w.first[row]
-        start = np.clip(position[fits] - ix.offset[which[fits]] - begin, 0, np.maximum(length - size, 0))
-        found.update(zip(row.tolist(), start.tolist(), size.tolist(), strict=True))
-    for row, start, size in sorted(found):
-        a = int(w.first[row]) + start
-        b = min(a + size, int(w.first[row + 1]))
-        m = min(k, b - a)
-        yield row, start, size, runs.setdefault(m, ta.run_hash(w.hash, m))[a : b - m + 1]
+        place = np.minimum(np.searchsorted(ix.rare, run[at]), len(ix.rare) - 1)
+        hit = ix.rare[place] == run[at]
+        for row, p in sorted(set(zip(w.row[at[hit]].tolist(), place[hit].tolist(), strict=True))):
+            found.update((row, n) for n in ix.holders[ix.first[p] : ix.first[p + 1]].tolist())
+    return sorted(found), runs
+
+
+def _windows(w: ta.Words, ix: _Index, runs: dict[int, np.ndarray], row: int, item: int, k: int) -> tuple[list[int], list[int]]:
+    """First words, within the row, of the windows for an item: those at which a shared shingle falls on its first place in the item; and those that begin with one."""
+    size = int(ix.size[item])
+    m = min(k, size)
+    begin, end = int(w.first[row]), int(w.first[row + 1])
+    own = runs[m][begin : end - m + 1]
+    known, offset = np.unique(ix.shingles[item], return_index=True)
+    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    at = np.flatnonzero(known[place] == own)
+    most = max(end - begin - size, 0)
+    return np.unique(np.clip(at - offset[place[at]], 0, most)).tolist(), np.unique(np.minimum(at, most)).tolist()
+
+
+def _window_shingles(w: ta.Words, runs: dict[int, np.ndarray], row: int, start: int, size: int, k: int) -> np.ndarray:
+    a = int(w.first[row]) + start
+    b = min(a + size, int(w.first[row + 1]))
+    m = min(k, b - a)
+    return runs.setdefault(m, ta.run_hash(w.hash, m))[a : b - m + 1]
+
+
+def _block_masks(radius: int) -> np.ndarray:
+    """``radius + 1`` blocks of the 64 bits: two prints within ``radius`` differ in none of the bits of at least one."""
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return np.array([((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.uint64)
+
+
+def _confirmed(ix: _Index, item: int, shingles: np.ndarray, weights: np.ndarray, masks: np.ndarray, radius: int) -> float:
+    """The exact similarity of a window and an item whose prints agree in a block and lie within the radius; else 0."""
+    apart = np.int64(simhash(shingles, weights)).view(np.uint64) ^ ix.prints[item]
+    if not np.any((apart & masks) == 0) or int(np.bitwise_count(apart)) > radius:
+        return 0.0
+    return _similarity(shingles, ix.shingles[item], weights, ix.weights_of[item])
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
@@ -115,107 +156,105 @@ def _similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) ->
     return both / (float((wa[xi] * xn).sum()) + float((wb[yi] * yn).sum()) - both)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 20, part_items: int = 20_000) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 20, part_bytes: int = 64 << 20
+) -> DataFrame:
     """Pairs of document and benchmark item with a window of similarity ``threshold`` or more, the best window of each.
 
     Columns: doc_id, text_hash (xxhash64 of the text), item_id, start_word, n_words (the window's), similarity. Each doc_id and text counts once, so
-    repeated rows add nothing; null or empty texts and items have no windows. Items are held in the tasks in parts of at most ``part_items``
-    (by a hash of the item); a larger benchmark is searched part by part, each over all documents, with the same results.
+    repeated rows add nothing; null or empty texts and items have no windows. An item_id with several texts has several items, of which the best counts; repeated
+    rows of an item are one. Items are held in the tasks in parts of about ``part_bytes`` (by a hash of the item, 64 bytes a shingle); a larger benchmark is searched part by part, each over all documents, with the same results.
     Weights come from the whole benchmark: with several parts, the windows' shingles are joined to all items' counts. A pair at the threshold is beyond the radius with a chance of about 2e-4.
     """
     spark = docs.sparkSession
-    listed = item_shingles(items, item_id_col, item_text_col, k).filter("item_id is not null")
-    n_items = listed.count()
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    item_kind = items.schema[item_id_col].dataType.simpleString()
+    listed = item_shingles(items, item_id_col, item_text_col, k).filter("item_id is not null").dropDuplicates(["item_id", "size", "shingles"])
+    n_items, n_shingles = listed.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     if not n_items:
         return spark.createDataFrame([], f"doc_id {id_kind}, text_hash long, item_id {item_kind}, start_word int, n_words int, similarity double")
-    holders = listed.select("item_id", F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    n_parts = -(-n_items // part_items)
+    holders = listed.select(F.xxhash64("item_id", "shingles").alias("i"), F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    n_parts = -(-64 * n_shingles // part_bytes)
     out = None
     for part in range(n_parts):
         own = listed.filter(F.pmod(F.xxhash64("shingles"), F.lit(n_parts)) == part)
-        rows = own.collect()
+        rows = own.collect()  # part_bytes, about
         if not rows:
             continue
         wanted = own.select(F.explode("shingles").alias("shingle")).distinct()
-        found = _part_leaks(docs, rows, _index(rows, n_items, {r["shingle"]: r["n"] for r in holders.join(wanted, "shingle", "left_semi").collect()}, k), id_col, text_col, id_kind, item_kind, k, threshold, radius, holders if n_parts > 1 else None, n_items)
+        index = _index(rows, n_items, {r["shingle"]: r["n"] for r in holders.join(wanted, "shingle", "left_semi").collect()}, k, threshold)
+        found = _part_leaks(docs, index, id_col, text_col, id_kind, item_kind, k, threshold, radius, holders if n_parts > 1 else None, n_items)
         out = found if out is None else out.unionByName(found)
-    best = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("similarity"), "start_word")
+    best = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("similarity"), "start_word", "n_words")
     return out.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
-def _weighed(seen: DataFrame, holders: DataFrame, n_items: int) -> DataFrame:
-    """The distinct windows ``seen``, with weights and prints by the counts of all items."""
-    window = ["doc_id", "text_hash", "start_word", "size"]
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(*([np.asarray(x.values) for x in batch.column(c)] for c in ("shingles", "weights")), strict=True)
-            prints = pa.array([simhash(s.view(np.uint64), x) for s, x in pairs], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in window), prints, batch.column("shingles"), batch.column("weights")], [*window, "print", "shingles", "weights"])
-
-    each = seen.dropDuplicates(window).select(*window, F.posexplode("shingles").alias("at", "shingle"))
-    weight = F.log1p(F.lit(float(n_items)) / F.coalesce("n", F.lit(1)))
-    known = each.join(holders, "shingle", "left").withColumn("s", F.struct("at", "shingle", weight.alias("weight")))
-    whole = known.groupBy(*window).agg(F.array_sort(F.collect_list("s")).alias("s")).select(*window, F.lit(0).cast("long").alias("print"), F.col("s.shingle").alias("shingles"), F.col("s.weight").alias("weights"))
-    return whole.mapInArrow(printed, seen.schema)
-
-
-def _part_leaks(docs: DataFrame, rows: list, index: _Index, id_col: str, text_col: str, id_kind: str, item_kind: str, k: int, threshold: float, radius: int, holders: DataFrame | None, n_items: int) -> DataFrame:
+def _part_leaks(docs: DataFrame, index: _Index, id_col: str, text_col: str, id_kind: str, item_kind: str, k: int, threshold: float, radius: int, holders: DataFrame | None, n_items: int) -> DataFrame:
     """``holders``: (shingle, n items that hold it) of the whole benchmark, where the index has only a part of its shingles."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)  # at most part_items items
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    id_type = to_arrow_type(T._parse_datatype_string(item_kind))
+    masks = _block_masks(radius)
+    names = ["doc_id", "text_hash", "item_id", "start_word", "n_words", "similarity"]
+
+    def rows_of(batch: pa.RecordBatch, ix: _Index, found: list[tuple[int, int, int, float]]) -> pa.RecordBatch:
+        """From (row of the batch, item number, first word, similarity)."""
+        keys = [batch.column(c).take(pa.array([f[0] for f in found], pa.int64())) for c in ("doc_id", "text_hash")]
+        made = [pa.array([ix.ids[f[1]] for f in found], id_type), pa.array([f[2] for f in found], pa.int32()), pa.array([int(ix.size[f[1]]) for f in found], pa.int32()), pa.array([f[3] for f in found], pa.float64())]
+        return pa.RecordBatch.from_arrays([*keys, *made], names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for batch in batches:
+            for a, _, data, offsets in ta.slices(batch, "text"):
+                w = _words(data, offsets)
+                pairs, runs = _candidates(w, ix)
+                found = []
+                for row, item in pairs:
+                    best = (0.0, 0)
+                    for starts in _windows(w, ix, runs, row, item, k):
+                        for start in starts if best[0] < 1 else []:
+                            s = _window_shingles(w, runs, row, start, int(ix.size[item]), k)
+                            best = max(best, (_confirmed(ix, item, s, ix.weights(s), masks, radius), -start))
+                    if best[0] >= threshold - 1e-12:
+                        found.append((a + row, item, -best[1], best[0]))
+                if found:
+                    yield rows_of(batch, ix, found)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
             for a, _, data, offsets in ta.slices(batch, "text"):
-                made = list(_windows(_words(data, offsets), ix, k))
+                w = _words(data, offsets)
+                pairs, runs = _candidates(w, ix)
+                made = [(a + row, item, start, _window_shingles(w, runs, row, start, int(ix.size[item]), k).view(np.int64)) for row, item in pairs for start in sorted(set().union(*_windows(w, ix, runs, row, item, k)))]
                 if made:
-                    weights = [ix.weights(s) for *_, s in made]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(batch.column(c).take(pa.array([a + m[0] for m in made])) for c in ("doc_id", "text_hash")),
-                            pa.array([m[1] for m in made], pa.int32()),
-                            pa.array([m[2] for m in made], pa.int32()),
-                            pa.array([simhash(m[3], x) for m, x in zip(made, weights, strict=True)], pa.int64()),
-                            ta.lists([m[3].view(np.int64) for m in made], pa.int64()),
-                            ta.lists(weights, pa.float64()),
-                        ],
-                        ["doc_id", "text_hash", "start_word", "size", "print", "shingles", "weights"],
-                    )
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    keys = [batch.column(c).take(pa.array([m[0] for m in made])) for c in ("doc_id", "text_hash")]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), ta.lists([m[3] for m in made], pa.int64())], ["doc_id", "text_hash", "item", "start_word", "shingles"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
         for batch in batches:
-            got = [[np.asarray(x.values) for x in batch.column(c)] for c in ("shingles", "item_shingles", "weights", "item_weights")]
-            values = np.array([_similarity(*x) for x in zip(*got, strict=True)])
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "item_id", "start_word", "size")), pa.array(values, pa.float64())], ["doc_id", "text_hash", "item_id", "start_word", "n_words", "similarity"])
-            yield out.filter(pa.array(values >= threshold - 1e-12, pa.bool_()))
+            found = []
+            for n, (item, start, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item", "start_word", "s")), strict=True)):
+                value = _confirmed(ix, item, np.array([x["shingle"] for x in s], np.int64).view(np.uint64), np.array([x["weight"] for x in s]), masks, radius)
+                if value >= threshold - 1e-12:
+                    found.append((n, item, start, value))
+            if found:
+                yield rows_of(batch, ix, found)
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    seen = source.mapInArrow(windows, f"doc_id {id_kind}, text_hash long, start_word int, size int, print long, shingles array<long>, weights array<double>")
-    if holders is not None:
-        seen = _weighed(seen, holders, n_items)
-    prints = []
-    for r in rows:
-        s = np.array(r["shingles"], np.int64).view(np.uint64)
-        wt = index.weights(s)
-        prints.append((r["item_id"], r["size"], simhash(s, wt), r["shingles"], wt.tolist()))
-    known = spark.createDataFrame(prints, f"item_id {item_kind}, size int, item_print long, item_shingles array<long>, item_weights array<double>")
-
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = lambda c: F.array(*[F.shiftrightunsigned(F.col(c), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
-    left = seen.select("doc_id", "text_hash", "start_word", "size", "print", F.posexplode(blocks("print")).alias("block", "bits"))
-    right = known.select("item_id", "size", "item_print", F.posexplode(blocks("item_print")).alias("block", "bits"))
-    near = left.join(right, ["size", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.select("doc_id", "text_hash", "start_word", "size", "item_id").distinct()
-    joined = near.join(seen.select("doc_id", "text_hash", "start_word", "size", "shingles", "weights").dropDuplicates(["doc_id", "text_hash", "start_word", "size"]).withColumnRenamed("doc_id", "_d"), ["text_hash", "start_word", "size"]).filter(F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
-    joined = joined.join(known.select("item_id", "item_shingles", "item_weights"), "item_id")
-    return joined.mapInArrow(confirmed, f"doc_id {id_kind}, text_hash long, item_id {item_kind}, start_word int, n_words int, similarity double")
+    kind = f"doc_id {id_kind}, text_hash long, item_id {item_kind}, start_word int, n_words int, similarity double"
+    if holders is None:
+        return source.mapInArrow(search, kind)
+    window = ["doc_id", "text_hash", "item", "start_word"]
+    seen = source.mapInArrow(windows, f"doc_id {id_kind}, text_hash long, item int, start_word int, shingles array<long>")
+    weight = F.log1p(F.lit(float(n_items)) / F.coalesce("n", F.lit(1)))
+    known = seen.dropDuplicates(window).select(*window, F.posexplode("shingles").alias("at", "shingle")).join(holders, "shingle", "left").withColumn("s", F.struct("at", "shingle", weight.alias("weight")))
+    return known.groupBy(*window).agg(F.array_sort(F.collect_list("s")).alias("s")).mapInArrow(confirm, kind)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of ``docs`` with no window like an item's; their columns as they are."""
-    bad = find_leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, (F.xxhash64(text_col) == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_d")), "left_anti")
+    """The rows of ``docs`` with no window like an item's; their columns as they are, whatever their names. Rows with null or empty texts, and all rows if there are no items, stay."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    bad = find_leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    left = rows.join(bad, (F.col("text_hash") == F.col("bad_hash")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

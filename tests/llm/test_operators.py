@@ -131,7 +131,7 @@ def test_decontamination(spark, docs, none):
     rows = [(1, words(50) + " " + item.upper().replace("W", "w") + " " + words(50)), (2, words(100)), (3, " ".join(item.split()[:29]) + " other"), (4, "it is just three words long"), (5, item.replace(" ", ", ")), (6, item.split()[0]), (7, None), (1, words(9))]
     found = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (3, 1), (4, 2), (5, 1)}
-    parts = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, part_items=1)
+    parts = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, part_bytes=2000)
     assert sorted(map(str, parts.collect())) == sorted(map(str, found.collect()))
     assert decontam.drop_leaks(docs, items).count() == len(ROWS) and decontam.drop_leaks(none, items).count() == 0 and decontam.drop_leaks(docs, items.limit(0)).count() == len(ROWS)
 
@@ -247,5 +247,5 @@ def test_decontamination_in_parts_of_items_that_share_text(spark):
     own, shared = [words(20) for _ in range(24)], [words(12) for _ in range(12)]
     items = spark.createDataFrame([(i, f"{t} {shared[i // 2]}") for i, t in enumerate(own)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"{words(9)} {t} {shared[(i // 2 + 5) % 12]} {words(9)}") for i, t in enumerate(own)], "doc_id long, text string")
-    whole, parts = ({(r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontam.find_leaks(docs, items, threshold=0.2, radius=31, part_items=n).collect()} for n in (24, 6))
+    whole, parts = ({(r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontam.find_leaks(docs, items, threshold=0.2, radius=31, part_bytes=n).collect()} for n in (1 << 26, 10_000))
     assert whole and parts == whole
