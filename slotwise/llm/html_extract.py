@@ -2,13 +2,14 @@
 
 A page becomes a list of text blocks. Each has its words and link density, those of the blocks before and after, and
 whether it stands in an article, in a part of the page that tags name (navigation, footer, form ...) or in an
-element whose class, id or role names such a part. A decision tree, trained when the job starts on the small labelled pages below,
-tells main text from the rest.
+element whose class, id or role names such a part for sure (advert, comments), or may do so (header, related). A decision tree, trained when the job starts on the
+small labelled pages below, tells main text from the rest: in an article what a doubtful name covers counts by its link density.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,22 +22,38 @@ from pyspark.sql import functions as F
 # HTML's block elements, void elements, elements without readable text, and parts of a page.
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("head noscript template svg math select option optgroup datalist button label canvas object audio video map iframe dialog".split())
+SILENT = set("head noscript template svg select option optgroup datalist button label canvas object audio video map iframe dialog".split())
 PART = set("nav footer aside header form menu fieldset dialog".split())
 MAIN = {"article", "main"}
-CUE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|notices?|notifications?|alerts?|comments?|commentlist|disqus|repl(?:y|ies)|discussion|responses?|side|sidebar\w*|rail|menus?|nav\w*|"
-    r"breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|popup|modal|overlay|widgets?|login|search\w*|pagination|pager|contentinfo|complementary|navigation|dialog|hidden|copyright|disclaimer|legal|skip)(?=$|[\s_-])"
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words of class, id and role that name a part of the page beside the article; and those that article parts bear as well.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|comments?|commentlist|disqus|sidebar\w*|menus?|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|"
+    r"share|sharing|newsletter|subscri\w*|signup|popup|login|pagination|pager|contentinfo|complementary)(?=$|[\s_-])"
 )
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:notices?|notifications?|alerts?|repl(?:y|ies)|discussion|responses?|side|rail|foot|header|social|related|recommend\w*|modal|overlay|widgets?|search\w*|dialog|copyright|disclaimer|legal|skip)(?=$|[\s_-])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b(?:[^>]*)(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)",
     re.I | re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "page_has_main", "in_part", "named_part", "heading"]
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "page_has_main", "in_part", "surely_named", "doubtfully_named", "heading"]
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a block stands: what its open elements say together."""
+
+    tag: str = ""
+    silent: bool = False
+    main: bool = False
+    part: bool = False
+    sure: bool = False
+    doubtful: bool = False
+    heading: bool = False
+    label: bool = False
 
 
 @dataclass
@@ -44,50 +61,82 @@ class Block:
     text: str
     words: int
     linked: int
-    in_main: bool
-    in_part: bool
-    named: bool
-    heading: bool
-    label: bool
+    place: Place
+
+
+class _Open:
+    """The open elements, with the places of each tag and of blocks, so that no end tag searches the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[Place] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.but_p: list[int] = []
+
+    def top(self) -> Place:
+        return self.stack[-1] if self.stack else Place()
+
+    def push(self, place: Place) -> None:
+        n = len(self.stack)
+        self.stack.append(place)
+        self.at.setdefault(place.tag, []).append(n)
+        if place.tag in BLOCK:
+            self.blocks.append(n)
+            if place.tag != "p":
+                self.but_p.append(n)
+
+    def last(self, tag: str) -> int:
+        held = self.at.get(tag)
+        return held[-1] if held else -1
+
+    def close(self, tag: str, barrier: int = -1) -> None:
+        """Closes the last open ``tag`` and what it holds, unless it stands below the barrier."""
+        n = self.last(tag)
+        if n < 0 or n < barrier:
+            return
+        while len(self.stack) > n:
+            gone = self.stack.pop().tag
+            self.at[gone].pop()
+            for held in (self.blocks, self.but_p):
+                if held and held[-1] == len(self.stack):
+                    held.pop()
+
+
+def _place(tag: str, attributes: str, above: Place) -> Place:
+    sure, doubtful, label = above.sure, above.doubtful, above.label
+    if attributes.strip() and tag not in ("html", "body"):
+        found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
+        label = label or any(name == "data-main" for name, _ in found)
+        if tag not in MAIN:
+            # the id of a heading is the name of its section
+            names = " ".join(value for name, value in found if name in ("class", "role") or (name == "id" and tag not in HEADING)).lower()
+            sure, doubtful = sure or bool(SURE.search(names)), doubtful or bool(DOUBTFUL.search(names))
+    part = above.part or (tag in PART and not (tag == "header" and above.main))
+    return Place(tag, above.silent or tag in SILENT, above.main or tag in MAIN, part, sure, doubtful, above.heading or tag in HEADING, label)
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order. Tags may be unclosed or cut off; `br` is white space."""
+    """The text blocks of a page in order. Tags may be unclosed or cut off; `br` is white space. The time goes with the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, bool, bool, bool]] = []  # tag, its kind, silent, main, part, named, label
+    open_ = _Open()
     text: list[str] = []
     linked = 0
-    links = 0
 
     def flush() -> None:
         nonlocal linked
-        words = html.unescape("".join(text)).split()
-        text.clear()
-        if words:
-            tag, _, _, main, part, named, label = stack[-1] if stack else ("", "", False, False, False, False, False)
-            heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack)
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), main, part, named, heading, label))
+        if text:
+            words = html.unescape("".join(text)).split()
+            text.clear()
+            if words:
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), open_.top()))
         linked = 0
 
-    def pop_to(n: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[n:])
-        del stack[n:]
-
-    def close(tag: str, within: set[str] | None = None) -> None:
-        for n in range(len(stack) - 1, -1, -1):
-            if stack[n][0] == tag:
-                pop_to(n)
-                return
-            if within and stack[n][0] in within:
-                return
-
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not (stack and stack[-1][2]):
+        if m.start() > at and not open_.top().silent:
             piece = page[at : m.start()]
             text.append(piece)
-            if links:
+            if open_.at.get("a"):
                 linked += len(piece.split())
         at = m.end()
         tag = (m[3] or "").lower()
@@ -97,33 +146,23 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             text.append(" ")
-        if tag in BLOCK or tag in SILENT:
+        breaks = tag in BLOCK or tag in SILENT
+        if breaks:
             flush()
         if m[2]:
-            close(tag, None if tag in BLOCK or tag in SILENT else BLOCK)
+            open_.close(tag, -1 if breaks or not open_.blocks else open_.blocks[-1])
             continue
         if tag == "body":
-            close("head")
+            open_.close("head")
         if tag in BLOCK:
-            close("p", BLOCK - {"p"})
+            open_.close("p", open_.but_p[-1] if open_.but_p else -1)
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                close(tag, {"ul", "ol", "dl", "table", "menu"})
+                open_.close(tag, max(open_.last(x) for x in ("ul", "ol", "dl", "table", "menu")))
         if tag == "a":
-            close("a", BLOCK)
-        if tag in VOID or m[4].endswith("/"):
-            continue
-        _, _, silent, main, part, named, label = stack[-1] if stack else ("", "", False, False, False, False, False)
-        attributes = m[4]
-        if attributes.strip():
-            names = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)).lower()
-            named = named or (tag not in ("html", "body", *MAIN) and bool(CUE.search(names)))
-            silent = silent or bool(_UNSEEN.search(attributes))
-            label = label or "data-main" in attributes
-        part = part or (tag in PART and not (tag == "header" and main))
-        main = main or tag in MAIN
-        stack.append((tag, "", silent or tag in SILENT, main, part, named, label))
-        links += tag == "a"
-    if not (stack and stack[-1][2]):
+            open_.close("a", open_.blocks[-1] if open_.blocks else -1)
+        if tag not in VOID and not m[4].endswith("/"):
+            open_.push(_place(tag, m[4], open_.top()))
+    if not open_.top().silent:
         text.append(page[at:])
     flush()
     return out
@@ -134,8 +173,8 @@ def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *(b.words for b in found), 0], float)
     dense = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    has_main = float(any(b.in_main for b in found))
-    flags = np.array([(b.in_main, has_main, b.in_part, b.named, b.heading) for b in found], float).reshape(n, 5)
+    has_main = float(any(b.place.main for b in found))
+    flags = np.array([(b.place.main, has_main, b.place.part, b.place.sure, b.place.doubtful, b.place.heading) for b in found], float).reshape(n, 6)
     return np.column_stack([words[1:-1], dense[1:-1], words[:-2], dense[:-2], words[2:], dense[2:], flags])
 
 
@@ -154,6 +193,19 @@ LABELLED = [
     "<article data-main><h1>[9]</h1><p>[9]</p></article><div class=ad>[60]</div><div class=newsletter><p>[35]</p></div><aside><p>[80]</p></aside><footer><p>[70]</p></footer>",
     "<div>{1}</div><div>{1}</div><div data-main><p>[38]</p><p>[41]</p></div><div>{1}</div><div>[2]</div><div>[5] {4}</div>",
     "<main><div class=banner>[50]</div><p data-main>[6]</p><p data-main>[1]</p><form><label>[3]</label>[20]</form></main><header><h1>[5]</h1></header>",
+    "<div>{9}</div><div>{12}</div><div>{25}</div><div data-main><h1>[8]</h1><p>[9]</p><p>[12]</p><p>[25]</p><p>[10] {2}</p></div><div>{14}</div><div>{30}</div><div>{9}</div>",
+    "<div>{6} {7} [1]</div><div data-main><p>[7]</p><p>[14] {1}</p><p>[6]</p><p>[30]</p></div><div>{11} [1]</div><div>{20} [2]</div>",
+    "<article data-main><div class=article-header><h1>[7]</h1><p>[3]</p></div><p>[30]</p><section id=discussion><h2>[1]</h2><p>[45]</p><p>[5]</p></section><section id=legal-notice><p>[12]</p></section></article><footer>[9]</footer>",
+    "<article><div data-main><h1>[4]</h1><p>[50]</p><div class=related-work><p>[20]</p><p>[9] {1}</p></div></div><div class=related>{4}</div><div class=related>{7}</div><div class=social>{2}</div><div class=recommended>{9} [1]</div></article>",
+    "<article><div data-main><p>[6]</p><p>{4}</p><p>{12}</p><p>[1] {3}</p></div><div class=related><ul><li>{3}</li><li>{6}</li><li>{12}</li></ul></div><div class=search-results>{5}</div></article><div class=notice>[20]</div><div class=header>[6]</div>",
+    "<div class=header>[12]</div><div class=alert>[30]</div><main data-main><p>[12]</p><div class=response><p>[30]</p></div><p>[3]</p></main><div class=legal>[25]</div><div class=copyright>[7]</div>",
+    "<article><p data-main>[20]</p><aside><p>{5}</p><p>{9}</p></aside><p data-main>{6}</p><div class=comments><p>{2}</p><p>{7}</p><p>[9] {9}</p></div><div class=ad>{8}</div><nav>{3} {2}</nav><form>{4}</form><footer>{6}</footer></article>",
+    "<nav>{2}</nav><article data-main><h1>[4]</h1><p>[30]</p><p>[5]</p></article>", "<article data-main><p>[12]</p></article>", "<main data-main><p>[40]</p><p>[2] {3}</p></main>", "<header>{3}</header><main data-main><p>[15]</p><p>{3}</p></main>",
+    "<article data-main><p>[20]</p><p>{6}</p><p>[9]</p></article>", "<nav>{3}</nav><article data-main><p>{5}</p><p>[8]</p><p>{6}</p><p>[7]</p><p>{4} [1]</p><p>[12]</p></article><footer>[8]</footer>", "<main data-main><p>[9]</p><ul><li>{5}</li><li>[6]</li><li>{4}</li></ul><p>[11]</p></main>",
+    "<article><p data-main>[30]</p><div class=comments>{4}</div><p data-main>[9]</p><div class=ad>{5}</div><p data-main>[12]</p><div class=share>{3}</div><p data-main>[15]</p><div class=related>{6}</div><p data-main>[7]</p></article>",
+    "<article><h1 data-main>[5]</h1><div class=ad>{4}</div><p data-main>[30]</p><p data-main>{5}</p><div class=newsletter>{3}</div><div class=related>{5}</div><p data-main>[30]</p><div class=sidebar>{7}</div></article><footer>[6]</footer>",
+    "<div>{4}</div><div data-main><p>[20]</p><p>[40]</p></div>", "<div>{3} {4}</div><div>{5}</div><div data-main><p>[33]</p><p>[9]</p><p>[14]</p></div>", "<p data-main>[30]</p>", "<div data-main><h1>[6]</h1><p>[25]</p><p>[12]</p></div>",
+    "<div class=header>{3} [2]</div><div class=notice>[18]</div><div data-main><p>[18]</p><p>[40]</p><p>[11]</p></div><div class=related>[8] {6}</div><div class=disclaimer>[35]</div>",
 ]
 
 
@@ -166,7 +218,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 10) -> Node:
     """A decision tree by the Gini index; thresholds are middles of neighbouring values."""
     keep = bool(y.mean() >= 0.5)
     if depth == 0 or len(y) < 2 * least or y.all() or not y.any():
@@ -192,14 +244,17 @@ def decide(tree: Node, row: np.ndarray) -> bool:
     return tree.keep
 
 
-def train(pages: list[str] | None = None) -> Node:
-    """The tree from labelled pages (``LABELLED`` unless given)."""
+def train(pages: list[str] | None = None, copies: int = 12, seed: int = 2) -> Node:
+    """The tree from labelled pages (``LABELLED`` unless given), each several times with other numbers of words, so that sizes count only where they tell."""
+    rng = random.Random(seed)
     rows, labels = [], []
     for page in LABELLED if pages is None else pages:
-        page = re.sub(r"\{(\d+)\}", lambda m: f"<a>{'word ' * int(m[1])}</a>", re.sub(r"\[(\d+)\]", lambda m: "word " * int(m[1]), page))
-        found = blocks(f"<body>{page}</body>")
-        rows.append(features(found))
-        labels.extend(b.label for b in found)
+        for copy in range(copies):
+            size = lambda n: int(n) if not copy else max(1, round(int(n) * rng.choice([0.1, 0.3, 0.6, 1, 1.5, 3])))  # noqa: B023, E731
+            made = re.sub(r"\{(\d+)\}", lambda m: f"<a>{'word ' * size(m[1])}</a>", re.sub(r"\[(\d+)\]", lambda m: "word " * size(m[1]), page))  # noqa: B023
+            found = blocks(f"<body>{made}</body>")
+            rows.append(features(found))
+            labels.extend(b.place.label for b in found)
     return grow(np.vstack(rows), np.array(labels))
 
 
