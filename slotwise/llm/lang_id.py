@@ -24,7 +24,10 @@ def _new_net(h: int, n: int, rng: np.random.Generator) -> Net:
     small = lambda *s, by=1.0: (rng.standard_normal(s) * by).astype(np.float32)
     net: Net = {}
     for d in "fb":
-        net |= {f"x{d}": small(257, 3 * h, by=0.5), f"g{d}": small(h, 2 * h, by=0.5 / np.sqrt(h)), f"c{d}": small(h, h, by=0.5 / np.sqrt(h))}
+        codes = small(257, 3 * h, by=0.5)
+        codes[256] = 0
+        codes[256, :h] = -1e4  # beyond a window's end the update gate is shut, so states pass as they are and get no gradient
+        net |= {f"x{d}": codes, f"g{d}": small(h, 2 * h, by=0.5 / np.sqrt(h)), f"c{d}": small(h, h, by=0.5 / np.sqrt(h))}
     return net | {"o": small(2 * h, n, by=1 / np.sqrt(2 * h)), "ob": np.zeros(n, np.float32)}
 
 
@@ -133,7 +136,7 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         span = int(length.max())
         at = start[own][None, :] + np.arange(span)[:, None]
         inside = np.arange(span)[:, None] < length[None, :]
-        codes = np.where(inside, data[np.minimum(at, len(data) - 1)], 256).astype(np.int64)
+        codes = np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int64), 256)
         both = np.concatenate([_run(net, d, codes, keep=False)[0] for d in "fb"], axis=2)
         p = _probabilities(net, both)
         p *= inside[:, :, None]
