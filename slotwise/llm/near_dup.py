@@ -1,6 +1,6 @@
 """MinHash near-duplicates with odd sketches.
 
-1. Each text gets the set of its 5-word shingles, a 128-bit digest of that set, 24 x 4 MinHash samples and an
+1. Each text gets the set of its 5-word shingles, a 128-bit digest of that set, 24 x 5 MinHash samples and an
    odd sketch: the samples folded into a bitmap of parities. Equal digests make one class, so copies never meet as pairs.
 2. Classes that agree in a band share a bucket. In each bucket every member is held against the first and the
    last member only; the popcount of two sketches' XOR drops pairs below the threshold, full sets confirm the rest.
@@ -12,7 +12,7 @@
    Steps 2 and 3 only save pairs here: a link that they miss is between two components still, so this step finds it. Hence
    their ``slack`` may be small; that of the finer sketches, ``fine_slack``, is over five standard deviations of an estimate.
 
-A pair at the threshold shares no bucket with a chance of (1 - 0.85**4)**24, about 2e-8.
+A pair at the threshold shares no bucket with a chance of (1 - 0.85**5)**24, about 8e-7; one at half the threshold's similarity shares one with a chance of 0.28.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from slotwise.llm import text_arrays as ta
 from slotwise.llm.storage import cut_lineage
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 24, 5
 #: MinHash samples and bits of the sketch that every text has, and of the finer one for large groups.
 COARSE, FINE = (BANDS * ROWS, 256), (2048, 4096)
 _rng = np.random.default_rng(77)
