@@ -45,23 +45,27 @@ def _intervals(rules: DataFrame) -> DataFrame:
     return both.select("node", F.explode(F.array(start, end)).alias("e")).select("node", "e.place", "e.top")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", salts: int = 64) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", per_sweep: int = 250_000) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (null: none fits) and ``verdict`` (the rule's, else ``default``).
 
     A rule fits its host and all subdomains where the path starts with the rule's; of those that fit, the longest
     wins (host and path together; then the longer host, then the larger text). A rule given twice with different verdicts has the
     larger one, block. Null or odd urls have empty host and path, so no rule. Columns of ``pages`` with these four
-    names are replaced; others pass. Equal urls are judged once; a host's urls are dealt to ``salts`` sweeps, each with that host's rules.
+    names are replaced; others pass, whatever their names. Equal urls are judged once. A host with more than ``per_sweep`` different urls is dealt to several sweeps of
+    about so many, each with that host's rules; these hosts are a part of 1 / ``per_sweep`` of the urls at most, so their list is broadcast.
     """
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     depth = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
-    named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    named = pages.select(F.struct(*names).alias("row"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     urls = named.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     widest = F.greatest(F.lit(1), F.size(labels) - F.lit(depth) + 1)
     nodes = F.transform(F.sequence(widest, F.size(labels)), lambda i: _reversed(F.slice(labels, i, F.size(labels))))
-    events = _intervals(rules).withColumn("salt", spread)
-    probes = urls.filter(F.lit(depth > 0) & (F.col("host") != "")).select("host", "path", F.explode(nodes).alias("node"), F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"))
+    placed = urls.filter(F.lit(depth > 0) & (F.col("host") != "")).select("host", "path", F.explode(nodes).alias("node"))
+    hot = F.broadcast(placed.groupBy("node").agg(F.ceil(F.count("*") / per_sweep).cast("int").alias("sweeps")).filter("sweeps > 1"))
+    sweeps = F.coalesce("sweeps", F.lit(1))
+    events = _intervals(rules).join(hot, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), sweeps - 1)))
+    probes = placed.join(hot, "node", "left").select("host", "path", "node", F.pmod(F.xxhash64("host", "path"), sweeps).cast("int").alias("salt"))
     top = F.col("top")
     merged = events.select("node", "salt", "place", F.lit(0).alias("probe"), F.struct(top.alias("t")).alias("event"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")).unionByName(
         probes.select("node", "salt", F.encode("path", "utf-8").alias("place"), F.lit(1).alias("probe"), "host", "path"), allowMissingColumns=True
@@ -70,5 +74,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     swept = merged.withColumn("event", F.last("event", ignorenulls=True).over(sweep)).filter("probe = 1 and event.t is not null")
     fit = F.col("event.t")
     best = swept.groupBy("host", "path").agg(F.max(F.struct(F.length(fit["rule"]).alias("n"), fit["host_length"].alias("h"), fit["rule"].alias("rule"), fit["verdict"].alias("verdict"))).alias("best"))
-    judged = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best.rule", "best.verdict")
-    return named.join(judged, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("_host", "_path")
+    judged = named.join(best, ["host", "path"], "left")
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
