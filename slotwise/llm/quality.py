@@ -103,18 +103,20 @@ def _all(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _thresholds(v: np.ndarray, most: int = 64) -> np.ndarray:
+def _thresholds(v: np.ndarray, most: int) -> np.ndarray:
+    """Middles of neighbouring values; ``most`` of them, evenly by rank, where there are more."""
     distinct = np.unique(v)
     middle = (distinct[1:] + distinct[:-1]) / 2
     return middle if len(middle) <= most else middle[np.linspace(0, len(middle) - 1, most).astype(int)]
 
 
-def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 5, precision: float = 0.9, least: int = 5, most_rules: int = 12, most_conditions: int = 3) -> list[list[Condition]]:
+def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 5, precision: float = 0.9, least: int = 5, most_rules: int = 12, most_conditions: int = 3, most_thresholds: int = 64) -> list[list[Condition]]:
     """Rules for bad rows by sequential covering, in order.
 
     Each rule is grown on two thirds of the uncovered rows by the gain of information on bad rows, then loses last
     conditions while that does not worsen (p - n) / (p + n) on the other third. It is taken if at least ``precision`` of all rows
     it covers, and at least ``least`` rows, are bad; the first that is not ends the list.
+    The size of the list and its search are parameters: at most ``most_rules`` rules of ``most_conditions`` conditions, each of ``most_thresholds`` thresholds a feature.
     """
     n = len(bad)
     left = np.ones(n, bool)
@@ -128,7 +130,7 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 5, precisi
             p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
             best, gain = None, 0.0
             for f, v in x.items():
-                for t in _thresholds(v[inside]):
+                for t in _thresholds(v[inside], most_thresholds):
                     for above in (True, False):
                         c = Condition(f, above, float(t))
                         now = inside & c.holds(x)
@@ -167,8 +169,8 @@ def list_expression(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 5_000) -> list[list[Condition]]:
-    """The decision list from at most ``sample`` labelled rows that pass the base rules, those of the smallest hash of id.
+def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 5_000, **search: int) -> list[list[Condition]]:
+    """The decision list (``search``: see ``learn_list``) from at most ``sample`` labelled rows that pass the base rules, those of the smallest hash of id.
 
     Rows with a null label or id are left out; label 0 is bad. No usable row gives the empty list, which keeps everything.
     """
@@ -178,7 +180,7 @@ def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     rows = labelled.orderBy(F.xxhash64("_id"), *named, "_label").limit(sample).collect()
     if not rows:
         return []
-    return learn_list({f: np.array([r[f] for r in rows], float) for f in named}, np.array([r["_label"] == 0 for r in rows]))
+    return learn_list({f: np.array([r[f] for r in rows], float) for f in named}, np.array([r["_label"] == 0 for r in rows]), **search)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> DataFrame:
@@ -189,7 +191,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps, with their columns."""
-    names = docs.columns
+    """The rows of ``docs`` that ``judge_quality`` keeps, with their columns, whatever their names. Null and empty texts fail the base rules; repeated rows stay or go alike."""
     rules = learn_from(with_counts(docs.select(id_col, text_col), text_col).drop(text_col), labels, id_col, sample=sample)
-    return with_counts(docs.withColumnsRenamed({c: f"_{c}" for c in COUNTS}), text_col).filter(~base_failed() & list_expression(rules)).drop(*COUNTS).withColumnsRenamed({f"_{c}": c for c in COUNTS}).select(*names)
+    others = [c for c in docs.columns if c != text_col]
+    held = docs.select(F.col(text_col).alias("text"), F.struct(*others).alias("row"))
+    kept = with_counts(held, "text").filter(~base_failed() & list_expression(rules))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
