@@ -1,7 +1,8 @@
 """Stupid-backoff scores from n-gram counts of the whole corpus.
 
 1. Documents are dealt to chunks by a hash. A chunk's n-grams, each once with its count, go to count tables partitioned by the
-   hash of the n-gram: one packed row for each chunk and partition, so a very common n-gram is one entry a chunk.
+   hash of the n-gram: one packed row for each chunk and partition, so a very common n-gram is one entry a chunk. (One row for each n-gram of a document would
+   be the plain relational form; with n-grams of three words it takes several times the disk.)
 2. Each count table adds up its entries and answers every chunk with the corpus counts of that chunk's n-grams.
 3. Chunks join their answers to their documents and sum the scores.
 
@@ -43,17 +44,19 @@ def _chunk_words(texts: pa.ChunkedArray | pa.Array) -> list[ta.Words]:
     return [ta.words(data, offsets) for x in arrays for _, _, data, offsets in ta.slices(pa.RecordBatch.from_arrays([x], ["text"]), "text")]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff: float = 0.4, chunks: int | None = None, parts: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 16 << 20) -> DataFrame:
     """Per row: id, ``n_words``, ``known`` (words whose full n-gram the rest of the corpus has) and ``score``.
 
     ``score`` is the mean over words of ln S, S(w | context) = count(context, w) / count(context) for the longest context (up to ``order - 1`` words) at which the
     rest of the corpus has the n-gram, times ``backoff`` for each word of context given up; a word that the rest of the corpus lacks has a count of one half. The corpus is all words of
     all rows (A-Z lowered), less the document's own; copies in other rows count. The score is null for a text without words (or null).
-    ``chunks`` and ``parts`` size the tasks (documents, n-grams); both grow with the data through spark.sql.shuffle.partitions.
+    Chunks of documents take about ``chunk_bytes`` of text (less where that leaves shuffle partitions idle), counted from the table; there are as many count tables as chunks.
+    Rows that repeat id and text fall in one chunk. Counts have 64 bits.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, parts = chunks or 2 * tasks, parts or tasks
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    chunks = parts = max(1, -(-size // chunk_bytes), min(tasks, -(-size // (1 << 20))))
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))
 
@@ -68,16 +71,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "part": pa.array([p for p, _, _ in rows], pa.int32()),
                 "chunk": pa.array([chunk] * len(rows), pa.int32()),
                 "grams": pa.array([grams[a:b].tobytes() for _, a, b in rows], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in rows], pa.binary()),
+                "counts": pa.array([counts[a:b].astype(np.int64).tobytes() for _, a, b in rows], pa.binary()),
                 "total": pa.array([total] * len(rows), pa.int64()),
             }
         )
 
     def add(table: pa.Table) -> pa.Table:
         grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
+        counts = [np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]
         distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-        corpus = np.bincount(place, weights=np.concatenate(counts)).astype(np.uint32)
+        corpus = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
         answers = np.split(corpus[place], np.cumsum([len(g) for g in grams])[:-1])
         return pa.table({"part": table["part"], "chunk": table["chunk"], "counts": pa.array([x.tobytes() for x in answers], pa.binary())})
 
@@ -86,7 +89,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grams, _, bounds = _chunk_table([(w.hash, w.row) for w in words], order, parts)
         corpus = np.zeros(len(grams), np.int64)
         for p, x in zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            corpus[bounds[p] : bounds[p + 1]] = np.frombuffer(x, np.uint32)
+            corpus[bounds[p] : bounds[p + 1]] = np.frombuffer(x, np.int64)
         by_hash = np.argsort(grams)
         sorted_grams = grams[by_hash]
         n_all = answers["total"][0].as_py() if len(answers) else 0

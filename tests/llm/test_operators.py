@@ -185,7 +185,7 @@ def test_language_gradient():
 
 
 def test_lm_scores(docs, none):
-    got = lm_score.score_documents(docs, chunks=3, parts=2).collect()
+    got = lm_score.score_documents(docs, order=2, chunk_bytes=40_000).collect()
     assert len(got) == len(ROWS) and {r.score for r in got if r.doc_id in (5, 6, 7)} == {None}
     assert all(r.known == r.n_words - 1 for r in got if r.doc_id == 2)
     trigram = {r.doc_id: r for r in lm_score.score_documents(docs, order=3).collect()}
