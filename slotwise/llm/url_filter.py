@@ -45,14 +45,14 @@ def _intervals(rules: DataFrame) -> DataFrame:
     return both.select("node", F.explode(F.array(start, end)).alias("e")).select("node", "e.place", "e.top")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", per_sweep: int = 250_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", parts: int = 1000) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (null: none fits) and ``verdict`` (the rule's, else ``default``).
 
     A rule fits its host and all subdomains where the path starts with the rule's; of those that fit, the longest
     wins (host and path together; then the longer host, then the larger text). A rule given twice with different verdicts has the
     larger one, block. Null or odd urls have empty host and path, so no rule. Columns of ``pages`` with these four
-    names are replaced; others pass, whatever their names. Equal urls are judged once. A host with more than ``per_sweep`` different urls is dealt to several sweeps of
-    about so many, each with that host's rules; these hosts are a part of 1 / ``per_sweep`` of the urls at most, so their list is broadcast.
+    names are replaced; others pass, whatever their names. Equal urls are judged once. A host with more than one in ``parts`` of all different urls is dealt to
+    several sweeps of that size, each with that host's rules; there are fewer than ``parts`` such hosts, so their list is broadcast.
     """
     depth = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
@@ -62,7 +62,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     widest = F.greatest(F.lit(1), F.size(labels) - F.lit(depth) + 1)
     nodes = F.transform(F.sequence(widest, F.size(labels)), lambda i: _reversed(F.slice(labels, i, F.size(labels))))
     placed = urls.filter(F.lit(depth > 0) & (F.col("host") != "")).select("host", "path", F.explode(nodes).alias("node"))
-    hot = F.broadcast(placed.groupBy("node").agg(F.ceil(F.count("*") / per_sweep).cast("int").alias("sweeps")).filter("sweeps > 1"))
+    sizes = placed.groupBy("node").agg(F.count("*").alias("n"))
+    most = sizes.agg((F.sum("n") / parts).alias("most"))
+    hot = F.broadcast(sizes.crossJoin(F.broadcast(most)).filter("n > most").select("node", F.ceil(F.col("n") / F.col("most")).cast("int").alias("sweeps")))
     sweeps = F.coalesce("sweeps", F.lit(1))
     events = _intervals(rules).join(hot, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), sweeps - 1)))
     probes = placed.join(hot, "node", "left").select("host", "path", "node", F.pmod(F.xxhash64("host", "path"), sweeps).cast("int").alias("salt"))
