@@ -21,10 +21,11 @@ def trim_time_bin(text: Column) -> Column:
 
 
 def time_bin_to_minutes(text: Column) -> Column:
-    """Minutes of 'HH:MM' or 'HH:MM:SS'; a plain number is a slot; null for anything else."""
+    """Minutes of 'HH:MM' or 'HH:MM:SS'; a plain number under 96 is a slot; null for anything else."""
     hour = F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})", 1).try_cast("int")
     minute = F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})", 2).try_cast("int")
-    return F.coalesce(hour * 60 + minute, F.trim(text).try_cast("int") * 15)
+    slot = F.trim(text).try_cast("int")
+    return F.coalesce(hour * 60 + minute, F.when(slot.between(0, 95), slot * 15))
 
 
 def timestamp_to_slot(ts: Column) -> Column:
@@ -98,7 +99,7 @@ def first_match(*rules: tuple[Column, object], otherwise: object = None) -> Colu
 
 def percentile_band(rank: Column, n: Column) -> Column:
     share = rank / n
-    return first_match((share <= 0.01, "Top 1%"), (share <= 0.05, "Top 5%"), (share <= 0.10, "Top 10%"), (share <= 0.25, "Top 25%"), (share <= 0.50, "Top 50%"), otherwise="Other")
+    return first_match((share <= 0.01, "Top 1%"), (share <= 0.05, "Top 5%"), (share <= 0.10, "Top 10%"), (share <= 0.25, "Top 25%"), (share <= 0.50, "Top 50%"), otherwise="Bottom 50%")
 
 
 def season(month: Column) -> Column:

@@ -79,11 +79,14 @@ def slot_quality(wide: DataFrame, *keys: str) -> DataFrame:
 
 
 def monthly_quality(obs: DataFrame) -> DataFrame:
-    """Mean, minimum and maximum volume by month; flagged where the mean is 2 deviations off."""
-    out = obs.groupBy(C.month_label(F.col("count_date")).alias("month_label")).agg(F.avg("volume_15m").alias("mean_volume"), F.min("volume_15m").alias("min_volume"), F.max("volume_15m").alias("max_volume"))
+    """Rows, days, sites and volumes of each month; z of its rows among all months, flagged where it is under -2 or over 2."""
+    day = obs.groupBy(C.month_label(F.col("count_date")).alias("month_label"), "count_date", "site_id").agg(F.count("*").alias("n"), F.sum("volume_15m").alias("s"), F.count("volume_15m").alias("k"), F.min("volume_15m").alias("lo"), F.max("volume_15m").alias("hi"))
+    out = day.groupBy("month_label").agg(
+        F.sum("n").alias("n_rows"), F.countDistinct("count_date").alias("days_present"), F.countDistinct("site_id").alias("distinct_sites"), F.sum("s").alias("total_volume"), C.safe_div(F.sum("s"), F.sum("k")).alias("mean_volume"), F.min("lo").alias("min_volume"), F.max("hi").alias("max_volume")
+    )
     all_rows = Window.partitionBy()
-    z = C.safe_div(F.col("mean_volume") - F.avg("mean_volume").over(all_rows), F.stddev_samp("mean_volume").over(all_rows))
-    return out.withColumn("z_score", z).withColumn("flag", C.first_match((F.col("z_score") >= 2, "high"), (F.col("z_score") <= -2, "low"), otherwise="normal"))
+    z = C.safe_div(F.col("n_rows") - F.avg("n_rows").over(all_rows), F.stddev_samp("n_rows").over(all_rows))
+    return out.withColumn("rows_zscore", F.coalesce(z, F.lit(0.0))).withColumns({"low_row_count": F.col("rows_zscore") < -2, "high_row_count": F.col("rows_zscore") > 2})
 
 
 def detector_stability(obs: DataFrame) -> DataFrame:

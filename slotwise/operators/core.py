@@ -140,7 +140,7 @@ def peak_shares(obs: DataFrame, *keys: Column) -> DataFrame:
 
 def day_part_shares(obs: DataFrame) -> DataFrame:
     t, v = F.col("time_bin"), F.col("volume_15m")
-    parts = {"am_peak": (t >= "07:00") & (t < "10:00"), "pm_peak": (t >= "16:00") & (t < "19:00"), "overnight": t < "05:00", "before_9am": t < "09:00", "after_6pm": t >= "18:00"}
+    parts = {"am_peak": (t >= "07:00") & (t < "10:00"), "pm_peak": (t >= "16:00") & (t < "19:00"), "overnight": t < "06:00", "before_9am": t < "09:00", "after_6pm": t >= "18:00"}
     out = obs.agg(F.sum(v).alias("total_volume"), *[F.sum(F.when(p, v).otherwise(0)).alias(k) for k, p in parts.items()])
     return out.withColumns({f"{k}_pct": F.round(C.pct(F.col(k), F.col("total_volume")), 2) for k in parts})
 

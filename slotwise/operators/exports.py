@@ -32,10 +32,10 @@ def intensity_band(rows: DataFrame) -> DataFrame:
 
 
 def am_pm(rows: DataFrame, shift: float = 0.5) -> DataFrame:
-    """Morning and evening peaks side by side: the evening's longitude is shifted."""
+    """Morning and evening peaks side by side: the morning's longitude is shifted west, the evening's east."""
     t = F.col("time_bin")
-    part = C.first_match(((t >= "07:00") & (t < "10:00"), "AM"), ((t >= "16:00") & (t < "19:00"), "PM"))
-    return rows.withColumn("part", part).filter("part is not null").withColumn("display_longitude", F.col("longitude") + F.when(F.col("part") == "PM", shift).otherwise(0.0))
+    part = C.first_match(((t >= "07:00") & (t < "10:00"), "AM Peak 07:00-10:00"), ((t >= "16:00") & (t < "19:00"), "PM Peak 16:00-19:00"))
+    return rows.withColumn("peak_period", part).filter("peak_period is not null").withColumns({"comparison_longitude": F.col("longitude") + F.when(F.col("peak_period").startswith("AM"), -shift).otherwise(shift), "comparison_latitude": F.col("latitude")})
 
 
 def overnight(rows: DataFrame) -> DataFrame:

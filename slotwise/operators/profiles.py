@@ -41,12 +41,16 @@ def split_rows(split: DataFrame) -> DataFrame:
     return split.select(two.alias("r")).select("r.*").withColumn("avg_daily_volume", C.safe_div(F.col("volume"), F.col("days")))
 
 
-def peak_hour_summary(bins: DataFrame) -> DataFrame:
-    """Best bin of the day, of the morning (before 12:00) and of the afternoon."""
-    value = F.struct(F.col("avg_daily_volume").alias("v"), (-C.time_bin_to_minutes(F.col("time_bin"))).alias("m"), F.col("time_bin").alias("t"))
-    morning = F.col("time_bin") < "12:00"
-    out = bins.agg(F.max(value).alias("a"), F.max(F.when(morning, value)).alias("b"), F.max(F.when(~morning, value)).alias("c"))
-    return out.select(*[F.col(f"{x}.{y}").alias(f"{n}_{z}") for x, n in (("a", "peak"), ("b", "am_peak"), ("c", "pm_peak")) for y, z in (("t", "time_bin"), ("v", "avg"))])
+def peak_hour_summary(month_bins: DataFrame) -> DataFrame:
+    """Best bin by total volume of the day, of 07:00 to 10:00 and of 16:00 to 19:00, from totals by month and bin; averages are over the days of the archive
+    (of each month, the most that a bin has)."""
+    days = month_bins.groupBy("month_label").agg(F.max("days_loaded").alias("d")).agg(F.sum("d").alias("days"))
+    bins = month_bins.groupBy("time_bin").agg(F.sum("total_volume").alias("total"))
+    t = F.col("time_bin")
+    value = F.struct(F.col("total").alias("v"), (-C.time_bin_to_minutes(t)).alias("m"), t.alias("t"))
+    am, pm = (t >= "07:00") & (t < "10:00"), (t >= "16:00") & (t < "19:00")
+    out = bins.agg(F.max(value).alias("peak"), F.max(F.when(am, value)).alias("am_peak"), F.max(F.when(pm, value)).alias("pm_peak")).crossJoin(days)
+    return out.select(*[c for n in ("peak", "am_peak", "pm_peak") for c in (F.col(f"{n}.t").alias(f"{n}_time_bin"), F.col(f"{n}.v").alias(f"{n}_volume"), C.safe_div(F.col(f"{n}.v"), F.col("days")).alias(f"{n}_avg"))])
 
 
 def site_extreme_slots(obs: DataFrame) -> DataFrame:
@@ -89,11 +93,14 @@ def top_weeks(daily: DataFrame, n: int = 20) -> DataFrame:
 
 
 def seasonal_index(months: DataFrame) -> DataFrame:
-    """By month of year over (year, month) totals: mean, median, deviation, months, index (mean of all = 100)."""
-    v = F.col("month_total_volume")
+    """By month of year over (month_label, total_volume, avg_daily_volume): mean, median and deviation of the average day, mean and sum of the months, months, years, index (mean of all = 100)."""
+    day, total = F.col("avg_daily_volume"), F.col("total_volume")
     moy = F.substring("month_label", 6, 2).cast("int")
-    out = months.groupBy(moy.alias("month_of_year")).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.count(v).alias("months"), F.countDistinct(F.substring("month_label", 1, 4)).alias("years"))
-    return out.withColumn("seasonal_index", C.pct(F.col("mean"), F.avg("mean").over(Window.partitionBy())))
+    out = months.groupBy(moy.alias("month_of_year")).agg(
+        F.avg(day).alias("avg_daily"), F.median(day).alias("median_daily_volume"), F.avg(total).alias("avg_monthly_volume"), F.sum(total).alias("total"),
+        F.stddev_samp(day).alias("std_daily_volume"), F.countDistinct("month_label").alias("months_seen"), F.countDistinct(F.substring("month_label", 1, 4)).alias("years_seen"),
+    )
+    return out.withColumn("seasonal_index", C.pct(F.col("avg_daily"), F.avg("avg_daily").over(Window.partitionBy()))).withColumnsRenamed({"avg_daily": "avg_daily_volume", "total": "total_volume"})
 
 
 def month_share_of_year(months: DataFrame) -> DataFrame:
@@ -102,9 +109,9 @@ def month_share_of_year(months: DataFrame) -> DataFrame:
     return shares.groupBy(F.substring("month_label", 6, 2).cast("int").alias("month_of_year")).agg(F.avg("share").alias("avg_share_pct"))
 
 
-#: Parts of the day, and windows of behaviour (the last wraps past midnight).
-SEGMENTS = [("Overnight", "00:00", "05:00"), ("Morning", "05:00", "10:00"), ("Midday", "10:00", "15:00"), ("Evening", "15:00", "19:00"), ("Night", "19:00", "24:00")]
-WINDOWS = [("am_peak", "07:00", "10:00"), ("interpeak", "10:00", "16:00"), ("pm_peak", "16:00", "19:00"), ("late_night", "22:00", "05:00")]
+#: Parts of the day, and windows of behaviour.
+SEGMENTS = [("Overnight Quiet", "00:00", "05:00"), ("Morning Build", "05:00", "10:00"), ("Business-Day Plateau", "10:00", "15:00"), ("Afternoon Peak", "15:00", "19:00"), ("Evening Decline", "19:00", "24:00")]
+WINDOWS = [("Morning Peak Window 07:00–09:30", "07:00", "09:30"), ("Midday Plateau 10:00–15:00", "10:00", "15:00"), ("Afternoon Peak Window 16:00–18:30", "16:00", "18:30"), ("Overnight Baseline 00:00–05:00", "00:00", "05:00")]
 
 
 def day_segments(bins: DataFrame) -> DataFrame:
@@ -115,14 +122,14 @@ def day_segments(bins: DataFrame) -> DataFrame:
 
 
 def window_stats(bins: DataFrame, windows: list[tuple[str, str, str]] = WINDOWS) -> DataFrame:
-    """Bins, total, share and strongest bin of each window; start > end wraps past midnight. The windows are a literal table."""
+    """Bins, total, average day, share and strongest bin (by average day) of each window; an end at or before its start wraps past midnight. The windows are a literal table."""
     w = bins.sparkSession.createDataFrame(windows, "window_name string, a string, b string")
     t, a, b = F.col("time_bin"), F.col("a"), F.col("b")
-    inside = F.when(a <= b, (t >= a) & (t < b)).otherwise((t >= a) | (t < b))
+    inside = F.when(b > a, (t >= a) & (t < b)).otherwise((t >= a) | (t < b))
     total = bins.agg(F.sum("total_volume").alias("all"))
-    strongest = F.max(F.struct("total_volume", (-C.time_bin_to_minutes(t)).alias("m"), t.alias("t")))
-    out = bins.join(F.broadcast(w), inside).groupBy("window_name").agg(F.count("*").alias("bins"), F.sum("total_volume").alias("volume"), strongest.alias("s"))
-    return out.crossJoin(F.broadcast(total)).select("window_name", "bins", "volume", C.pct(F.col("volume"), F.col("all")).alias("share_pct"), F.col("s.t").alias("strongest_bin"))
+    strongest = F.max(F.struct(F.col("avg_daily_volume").alias("v"), (-C.time_bin_to_minutes(t)).alias("m"), t.alias("t")))
+    out = bins.join(F.broadcast(w), inside).groupBy("window_name").agg(F.count("*").alias("bins"), F.sum("total_volume").alias("volume"), F.sum("avg_daily_volume").alias("avg_daily_volume_sum"), strongest.alias("s"))
+    return out.crossJoin(F.broadcast(total)).select("window_name", "bins", "volume", "avg_daily_volume_sum", C.pct(F.col("volume"), F.col("all")).alias("share_pct"), F.col("s.t").alias("strongest_bin"), F.col("s.v").alias("strongest_bin_avg"))
 
 
 def daily_summary(daily: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ def with_site_name(df: DataFrame, names: DataFrame) -> DataFrame:
     return df.join(names, "site_id", "left").withColumn("site_name", F.coalesce("site_name", F.col("site_id").cast("string")))
 
 
+def orphans(facts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows) of the facts whose key the dimension lacks; facts are added up by key before the join."""
+    return facts.groupBy(key).agg(F.count("*").alias("n_rows")).join(known.select(key), key, "left_anti")
+
+
 def best_site_lookup(lookups: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """One row a site from several lookups: the longest name (then the smallest), the first known coordinates; overrides win.
 
@@ -89,12 +94,14 @@ def growth_first_last_12(sm: DataFrame, floor: float) -> DataFrame:
     return own.filter(F.col("first_12_avg") >= floor).withColumns({"absolute_change": change, "growth_pct": C.pct(change, F.col("first_12_avg"))})
 
 
-def growth_own_months(sm: DataFrame) -> DataFrame:
-    """Averages over each site's own first and last 12 months."""
-    w = Window.partitionBy("site_id")
-    marked = sm.withColumns({"a": F.row_number().over(w.orderBy("month_label")), "z": F.row_number().over(w.orderBy(F.desc("month_label")))})
-    own = marked.groupBy("site_id").agg(F.avg(F.when(F.col("a") <= 12, F.col("month_site_volume"))).alias("first_12_avg"), F.avg(F.when(F.col("z") <= 12, F.col("month_site_volume"))).alias("last_12_avg"))
-    return own.withColumn("growth_pct", C.pct(F.col("last_12_avg") - F.col("first_12_avg"), F.col("first_12_avg")))
+def growth_own_months(sm: DataFrame, floor: float | None = None) -> DataFrame:
+    """Averages over each site's own first and last 12 months, from one array a site; with ``floor``, only sites where both are above it."""
+    months = F.transform(F.array_sort(F.collect_list(F.struct("month_label", "month_site_volume"))), lambda m: m["month_site_volume"])
+    mean = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v) / F.size(a)
+    ends = sm.groupBy("site_id").agg(months.alias("m")).select("site_id", mean(F.slice("m", 1, 12)).alias("first_12_avg"), mean(F.slice("m", -F.least(F.size("m"), F.lit(12)), 12)).alias("last_12_avg"))
+    change = F.col("last_12_avg") - F.col("first_12_avg")
+    out = ends.withColumns({"absolute_growth": change, "growth_pct": C.pct(change, F.col("first_12_avg"))})
+    return out if floor is None else out.filter((F.col("first_12_avg") > floor) & (F.col("last_12_avg") > floor))
 
 
 def site_features(sm: DataFrame) -> DataFrame:
@@ -103,19 +110,38 @@ def site_features(sm: DataFrame) -> DataFrame:
     return out.withColumns({"cv": C.safe_div(F.col("sd"), F.col("mean")), "max_to_mean": C.safe_div(F.col("max"), F.col("mean"))})
 
 
-def commercial_value(sm: DataFrame) -> DataFrame:
-    """100 x (.55 volume + .25 growth + .20 stability), each a percent rank; a missing one counts .5."""
-    f = site_features(sm).join(growth_own_months(sm).select("site_id", "growth_pct"), "site_id")
-    rank = lambda c: F.coalesce(C.pct_rank(c), F.lit(0.5))
-    return f.withColumn("score", 100 * (0.55 * rank(F.col("total_volume")) + 0.25 * rank(F.col("growth_pct")) + 0.20 * (1 - rank(F.col("cv"))))).select("site_id", "total_volume", "growth_pct", "cv", "score")
+def site_years(sm: DataFrame) -> DataFrame:
+    """Yearly profile of a site's months."""
+    v = F.col("month_site_volume")
+    return sm.groupBy(F.substring("month_label", 1, 4).cast("int").alias("year")).agg(F.sum(v).alias("annual_volume"), F.count(v).alias("months_seen"), F.avg(v).alias("avg_month_volume"))
 
 
-def lifecycle(sm: DataFrame) -> DataFrame:
-    """Growth above its 80th percentile, decline below its 20th, volatile above the 80th of cv, else stable."""
-    f = site_features(sm).join(growth_own_months(sm).select("site_id", "growth_pct"), "site_id")
-    cuts = f.agg(F.percentile("growth_pct", F.lit(0.8)).alias("g80"), F.percentile("growth_pct", F.lit(0.2)).alias("g20"), F.percentile("cv", F.lit(0.8)).alias("c80"))
-    kind = C.first_match((F.col("growth_pct") > F.col("g80"), "Growing"), (F.col("growth_pct") < F.col("g20"), "Declining"), (F.col("cv") > F.col("c80"), "Volatile"), otherwise="Stable")
-    return f.crossJoin(F.broadcast(cuts)).select("site_id", "total_volume", kind.alias("lifecycle"))
+def site_months_of_year(sm: DataFrame) -> DataFrame:
+    """Month-of-year profile of a site's months."""
+    v = F.col("month_site_volume")
+    return sm.groupBy(F.substring("month_label", 6, 2).cast("int").alias("month_of_year")).agg(
+        F.avg(v).alias("avg_month_volume"), F.median(v).alias("median_month_volume"), F.max(v).alias("max_month_volume"), F.countDistinct(F.substring("month_label", 1, 4)).alias("years_seen")
+    )
+
+
+def commercial_value(sm: DataFrame, floor: float = 1000.0) -> DataFrame:
+    """100 x (.55 volume + .25 growth + .20 stability), each a percent rank; growth is absolute, 0 for sites under ``floor``; a missing stability counts .5."""
+    f = site_features(sm).join(growth_own_months(sm, floor).select("site_id", "absolute_growth", "growth_pct"), "site_id", "left").withColumn("absolute_growth", F.coalesce("absolute_growth", F.lit(0.0)))
+    stability = F.coalesce(1 - C.pct_rank(F.col("cv")), F.lit(0.5))
+    score = 100 * (0.55 * C.pct_rank(F.col("total_volume")) + 0.25 * C.pct_rank(F.col("absolute_growth")) + 0.20 * stability)
+    return f.withColumn("score", score).select("site_id", "total_volume", "absolute_growth", "growth_pct", "cv", "score")
+
+
+def lifecycle(sm: DataFrame, floor: float = 1000.0) -> DataFrame:
+    """Growth above the 80th percentile of absolute growth, decline below its 20th, volatile above the 80th of cv, else stable; of sites over ``floor``."""
+    f = growth_own_months(sm, floor).join(site_features(sm).select("site_id", "mean", "cv"), "site_id")
+    cuts = f.agg(F.percentile("absolute_growth", F.lit(0.8)).alias("g80"), F.percentile("absolute_growth", F.lit(0.2)).alias("g20"), F.percentile("cv", F.lit(0.8)).alias("c80"))
+    kind = C.first_match((F.col("absolute_growth") > F.col("g80"), "Growth"), (F.col("absolute_growth") < F.col("g20"), "Decline"), (F.col("cv") > F.col("c80"), "Volatile"), otherwise="Stable")
+    return f.crossJoin(F.broadcast(cuts)).select("site_id", "absolute_growth", "cv", F.col("mean").alias("mean_volume"), kind.alias("lifecycle"))
+
+
+def lifecycle_summary(classes: DataFrame) -> DataFrame:
+    return classes.groupBy("lifecycle").agg(F.count("*").alias("sites"), F.avg("absolute_growth").alias("avg_monthly_growth"), F.avg("cv").alias("avg_cv"), F.avg("mean_volume").alias("avg_mean_volume"))
 
 
 def archetype_scores(sm: DataFrame) -> DataFrame:
@@ -127,22 +153,32 @@ def archetype_scores(sm: DataFrame) -> DataFrame:
 
 
 def archetype(scores: DataFrame) -> DataFrame:
-    """Eleven classes; the first rule that holds gives the class. Cuts are fixed values."""
-    s, t, v, g, p = (F.col(f"{n}_score") for n in ("scale", "stability", "volatility", "growth", "spike"))
+    """Eleven classes; the first rule that holds gives the class. Names and cuts are fixed values."""
+    scale, stability, volatility, growth, spike = (F.col(f"{n}_score") for n in ("scale", "stability", "volatility", "growth", "spike"))
     rules = [
-        ((s >= 90) & (t >= 70), "Network Anchor"), ((s >= 90) & (g >= 70), "Growth Powerhouse"), ((s >= 90), "Major Corridor"), ((g >= 90) & (s >= 50), "Emerging Corridor"), ((g >= 90), "Emerging Local"),
-        ((g <= 10) & (s >= 50), "Declining Corridor"), ((g <= 10), "Declining Local"), ((p >= 90), "Event Driven"), ((v >= 85), "Volatile"), ((t >= 75), "Steady Local"),
+        ((scale >= 90) & (stability >= 65), "Metropolitan Backbone"), ((scale >= 85) & (volatility >= 70), "High-Volume Volatile Corridor"), ((growth >= 85) & (scale >= 60), "Rising Growth Corridor"),
+        ((volatility >= 85) & (spike >= 75), "Event / Disruption Sensitive Site"), ((scale >= 75) & (stability >= 80), "Reliable Exposure Corridor"), ((scale < 40) & (growth >= 80), "Emerging Local Growth Site"),
+        ((scale < 35) & (stability >= 70), "Stable Low-Volume Local Site"), (volatility >= 75, "Unstable / Variable Site"), ((scale >= 70) & (stability >= 45), "Mature Urban Arterial"), (scale >= 45, "Balanced Metropolitan Site"),
     ]
-    return scores.withColumn("archetype", C.first_match(*rules, otherwise="Balanced"))
+    return scores.withColumn("archetype", C.first_match(*rules, otherwise="Secondary Connector Corridor"))
+
+
+#: Weights of the scores in the composite indices.
+INDEX_WEIGHTS = {
+    "ooh_exposure_score": {"scale": 0.55, "stability": 0.25, "growth": 0.20},
+    "traffic_transformation_index": {"volatility": 0.35, "growth": 0.30, "scale": 0.20, "spike": 0.15},
+    "strategic_importance_score": {"scale": 0.45, "stability": 0.20, "growth": 0.20, "volatility": 0.15},
+}
 
 
 def archetype_indices(scores: DataFrame) -> DataFrame:
-    s, t, v, g, p = (F.col(f"{n}_score") for n in ("scale", "stability", "volatility", "growth", "spike"))
-    return scores.withColumns({"exposure_index": 0.7 * s + 0.3 * t, "transformation_index": 0.6 * g + 0.2 * v + 0.2 * p, "strategic_importance": 0.5 * s + 0.3 * g + 0.2 * t})
+    return scores.withColumns({name: reduce(lambda a, b: a + b, [F.col(f"{s}_score") * w for s, w in weights.items()]) for name, weights in INDEX_WEIGHTS.items()})
 
 
 def archetype_summary(classes: DataFrame) -> DataFrame:
-    out = classes.groupBy("archetype").agg(F.count("*").alias("sites"), F.sum("total_volume").alias("total_volume"), F.avg("total_volume").alias("avg_total_volume"), F.avg("scale_score").alias("avg_scale_score"))
+    """Of each class, from scores with indices: sites, volume and its share, average scores and indices."""
+    means = [f"{n}_score" for n in ("scale", "stability", "volatility", "growth")] + list(INDEX_WEIGHTS)
+    out = classes.groupBy("archetype").agg(F.count("*").alias("sites"), F.sum("total_volume").alias("total_volume"), F.avg("total_volume").alias("avg_total_volume"), *[F.avg(c).alias(f"avg_{c}") for c in means])
     return out.withColumn("traffic_share_pct", C.pct(F.col("total_volume"), F.sum("total_volume").over(Window.partitionBy())))
 
 
@@ -179,20 +215,35 @@ def traffic_band(site_totals: DataFrame) -> DataFrame:
     out = site_totals.withColumns({"volume_percentile": p, "ratio_to_max": C.safe_div(F.col("total_volume"), F.max("total_volume").over(Window.partitionBy()))})
     r = F.col("ratio_to_max")
     return out.withColumns({
-        "volume_band": C.first_match((F.col("volume_percentile") >= 95, "very high"), (F.col("volume_percentile") >= 80, "high"), (F.col("volume_percentile") >= 50, "medium"), otherwise="low"),
-        "heat": C.first_match((r >= 0.85, "extreme"), (r >= 0.70, "very high"), (r >= 0.55, "high"), otherwise="elevated"),
+        "volume_band": C.first_match((F.col("volume_percentile") >= 95, "red"), (F.col("volume_percentile") >= 80, "orange"), (F.col("volume_percentile") >= 50, "yellow"), otherwise="green"),
+        "heat": C.first_match((r >= 0.85, "red"), (r >= 0.70, "orange"), (r >= 0.55, "amber"), otherwise="green"),
     })
 
 
-def exposure_metrics(site_totals: DataFrame, years: float) -> DataFrame:
-    """A total over ``years`` as volume a year, a day, and in the peak hour (a tenth of a day)."""
-    day = F.col("total_volume") / F.lit(float(years)) / 365.25
-    return site_totals.withColumns({"annual_volume": F.round(F.col("total_volume") / F.lit(float(years)), 2), "daily_volume": F.round(day, 2), "peak_hour_volume": F.round(day / 10, 2)})
+def exposure_metrics(site_totals: DataFrame, years: float, peak_hour_factor: float = 0.1) -> DataFrame:
+    """A total over ``years`` as volume a year, a day, and in the peak hour (a part of the rounded day), each rounded to whole counts (halves to the even one)."""
+    whole = lambda c: F.bround(c).cast("bigint")
+    total = F.col("total_volume")
+    out = site_totals.withColumns({"annual_volume": whole(total / F.lit(float(years))), "daily_volume": whole(total / F.lit(float(years) * 365.25))})
+    return out.withColumn("peak_hour_volume", whole(F.col("daily_volume") * F.lit(float(peak_hour_factor))))
 
 
 def opportunity_tier(rk: DataFrame) -> DataFrame:
     r = F.col("rank")
-    return rk.withColumn("tier", C.first_match((r <= 10, "Platinum"), (r <= 25, "Gold"), (r <= 50, "Silver"), otherwise="Bronze"))
+    return rk.withColumn("tier", C.first_match((r <= 10, "Elite Top 10"), (r <= 25, "Premium Top 25"), (r <= 50, "Strategic Top 50"), otherwise="High-Value Top 100"))
+
+
+#: Tiers of the ranking and what a thousand movements bring in each.
+TIER_RATES = [(100, "Top 100", 16), (500, "101–500", 12), (1000, "501–1000", 8), (2000, "1001–2000", 5), (None, "2001+", 3)]
+
+
+def tier_revenue(rk: DataFrame, cost_per_site: float, tiers_: list[tuple[int | None, str, float]] = TIER_RATES) -> DataFrame:
+    """Sites, volume, rate, revenue, cost, profit and return of each tier; the last tier has no bound."""
+    label = C.first_match(*[(F.col("rank") <= n, text) for n, text, _ in tiers_[:-1]], otherwise=tiers_[-1][1])
+    rate = C.first_match(*[(F.col("tier") == text, F.lit(float(r))) for _, text, r in tiers_])
+    out = rk.groupBy(label.alias("tier")).agg(F.count("*").alias("sites"), F.sum("total_volume").alias("volume")).withColumn("cpm", rate)
+    out = out.withColumns({"revenue": F.col("volume") / F.lit(1000.0) * F.col("cpm"), "cost": F.col("sites") * F.lit(float(cost_per_site))})
+    return out.withColumns({"profit": F.col("revenue") - F.col("cost"), "roi_pct": C.pct(F.col("revenue") - F.col("cost"), F.col("cost"))})
 
 
 def nearest_within(points: DataFrame, features: DataFrame, metres: float, point_key: str = "site_id", feature_key: str = "feature_id") -> DataFrame:

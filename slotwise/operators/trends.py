@@ -86,13 +86,14 @@ def month_gaps(present: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def day_shape(bins: DataFrame) -> DataFrame:
-    """One row: ratios of the day's curve, and its running share at four times."""
+    """One row: ratios of the day's curve (08:00 to 05:00, 17:15 to 21:00, afternoon to morning peak, busiest to quietest bin by total), and its running share up to and with four times."""
     t, v = F.col("time_bin"), F.col("avg_daily_volume")
     top = lambda a, b: F.max(F.when((t >= a) & (t < b), v))
     at = lambda x: F.sum(F.when(t == x, v))
-    share = lambda x: C.pct(F.sum(F.when(t < x, F.col("total_volume")).otherwise(0)), F.sum("total_volume"))
+    share = lambda x: C.pct(F.sum(F.when(t <= x, F.col("total_volume")).otherwise(0)), F.sum("total_volume"))
+    total = lambda order: F.min_by("total_volume", F.struct(order, t))
     return bins.agg(
-        C.safe_div(at("08:00"), at("05:00")).alias("morning_ramp"), C.safe_div(at("21:00"), at("17:00")).alias("evening_decay"), C.safe_div(top("15:00", "19:00"), top("06:00", "10:00")).alias("pm_to_am_peak"), C.safe_div(F.max(v), F.min(v)).alias("peak_to_quiet"),
+        C.safe_div(at("08:00"), at("05:00")).alias("morning_ramp"), C.safe_div(at("17:15"), at("21:00")).alias("evening_decay"), C.safe_div(top("13:00", "19:00"), top("05:00", "11:00")).alias("pm_to_am_peak"), C.safe_div(total(-v), total(v)).alias("peak_to_quiet"),
         *[share(f"{h}:00").alias(f"share_by_{h}") for h in ("09", "12", "17", "19")],
     )
 
@@ -111,6 +112,11 @@ def era_profile(dow_month: DataFrame, era: Column) -> DataFrame:
     return out.select("era", "iso_dow", "avg_daily_volume", C.pct(F.col("avg_daily_volume"), friday).alias("friday_index"))
 
 
+def era_months(months: DataFrame, era: Column) -> DataFrame:
+    """Mean of the average day of each calendar month by era, from (month_label, avg_daily_volume)."""
+    return months.groupBy(era.alias("era"), F.substring("month_label", 6, 2).cast("int").alias("month_of_year")).agg(F.avg("avg_daily_volume").alias("avg_daily_volume"))
+
+
 def period_rows(obs: DataFrame, periods: list[tuple[str, str]]) -> DataFrame:
     """Observations of chosen days, with their period's name and number. The days are a literal table."""
     table = obs.sparkSession.createDataFrame([(d, n, i) for i, (d, n) in enumerate(periods, 1)], "d string, period string, sequence int").withColumn("d", F.to_date("d"))
@@ -136,8 +142,10 @@ def site_period_change(rows: DataFrame, periods: list[str]) -> DataFrame:
     return wide.withColumns({"collapse": F.col(b) - F.col(a), "collapse_pct": C.pct(F.col(b) - F.col(a), F.col(a)), "recovery_pct": C.pct(F.col(c) - F.col(b), F.col(b)), "recovery_index": C.pct(F.col(c), F.col(a))})
 
 
-def recovery_scatter(changes: DataFrame, baseline: str, floor: float) -> DataFrame:
-    """Sites whose baseline is at least the larger of ``floor`` and its 10th percentile."""
-    cut = changes.agg(F.greatest(F.lit(float(floor)), F.percentile(baseline, F.lit(0.1))).alias("cut"))
-    return changes.crossJoin(F.broadcast(cut)).filter(F.col(baseline) >= F.col("cut")).select("site_id", baseline, "collapse_pct", "recovery_index")
+def recovery_scatter(changes: DataFrame, periods: list[str], floor: float) -> DataFrame:
+    """Indices (baseline = 100) of the shock and of the busiest day, of sites whose baseline is at least the larger of ``floor`` and its 10th percentile; negative or missing ones go."""
+    base, shock, busiest = periods
+    cut = changes.agg(F.greatest(F.lit(float(floor)), F.percentile(base, F.lit(0.1))).alias("cut"))
+    kept = changes.crossJoin(F.broadcast(cut)).filter(F.col(base) >= F.col("cut"))
+    return kept.select("site_id", base, C.pct(F.col(shock), F.col(base)).alias("shock_index"), C.pct(F.col(busiest), F.col(base)).alias("busiest_index")).filter("shock_index >= 0 and busiest_index >= 0")
 

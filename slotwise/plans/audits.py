@@ -11,10 +11,11 @@ from slotwise.plans.base import add
 from slotwise.plans.profiles import _WIDE, _r6
 
 K = "site_id, count_date, detector_id, interval_index"
+_COLUMNS = [*core.KEYS, "volume_15m", "source_file_id", "source", "source_priority"]
 add("row_counts", lambda t: A.row_counts({"raw": t.raw, "raw_days": t.raw_days}), "SELECT count(*) AS n_rows, 'raw' AS table_name FROM raw UNION ALL SELECT count(*), 'raw_days' FROM raw_days")
 add("coverage_dates", lambda t: t.raw.agg(F.min("count_date").alias("first_date"), F.max("count_date").alias("last_date"), F.countDistinct("count_date").alias("dates")), "SELECT min(count_date) AS first_date, max(count_date) AS last_date, count(DISTINCT count_date) AS dates FROM raw")
 add("coverage_keys", lambda t: t.raw.agg(F.countDistinct("site_id").alias("sites"), F.countDistinct("detector_id").alias("detectors"), F.countDistinct("source_file_id").alias("files")), "SELECT count(DISTINCT site_id) AS sites, count(DISTINCT detector_id) AS detectors, count(DISTINCT source_file_id) AS files FROM raw")
-add("null_counts", lambda t: A.null_counts(t.raw_days, ["site_id", "volume_15m"]), "SELECT 'site_id' AS column_name, count(*) FILTER (site_id IS NULL) AS nulls FROM raw_days UNION ALL SELECT 'volume_15m', count(*) FILTER (volume_15m IS NULL) FROM raw_days")
+add("null_counts", lambda t: A.null_counts(t.raw_days, _COLUMNS), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM raw_days" for c in _COLUMNS))
 add("duplicate_excess", lambda t: A.duplicate_excess(t.raw, core.KEYS), f"SELECT sum(n)::BIGINT AS n_rows, count(*) AS distinct_keys, sum(n - 1)::BIGINT AS duplicate_excess FROM (SELECT count(*) AS n FROM raw GROUP BY {K})")
 add("duplicate_groups", lambda t: A.duplicate_groups(t.raw, core.KEYS), f"SELECT {K}, count(*) AS n_rows FROM raw GROUP BY {K} HAVING count(*) > 1")
 add("duplicate_summary", lambda t: A.duplicate_summary(t.raw, core.KEYS), f"SELECT source, count(*) AS duplicate_keys, sum(n)::BIGINT AS duplicate_rows, max(n) AS largest FROM (SELECT source, count(*) AS n FROM raw GROUP BY source, {K} HAVING count(*) > 1) GROUP BY 1")
@@ -29,13 +30,12 @@ _RVC = "sum(volume_15m)::BIGINT AS raw_volume, sum(volume_15m) FILTER (volume_15
 add("raw_vs_clean", lambda t: A.raw_vs_clean(t.raw_days), f"SELECT *, clean_volume - raw_volume AS gap FROM (SELECT {_RVC})")
 add("raw_vs_clean_by_site", lambda t: A.raw_vs_clean(t.raw_days, "site_id"), f"SELECT *, clean_volume - raw_volume AS gap FROM (SELECT site_id, {_RVC} GROUP BY 1)")
 add("raw_vs_clean_by_day", lambda t: core.top(A.raw_vs_clean(t.raw_days, "count_date"), 10, "gap", "count_date"), f"SELECT *, clean_volume - raw_volume AS gap, row_number() OVER (ORDER BY clean_volume - raw_volume DESC, count_date)::INTEGER AS rank FROM (SELECT count_date, {_RVC} GROUP BY 1) QUALIFY rank <= 10")
-_HOLES = ", p AS (SELECT * FROM raw WHERE day(count_date) <> 13)"
-holes = lambda t: t.raw.filter(F.dayofmonth("count_date") != 13)
+_HOLES = ", p AS (SELECT * FROM raw)"
 _CALD = ", cal AS (SELECT unnest(generate_series(min(count_date), max(count_date), INTERVAL 1 DAY))::DATE AS count_date FROM p)"
-add("missing_dates", lambda t: A.missing_dates(holes(t)), _HOLES + _CALD + " SELECT count_date FROM cal WHERE count_date NOT IN (SELECT count_date FROM p)")
+add("missing_dates", lambda t: A.missing_dates(t.raw), _HOLES + _CALD + " SELECT count_date FROM cal WHERE count_date NOT IN (SELECT count_date FROM p)")
 add("file_usage", lambda t: core.top(A.file_usage(t.raw), 50, "n_rows", "source_file_id"), "SELECT source_file_id, count(*) AS n_rows, min(count_date) AS first_date, max(count_date) AS last_date, count(DISTINCT site_id) AS sites, row_number() OVER (ORDER BY count(*) DESC, source_file_id)::INTEGER AS rank FROM raw GROUP BY 1 QUALIFY rank <= 50")
 add("bad_daily_totals", lambda t: t.raw_days.groupBy("site_id", "count_date", "detector_id").agg(F.sum("volume_15m").alias("v")).agg(F.count_if(F.col("v") < 0).alias("bad_days")), "SELECT count(*) AS bad_days FROM (SELECT sum(volume_15m) AS v FROM raw_days GROUP BY site_id, count_date, detector_id) WHERE v < 0")
-add("audit_verdict", lambda t: A.audit_verdict(holes(t), core.KEYS), _HOLES + _CALD + f" SELECT *, value = 0 AS ok FROM (SELECT 'bad_slots' AS check_name, count(*) FILTER (interval_index NOT BETWEEN 0 AND 95) AS value FROM p UNION ALL SELECT 'negative_rows', count(*) FILTER (volume_15m < 0) FROM p UNION ALL SELECT 'missing_dates', count(*) FROM cal WHERE count_date NOT IN (SELECT count_date FROM p) UNION ALL SELECT 'duplicate_excess', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM p GROUP BY {K}))")
+add("audit_verdict", lambda t: A.audit_verdict(t.raw, core.KEYS), _HOLES + _CALD + f" SELECT *, value = 0 AS ok FROM (SELECT 'bad_slots' AS check_name, count(*) FILTER (interval_index NOT BETWEEN 0 AND 95) AS value FROM p UNION ALL SELECT 'negative_rows', count(*) FILTER (volume_15m < 0) FROM p UNION ALL SELECT 'missing_dates', count(*) FROM cal WHERE count_date NOT IN (SELECT count_date FROM p) UNION ALL SELECT 'duplicate_excess', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM p GROUP BY {K}))")
 _COV = "count(*) AS n_rows, count(DISTINCT count_date) AS dates, count(DISTINCT strftime(count_date, '%Y-%m')) AS months, count(DISTINCT site_id) AS sites, count(DISTINCT (site_id, detector_id)) AS detectors, sum(volume_15m)::BIGINT AS total_volume"
 add("source_contribution", lambda t: A.coverage_by(t.raw, "source"), f"SELECT source, {_COV} FROM raw GROUP BY 1")
 add("coverage_by_month", lambda t: A.coverage_by(t.raw.withColumn("month_label", C.month_label(F.col("count_date"))), "source", "month_label"), f"SELECT source, strftime(count_date, '%Y-%m') AS month_label, {_COV} FROM raw GROUP BY 1, 2")
@@ -45,10 +45,15 @@ _SLOTS = _WIDE + ", dd AS (SELECT source, count(DISTINCT (site_id, count_date, d
 _TB = "printf('%02d:%02d', interval_index // 4, interval_index % 4 * 15) AS time_bin, (detector_days - null_count)::DOUBLE * 100 / detector_days AS coverage_pct"
 add("slot_quality", lambda t: A.slot_quality(t.wide, "source"), _SLOTS + f" SELECT *, {_TB} FROM f")
 add("slot_coverage", lambda t: A.slot_quality(t.wide).select("interval_index", "detector_days", "null_count", "coverage_pct"), _SLOTS + " SELECT interval_index, sum(detector_days)::BIGINT AS detector_days, sum(null_count)::BIGINT AS null_count, (sum(detector_days) - sum(null_count))::DOUBLE * 100 / sum(detector_days) AS coverage_pct FROM f GROUP BY 1")
-add("monthly_quality", lambda t: _r6(A.monthly_quality(t.raw), "z_score"), ", x AS (SELECT strftime(count_date, '%Y-%m') AS month_label, avg(volume_15m) AS mean_volume, min(volume_15m) AS min_volume, max(volume_15m) AS max_volume FROM raw GROUP BY 1), z AS (SELECT *, (mean_volume - avg(mean_volume) OVER ()) / stddev_samp(mean_volume) OVER () AS z FROM x) SELECT month_label, mean_volume, min_volume, max_volume, round(z, 6) AS z_score, CASE WHEN z >= 2 THEN 'high' WHEN z <= -2 THEN 'low' ELSE 'normal' END AS flag FROM z")
+add(
+    "monthly_quality",
+    lambda t: _r6(A.monthly_quality(t.raw), "rows_zscore"),
+    ", x AS (SELECT strftime(count_date, '%Y-%m') AS month_label, count(*) AS n_rows, count(DISTINCT count_date) AS days_present, count(DISTINCT site_id) AS distinct_sites, sum(volume_15m)::BIGINT AS total_volume, avg(volume_15m) AS mean_volume, min(volume_15m) AS min_volume, max(volume_15m) AS max_volume FROM raw GROUP BY 1), "
+    "z AS (SELECT *, coalesce((n_rows - avg(n_rows) OVER ()) / nullif(stddev_samp(n_rows) OVER (), 0), 0) AS z FROM x) SELECT * EXCLUDE (z), round(z, 6) AS rows_zscore, z < -2 AS low_row_count, z > 2 AS high_row_count FROM z",
+)
 add("detector_stability", lambda t: A.detector_stability(t.raw), ", d AS (SELECT count(DISTINCT count_date) AS d FROM raw GROUP BY site_id, detector_id) SELECT count(*) AS detectors, avg(d) AS mean_days, median(d)::DOUBLE AS median_days, max(d) AS max_days, min(d) AS min_days FROM d")
-_MA = ", k AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM raw), s AS (SELECT strftime(count_date, '%Y-%m') AS l, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n FROM raw WHERE strftime(count_date, '%Y-%m') <> '1996-05' GROUP BY 1), ma AS (SELECT strftime(m, '%Y-%m') AS month_label, year(m)::INTEGER AS year, coalesce(sources, '') AS sources, coalesce(n, 0) AS source_count, CASE WHEN strftime(m, '%Y-%m') = '1996-05' THEN 'Known unavailable' WHEN strftime(m, '%Y-%m') = '2001-11' THEN 'Partial final' WHEN n > 0 THEN 'Detected' ELSE 'Missing' END AS status FROM k LEFT JOIN s ON l = strftime(m, '%Y-%m'))"
-months = lambda t: A.month_audit(t.raw.filter(C.month_label(F.col("count_date")) != "1996-05"), core.month_calendar(t.raw, extra=1), ["1996-05"], ["2001-11"])
+_MA = ", k AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM raw), s AS (SELECT strftime(count_date, '%Y-%m') AS l, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n FROM raw GROUP BY 1), ma AS (SELECT strftime(m, '%Y-%m') AS month_label, year(m)::INTEGER AS year, coalesce(sources, '') AS sources, coalesce(n, 0) AS source_count, CASE WHEN strftime(m, '%Y-%m') = '1996-05' THEN 'Known unavailable' WHEN strftime(m, '%Y-%m') = '2001-11' THEN 'Partial final' WHEN n > 0 THEN 'Detected' ELSE 'Missing' END AS status FROM k LEFT JOIN s ON l = strftime(m, '%Y-%m'))"
+months = lambda t: A.month_audit(t.raw, core.month_calendar(t.raw, extra=1), ["1996-05"], ["2001-11"])
 add("month_audit", months, _MA + " SELECT * FROM ma")
 add("year_audit", lambda t: A.year_audit(months(t)), _MA + " SELECT year, count(*) AS expected_months, count(*) FILTER (source_count > 0) AS detected_months, count(*) FILTER (status = 'Detected') AS valid_months, count(*) FILTER (status = 'Missing') AS unexplained_missing FROM ma GROUP BY 1")
 add("unified_summary", lambda t: A.unified_summary(t.raw_days), "SELECT strftime(count_date, '%Y-%m') AS month_label, count(*) AS n_rows, count(*) FILTER (volume_15m IS NULL) AS null_rows, count(*) FILTER (volume_15m < 0) AS negative_rows, count(DISTINCT count_date) AS dates FROM raw_days GROUP BY 1")

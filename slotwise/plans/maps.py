@@ -22,7 +22,12 @@ _E = _P + ", en AS (SELECT site_id, site_name, latitude, longitude, count_date,
 add("pulse", pulse, _P + " SELECT * FROM pl")
 add("enrich_pulse", lambda t: full(t).withColumn("volume_log", F.round("volume_log", 9)).drop("ts"), _E + " SELECT * EXCLUDE (ts) FROM en")
 add("intensity_band", lambda t: E.intensity_band(full(t).select("site_id", "count_date", "time_bin", "volume")), _E + ", q AS (SELECT quantile_cont(volume, 0.5) AS a, quantile_cont(volume, 0.75) AS b, quantile_cont(volume, 0.9) AS c, quantile_cont(volume, 0.98) AS d FROM en) SELECT site_id, count_date, time_bin, volume, CASE WHEN volume >= d THEN 'extreme' WHEN volume >= c THEN 'very high' WHEN volume >= b THEN 'high' WHEN volume >= a THEN 'medium' ELSE 'low' END AS intensity_band FROM en, q")
-add("am_pm_pulse", lambda t: E.am_pm(full(t)).select("site_id", "count_date", "time_bin", "volume", "part", "display_longitude"), _E + " SELECT site_id, count_date, time_bin, volume, CASE WHEN time_bin < '12:00' THEN 'AM' ELSE 'PM' END AS part, longitude + CASE WHEN time_bin < '12:00' THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS display_longitude FROM en WHERE (time_bin >= '07:00' AND time_bin < '10:00') OR (time_bin >= '16:00' AND time_bin < '19:00')")
+add(
+    "am_pm_pulse",
+    lambda t: E.am_pm(full(t)).select("site_id", "count_date", "time_bin", "volume", "peak_period", "comparison_longitude", "comparison_latitude"),
+    _E + " SELECT site_id, count_date, time_bin, volume, CASE WHEN time_bin < '12:00' THEN 'AM Peak 07:00-10:00' ELSE 'PM Peak 16:00-19:00' END AS peak_period, longitude + CASE WHEN time_bin < '12:00' THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS comparison_longitude, latitude AS comparison_latitude FROM en "
+    "WHERE (time_bin >= '07:00' AND time_bin < '10:00') OR (time_bin >= '16:00' AND time_bin < '19:00')",
+)
 add("overnight_pulse", lambda t: E.overnight(pulse(t)), _P + " SELECT * FROM pl WHERE time_bin < '05:00'")
 add("comparison_pulse", lambda t: rows(t).groupBy("period", "sequence", "site_id", "time_bin").agg(F.sum("volume_15m").alias("volume")).withColumn("animation_minute", (F.col("sequence") - 1) * 1440 + C.time_bin_to_minutes(F.col("time_bin"))), _PER + " SELECT period, CASE period WHEN 'baseline' THEN 1 WHEN 'shock' THEN 2 ELSE 3 END AS sequence, site_id, time_bin, sum(volume_15m)::BIGINT AS volume, (sequence - 1) * 1440 + time_bin[1:2]::INTEGER * 60 + time_bin[4:5]::INTEGER AS animation_minute FROM pr GROUP BY 1, 2, 3, 4")
 add("seasonal_pulse", lambda t: t.sm.join(F.broadcast(core.top(t.site_totals, 20, "total_volume", "site_id").select("site_id", "rank")), "site_id").join(F.broadcast(S.valid_coordinates(t.sites).select("site_id", "latitude", "longitude")), "site_id").withColumn("season", C.season(F.substring("month_label", 6, 2).cast("int"))), " SELECT month_label, site_id, month_site_volume, rank, latitude, longitude, CASE WHEN month_label[6:7] IN ('12', '01', '02') THEN 'Summer' WHEN month_label[6:7] <= '05' THEN 'Autumn' WHEN month_label[6:7] <= '08' THEN 'Winter' ELSE 'Spring' END AS season FROM sm JOIN (SELECT site_id, rank FROM rk WHERE rank <= 20) USING (site_id) JOIN sites USING (site_id) WHERE latitude BETWEEN -39.5 AND -36 AND longitude BETWEEN 143 AND 147.5")
@@ -34,4 +39,4 @@ add("unmatched_sites", lambda t: site_map(t).filter("not has_coordinates").selec
 add("ranked_locations", lambda t: core.top(t.site_totals.join(F.broadcast(S.valid_coordinates(t.sites)), "site_id").select("site_id", "total_volume", C.friendly_name(F.regexp_replace("site_name", "[#0-9]+", " RD"), F.col("site_id")).alias("display_name")), 20, "total_volume", "site_id"), ", v AS (SELECT st.*, 'Supplier Road' AS display_name FROM st JOIN sites USING (site_id) WHERE latitude IS NOT NULL) SELECT *, row_number() OVER (ORDER BY total_volume DESC, site_id)::INTEGER AS rank FROM v QUALIFY rank <= 20")
 add("coordinates_on_variability", lambda t: _r6(S.site_features(t.sm), "cv").select("site_id", "cv").join(F.broadcast(t.sites.select("site_id", "latitude", "longitude")), "site_id", "left"), "SELECT site_id, round(stddev_samp(month_site_volume) / avg(month_site_volume), 6) AS cv, any_value(latitude) AS latitude, any_value(longitude) AS longitude FROM sm LEFT JOIN sites USING (site_id) GROUP BY 1")
 add("calendar_functions", lambda t: t.daily.select("count_date", F.year("count_date").alias("y"), F.month("count_date").alias("m"), C.iso_dow(F.col("count_date")).alias("d"), F.weekofyear("count_date").alias("w"), F.extract(F.lit("yearofweek"), "count_date").alias("iy"), F.dayofyear("count_date").alias("doy"), F.trunc("count_date", "month").alias("month_start"), F.last_day("count_date").alias("month_end"), C.month_label(F.col("count_date")).alias("label")), "SELECT count_date, year(count_date)::INTEGER AS y, month(count_date)::INTEGER AS m, isodow(count_date)::INTEGER AS d, week(count_date)::INTEGER AS w, isoyear(count_date)::INTEGER AS iy, dayofyear(count_date)::INTEGER AS doy, date_trunc('month', count_date)::DATE AS month_start, last_day(count_date) AS month_end, strftime(count_date, '%Y-%m') AS label FROM daily")
-add("text_functions", lambda t: t.sites.select("site_id", C.clean_site_id(F.concat(F.lit("Site "), F.col("site_id").cast("string"), F.lit(".0"))).alias("parsed"), C.clean_label(F.concat(F.lit("  "), "municipality", F.lit("   x "))).alias("label"), C.trim_time_bin(F.lit("07:15:00")).alias("trimmed"), C.time_bin_to_minutes(F.lit("07:15:00")).alias("minutes"), F.format_number(F.col("site_id") * 1000, 0).alias("shown")), "SELECT site_id, site_id::BIGINT AS parsed, municipality || ' x' AS label, '07:15' AS trimmed, 435 AS minutes, format('{:,}', site_id * 1000) AS shown FROM sites")
+add("text_functions", lambda t: t.sites.select("site_id", C.clean_site_id(F.concat(F.lit("Site "), F.col("site_id").cast("string"), F.lit(".0"))).alias("parsed"), C.clean_label(F.concat(F.lit("  "), "municipality", F.lit("   x "))).alias("label"), C.trim_time_bin(F.lit("07:15:00")).alias("trimmed"), C.time_bin_to_minutes(F.lit("07:15:00")).alias("minutes"), C.time_bin_to_minutes((F.col("site_id") * 5).cast("string")).alias("slot_minutes"), F.format_number(F.col("site_id") * 1000, 0).alias("shown")), "SELECT site_id, site_id::BIGINT AS parsed, municipality || ' x' AS label, '07:15' AS trimmed, 435 AS minutes, CASE WHEN site_id * 5 < 96 THEN site_id * 75 END AS slot_minutes, format('{:,}', site_id * 1000) AS shown FROM sites")

@@ -68,9 +68,16 @@ _SHARE = "am_volume::DOUBLE * 100 / nullif(total_volume, 0) AS am_share_pct, pm_
 add("peak_shares", lambda t: core.peak_shares(t.obs, C.month_label(DATE).alias("month_label")), f", x AS (SELECT strftime(count_date, '%Y-%m') AS month_label, {_PEAK} GROUP BY 1) SELECT *, {_SHARE} FROM x")
 add("peak_shares_overall", lambda t: core.peak_shares(t.obs), f", x AS (SELECT {_PEAK}) SELECT *, {_SHARE} FROM x")
 add("day_part_shares", lambda t: core.day_part_shares(t.obs),
-    ", x AS (SELECT sum(volume_15m)::BIGINT AS total_volume, " + ", ".join(f"coalesce(sum(volume_15m) FILTER ({c}), 0)::BIGINT AS {n}" for n, c in (("am_peak", "time_bin >= '07:00' AND time_bin < '10:00'"), ("pm_peak", "time_bin >= '16:00' AND time_bin < '19:00'"), ("overnight", "time_bin < '05:00'"), ("before_9am", "time_bin < '09:00'"), ("after_6pm", "time_bin >= '18:00'"))) + " FROM obs) SELECT *, " + ", ".join(f"round({n}::DOUBLE * 100 / total_volume, 2) AS {n}_pct" for n in ("am_peak", "pm_peak", "overnight", "before_9am", "after_6pm")) + " FROM x")
-add("peak_hour_summary", lambda t: P.peak_hour_summary(bins(t)),
-    ", " + ", ".join(f"{n} AS (SELECT * FROM bins WHERE {c} ORDER BY avg_daily_volume DESC, time_bin LIMIT 1)" for n, c in (("a", "true"), ("b", "time_bin < '12:00'"), ("c", "time_bin >= '12:00'"))) + " SELECT a.time_bin AS peak_time_bin, a.avg_daily_volume AS peak_avg, b.time_bin AS am_peak_time_bin, b.avg_daily_volume AS am_peak_avg, c.time_bin AS pm_peak_time_bin, c.avg_daily_volume AS pm_peak_avg FROM a, b, c")
+    ", x AS (SELECT sum(volume_15m)::BIGINT AS total_volume, " + ", ".join(f"coalesce(sum(volume_15m) FILTER ({c}), 0)::BIGINT AS {n}" for n, c in (("am_peak", "time_bin >= '07:00' AND time_bin < '10:00'"), ("pm_peak", "time_bin >= '16:00' AND time_bin < '19:00'"), ("overnight", "time_bin < '06:00'"), ("before_9am", "time_bin < '09:00'"), ("after_6pm", "time_bin >= '18:00'"))) + " FROM obs) SELECT *, " + ", ".join(f"round({n}::DOUBLE * 100 / total_volume, 2) AS {n}_pct" for n in ("am_peak", "pm_peak", "overnight", "before_9am", "after_6pm")) + " FROM x")
+_PEAK_BEST = "(SELECT time_bin, v FROM tb WHERE {0} ORDER BY v DESC, time_bin LIMIT 1)"
+add(
+    "peak_hour_summary",
+    lambda t: P.peak_hour_summary(P.time_bin_profile(t.obs)),
+    ", mb AS (SELECT strftime(count_date, '%Y-%m') AS l, time_bin, sum(volume_15m)::BIGINT AS v, count(DISTINCT count_date) AS d FROM obs GROUP BY 1, 2), tb AS (SELECT time_bin, sum(v)::BIGINT AS v FROM mb GROUP BY 1), "
+    "td AS (SELECT sum(d)::DOUBLE AS d FROM (SELECT l, max(d) AS d FROM mb GROUP BY 1)) SELECT a.time_bin AS peak_time_bin, a.v AS peak_volume, a.v / d AS peak_avg, b.time_bin AS am_peak_time_bin, b.v AS am_peak_volume, b.v / d AS am_peak_avg, "
+    "c.time_bin AS pm_peak_time_bin, c.v AS pm_peak_volume, c.v / d AS pm_peak_avg FROM td, "
+    + f"{_PEAK_BEST.format('true')} a, " + _PEAK_BEST.format("time_bin >= '07:00' AND time_bin < '10:00'") + " b, " + _PEAK_BEST.format("time_bin >= '16:00' AND time_bin < '19:00'") + " c",
+)
 add("seasonal_table", lambda t: core.profile(t.obs, **MOY()).select("month_of_year", "avg_daily_volume", C.season(F.col("month_of_year")).alias("season")), "SELECT month_of_year, avg_daily_volume, CASE WHEN month_of_year IN (12, 1, 2) THEN 'Summer' WHEN month_of_year <= 5 THEN 'Autumn' WHEN month_of_year <= 8 THEN 'Winter' ELSE 'Spring' END AS season FROM moy")
 add("year_table", lambda t: core.profile(t.obs, **YEAR()).select("year", "total_volume", "avg_daily_volume"), "SELECT year, total_volume, avg_daily_volume FROM yearly")
 add("site_extreme_slots", lambda t: P.site_extreme_slots(t.obs), "SELECT site_id, max(volume_15m) AS max_slot_volume, min(volume_15m) FILTER (volume_15m > 0) AS min_nonzero_slot_volume FROM obs GROUP BY 1")
@@ -95,10 +102,22 @@ add("top_weeks", lambda t: P.top_weeks(t.daily), "SELECT printf('%d-W%02d', isoy
 add("weekday_average", lambda t: t.daily.groupBy(F.date_format("count_date", "EEEE").alias("day_name")).agg(F.avg("day_total_volume").alias("avg_volume")), "SELECT dayname(count_date) AS day_name, avg(day_total_volume) AS avg_volume FROM daily GROUP BY 1")
 add("weekend_evolution", lambda t: P.matrix(t.daily.withColumn("weekend", (C.iso_dow(DATE) >= 6).cast("int")), F.year("count_date").alias("year"), "weekend", [0, 1], "day_total_volume", F.avg).select("year", F.col("0").alias("weekday_avg"), F.col("1").alias("weekend_avg")), "SELECT year(count_date)::INTEGER AS year, avg(day_total_volume) FILTER (isodow(count_date) < 6) AS weekday_avg, avg(day_total_volume) FILTER (isodow(count_date) >= 6) AS weekend_avg FROM daily GROUP BY 1")
 add("month_seasonality", lambda t: t.monthly.groupBy(F.substring("month_label", 6, 2).cast("int").alias("month_of_year")).agg(F.avg("month_total_volume").alias("avg_month_volume")), "SELECT month_label[6:7]::INTEGER AS month_of_year, avg(month_total_volume) AS avg_month_volume FROM monthly GROUP BY 1")
-add("seasonal_index", lambda t: _r6(P.seasonal_index(t.monthly), "mean", "sd", "seasonal_index"), ", x AS (SELECT month_label[6:7]::INTEGER AS month_of_year, avg(month_total_volume) AS mean, median(month_total_volume)::DOUBLE AS median, stddev_samp(month_total_volume) AS sd, count(*) AS months, count(DISTINCT month_label[1:4]) AS years FROM monthly GROUP BY 1) SELECT month_of_year, round(mean, 6) AS mean, median, round(sd, 6) AS sd, months, years, round(mean * 100 / avg(mean) OVER (), 6) AS seasonal_index FROM x")
+add(
+    "seasonal_index",
+    lambda t: _r6(P.seasonal_index(core.profile(t.obs, month_label=C.month_label(DATE))), "avg_daily_volume", "median_daily_volume", "std_daily_volume", "seasonal_index"),
+    ", m AS (SELECT strftime(count_date, '%Y-%m') AS l, sum(volume_15m)::BIGINT AS v, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS a FROM obs GROUP BY 1), x AS (SELECT l[6:7]::INTEGER AS month_of_year, avg(a) AS m, median(a) AS md, avg(v) AS avg_monthly_volume, "
+    "sum(v)::BIGINT AS total_volume, stddev_samp(a) AS sd, count(DISTINCT l) AS months_seen, count(DISTINCT l[1:4]) AS years_seen FROM m GROUP BY 1) SELECT month_of_year, round(m, 6) AS avg_daily_volume, round(md, 6) AS median_daily_volume, avg_monthly_volume, total_volume, "
+    "round(sd, 6) AS std_daily_volume, months_seen, years_seen, round(m * 100 / avg(m) OVER (), 6) AS seasonal_index FROM x",
+)
 add("month_share_of_year", lambda t: _r6(P.month_share_of_year(t.monthly), "avg_share_pct"), ", x AS (SELECT *, month_total_volume::DOUBLE * 100 / sum(month_total_volume) OVER (PARTITION BY month_label[1:4]) AS s FROM monthly) SELECT month_label[6:7]::INTEGER AS month_of_year, round(avg(s), 6) AS avg_share_pct FROM x GROUP BY 1")
-add("day_segments", lambda t: P.day_segments(bins(t)), ", x AS (SELECT CASE WHEN time_bin < '05:00' THEN 'Overnight' WHEN time_bin < '10:00' THEN 'Morning' WHEN time_bin < '15:00' THEN 'Midday' WHEN time_bin < '19:00' THEN 'Evening' ELSE 'Night' END AS segment, sum(total_volume)::BIGINT AS total_volume, count(*) AS bins FROM bins GROUP BY 1) SELECT *, total_volume::DOUBLE * 100 / sum(total_volume) OVER () AS share_pct FROM x")
-add("window_stats", lambda t: P.window_stats(bins(t)), ", w(window_name, a, b) AS (VALUES ('am_peak', '07:00', '10:00'), ('interpeak', '10:00', '16:00'), ('pm_peak', '16:00', '19:00'), ('late_night', '22:00', '05:00')), j AS (SELECT * FROM w JOIN bins ON CASE WHEN a <= b THEN time_bin >= a AND time_bin < b ELSE time_bin >= a OR time_bin < b END) SELECT window_name, count(*) AS bins, sum(total_volume)::BIGINT AS volume, sum(total_volume)::DOUBLE * 100 / (SELECT sum(total_volume) FROM bins) AS share_pct, arg_max(time_bin, (total_volume, -(time_bin[1:2]::INTEGER * 60 + time_bin[4:5]::INTEGER))) AS strongest_bin FROM j GROUP BY 1")
+add("day_segments", lambda t: P.day_segments(bins(t)), ", x AS (SELECT CASE WHEN time_bin < '05:00' THEN 'Overnight Quiet' WHEN time_bin < '10:00' THEN 'Morning Build' WHEN time_bin < '15:00' THEN 'Business-Day Plateau' WHEN time_bin < '19:00' THEN 'Afternoon Peak' ELSE 'Evening Decline' END AS segment, sum(total_volume)::BIGINT AS total_volume, count(*) AS bins FROM bins GROUP BY 1) SELECT *, total_volume::DOUBLE * 100 / sum(total_volume) OVER () AS share_pct FROM x")
+add(
+    "window_stats",
+    lambda t: _r6(P.window_stats(bins(t)), "avg_daily_volume_sum"),
+    ", w(window_name, a, b) AS (VALUES ('Morning Peak Window 07:00–09:30', '07:00', '09:30'), ('Midday Plateau 10:00–15:00', '10:00', '15:00'), ('Afternoon Peak Window 16:00–18:30', '16:00', '18:30'), ('Overnight Baseline 00:00–05:00', '00:00', '05:00')), "
+    "j AS (SELECT * FROM w JOIN bins ON time_bin >= a AND time_bin < b) SELECT window_name, count(*) AS bins, sum(total_volume)::BIGINT AS volume, round(sum(avg_daily_volume), 6) AS avg_daily_volume_sum, sum(total_volume)::DOUBLE * 100 / (SELECT sum(total_volume) FROM bins) AS share_pct, "
+    "arg_max(time_bin, (avg_daily_volume, -(time_bin[1:2]::INTEGER * 60 + time_bin[4:5]::INTEGER))) AS strongest_bin, max(avg_daily_volume) AS strongest_bin_avg FROM j GROUP BY 1",
+)
 add("daily_summary", lambda t: P.daily_summary(t.daily), ", x AS (SELECT *, day_total_volume - lag(day_total_volume) OVER (ORDER BY count_date) AS c FROM daily) SELECT count(*) AS days, avg(day_total_volume) AS mean, median(day_total_volume)::DOUBLE AS median, max(day_total_volume) AS highest, min(day_total_volume) AS lowest, max(c) AS biggest_rise, min(c) AS biggest_fall FROM x")
 add("completion_summary", lambda t: core.monthly_totals(t.obs, core.month_calendar(t.obs, extra=1)).agg(F.count("*").alias("months_total"), F.count_if(F.col("row_type") == "data").alias("months_with_data"), F.expr("listagg(month_label, ',') WITHIN GROUP (ORDER BY month_label) FILTER (WHERE row_type = 'zero_row_month')").alias("zero_months")),
     ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs), x AS (SELECT strftime(m, '%Y-%m') AS l, month_total_volume AS v FROM cal LEFT JOIN monthly ON month_label = strftime(m, '%Y-%m')) SELECT count(*) AS months_total, count(v) AS months_with_data, string_agg(l, ',' ORDER BY l) FILTER (v IS NULL) AS zero_months FROM x")

@@ -32,7 +32,7 @@ _G = ", gy AS (SELECT site_id, year(count_date)::INTEGER AS y, sum(volume_15m)::
 add("growth_by_year", lambda t: S.growth_by_year(t.obs), _G + " SELECT * FROM growth")
 for name, asc in (("rank_growth", False), ("rank_decline", True)):
     add(name, lambda t, asc=asc: core.top(S.growth_by_year(t.obs).filter("pct_change is not null"), 20, "pct_change", "site_id", asc=asc), _G + f" SELECT *, row_number() OVER (ORDER BY pct_change {'ASC' if asc else 'DESC'}, site_id)::INTEGER AS rank FROM growth WHERE pct_change IS NOT NULL QUALIFY rank <= 20")
-_RANKED = ", b AS (SELECT site_id, count(*) AS months_present, min(month_label) AS first_month, max(month_label) AS last_month, avg(month_site_volume) AS avg_monthly_volume, max(month_site_volume) AS max_monthly_volume, arg_max(month_label, (month_site_volume, -replace(month_label, '-', '')::INTEGER)) AS best_month FROM sm GROUP BY 1), ranked AS (SELECT rk.site_id, total_volume, months_present, first_month, last_month, avg_monthly_volume, max_monthly_volume, best_month, rank, cumulative_volume, total_volume::DOUBLE * 100 / network_volume AS percent_of_network, cumulative_volume::DOUBLE * 100 / network_volume AS cumulative_percent, CASE WHEN rank / sites::DOUBLE <= 0.01 THEN 'Top 1%' WHEN rank / sites::DOUBLE <= 0.05 THEN 'Top 5%' WHEN rank / sites::DOUBLE <= 0.1 THEN 'Top 10%' WHEN rank / sites::DOUBLE <= 0.25 THEN 'Top 25%' WHEN rank / sites::DOUBLE <= 0.5 THEN 'Top 50%' ELSE 'Other' END AS percentile_band FROM rk JOIN b USING (site_id))"
+_RANKED = ", b AS (SELECT site_id, count(*) AS months_present, min(month_label) AS first_month, max(month_label) AS last_month, avg(month_site_volume) AS avg_monthly_volume, max(month_site_volume) AS max_monthly_volume, arg_max(month_label, (month_site_volume, -replace(month_label, '-', '')::INTEGER)) AS best_month FROM sm GROUP BY 1), ranked AS (SELECT rk.site_id, total_volume, months_present, first_month, last_month, avg_monthly_volume, max_monthly_volume, best_month, rank, cumulative_volume, total_volume::DOUBLE * 100 / network_volume AS percent_of_network, cumulative_volume::DOUBLE * 100 / network_volume AS cumulative_percent, CASE WHEN rank / sites::DOUBLE <= 0.01 THEN 'Top 1%' WHEN rank / sites::DOUBLE <= 0.05 THEN 'Top 5%' WHEN rank / sites::DOUBLE <= 0.1 THEN 'Top 10%' WHEN rank / sites::DOUBLE <= 0.25 THEN 'Top 25%' WHEN rank / sites::DOUBLE <= 0.5 THEN 'Top 50%' ELSE 'Bottom 50%' END AS percentile_band FROM rk JOIN b USING (site_id))"
 add("site_rankings", lambda t: S.site_rankings(t.sm), _RANKED + " SELECT * FROM ranked")
 add("percentile_bands", lambda t: S.site_rankings(t.sm).groupBy("percentile_band").agg(F.count("*").alias("sites"), F.sum("total_volume").alias("total_volume")), _RANKED + " SELECT percentile_band, count(*) AS sites, sum(total_volume)::BIGINT AS total_volume FROM ranked GROUP BY 1")
 add("top_n_slices", lambda t: S.portfolio_simulation(rk(t), [10, 25, 50, 100]).select("portfolio_size", "sites", "captured_volume"), ", n(portfolio_size) AS (VALUES (10), (25), (50), (100)) SELECT portfolio_size, count(*) AS sites, sum(total_volume)::BIGINT AS captured_volume FROM n JOIN rk ON rank <= portfolio_size GROUP BY 1")
@@ -48,7 +48,8 @@ for name, asc in (("rank_volatile", False), ("rank_predictable", True)):
 add("semi_top", lambda t: core.semi_top(t.obs, 10).agg(F.count("*").alias("n_rows"), F.sum("volume_15m").alias("v")), "SELECT count(*) AS n_rows, sum(volume_15m)::BIGINT AS v FROM obs WHERE site_id IN (SELECT site_id FROM st ORDER BY total_volume DESC, site_id LIMIT 10)")
 add("with_coordinates", lambda t: core.top(t.site_totals, 100, "total_volume", "site_id").join(F.broadcast(t.sites), "site_id", "left").select("rank", "site_id", "total_volume", "site_name", "latitude", "longitude"), "SELECT rank, site_id, total_volume, site_name, latitude, longitude FROM rk LEFT JOIN sites USING (site_id) WHERE rank <= 100")
 add("missing_coordinates", lambda t: t.site_totals.join(t.sites, "site_id", "left").agg(F.count("*").alias("sites"), F.count_if(F.col("latitude").isNull()).alias("missing")), "SELECT count(*) AS sites, count(*) FILTER (latitude IS NULL) AS missing FROM st LEFT JOIN sites USING (site_id)")
-add("orphan_sites", lambda t: t.raw.select("site_id").distinct().join(t.sites.filter("site_id % 7 <> 0"), "site_id", "left_anti"), "SELECT DISTINCT site_id FROM raw WHERE site_id NOT IN (SELECT site_id FROM sites WHERE site_id % 7 <> 0)")
+add("orphan_sites", lambda t: S.orphans(t.raw, S.valid_coordinates(t.sites), "site_id"), "SELECT site_id, count(*) AS n_rows FROM raw WHERE site_id NOT IN (SELECT site_id FROM sites WHERE latitude BETWEEN -39.5 AND -36 AND longitude BETWEEN 143 AND 147.5) GROUP BY 1")
+add("orphan_files", lambda t: S.orphans(t.raw, t.read("orders").select(F.col("o_orderkey").alias("source_file_id")), "source_file_id").agg(F.count("*").alias("files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")), "SELECT count(DISTINCT source_file_id) AS files, count(*) AS n_rows FROM raw WHERE source_file_id NOT IN (SELECT o_orderkey FROM orders)")
 add("best_site_lookup", lambda t: S.best_site_lookup(t.sites.select("site_id", "site_name", "latitude", "longitude", F.lit(2).alias("lookup_order")).unionByName(t.sites.select("site_id", F.concat("municipality", F.lit(" "), "site_name").alias("site_name"), F.lit(-37.0).alias("latitude"), F.lit(None).cast("double").alias("longitude"), F.lit(1).alias("lookup_order")))), "SELECT site_id, municipality || ' ' || site_name AS site_name, -37::DOUBLE AS latitude, longitude FROM sites")
 _H = "2 * 6371000 * asin(sqrt(least(1, pow(sin((radians(p.latitude) - radians(f.latitude)) / 2), 2) + cos(radians(p.latitude)) * cos(radians(f.latitude)) * pow(sin((radians(p.longitude) - radians(f.longitude)) / 2), 2))))"
 add("nearest_within", lambda t: _r6(S.nearest_within(t.sites, t.features, 3000.0), "metres"), f", f AS (SELECT c_custkey AS feature_id, -37.8::DOUBLE + (c_custkey % 997 - 498) / 2e3 AS latitude, 145::DOUBLE + (c_custkey % 991 - 495) / 2e3 AS longitude FROM customer), d AS (SELECT p.site_id, f.feature_id, {_H} AS m FROM sites p, f) SELECT site_id, feature_id, round(m, 6) AS metres FROM d WHERE m <= 3000 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY m, feature_id) = 1")

@@ -18,8 +18,8 @@ dow_month = lambda t: core.profile(t.obs, month_label=C.month_label(DATE), iso_d
 add("rolling_mean", lambda t: _r6(T.rolling_mean(T.rolling_mean(t.daily, "count_date", "day_total_volume", 7, 3, "mean_7"), "count_date", "day_total_volume", 30, 10, "mean_30"), "mean_7", "mean_30"),
     "SELECT *, round(CASE WHEN count(*) OVER a >= 3 THEN avg(day_total_volume) OVER a END, 6) AS mean_7, round(CASE WHEN count(*) OVER b >= 10 THEN avg(day_total_volume) OVER b END, 6) AS mean_30 FROM daily WINDOW a AS (ORDER BY count_date ROWS 6 PRECEDING), b AS (ORDER BY count_date ROWS 29 PRECEDING)")
 add("daily_change", lambda t: t.daily.withColumn("change", F.col("day_total_volume") - F.lag("day_total_volume").over(Window.orderBy("count_date"))), "SELECT *, day_total_volume - lag(day_total_volume) OVER (ORDER BY count_date) AS change FROM daily")
-_MASK = ", g AS (SELECT month_label, CASE WHEN month_label IN ('1995-03', '2001-12') THEN 0 ELSE month_total_volume END AS v FROM monthly), m AS (SELECT month_label, CASE WHEN NOT (month_label IN ('1995-03', '2001-12') AND v = 0) THEN v END AS month_total_volume FROM g)"
-gapped = lambda t: T.mask_gaps(t.monthly.withColumn("month_total_volume", F.when(F.col("month_label").isin("1995-03", "2001-12"), 0).otherwise(F.col("month_total_volume"))), ["1995-03", "2001-12"])
+_MASK = ", g AS (SELECT month_label, month_total_volume AS v FROM monthly), m AS (SELECT month_label, CASE WHEN NOT (month_label IN ('1995-03', '2001-12') AND v = 0) THEN v END AS month_total_volume FROM g)"
+gapped = lambda t: T.mask_gaps(t.monthly, ["1995-03", "2001-12"])
 add("mask_gaps_rolling_6", lambda t: _r6(T.rolling_mean(gapped(t), "month_label", "month_total_volume", 6, 1, "mean_6"), "mean_6"), _MASK + " SELECT *, round(avg(month_total_volume) OVER (ORDER BY month_label ROWS 5 PRECEDING), 6) AS mean_6 FROM m")
 add("drop_partial_tail", lambda t: T.drop_partial_tail(t.monthly), ", x AS (SELECT *, row_number() OVER (ORDER BY month_label DESC) AS r, count(*) OVER () AS n FROM monthly), md AS (SELECT median(month_total_volume) AS md FROM x WHERE r BETWEEN 2 AND 7) SELECT month_label, month_total_volume FROM x, md WHERE NOT (r = 1 AND n > 8 AND month_total_volume < 0.75::DOUBLE * md)")
 for name, rows in (("yoy_growth", 12), ("momentum_raw", 1)):
@@ -43,23 +43,61 @@ add("concentration_milestones", lambda t: S.concentration_milestones(S.concentra
 add("pct_rank", lambda t: t.obs_days.groupBy("site_id").agg(F.sum("volume_15m").alias("v")).withColumn("pct_rank", F.round(F.coalesce(C.pct_rank(F.col("v")), F.lit(0.0)), 9)), ", x AS (SELECT site_id, sum(volume_15m)::BIGINT AS v FROM obs_days GROUP BY 1) SELECT *, round(CASE WHEN v IS NULL THEN 0 ELSE (rank() OVER (ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2::DOUBLE) / count(v) OVER () END, 9) AS pct_rank FROM x")
 add("dow_shape", lambda t: T.dow_shape(core.profile(t.obs, **DOW())), ", f AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 5) AS f, max(avg_daily_volume) FILTER (iso_dow = 1) AS m FROM dow) SELECT dow.*, (sum(total_volume) OVER (ORDER BY iso_dow))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct, (avg_daily_volume - f) * 100 / f AS drop_from_friday_pct, (avg_daily_volume - m) * 100 / m AS build_from_monday_pct FROM dow, f")
 add("dow_volatility", lambda t: _r6(dow_month(t).groupBy("iso_dow").agg(F.avg("avg_daily_volume").alias("mean"), F.stddev_samp("avg_daily_volume").alias("sd")), "mean", "sd"), "SELECT iso_dow, round(avg(avg_daily_volume), 6) AS mean, round(stddev_samp(avg_daily_volume), 6) AS sd FROM dow_month GROUP BY 1")
-add("month_gaps", lambda t: T.month_gaps(t.monthly.filter("month_label not in ('1996-05', '1999-11')"), core.month_calendar(t.obs, extra=1)), ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs) SELECT strftime(m, '%Y-%m') AS month_label FROM cal WHERE month_label NOT IN (SELECT month_label FROM monthly WHERE month_label NOT IN ('1996-05', '1999-11'))")
-add("day_shape", lambda t: T.day_shape(bins(t)),
-    "SELECT sum(avg_daily_volume) FILTER (time_bin = '08:00') / sum(avg_daily_volume) FILTER (time_bin = '05:00') AS morning_ramp, sum(avg_daily_volume) FILTER (time_bin = '21:00') / sum(avg_daily_volume) FILTER (time_bin = '17:00') AS evening_decay, max(avg_daily_volume) FILTER (time_bin >= '15:00' AND time_bin < '19:00') / max(avg_daily_volume) FILTER (time_bin >= '06:00' AND time_bin < '10:00') AS pm_to_am_peak, max(avg_daily_volume) / min(avg_daily_volume) AS peak_to_quiet, " + ", ".join(f"coalesce(sum(total_volume) FILTER (time_bin < '{h}:00'), 0)::DOUBLE * 100 / sum(total_volume) AS share_by_{h}" for h in ("09", "12", "17", "19")) + " FROM bins")
+add("month_gaps", lambda t: T.month_gaps(t.monthly, core.month_calendar(t.obs, extra=1)), ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs) SELECT strftime(m, '%Y-%m') AS month_label FROM cal WHERE month_label NOT IN (SELECT month_label FROM monthly)")
+add(
+    "day_shape",
+    lambda t: T.day_shape(bins(t)),
+    "SELECT sum(avg_daily_volume) FILTER (time_bin = '08:00') / sum(avg_daily_volume) FILTER (time_bin = '05:00') AS morning_ramp, sum(avg_daily_volume) FILTER (time_bin = '17:15') / sum(avg_daily_volume) FILTER (time_bin = '21:00') AS evening_decay, "
+    "max(avg_daily_volume) FILTER (time_bin >= '13:00' AND time_bin < '19:00') / max(avg_daily_volume) FILTER (time_bin >= '05:00' AND time_bin < '11:00') AS pm_to_am_peak, "
+    "(SELECT total_volume FROM bins ORDER BY avg_daily_volume DESC, time_bin LIMIT 1)::DOUBLE / (SELECT total_volume FROM bins ORDER BY avg_daily_volume, time_bin LIMIT 1) AS peak_to_quiet, "
+    + ", ".join(f"coalesce(sum(total_volume) FILTER (time_bin <= '{h}:00'), 0)::DOUBLE * 100 / sum(total_volume) AS share_by_{h}" for h in ("09", "12", "17", "19")) + " FROM bins",
+)
 add("plateau", lambda t: T.plateau(bins(t), [70, 80, 90]), ", n(threshold_pct) AS (VALUES (70::DOUBLE), (80), (90)), x AS (SELECT *, avg_daily_volume * 100 / max(avg_daily_volume) OVER () AS p FROM bins) SELECT threshold_pct, count(*) AS bins, count(*) / 4::DOUBLE AS hours, min(time_bin) AS first_bin, max(time_bin) AS last_bin FROM n JOIN x ON p >= threshold_pct GROUP BY 1")
 era = lambda: C.first_match((F.col("month_label") < "1998-01", "early"), (F.col("month_label") < "2000-01", "middle"), otherwise="late")
 add("era_profile", lambda t: T.era_profile(dow_month(t), era()), ", e AS (SELECT CASE WHEN month_label < '1998-01' THEN 'early' WHEN month_label < '2000-01' THEN 'middle' ELSE 'late' END AS era, iso_dow, sum(total_volume) / sum(days_loaded)::DOUBLE AS avg_daily_volume FROM dow_month GROUP BY 1, 2) SELECT *, avg_daily_volume * 100 / max(avg_daily_volume) FILTER (iso_dow = 5) OVER (PARTITION BY era) AS friday_index FROM e")
+add(
+    "era_months",
+    lambda t: _r6(T.era_months(core.profile(t.obs, month_label=C.month_label(DATE)), era()), "avg_daily_volume"),
+    ", m AS (SELECT strftime(count_date, '%Y-%m') AS l, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS a FROM obs GROUP BY 1) SELECT CASE WHEN l < '1998-01' THEN 'early' WHEN l < '2000-01' THEN 'middle' ELSE 'late' END AS era, l[6:7]::INTEGER AS month_of_year, round(avg(a), 6) AS avg_daily_volume FROM m GROUP BY 1, 2",
+)
 _WD = {d: n for d, n in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun"), 1)}
 
 
 def yearly_days(t):  # noqa: ANN001, ANN201
     wide = P.matrix(core.profile(t.obs, year=F.year(DATE), iso_dow=C.iso_dow(DATE)), F.col("year"), "iso_dow", list(_WD), "avg_daily_volume", F.max)
     wide = wide.select("year", *[F.col(str(d)).alias(n) for d, n in _WD.items()])
-    return wide.withColumns({"friday_to_monday": C.safe_div(F.col("fri"), F.col("mon")), "friday_to_sunday": C.safe_div(F.col("fri"), F.col("sun"))})
+    over = lambda a, b: (C.safe_div(a, b) - 1) * 100
+    week = (F.col("mon") + F.col("tue") + F.col("wed") + F.col("thu") + F.col("fri")) / 5
+    return wide.withColumns({"friday_vs_monday_pct": over(F.col("fri"), F.col("mon")), "friday_vs_sunday_pct": over(F.col("fri"), F.col("sun")), "monday_vs_weekday_avg_pct": over(F.col("mon"), week)})
 
 
-add("yearly_day_metrics", yearly_days, ", x AS (SELECT year(count_date)::INTEGER AS year, isodow(count_date) AS d, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS v FROM obs GROUP BY 1, 2), y AS (SELECT year, " + ", ".join(f"max(v) FILTER (d = {d}) AS {n}" for d, n in _WD.items()) + " FROM x GROUP BY 1) SELECT *, fri / mon AS friday_to_monday, fri / sun AS friday_to_sunday FROM y")
-add("month_matrix", lambda t: P.matrix(t.monthly.withColumns({"year": F.substring("month_label", 1, 4).cast("int"), "m": F.substring("month_label", 6, 2)}), F.col("year"), "m", ["01", "02", "03", "12"], "month_total_volume").select("year", F.col("01").alias("jan"), F.col("02").alias("feb"), F.col("03").alias("mar"), F.col("12").alias("dec")), "SELECT month_label[1:4]::INTEGER AS year, " + ", ".join(f"sum(month_total_volume) FILTER (month_label[6:7] = '{m}')::BIGINT AS {n}" for m, n in (("01", "jan"), ("02", "feb"), ("03", "mar"), ("12", "dec"))) + " FROM monthly GROUP BY 1")
+add("yearly_day_metrics", yearly_days, ", x AS (SELECT year(count_date)::INTEGER AS year, isodow(count_date) AS d, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS v FROM obs GROUP BY 1, 2), y AS (SELECT year, " + ", ".join(f"max(v) FILTER (d = {d}) AS {n}" for d, n in _WD.items()) + " FROM x GROUP BY 1) SELECT *, (fri / mon - 1) * 100 AS friday_vs_monday_pct, (fri / sun - 1) * 100 AS friday_vs_sunday_pct, (mon / ((mon + tue + wed + thu + fri) / 5) - 1) * 100 AS monday_vs_weekday_avg_pct FROM y")
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_MM = [(f"{i:02d}", n) for i, n in enumerate(MONTHS, 1)]
+add(
+    "month_matrix",
+    lambda t: P.matrix(t.monthly.withColumns({"year": F.substring("month_label", 1, 4).cast("int"), "m": F.substring("month_label", 6, 2)}), F.col("year"), "m", [m for m, _ in _MM], "month_total_volume").select("year", *[F.col(m).alias(n) for m, n in _MM]),
+    "SELECT month_label[1:4]::INTEGER AS year, " + ", ".join(f"sum(month_total_volume) FILTER (month_label[6:7] = '{m}')::BIGINT AS {n}" for m, n in _MM) + " FROM monthly GROUP BY 1",
+)
+
+
+def month_days(t):  # noqa: ANN001, ANN201
+    wide = P.matrix(core.profile(t.obs, month_of_year=F.month(DATE), iso_dow=C.iso_dow(DATE)), F.col("month_of_year"), "iso_dow", list(_WD), "avg_daily_volume", F.max)
+    return wide.select("month_of_year", *[F.col(str(d)).alias(n) for d, n in _WD.items()])
+
+
+def weekend_months(t):  # noqa: ANN001, ANN201
+    split = core.weekday_weekend(t.obs, F.year(DATE).alias("year"), F.date_format(DATE, "MM").alias("m")).withColumn("share", C.pct(F.col("weekend_volume"), F.col("weekday_volume") + F.col("weekend_volume")))
+    return P.matrix(split, F.col("year"), "m", [m for m, _ in _MM], "share", F.max).select("year", *[F.col(m).alias(n) for m, n in _MM])
+
+
+add("month_day_matrix", month_days, ", x AS (SELECT month(count_date)::INTEGER AS month_of_year, isodow(count_date) AS d, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS v FROM obs GROUP BY 1, 2) SELECT month_of_year, " + ", ".join(f"max(v) FILTER (d = {d}) AS {n}" for d, n in _WD.items()) + " FROM x GROUP BY 1")
+add(
+    "weekend_share_matrix",
+    weekend_months,
+    f", s AS (SELECT year(count_date)::INTEGER AS year, strftime(count_date, '%m') AS m, {_SPLIT} GROUP BY 1, 2), x AS (SELECT year, m, weekend_volume::DOUBLE * 100 / (weekday_volume + weekend_volume) AS v FROM s) SELECT year, "
+    + ", ".join(f"max(v) FILTER (m = '{m}') AS {n}" for m, n in _MM) + " FROM x GROUP BY 1",
+)
 add("weekend_share_by_year", lambda t: core.weekday_weekend(t.obs, F.year(DATE).alias("year")).select("year", C.pct(F.col("weekend_volume"), F.col("weekday_volume") + F.col("weekend_volume")).alias("weekend_share_pct")), f", s AS (SELECT year(count_date)::INTEGER AS year, {_SPLIT} GROUP BY 1) SELECT year, weekend_volume::DOUBLE * 100 / (weekday_volume + weekend_volume) AS weekend_share_pct FROM s")
 PERIODS = [("2024-01-03", "baseline"), ("2024-01-10", "shock"), ("2024-01-17", "recovery")]
 NAMES = [n for _, n in PERIODS]
@@ -71,5 +109,26 @@ add("hourly_change", lambda t: T.hourly_change(rows(t), "baseline"), _PER + ", x
 _CH = _PER + ", w AS (SELECT site_id, " + ", ".join(f"coalesce(sum(volume_15m) FILTER (period = '{n}'), 0)::BIGINT AS {n}" for n in NAMES) + " FROM pr GROUP BY 1), ch AS (SELECT *, shock - baseline AS collapse, (shock - baseline)::DOUBLE * 100 / nullif(baseline, 0) AS collapse_pct, (recovery - shock)::DOUBLE * 100 / nullif(shock, 0) AS recovery_pct, recovery::DOUBLE * 100 / nullif(baseline, 0) AS recovery_index FROM w)"
 add("site_period_change", lambda t: T.site_period_change(rows(t), NAMES), _CH + " SELECT * FROM ch")
 add("top_collapse", lambda t: core.top(T.site_period_change(rows(t), NAMES).select("site_id", "collapse"), 30, "collapse", "site_id", asc=True), _CH + " SELECT site_id, collapse, row_number() OVER (ORDER BY collapse, site_id)::INTEGER AS rank FROM ch QUALIFY rank <= 30")
-add("recovery_scatter", lambda t: T.recovery_scatter(T.site_period_change(rows(t), NAMES), "baseline", 50), _CH + ", cut AS (SELECT greatest(50, quantile_cont(baseline, 0.1)) AS cut FROM ch) SELECT site_id, baseline, collapse_pct, recovery_index FROM ch, cut WHERE baseline >= cut")
-add("site_report", lambda t: S.monthly_site_rank(T.site_anomalies(t.sm)).filter("site_id = 1").select("month_label", "month_site_volume", F.round("ratio", 6).alias("ratio"), "flag", "month_rank"), ", x AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(month_site_volume) OVER w END AS m, rank() OVER (PARTITION BY month_label ORDER BY month_site_volume DESC)::INTEGER AS month_rank FROM sm WINDOW w AS (PARTITION BY site_id ORDER BY month_label ROWS 11 PRECEDING)) SELECT month_label, month_site_volume, round(month_site_volume / nullif(m, 0), 6) AS ratio, CASE WHEN month_site_volume / nullif(m, 0) >= 1.5 THEN 'spike' WHEN month_site_volume / nullif(m, 0) <= 0.5 THEN 'drop' ELSE 'normal' END AS flag, month_rank FROM x WHERE site_id = 1")
+add(
+    "recovery_scatter",
+    lambda t: T.recovery_scatter(T.site_period_change(rows(t), NAMES), NAMES, 50),
+    _CH + ", cut AS (SELECT greatest(50, quantile_cont(baseline, 0.1)) AS cut FROM ch) SELECT site_id, baseline, shock::DOUBLE * 100 / baseline AS shock_index, recovery::DOUBLE * 100 / baseline AS busiest_index FROM ch, cut WHERE baseline >= cut AND shock >= 0 AND recovery >= 0",
+)
+SITE = 1
+_SITE = f", s AS (SELECT * FROM sm WHERE site_id = {SITE})"
+
+
+def site_report(t):  # noqa: ANN001, ANN201
+    rows = S.monthly_site_rank(T.site_anomalies(t.sm)).filter(F.col("site_id") == SITE).join(F.broadcast(t.monthly), "month_label")
+    return rows.select("month_label", "month_site_volume", C.safe_div(F.col("month_site_volume"), F.col("month_total_volume")).alias("share_of_network"), F.round("ratio", 6).alias("ratio"), "flag", "month_rank", "sites_in_month")
+
+
+add(
+    "site_report",
+    site_report,
+    ", x AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(month_site_volume) OVER w END AS m, rank() OVER (PARTITION BY month_label ORDER BY month_site_volume DESC)::INTEGER AS month_rank, count(*) OVER (PARTITION BY month_label) AS sites_in_month FROM sm WINDOW w AS (PARTITION BY site_id ORDER BY month_label ROWS 11 PRECEDING)) "
+    "SELECT month_label, month_site_volume, month_site_volume::DOUBLE / month_total_volume AS share_of_network, round(month_site_volume / nullif(m, 0), 6) AS ratio, CASE WHEN month_site_volume / nullif(m, 0) >= 1.5 THEN 'spike' WHEN month_site_volume / nullif(m, 0) <= 0.5 THEN 'drop' ELSE 'normal' END AS flag, "
+    f"month_rank, sites_in_month FROM x JOIN monthly USING (month_label) WHERE site_id = {SITE}",
+)
+add("site_report_yearly", lambda t: S.site_years(t.sm.filter(F.col("site_id") == SITE)), _SITE + " SELECT month_label[1:4]::INTEGER AS year, sum(month_site_volume)::BIGINT AS annual_volume, count(*) AS months_seen, avg(month_site_volume) AS avg_month_volume FROM s GROUP BY 1")
+add("site_report_months", lambda t: S.site_months_of_year(t.sm.filter(F.col("site_id") == SITE)), _SITE + " SELECT month_label[6:7]::INTEGER AS month_of_year, avg(month_site_volume) AS avg_month_volume, median(month_site_volume)::DOUBLE AS median_month_volume, max(month_site_volume) AS max_month_volume, count(DISTINCT month_label[1:4]) AS years_seen FROM s GROUP BY 1")
