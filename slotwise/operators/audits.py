@@ -23,6 +23,12 @@ def null_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return one.unpivot([], names, "column_name", "nulls")
 
 
+def distinct_counts(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row: distinct values of each column. Each is counted from its column alone, combined map-side; counted together, every row would be copied once a column."""
+    counts = [df.groupBy(c).agg(F.lit(1)).agg(F.count(c).alias(n)) for c, n in names.items()]
+    return reduce(DataFrame.crossJoin, counts)
+
+
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
@@ -72,9 +78,13 @@ def file_usage(df: DataFrame) -> DataFrame:
 
 
 def slot_quality(wide: DataFrame, *keys: str) -> DataFrame:
-    """Null, negative and sentinel counts of each slot over detector-days: 96 groups, combined map-side."""
-    v = F.col("volume_15m")
-    out = wide.select(*keys, F.posexplode("slots").alias("interval_index", "volume_15m")).groupBy(*keys, "interval_index").agg(F.count("*").alias("detector_days"), F.count_if(v.isNull()).alias("null_count"), F.count_if(v < 0).alias("negative_count"), F.count_if(v.isin(SENTINELS)).alias("sentinel_count"))
+    """Null, negative and sentinel counts of each slot over detector-days. Only values are exploded; nulls are what the detector-days lack of 96 values each."""
+    v = F.col("s.v")
+    days = wide.groupBy(*keys).agg(F.count("*").alias("detector_days")).withColumn("interval_index", F.explode(F.sequence(F.lit(0), F.lit(95))))
+    filled = F.filter(F.transform("slots", lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda s: s["v"].isNotNull())
+    found = wide.select(*keys, F.explode(filled).alias("s")).groupBy(*keys, F.col("s.i").alias("interval_index")).agg(F.count("*").alias("n"), F.count_if(v < 0).alias("neg"), F.count_if(v.isin(SENTINELS)).alias("sen"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    out = days.join(found, [*keys, "interval_index"], "left").select(*keys, "interval_index", "detector_days", (F.col("detector_days") - none("n")).alias("null_count"), none("neg").alias("negative_count"), none("sen").alias("sentinel_count"))
     return out.withColumns({"time_bin": C.slot_to_time_bin(F.col("interval_index")), "coverage_pct": C.pct(F.col("detector_days") - F.col("null_count"), F.col("detector_days"))})
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from slotwise.functions import columns as C
 
 KEYS = ["site_id", "count_date", "detector_id", "interval_index"]
-_LAST = 2**62
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -42,27 +41,25 @@ def between_dates(df: DataFrame, first: str, end: str, date: str = "count_date")
     return df.filter((F.col(date) >= F.lit(first).cast("date")) & (F.col(date) < F.lit(end).cast("date")))
 
 
-def _order(order: str) -> Column:
-    """One number that orders by (file id, priority) or by (priority, file id); a null file id comes last."""
-    file_id = F.coalesce(F.col("source_file_id"), F.lit(_LAST // 16))
-    return file_id * 8 + F.col("source_priority") if order == "file" else F.col("source_priority") * F.lit(10**15) + F.least(file_id, F.lit(10**15 - 1))
-
-
 def dedup_observations(obs: DataFrame, order: str = "file") -> DataFrame:
     """One winner for each site, date, detector and slot: the smallest file id, or the smallest store priority; ties by the other.
 
-    A null volume can win (policy first_row; drop nulls before for first_valid). An aggregation with map-side combine: no sort, and copies
-    within one input split never reach the shuffle.
+    A null volume can win (policy first_row; drop nulls before for first_valid); a null file id or priority comes last, and full ties go to the smaller volume. An aggregation
+    with map-side combine of one ordered struct, whatever the size of ids and priorities; copies within one input split never reach the shuffle.
     """
-    at = _order(order)
-    return obs.groupBy(*KEYS).agg(F.min_by("volume_15m", at).alias("volume_15m"), F.min_by("source_file_id", at).alias("source_file_id"), F.min_by("source_priority", at).alias("source_priority"))
+    at = ["no_file", "source_file_id", "no_priority", "source_priority"]
+    place = [F.col("source_file_id").isNull().alias("no_file"), F.col("source_file_id"), F.col("source_priority").isNull().alias("no_priority"), F.col("source_priority")]
+    ordered = place if order == "file" else place[2:] + place[:2]
+    won = obs.groupBy(*KEYS).agg(F.min(F.struct(*ordered, F.col("volume_15m"))).alias("w"))
+    return won.select(*KEYS, "w.volume_15m", *[f"w.{c}" for c in at if not c.startswith("no_")])
 
 
 def dedup_detector_days(wide: DataFrame) -> DataFrame:
     """One detector-day for each site, date and detector, by store priority, then file id: 96 times fewer rows than by slot."""
     keys = KEYS[:3]
-    best = Window.partitionBy(*keys).orderBy(F.col("source_priority").asc_nulls_last(), F.col("source_file_id").asc_nulls_last())
-    return wide.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
+    at = F.struct(F.col("source_priority").isNull(), "source_priority", F.col("source_file_id").isNull(), "source_file_id")
+    rest = [c for c in wide.columns if c not in keys]
+    return wide.groupBy(*keys).agg(F.min_by(F.struct(*rest), at).alias("w")).select(*keys, "w.*")
 
 
 def merge_slots(wide: DataFrame, mode: str = "filter") -> DataFrame:
@@ -83,6 +80,22 @@ def merge_slots(wide: DataFrame, mode: str = "filter") -> DataFrame:
     return merged.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(95)), pick)).drop("stores")
 
 
+def merge_overlaps(wide: DataFrame, mode: str = "filter") -> DataFrame:
+    """Detector-days of one store a date stay as they are, cleaned within the row and not shuffled; only dates that two stores or more have are merged (``merge_slots``).
+
+    A store has a detector-day once. The shared dates are at most as many as the calendar has, so they are broadcast.
+    """
+    shared = F.broadcast(wide.groupBy("count_date").agg(F.min("source_priority").alias("a"), F.max("source_priority").alias("b")).filter("a <> b").select("count_date"))
+    alone = wide.join(shared, "count_date", "left_anti").select(*KEYS[:3], F.transform("slots", lambda v: F.when(v >= 0, v)).alias("slots"))
+    return alone.unionByName(merge_slots(wide.join(shared, "count_date", "left_semi"), mode))
+
+
+def slots_by_bin(wide: DataFrame, *keys: str) -> DataFrame:
+    """Total of each slot for any keys: values only are exploded, so empty slots cost no rows."""
+    filled = F.filter(F.transform("slots", lambda v, i: F.struct(i.alias("interval_index"), v.alias("v"))), lambda s: s["v"] >= 0)
+    return wide.select(*keys, F.explode(filled).alias("s")).groupBy(*keys, F.col("s.interval_index").alias("interval_index")).agg(F.sum("s.v").alias("total_volume"))
+
+
 def slots_total(slots: Column) -> Column:
     """Sum of the non-negative slots of a detector-day, within the row."""
     return F.aggregate(slots, F.lit(0).cast("bigint"), lambda s, v: s + F.when(v >= 0, v).otherwise(0))

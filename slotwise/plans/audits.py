@@ -14,7 +14,7 @@ K = "site_id, count_date, detector_id, interval_index"
 _COLUMNS = [*core.KEYS, "volume_15m", "source_file_id", "source", "source_priority"]
 add("row_counts", lambda t: A.row_counts({"raw": t.raw, "raw_days": t.raw_days}), "SELECT count(*) AS n_rows, 'raw' AS table_name FROM raw UNION ALL SELECT count(*), 'raw_days' FROM raw_days")
 add("coverage_dates", lambda t: t.raw.agg(F.min("count_date").alias("first_date"), F.max("count_date").alias("last_date"), F.countDistinct("count_date").alias("dates")), "SELECT min(count_date) AS first_date, max(count_date) AS last_date, count(DISTINCT count_date) AS dates FROM raw")
-add("coverage_keys", lambda t: t.raw.agg(F.countDistinct("site_id").alias("sites"), F.countDistinct("detector_id").alias("detectors"), F.countDistinct("source_file_id").alias("files")), "SELECT count(DISTINCT site_id) AS sites, count(DISTINCT detector_id) AS detectors, count(DISTINCT source_file_id) AS files FROM raw")
+add("coverage_keys", lambda t: A.distinct_counts(t.raw, {"site_id": "sites", "detector_id": "detectors", "source_file_id": "files"}), "SELECT count(DISTINCT site_id) AS sites, count(DISTINCT detector_id) AS detectors, count(DISTINCT source_file_id) AS files FROM raw")
 add("null_counts", lambda t: A.null_counts(t.raw_days, _COLUMNS), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM raw_days" for c in _COLUMNS))
 add("duplicate_excess", lambda t: A.duplicate_excess(t.raw, core.KEYS), f"SELECT sum(n)::BIGINT AS n_rows, count(*) AS distinct_keys, sum(n - 1)::BIGINT AS duplicate_excess FROM (SELECT count(*) AS n FROM raw GROUP BY {K})")
 add("duplicate_groups", lambda t: A.duplicate_groups(t.raw, core.KEYS), f"SELECT {K}, count(*) AS n_rows FROM raw GROUP BY {K} HAVING count(*) > 1")
@@ -43,8 +43,8 @@ add("coverage_by_year", lambda t: A.coverage_by(t.raw.withColumn("year", F.year(
 add("coverage_by_region", lambda t: A.coverage_by(t.raw.join(F.broadcast(t.sites.select("site_id", "region_code")), "site_id"), "region_code"), f"SELECT region_code, {_COV} FROM raw JOIN sites USING (site_id) GROUP BY 1")
 _SLOTS = _WIDE + ", dd AS (SELECT source, count(DISTINCT (site_id, count_date, detector_id)) AS n FROM raw GROUP BY 1), q AS (SELECT source, interval_index, count(v) AS c, count(*) FILTER (v < 0) AS neg, count(*) FILTER (v IN (-1, -2, -3, -4, -5, -9, -99, -999)) AS sen FROM w GROUP BY 1, 2), f AS (SELECT dd.source, s::INTEGER AS interval_index, n AS detector_days, n - coalesce(c, 0) AS null_count, coalesce(neg, 0) AS negative_count, coalesce(sen, 0) AS sentinel_count FROM dd CROSS JOIN range(0, 96) r(s) LEFT JOIN q ON q.source = dd.source AND q.interval_index = s)"
 _TB = "printf('%02d:%02d', interval_index // 4, interval_index % 4 * 15) AS time_bin, (detector_days - null_count)::DOUBLE * 100 / detector_days AS coverage_pct"
-add("slot_quality", lambda t: A.slot_quality(t.wide, "source"), _SLOTS + f" SELECT *, {_TB} FROM f")
-add("slot_coverage", lambda t: A.slot_quality(t.wide).select("interval_index", "detector_days", "null_count", "coverage_pct"), _SLOTS + " SELECT interval_index, sum(detector_days)::BIGINT AS detector_days, sum(null_count)::BIGINT AS null_count, (sum(detector_days) - sum(null_count))::DOUBLE * 100 / sum(detector_days) AS coverage_pct FROM f GROUP BY 1")
+add("slot_quality", lambda t: A.slot_quality(t.stored, "source"), _SLOTS + f" SELECT *, {_TB} FROM f")
+add("slot_coverage", lambda t: A.slot_quality(t.stored).select("interval_index", "detector_days", "null_count", "coverage_pct"), _SLOTS + " SELECT interval_index, sum(detector_days)::BIGINT AS detector_days, sum(null_count)::BIGINT AS null_count, (sum(detector_days) - sum(null_count))::DOUBLE * 100 / sum(detector_days) AS coverage_pct FROM f GROUP BY 1")
 add(
     "monthly_quality",
     lambda t: _r6(A.monthly_quality(t.raw), "rows_zscore"),

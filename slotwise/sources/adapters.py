@@ -5,6 +5,7 @@ Observation: site_id, count_date, detector_id, interval_index (0..95), volume_15
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,11 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
 from slotwise.operators import core
+from slotwise.sources import stores
 
+#: The stores and their priorities.
+PRIORITIES = {"main": 2, "cont": 3, "rec": 1}
+_STORED: dict[tuple[str, str], str] = {}
 DETECTORS = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
 
@@ -90,10 +95,33 @@ class Tables:
     @cached_property
     def wide(self) -> DataFrame:
         """Detector-days of each store: 96 slots in an array (several counts of a slot are added)."""
-        slots = self.raw.groupBy("source", "source_priority", "site_id", "count_date", "detector_id", "interval_index").agg(F.sum("volume_15m").cast("int").alias("v"), F.min("source_file_id").alias("f"))
-        entries = F.map_from_entries(F.collect_list(F.struct("interval_index", "v")))
-        days = slots.groupBy("source", "source_priority", "site_id", "count_date", "detector_id").agg(entries.alias("m"), F.min("f").alias("source_file_id"))
-        return days.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.try_element_at("m", i))).drop("m")
+        counts = F.collect_list(F.struct("interval_index", "volume_15m"))
+        days = self.raw.groupBy("source", "source_priority", "site_id", "count_date", "detector_id").agg(counts.alias("m"), F.min("source_file_id").alias("source_file_id"))
+        none = F.array_repeat(F.lit(None).cast("int"), 96)
+        # counts in order of their slots, put into an array of nulls one after another
+        put = lambda a, c: F.concat(F.slice(a, 1, c["interval_index"]), F.array(F.coalesce(F.get(a, c["interval_index"]), F.lit(0)) + c["volume_15m"]), F.slice(a, c["interval_index"] + 2, 95 - c["interval_index"]))
+        return days.withColumn("slots", F.aggregate("m", none, put)).drop("m")
+
+    def scratch(self, name: str) -> str:
+        """A new path in the shared folder of checkpoints, or of the warehouse where none is named."""
+        named = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.spark.conf.get("spark.sql.warehouse.dir")
+        return f"{named.rstrip('/')}/slotwise-{name}-{uuid.uuid4().hex}"
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """``wide`` as three stores of 96 columns, written once a session and folder, and read as one input."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _STORED:
+            path = self.scratch("stores")
+            for name in PRIORITIES:
+                stores.write_detector_days(self.wide.filter(F.col("source") == name), f"{path}/{name}")
+            _STORED[key] = path
+        return stores.read_sources(self.spark, {n: (f"{_STORED[key]}/{n}", p) for n, p in PRIORITIES.items()})
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        """Clean detector-days: one a site, date and detector."""
+        return core.merge_overlaps(self.stored)
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,13 @@ def read_sources(spark: SparkSession, stores: dict[str, tuple[str, int]], kind:
     return reduce(DataFrame.unionByName, tagged)
 
 
+def write_detector_days(wide: DataFrame, path: str) -> None:
+    """Detector-days with an array of slots, as the 96 columns that ``read_detector_days`` takes; what is not known is null."""
+    known = {"scats_site": "site_id", "count_date": "count_date", "detector": "detector_id", "source_file_id": "source_file_id"}
+    keys = [(F.col(known[n]) if n in known else F.lit(None)).cast(t).alias(n) for n, t in _KEYS]
+    wide.select(*keys, *[F.get("slots", F.lit(i)).cast("int").alias(c) for i, c in enumerate(SLOTS)]).write.parquet(path)
+
+
 def data_rows(df: DataFrame, kinds: tuple[str, ...] = ("data", "normal")) -> DataFrame:
     return df.filter(F.lower("row_type").isin(*kinds))
 
@@ -71,20 +79,28 @@ def write_result(df: DataFrame, path: str) -> None:
     writers[kind](df, path)
 
 
+def _months_of(spark: SparkSession, path: str) -> list[str]:
+    """The months that a table has (one value a month); none if there is no table."""
+    try:
+        return sorted(r[0] for r in spark.read.option("partitionColumnTypeInference.enabled", False).parquet(path).select("month_label").distinct().collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def refresh_months(df: DataFrame, path: str, months: list[str] | None = None, date: str = "count_date") -> DataFrame:
     """Rewrites the given months of a table partitioned by month (all that are missing, if none are given) and leaves the others.
 
-    Months run in one job; a late file is handled by naming its months again. The result is the table.
+    Months run in one job, each dealt by date; a late file is handled by naming its months again. The result is the table.
     """
     spark = df.sparkSession
     require_columns(df, [date])
     labelled = df.withColumn("month_label", C.month_label(F.col(date)))
     if months is None:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        wanted = labelled.join(F.broadcast(spark.read.parquet(path).select("month_label").distinct()), "month_label", "left_anti") if exists else labelled
+        done = _months_of(spark, path)
+        wanted = labelled.filter(~F.col("month_label").isin(done)) if done else labelled
     else:
         wanted = labelled.filter(F.col("month_label").isin(months))
-    wanted.repartition("month_label").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_label").parquet(path)
+    wanted.repartition("month_label", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_label").parquet(path)
     return spark.read.option("partitionColumnTypeInference.enabled", False).parquet(path)

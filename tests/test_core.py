@@ -84,3 +84,38 @@ def test_summary_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("scats_site,v\n1,5\n__ZERO__,0\n2,x\n")
     schema = spark.createDataFrame([], "scats_site int, v long").schema
     assert sorted(map(tuple, stores.read_summary_csv(spark, str(tmp_path / "a.csv"), schema).collect()), key=str) == [(1, 5), (2, None)]
+
+
+def test_merge_overlaps_equals_merge_of_all(spark):
+    slots = lambda **v: [v.get(f"s{i}") for i in range(96)]
+    other = dt.date(2024, 1, 2)
+    rows = [(1, D, 1, 2, 5, slots(s0=-5, s1=3)), (1, D, 1, 1, 6, slots(s0=9, s2=-1)), (2, D, 1, 2, 7, slots(s4=4)), (1, other, 1, 2, 8, slots(s0=-5, s1=2, s95=7))]
+    wide = spark.createDataFrame(rows, "site_id int, count_date date, detector_id int, source_priority int, source_file_id long, slots array<int>")
+    one, other_way = (sorted(map(str, d.collect())) for d in (core.merge_overlaps(wide), core.merge_slots(wide)))
+    assert one == other_way and core.merge_overlaps(wide.limit(0)).count() == 0
+
+
+def test_dedup_of_large_ids_and_ties(spark):
+    big = 10**17
+    df = obs(spark, (0, 5, big + 1, "main", 9), (0, 7, big, "cont", 200), (1, 3, None, "rec", None), (1, 4, 1, "main", 9), (2, 8, 1, "main", 1), (2, 6, 1, "main", 1))
+    assert {(r.interval_index, r.volume_15m) for r in core.dedup_observations(df).collect()} == {(0, 7), (1, 4), (2, 6)}
+    assert {(r.interval_index, r.volume_15m) for r in core.dedup_observations(df, "priority").collect()} == {(0, 5), (1, 4), (2, 6)}
+
+
+def test_gaps_are_found(spark):
+    from slotwise.operators import audits
+
+    days = [dt.date(2024, 1, d) for d in (1, 2, 4, 7)]
+    df = spark.createDataFrame([(1, d, 1, 0, 5, 1, "main", 2) for d in days], SCHEMA)
+    assert [r[0].day for r in audits.missing_dates(df).orderBy("count_date").collect()] == [3, 5, 6]
+    months = spark.createDataFrame([("2024-01", 5), ("2024-02", 0), ("2024-03", 0)], "month_label string, month_total_volume long")
+    assert [r.month_total_volume for r in trends.mask_gaps(months, ["2024-02"]).orderBy("month_label").collect()] == [5, None, 0]
+    calendar = core.month_calendar(df, extra=2)
+    assert [r.month_label for r in trends.month_gaps(months.filter("month_label <> '2024-02'"), calendar).collect()] == ["2024-02"]
+    audit = audits.month_audit(df, calendar, ["2024-02"], [])
+    assert {r.month_label: r.status for r in audit.collect()} == {"2024-01": "Detected", "2024-02": "Known unavailable", "2024-03": "Missing"}
+
+
+def test_slots_of_text(spark):
+    df = spark.createDataFrame([("95",), ("96",), ("200",), ("-1",), ("23:45:00",)], "t string")
+    assert [r[0] for r in df.select(C.time_bin_to_minutes(F.col("t"))).collect()] == [1425, None, None, None, 1425]

@@ -10,7 +10,8 @@ import pytest
 from slotwise.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["daily_totals", "monthly_totals", "time_bin_profile", "peak_shares", "top_sites", "site_rankings", "shock_timeline", "archetype", "portfolio_simulation", "slot_quality", "month_audit", "enrich_pulse", "merge_slots", "nearest_within"]
+NAMES = sorted(QUERIES)
+
 
 
 def _rows(names, rows):
