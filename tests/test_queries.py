@@ -19,6 +19,15 @@ def _rows(names, rows):
     return sorted(str([round(v, 9) if isinstance(v, float) else v for v in (r[i] for i in order)]) for r in rows)
 
 
+@pytest.fixture(autouse=True)
+def one_task(spark):
+    """The smallest tables need no more."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, name):
