@@ -5,23 +5,25 @@ Stages are written as Parquet and read again between, so a lost executor costs o
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontam, line_dedup, mixing, near_dup, quality
+from slotwise.llm import decontam, line_dedup, mixing, near_dup, quality, storage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned decision list reject go."""
+    """Documents that the base rules or the learned decision list reject go. Null and empty texts fail the base rules; rows with a null id are judged like others; repeated rows stay or go alike."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned blocks of lines that an earlier document has go; so do documents left without words, and n_chars follows the text."""
+    """Aligned blocks of lines that an earlier document has go; so do documents that it leaves without words, and n_chars follows the text.
+
+    Rows with a null id or text stay as they are; rows that repeat id and text are one document and are cut alike.
+    """
     names = docs.columns
     cut = line_dedup.dedup_lines(docs)
     left = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -36,12 +38,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go. Null and empty texts stay, as does every row if there are no items; repeated rows go alike."""
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources replicated to target weights, in a global random order, with the number of the copy."""
+    """Sources replicated to target weights, in a global random order, with the number of the copy. A null source is one of its own; repeated rows of an id have equal numbers of copies."""
     return mixing.mix_sources(docs)
 
 
@@ -58,9 +60,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Between stages the table lies in the shared checkpoint folder (a temporary one if none is set)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``. Between stages the table lies in the shared checkpoint folder (see ``storage.shared_folder``)."""
+    folder = f"{storage.shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
