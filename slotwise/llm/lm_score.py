@@ -44,7 +44,7 @@ def _chunk_words(texts: pa.ChunkedArray | pa.Array) -> list[ta.Words]:
     return [ta.words(data, offsets) for x in arrays for _, _, data, offsets in ta.slices(pa.RecordBatch.from_arrays([x], ["text"]), "text")]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 6 << 20) -> DataFrame:
     """Per row: id, ``n_words``, ``known`` (words whose full n-gram the rest of the corpus has) and ``score``.
 
     ``score`` is the mean over words of ln S, S(w | context) = count(context, w) / count(context) for the longest context (up to ``order - 1`` words) at which the
