@@ -2,7 +2,8 @@
 
 1. Documents are dealt to chunks by a hash. A chunk's n-grams, each once with its count, go to count tables partitioned by the
    hash of the n-gram: one packed row for each chunk and partition, so a very common n-gram is one entry a chunk. (One row for each n-gram of a document would
-   be the plain relational form; with n-grams of three words it takes several times the disk.)
+   be the plain relational form; with n-grams of three words it takes several times the disk.) A partition is a range of hashes, so a row is
+   the gaps between its sorted hashes, which need two bytes less each than the hashes.
 2. Each count table adds up its entries and answers every chunk with the corpus counts of that chunk's n-grams.
 3. Chunks join their answers to their documents and sum the scores.
 
@@ -12,7 +13,7 @@ well the rest of the corpus predicts the document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,31 @@ def _grams(w: ta.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, ta.run_hash(w.hash, n)[at]
 
 
+def _pack(values: np.ndarray) -> list[bytes]:
+    """The eight byte planes of 64-bit values, lowest first; each deflated where that makes it shorter."""
+    out = []
+    for plane in values.astype("<u8").view(np.uint8).reshape(-1, 8).T:
+        raw = plane.tobytes()
+        deflate = zlib.compressobj(strategy=zlib.Z_RLE)
+        short = deflate.compress(raw) + deflate.flush()
+        out.append(short if len(short) < len(raw) else raw)
+    return out
+
+
+def _unpack(planes: list[bytes], n: int) -> np.ndarray:
+    """The n values that ``_pack`` packed."""
+    out = np.empty((n, 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = np.frombuffer(plane if len(plane) == n else zlib.decompress(plane), np.uint8)
+    return out.view("<u8").reshape(-1)
+
+
 def _chunk_table(columns: list[tuple[np.ndarray, np.ndarray]], order: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All distinct n-gram hashes of a chunk, ordered by partition then hash; their counts; the partitions' bounds."""
+    """All distinct n-gram hashes of a chunk in order; their counts; the partitions' bounds (a partition is a range of hashes)."""
     every = np.concatenate([ta.run_hash(h, n)[np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])] for h, row in columns for n in range(1, order + 1) if len(h) >= n] or [np.zeros(0, np.uint64)])
     grams, counts = np.unique(every, return_counts=True)
-    part = (ta.mix(grams) % np.uint64(parts)).astype(np.int64)
-    by = np.argsort(part, kind="stable")
-    return grams[by], counts[by], np.searchsorted(part[by], np.arange(parts + 1))
+    part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return grams, counts, np.searchsorted(part, np.arange(parts + 1))
 
 
 def _chunk_words(texts: pa.ChunkedArray | pa.Array) -> list[ta.Words]:
@@ -70,28 +89,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             {
                 "part": pa.array([p for p, _, _ in rows], pa.int32()),
                 "chunk": pa.array([chunk] * len(rows), pa.int32()),
-                "grams": pa.array([grams[a:b].tobytes() for _, a, b in rows], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.int64).tobytes() for _, a, b in rows], pa.binary()),
+                "n": pa.array([b - a for _, a, b in rows], pa.int64()),
+                "gaps": pa.array([_pack(np.diff(grams[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.list_(pa.binary())),
+                "counts": pa.array([_pack(counts[a:b]) for _, a, b in rows], pa.list_(pa.binary())),
                 "total": pa.array([total] * len(rows), pa.int64()),
             }
         )
 
     def add(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]
-        distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-        corpus = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-        answers = np.split(corpus[place], np.cumsum([len(g) for g in grams])[:-1])
-        return pa.table({"part": table["part"], "chunk": table["chunk"], "counts": pa.array([x.tobytes() for x in answers], pa.binary())})
+        sizes = table["n"].to_pylist()
+        grams = np.concatenate([np.cumsum(_unpack(x.as_py(), n), dtype=np.uint64) for x, n in zip(table["gaps"], sizes, strict=True)])
+        counts = np.concatenate([_unpack(x.as_py(), n) for x, n in zip(table["counts"], sizes, strict=True)])
+        by = np.argsort(grams, kind="stable")
+        first = np.flatnonzero(np.diff(grams[by], prepend=~grams[by[:1]]))
+        corpus = np.empty(len(grams), np.uint64)
+        corpus[by] = np.repeat(np.add.reduceat(counts[by], first), np.diff(first, append=len(by)))
+        answers = np.split(corpus, np.cumsum(sizes)[:-1])
+        return pa.table({"part": table["part"], "chunk": table["chunk"], "counts": pa.array([_pack(x) for x in answers], pa.list_(pa.binary()))})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         words = _chunk_words(table["text"])
         grams, _, bounds = _chunk_table([(w.hash, w.row) for w in words], order, parts)
         corpus = np.zeros(len(grams), np.int64)
-        for p, x in zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            corpus[bounds[p] : bounds[p + 1]] = np.frombuffer(x, np.int64)
-        by_hash = np.argsort(grams)
-        sorted_grams = grams[by_hash]
+        for p, x in zip(answers["part"].to_pylist(), answers["counts"], strict=True):
+            corpus[bounds[p] : bounds[p + 1]] = _unpack(x.as_py(), bounds[p + 1] - bounds[p])
         n_all = answers["total"][0].as_py() if len(answers) else 0
         sizes, known, sums = [], [], []
         for w in words:
@@ -103,7 +124,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at, h = _grams(w, n)
                 if len(at):
                     _, inverse, own = np.unique(ta.mix(h + w.row[at].astype(np.uint64) * _ROW), return_inverse=True, return_counts=True)
-                    out[at + n - 1] = corpus[by_hash[np.searchsorted(sorted_grams, h)]] - own[inverse]
+                    out[at + n - 1] = corpus[np.searchsorted(grams, h)] - own[inverse]
                 rest.append(out)
             others = np.maximum(n_all - size, 1)[w.row]
             value = np.log(np.maximum(rest[0], 0.5) / others) + (order - 1) * np.log(backoff)
@@ -120,7 +141,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mean = np.concatenate(sums) / np.maximum(size, 1)
         return pa.table({"id": table["id"], "n_words": pa.array(size.astype(np.int64)), "known": pa.array(np.concatenate(known).astype(np.int64)), "score": pa.array(mean, pa.float64(), mask=size == 0)})
 
-    counted = dealt.groupBy("chunk").applyInArrow(count, "part int, chunk int, grams binary, counts binary, total long")
+    counted = dealt.groupBy("chunk").applyInArrow(count, "part int, chunk int, n long, gaps array<binary>, counts array<binary>, total long")
     total = counted.groupBy("chunk").agg(F.max("total").alias("t")).agg(F.sum("t").alias("total"))
-    answers = counted.select("part", "chunk", "grams", "counts").groupBy("part").applyInArrow(add, "part int, chunk int, counts binary").crossJoin(F.broadcast(total))
+    answers = counted.select("part", "chunk", "n", "gaps", "counts").groupBy("part").applyInArrow(add, "part int, chunk int, counts array<binary>").crossJoin(F.broadcast(total))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, n_words long, known long, score double").withColumnRenamed("id", id_col)

@@ -53,6 +53,13 @@ def test_scores(spark, order):
     assert all((r.score is None) == (w[3] is None) and (r.score is None or abs(r.score - w[3]) < 1e-9) for r, w in zip(got, want, strict=True))
 
 
+def test_packed_values():
+    rng = np.random.default_rng(5)
+    for values in ([], [0], [2**64 - 1], [1] * 5, rng.integers(0, 2**64, 300, dtype=np.uint64), rng.integers(1, 4, 5000), rng.integers(0, 2**44, 5000)):
+        values = np.asarray(values, np.uint64)
+        assert (lm_score._unpack(lm_score._pack(values), len(values)) == values).all()
+
+
 def test_quality_counts(spark):
     alphabet = ["a", "b ", "#", "é", "\n", "\n\n", "|x", " ", "\t", "word ", "word word ", "\x0b", "日本 "]
     texts = ["".join(_rng.choice(alphabet) for _ in range(_rng.randrange(120))) for _ in range(200)] + ["", None]
