@@ -14,6 +14,7 @@ well the rest of the corpus predicts the document.
 from __future__ import annotations
 
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,23 @@ def _unpack(planes: list[bytes], n: int) -> np.ndarray:
 def _chunk_table(columns: list[tuple[np.ndarray, np.ndarray]], order: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All distinct n-gram hashes of a chunk in order; their counts; the partitions' bounds (a partition is a range of hashes)."""
     every = np.concatenate([ta.run_hash(h, n)[np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])] for h, row in columns for n in range(1, order + 1) if len(h) >= n] or [np.zeros(0, np.uint64)])
-    grams, counts = np.unique(every, return_counts=True)
+    every.sort()
+    new = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    grams, counts = every[first], np.diff(first, append=len(every))
     part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     return grams, counts, np.searchsorted(part, np.arange(parts + 1))
 
 
 def _chunk_words(texts: pa.ChunkedArray | pa.Array) -> list[ta.Words]:
+    """Words of a chunk's rows, slice by slice, without their places."""
+    none = np.zeros(0, np.int64)
     arrays = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
-    return [ta.words(data, offsets) for x in arrays for _, _, data, offsets in ta.slices(pa.RecordBatch.from_arrays([x], ["text"]), "text")]
+    return [replace(ta.words(data, offsets), start=none, end=none) for x in arrays for _, _, data, offsets in ta.slices(pa.RecordBatch.from_arrays([x], ["text"]), "text")]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 6 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 12 << 20) -> DataFrame:
     """Per row: id, ``n_words``, ``known`` (words whose full n-gram the rest of the corpus has) and ``score``.
 
     ``score`` is the mean over words of ln S, S(w | context) = count(context, w) / count(context) for the longest context (up to ``order - 1`` words) at which the
@@ -74,7 +81,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    n_words = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
+    size, n_all = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.coalesce(F.sum(n_words), F.lit(0))).first()
     chunks = parts = max(1, -(-size // chunk_bytes), min(tasks, -(-size // (1 << 20))))
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))
@@ -84,7 +92,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grams, counts, bounds = _chunk_table([(w.hash, w.row) for w in words], order, parts)
         chunk = table["chunk"][0].as_py()
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        total = sum(len(w.hash) for w in words)
         return pa.table(
             {
                 "part": pa.array([p for p, _, _ in rows], pa.int32()),
@@ -92,7 +99,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "n": pa.array([b - a for _, a, b in rows], pa.int64()),
                 "gaps": pa.array([_pack(np.diff(grams[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.list_(pa.binary())),
                 "counts": pa.array([_pack(counts[a:b]) for _, a, b in rows], pa.list_(pa.binary())),
-                "total": pa.array([total] * len(rows), pa.int64()),
             }
         )
 
@@ -113,7 +119,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         corpus = np.zeros(len(grams), np.int64)
         for p, x in zip(answers["part"].to_pylist(), answers["counts"], strict=True):
             corpus[bounds[p] : bounds[p + 1]] = _unpack(x.as_py(), bounds[p + 1] - bounds[p])
-        n_all = answers["total"][0].as_py() if len(answers) else 0
         sizes, known, sums = [], [], []
         for w in words:
             n_rows = len(w.first) - 1
@@ -141,7 +146,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mean = np.concatenate(sums) / np.maximum(size, 1)
         return pa.table({"id": table["id"], "n_words": pa.array(size.astype(np.int64)), "known": pa.array(np.concatenate(known).astype(np.int64)), "score": pa.array(mean, pa.float64(), mask=size == 0)})
 
-    counted = dealt.groupBy("chunk").applyInArrow(count, "part int, chunk int, n long, gaps array<binary>, counts array<binary>, total long")
-    total = counted.groupBy("chunk").agg(F.max("total").alias("t")).agg(F.sum("t").alias("total"))
-    answers = counted.select("part", "chunk", "n", "gaps", "counts").groupBy("part").applyInArrow(add, "part int, chunk int, counts array<binary>").crossJoin(F.broadcast(total))
+    counted = dealt.groupBy("chunk").applyInArrow(count, "part int, chunk int, n long, gaps array<binary>, counts array<binary>")
+    answers = counted.groupBy("part").applyInArrow(add, "part int, chunk int, counts array<binary>")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, n_words long, known long, score double").withColumnRenamed("id", id_col)
