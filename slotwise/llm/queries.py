@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, quality, url_filter
+from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, pii, quality, url_filter
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -57,8 +58,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_url_filter, op3_html_extract, op4_near_dup, op5_quality_rules, op6_lm_score, op7_license_scan, op8_decontaminate, op9_language_id, op10_line_dedup)
+    found = (op1_mix_sources, op2_url_filter, op3_html_extract, op4_near_dup, op5_quality_rules, op6_lm_score, op7_license_scan, op8_decontaminate, op9_language_id, op10_line_dedup, op11_pii)
     return {f.__name__: f for f in found}
 
 
