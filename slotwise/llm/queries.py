@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, pii, quality, url_filter
+from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, pii, quality, repair, url_filter
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -66,8 +66,12 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_url_filter, op3_html_extract, op4_near_dup, op5_quality_rules, op6_lm_score, op7_license_scan, op8_decontaminate, op9_language_id, op10_line_dedup, op11_pii)
+    found = (op1_mix_sources, op2_url_filter, op3_html_extract, op4_near_dup, op5_quality_rules, op6_lm_score, op7_license_scan, op8_decontaminate, op9_language_id, op10_line_dedup, op11_pii, op12_conversation_repair)
     return {f.__name__: f for f in found}
 
 
