@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, pii, quality, repair, url_filter
+from slotwise.llm import decontam, html_extract, lang_id, license_scan, line_dedup, lm_score, mixing, near_dup, pii, quality, repair, url_filter, whitening
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -70,8 +70,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors, components=4)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = [float(e) for e in model.explained] if model else []
+    explained = F.element_at(F.array(*map(F.lit, shares)) if shares else F.array(F.lit(None).cast("double")), F.col("at") + 1)
+    n, error = (model.n, model.identity_error) if model else (0, 0.0)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_url_filter, op3_html_extract, op4_near_dup, op5_quality_rules, op6_lm_score, op7_license_scan, op8_decontaminate, op9_language_id, op10_line_dedup, op11_pii, op12_conversation_repair)
+    found = (op1_mix_sources, op2_url_filter, op3_html_extract, op4_near_dup, op5_quality_rules, op6_lm_score, op7_license_scan, op8_decontaminate, op9_language_id, op10_line_dedup, op11_pii, op12_conversation_repair, op13_whitening)
     return {f.__name__: f for f in found}
 
 
