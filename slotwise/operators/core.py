@@ -23,35 +23,55 @@ def to_long(wide: DataFrame) -> DataFrame:
     return wide.select("*", F.posexplode("slots").alias("interval_index", "volume_15m")).drop("slots").withColumn("time_bin", C.slot_to_time_bin(F.col("interval_index")))
 
 
-def clean(obs: DataFrame, mode: str, volume: str = "volume_15m") -> DataFrame:
-    """'filter' drops negative and null volumes; 'nullify' keeps the row and makes negatives null."""
+def clean(obs: DataFrame, mode: str | dict[str, str], volume: str = "volume_15m") -> DataFrame:
+    """'filter' drops negative and null volumes; 'nullify' keeps the row and makes negatives null. A mapping names the mode of each ``source``; sources it leaves out are nullified."""
+    kept = F.col(volume) >= 0
+    if isinstance(mode, dict):
+        return obs.filter(F.coalesce(kept, F.lit(False)) | ~_filtered(mode)).withColumn(volume, F.when(kept, F.col(volume)))
     if mode == "filter":
-        return obs.filter(F.col(volume) >= 0)
+        return obs.filter(kept)
     if mode == "nullify":
-        return obs.withColumn(volume, F.when(F.col(volume) >= 0, F.col(volume)))
+        return obs.withColumn(volume, F.when(kept, F.col(volume)))
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _filtered(modes: dict[str, str]) -> Column:
+    """Whether a row's source is one of those in mode 'filter'."""
+    if odd := set(modes.values()) - {"filter", "nullify"}:
+        raise ValueError(f"unknown modes {sorted(odd)!r}")
+    return F.coalesce(F.col("source").isin([n for n, m in modes.items() if m == "filter"]), F.lit(False))
+
+
 def require_keys(obs: DataFrame) -> DataFrame:
     return obs.dropna(subset=KEYS)
 
 
 def between_dates(df: DataFrame, first: str, end: str, date: str = "count_date") -> DataFrame:
-    """Dates from ``first`` up to, without, ``end``."""
-    return df.filter((F.col(date) >= F.lit(first).cast("date")) & (F.col(date) < F.lit(end).cast("date")))
+    """Dates from ``first`` up to, without, ``end``. Of a table with ``month_label`` (as partitioned stores have), only those months are listed and read."""
+    inside = (F.col(date) >= F.lit(first).cast("date")) & (F.col(date) < F.lit(end).cast("date"))
+    if "month_label" in df.columns:
+        inside &= F.col("month_label").between(first[:7], end[:7])
+    return df.filter(inside)
+
+
+_LAST, _NONE = (1 << 63) - 1, -(1 << 31) - 1
 
 
 def dedup_observations(obs: DataFrame, order: str = "file") -> DataFrame:
     """One winner for each site, date, detector and slot: the smallest file id, or the smallest store priority; ties by the other.
 
-    A null volume can win (policy first_row; drop nulls before for first_valid); a null file id or priority comes last, and full ties go to the smaller volume. An aggregation
-    with map-side combine of one ordered struct, whatever the size of ids and priorities; copies within one input split never reach the shuffle.
+    A null volume can win (policy first_row; drop nulls before for first_valid); a null file id or priority comes last (level with the largest long), and full ties go to
+    the smaller volume, null first. Rows are dealt by key once; then three hash aggregations within the task settle the volume, the second and the first
+    order column, so nothing is sorted and ids may be any long. Nulls of a key part are a value like others; drop them before (``require_keys``) where they are many.
     """
-    at = ["no_file", "source_file_id", "no_priority", "source_priority"]
-    place = [F.col("source_file_id").isNull().alias("no_file"), F.col("source_file_id"), F.col("source_priority").isNull().alias("no_priority"), F.col("source_priority")]
-    ordered = place if order == "file" else place[2:] + place[:2]
-    won = obs.groupBy(*KEYS).agg(F.min(F.struct(*ordered, F.col("volume_15m"))).alias("w"))
-    return won.select(*KEYS, "w.volume_15m", *[f"w.{c}" for c in at if not c.startswith("no_")])
+    first, second = ("source_file_id", "source_priority") if order == "file" else ("source_priority", "source_file_id")
+    kinds = {c: obs.schema[c].dataType for c in (first, second, "volume_15m")}
+    dealt = obs.select(*KEYS, *[F.coalesce(F.col(c).cast("long"), F.lit(_LAST)).alias(c) for c in (first, second)], F.coalesce(F.col("volume_15m").cast("long"), F.lit(_NONE)).alias("volume_15m")).repartition(*KEYS)
+    least = dealt.groupBy(*KEYS, first, second).agg(F.min("volume_15m").alias("volume_15m"))
+    least = least.groupBy(*KEYS, first).agg(F.min_by("volume_15m", second).alias("volume_15m"), F.min(second).alias(second))
+    won = least.groupBy(*KEYS).agg(F.min_by("volume_15m", first).alias("volume_15m"), F.min_by(second, first).alias(second), F.min(first).alias(first))
+    known = {c: F.when(F.col(c) != (_NONE if c == "volume_15m" else _LAST), F.col(c)).cast(kinds[c]).alias(c) for c in kinds}
+    return won.select(*KEYS, known["volume_15m"], *[known[c] for c in (first, second)])
 
 
 def dedup_detector_days(wide: DataFrame) -> DataFrame:
@@ -62,30 +82,35 @@ def dedup_detector_days(wide: DataFrame) -> DataFrame:
     return wide.groupBy(*keys).agg(F.min_by(F.struct(*rest), at).alias("w")).select(*keys, "w.*")
 
 
-def merge_slots(wide: DataFrame, mode: str = "filter") -> DataFrame:
+def merge_slots(wide: DataFrame, mode: str | dict[str, str] = "filter") -> DataFrame:
     """Slot by slot, the first store (by priority) that has a value: a detector-day of up to a few stores becomes one, with arrays only.
 
-    'filter': the first value of 0 or more; 'nullify': the first store's value, null if negative.
+    A store in mode 'filter' counts where it has 0 or more; one in mode 'nullify' counts wherever it has the detector-day, and its null or negative slot hides later
+    stores' values. ``mode`` is one for all or a mapping of ``source`` to mode; sources it leaves out are nullified.
     """
-    stores = F.array_sort(F.collect_list(F.struct("source_priority", "source_file_id", "slots")))
+    strict = _filtered(mode) if isinstance(mode, dict) else F.lit(mode == "filter")
+    stores = F.array_sort(F.collect_list(F.struct("source_priority", "source_file_id", strict.alias("strict"), "slots")))
     merged = wide.groupBy(*KEYS[:3]).agg(stores.alias("stores"))
 
     def pick(i: Column) -> Column:
-        values = F.transform("stores", lambda s: F.get(s["slots"], i))
-        if mode == "filter":
-            return F.get(F.filter(values, lambda v: v >= 0), F.lit(0))
-        first = F.get(values, F.lit(0))
+        values = F.transform("stores", lambda s: F.struct(F.get(s["slots"], i).alias("v"), s["strict"].alias("strict")))
+        first = F.get(F.filter(values, lambda s: ~s["strict"] | F.coalesce(s["v"] >= 0, F.lit(False))), F.lit(0))["v"]
         return F.when(first >= 0, first)
 
     return merged.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(95)), pick)).drop("stores")
 
 
-def merge_overlaps(wide: DataFrame, mode: str = "filter") -> DataFrame:
+def shared_dates(wide: DataFrame) -> DataFrame:
+    """Dates that two stores or more have, read from the dates and priorities alone; at most as many as the calendar has."""
+    return wide.groupBy("count_date").agg(F.min("source_priority").alias("a"), F.max("source_priority").alias("b")).filter("a <> b").select("count_date")
+
+
+def merge_overlaps(wide: DataFrame, mode: str | dict[str, str] = "filter", shared: DataFrame | None = None) -> DataFrame:
     """Detector-days of one store a date stay as they are, cleaned within the row and not shuffled; only dates that two stores or more have are merged (``merge_slots``).
 
-    A store has a detector-day once. The shared dates are at most as many as the calendar has, so they are broadcast.
+    A store has a detector-day once. ``shared`` gives the shared dates where they are known or written down; they are as few as the calendar's days, so they are broadcast.
     """
-    shared = F.broadcast(wide.groupBy("count_date").agg(F.min("source_priority").alias("a"), F.max("source_priority").alias("b")).filter("a <> b").select("count_date"))
+    shared = F.broadcast(shared_dates(wide) if shared is None else shared)
     alone = wide.join(shared, "count_date", "left_anti").select(*KEYS[:3], F.transform("slots", lambda v: F.when(v >= 0, v)).alias("slots"))
     return alone.unionByName(merge_slots(wide.join(shared, "count_date", "left_semi"), mode))
 

@@ -9,8 +9,9 @@ from slotwise.functions import columns as C
 from slotwise.operators import core
 
 
-def dataset_summary(obs: DataFrame) -> DataFrame:
-    return obs.agg(F.count("*").alias("row_count"), F.countDistinct("site_id").alias("distinct_sites"), F.min("count_date").alias("min_date"), F.max("count_date").alias("max_date"), F.sum("volume_15m").alias("total_volume"))
+def dataset_summary(site_days: DataFrame) -> DataFrame:
+    """Rows, sites, dates and volume of all facts, from the cube of site days."""
+    return site_days.agg(F.sum("n_rows").alias("row_count"), F.countDistinct("site_id").alias("distinct_sites"), F.min("count_date").alias("min_date"), F.max("count_date").alias("max_date"), F.sum("volume_15m").alias("total_volume"))
 
 
 def time_bin_profile(obs: DataFrame) -> DataFrame:

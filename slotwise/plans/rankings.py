@@ -21,24 +21,24 @@ for name, asc in (("top_days", False), ("quietest_days", True)):
     add(name, lambda t, asc=asc: core.top(t.daily, 20, "day_total_volume", "count_date", asc=asc), f"SELECT *, row_number() OVER (ORDER BY day_total_volume {'ASC' if asc else 'DESC'}, count_date)::INTEGER AS rank FROM daily QUALIFY rank <= 20")
 for name, asc in (("busiest_time_bins", False), ("quietest_time_bins", True)):
     add(name, lambda t, asc=asc: core.top(bins(t).select("time_bin", "total_volume"), 20, "total_volume", "time_bin", asc=asc), f"SELECT time_bin, total_volume, row_number() OVER (ORDER BY total_volume {'ASC' if asc else 'DESC'}, time_bin)::INTEGER AS rank FROM bins QUALIFY rank <= 20")
-for name, make, table, tie in (("best_day", lambda t: t.daily, "daily", "count_date"), ("best_site", lambda t: t.site_totals, "st", "site_id"), ("best_time_bin", bins, "bins", "time_bin"), ("best_dow", lambda t: core.profile(t.obs, **DOW()), "dow", "iso_dow"), ("best_month_of_year", lambda t: core.profile(t.obs, **MOY()), "moy", "month_of_year"), ("best_year", lambda t: core.profile(t.obs, **YEAR()), "yearly", "year")):
+for name, make, table, tie in (("best_day", lambda t: t.daily, "daily", "count_date"), ("best_site", lambda t: t.site_totals, "st", "site_id"), ("best_time_bin", bins, "bins", "time_bin"), ("best_dow", lambda t: core.profile(t.day_bins, **DOW()), "dow", "iso_dow"), ("best_month_of_year", lambda t: core.profile(t.day_bins, **MOY()), "moy", "month_of_year"), ("best_year", lambda t: core.profile(t.day_bins, **YEAR()), "yearly", "year")):
     metric = {"daily": "day_total_volume", "st": "total_volume"}.get(table, "avg_daily_volume")
     add(name, lambda t, make=make, metric=metric, tie=tie: core.best(make(t), metric, tie), f"SELECT * FROM {table} ORDER BY {metric} DESC, {tie} LIMIT 1")
 for name, asc in (("site_peak_slot", False), ("site_quiet_slot", True)):
     add(name, lambda t, asc=asc: S.site_peak_slot(t.obs, asc), f", x AS (SELECT site_id, time_bin, avg(volume_15m) AS avg_volume FROM obs GROUP BY 1, 2) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY avg_volume {'ASC' if asc else 'DESC'}, time_bin) = 1")
-for name, make, table, tie, n in (("rank_time_bins", bins, "bins", "time_bin", 10), ("rank_months", lambda t: core.profile(t.obs, **MOY()), "moy", "month_of_year", 12), ("rank_years", lambda t: core.profile(t.obs, **YEAR()), "yearly", "year", 10)):
+for name, make, table, tie, n in (("rank_time_bins", bins, "bins", "time_bin", 10), ("rank_months", lambda t: core.profile(t.day_bins, **MOY()), "moy", "month_of_year", 12), ("rank_years", lambda t: core.profile(t.day_bins, **YEAR()), "yearly", "year", 10)):
     add(name, lambda t, make=make, tie=tie, n=n: core.top(make(t), n, "avg_daily_volume", tie), f"SELECT *, row_number() OVER (ORDER BY avg_daily_volume DESC, {tie})::INTEGER AS rank FROM {table} QUALIFY rank <= {n}")
 _G = ", gy AS (SELECT site_id, year(count_date)::INTEGER AS y, sum(volume_15m)::BIGINT AS v FROM obs GROUP BY 1, 2), g AS (SELECT site_id, min(y) AS first_year, arg_min(v, y) AS first_year_volume, max(y) AS last_year, arg_max(v, y) AS last_year_volume FROM gy GROUP BY 1 HAVING min(y) < max(y)), growth AS (SELECT *, last_year_volume - first_year_volume AS absolute_change, round((last_year_volume - first_year_volume)::DOUBLE * 100 / nullif(first_year_volume, 0), 2) AS pct_change FROM g)"
-add("growth_by_year", lambda t: S.growth_by_year(t.obs), _G + " SELECT * FROM growth")
+add("growth_by_year", lambda t: S.growth_by_year(t.site_days), _G + " SELECT * FROM growth")
 for name, asc in (("rank_growth", False), ("rank_decline", True)):
-    add(name, lambda t, asc=asc: core.top(S.growth_by_year(t.obs).filter("pct_change is not null"), 20, "pct_change", "site_id", asc=asc), _G + f" SELECT *, row_number() OVER (ORDER BY pct_change {'ASC' if asc else 'DESC'}, site_id)::INTEGER AS rank FROM growth WHERE pct_change IS NOT NULL QUALIFY rank <= 20")
+    add(name, lambda t, asc=asc: core.top(S.growth_by_year(t.site_days).filter("pct_change is not null"), 20, "pct_change", "site_id", asc=asc), _G + f" SELECT *, row_number() OVER (ORDER BY pct_change {'ASC' if asc else 'DESC'}, site_id)::INTEGER AS rank FROM growth WHERE pct_change IS NOT NULL QUALIFY rank <= 20")
 _RANKED = ", b AS (SELECT site_id, count(*) AS months_present, min(month_label) AS first_month, max(month_label) AS last_month, avg(month_site_volume) AS avg_monthly_volume, max(month_site_volume) AS max_monthly_volume, arg_max(month_label, (month_site_volume, -replace(month_label, '-', '')::INTEGER)) AS best_month FROM sm GROUP BY 1), ranked AS (SELECT rk.site_id, total_volume, months_present, first_month, last_month, avg_monthly_volume, max_monthly_volume, best_month, rank, cumulative_volume, total_volume::DOUBLE * 100 / network_volume AS percent_of_network, cumulative_volume::DOUBLE * 100 / network_volume AS cumulative_percent, CASE WHEN rank / sites::DOUBLE <= 0.01 THEN 'Top 1%' WHEN rank / sites::DOUBLE <= 0.05 THEN 'Top 5%' WHEN rank / sites::DOUBLE <= 0.1 THEN 'Top 10%' WHEN rank / sites::DOUBLE <= 0.25 THEN 'Top 25%' WHEN rank / sites::DOUBLE <= 0.5 THEN 'Top 50%' ELSE 'Bottom 50%' END AS percentile_band FROM rk JOIN b USING (site_id))"
 add("site_rankings", lambda t: S.site_rankings(t.sm), _RANKED + " SELECT * FROM ranked")
 add("percentile_bands", lambda t: S.site_rankings(t.sm).groupBy("percentile_band").agg(F.count("*").alias("sites"), F.sum("total_volume").alias("total_volume")), _RANKED + " SELECT percentile_band, count(*) AS sites, sum(total_volume)::BIGINT AS total_volume FROM ranked GROUP BY 1")
 add("top_n_slices", lambda t: S.portfolio_simulation(rk(t), [10, 25, 50, 100]).select("portfolio_size", "sites", "captured_volume"), ", n(portfolio_size) AS (VALUES (10), (25), (50), (100)) SELECT portfolio_size, count(*) AS sites, sum(total_volume)::BIGINT AS captured_volume FROM n JOIN rk ON rank <= portfolio_size GROUP BY 1")
 add("busiest_day_by_year", lambda t: core.top_per_group(t.daily.withColumn("year", F.year("count_date")), "year", "day_total_volume", "count_date"), "SELECT *, year(count_date)::INTEGER AS year FROM daily QUALIFY row_number() OVER (PARTITION BY year(count_date) ORDER BY day_total_volume DESC, count_date) = 1")
 add("top_days_named", lambda t: core.top(t.daily.withColumn("day_name", F.date_format("count_date", "EEEE")), 50, "day_total_volume", "count_date"), "SELECT *, dayname(count_date) AS day_name, row_number() OVER (ORDER BY day_total_volume DESC, count_date)::INTEGER AS rank FROM daily QUALIFY rank <= 50")
-add("monthly_peak_drift", lambda t: core.top_per_group(P.time_bin_profile(t.obs), "month_label", "avg_daily_volume", "time_bin").crossJoin(F.broadcast(core.best(bins(t), "avg_daily_volume", "time_bin").select(F.col("time_bin").alias("archive_peak")))).select("month_label", "time_bin", "avg_daily_volume", (F.col("time_bin") != F.col("archive_peak")).alias("drifted")),
+add("monthly_peak_drift", lambda t: core.top_per_group(P.time_bin_profile(t.day_bins), "month_label", "avg_daily_volume", "time_bin").crossJoin(F.broadcast(core.best(bins(t), "avg_daily_volume", "time_bin").select(F.col("time_bin").alias("archive_peak")))).select("month_label", "time_bin", "avg_daily_volume", (F.col("time_bin") != F.col("archive_peak")).alias("drifted")),
     ", x AS (SELECT strftime(count_date, '%Y-%m') AS month_label, time_bin, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS avg_daily_volume FROM obs GROUP BY 1, 2) SELECT *, time_bin <> (SELECT time_bin FROM bins ORDER BY avg_daily_volume DESC, time_bin LIMIT 1) AS drifted FROM x QUALIFY row_number() OVER (PARTITION BY month_label ORDER BY avg_daily_volume DESC, time_bin) = 1")
 add("largest_changes", lambda t: core.top(t.daily.withColumn("change", F.col("day_total_volume") - F.lag("day_total_volume").over(Window.orderBy("count_date"))).withColumn("abs_change", F.abs("change")).filter("change is not null"), 30, "abs_change", "count_date"), ", x AS (SELECT *, day_total_volume - lag(day_total_volume) OVER (ORDER BY count_date) AS change FROM daily) SELECT *, abs(change) AS abs_change, row_number() OVER (ORDER BY abs(change) DESC, count_date)::INTEGER AS rank FROM x WHERE change IS NOT NULL QUALIFY rank <= 30")
 add("monthly_site_rank", lambda t: S.monthly_site_rank(t.sm), "SELECT *, rank() OVER (PARTITION BY month_label ORDER BY month_site_volume DESC)::INTEGER AS month_rank, count(*) OVER (PARTITION BY month_label) AS sites_in_month FROM sm")

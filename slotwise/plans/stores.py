@@ -8,8 +8,8 @@ from slotwise.functions import columns as C
 from slotwise.operators import core
 from slotwise.plans.base import add
 from slotwise.plans.profiles import _WIDE
-from slotwise.sources import stores
-from slotwise.sources.adapters import DETECTORS, to_observations
+from slotwise.sources import months, stores
+from slotwise.sources.adapters import DETECTORS, MODES, to_observations
 
 _MERGED = _WIDE + ", md AS (SELECT * FROM w WHERE v >= 0 QUALIFY row_number() OVER (PARTITION BY site_id, count_date, detector_id, interval_index ORDER BY source_priority) = 1)"
 
@@ -30,6 +30,43 @@ add(
 add("stored_slot_totals", lambda t: core.slots_by_bin(t.merged), _MERGED + " SELECT interval_index, sum(v)::BIGINT AS total_volume FROM md GROUP BY 1")
 
 
+PERIODS = [("1996-03-12", "baseline"), ("1998-06-30", "shock"), ("2000-09-05", "recovery")]
+
+
+def stored_periods(t):  # noqa: ANN001, ANN201
+    """Chosen days out of the store: only their months' folders are read, and only those of their rows that several stores have are merged."""
+    periods = t.spark.createDataFrame(PERIODS, "d string, period string").withColumn("d", F.to_date("d"))
+    days = core.merge_overlaps(stores.in_periods(t.stored, periods.select("d")), shared=t.shared)
+    return days.join(F.broadcast(periods), days["count_date"] == periods["d"]).groupBy("period").agg(F.sum(core.slots_total(F.col("slots"))).alias("total_volume"), F.count("*").alias("detector_days"))
+
+
+add(
+    "stored_period_summary",
+    stored_periods,
+    _MERGED + ", per(d, period) AS (VALUES " + ", ".join(f"(DATE '{d}', '{p}')" for d, p in PERIODS) + "), dd AS (SELECT count_date, site_id, detector_id FROM w GROUP BY ALL), "
+    "n AS (SELECT count_date, count(*) AS n FROM dd GROUP BY 1), v AS (SELECT count_date, sum(v)::BIGINT AS v FROM md GROUP BY 1) SELECT period, v AS total_volume, n AS detector_days FROM per JOIN n ON d = n.count_date LEFT JOIN v ON d = v.count_date",
+)
+add(
+    "stored_window_totals",
+    lambda t: core.between_dates(t.merged_by_month("1996-05-10", "1996-08-20"), "1996-05-10", "1996-08-20").groupBy("count_date").agg(F.sum(core.slots_total(F.col("slots"))).alias("day_total_volume")),
+    _MERGED + ", dd AS (SELECT DISTINCT count_date FROM w WHERE count_date >= DATE '1996-05-10' AND count_date < DATE '1996-08-20') SELECT count_date, coalesce(sum(v), 0)::BIGINT AS day_total_volume FROM dd LEFT JOIN md USING (count_date) GROUP BY 1",
+)
+add(
+    "clean_by_store",
+    lambda t: core.dedup_observations(core.clean(t.raw_days, MODES), "priority").groupBy("count_date").agg(F.count("*").alias("n_rows"), F.count("volume_15m").alias("n_values"), F.sum("volume_15m").alias("v")),
+    "SELECT count_date, count(*) AS n_rows, count(volume_15m) AS n_values, sum(volume_15m)::BIGINT AS v FROM (SELECT * REPLACE (CASE WHEN volume_15m >= 0 THEN volume_15m END AS volume_15m) FROM raw_days WHERE source <> 'main' OR volume_15m >= 0 "
+    "QUALIFY row_number() OVER (PARTITION BY site_id, count_date, detector_id, interval_index ORDER BY source_priority, source_file_id) = 1) GROUP BY 1",
+)
+add(
+    "merge_by_store",
+    lambda t: core.merge_overlaps(t.stored, MODES, t.shared).select("site_id", "count_date", "detector_id", core.slots_total(F.col("slots")).alias("day_volume")),
+    _WIDE + ", days AS (SELECT DISTINCT source, source_priority, site_id, count_date, detector_id FROM w), g AS (SELECT days.*, i::INTEGER AS interval_index FROM days, range(96) s(i)), "
+    "x AS (SELECT g.*, v FROM g LEFT JOIN w USING (source, source_priority, site_id, count_date, detector_id, interval_index)), won AS (SELECT * FROM x WHERE source <> 'main' OR v >= 0 "
+    "QUALIFY row_number() OVER (PARTITION BY site_id, count_date, detector_id, interval_index ORDER BY source_priority) = 1), s AS (SELECT site_id, count_date, detector_id, coalesce(sum(v) FILTER (v >= 0), 0)::BIGINT AS v FROM won GROUP BY ALL) "
+    "SELECT site_id, count_date, detector_id, coalesce(v, 0) AS day_volume FROM (SELECT DISTINCT site_id, count_date, detector_id FROM days) LEFT JOIN s USING (site_id, count_date, detector_id)",
+)
+
+
 def summary_csv(t):  # noqa: ANN001, ANN201
     """Daily totals written as CSV with marker rows between, and read as text."""
     path = t.scratch("summary")
@@ -79,6 +116,25 @@ def refreshed(t):  # noqa: ANN001, ANN201
 add("refresh_months", refreshed, "SELECT count_date, day_total_volume + CASE WHEN strftime(count_date, '%Y-%m') = '1996-05' THEN 1 ELSE 0 END AS day_total_volume, strftime(count_date, '%Y-%m') AS month_label FROM daily")
 
 
+def kept_by_manifest(t):  # noqa: ANN001, ANN201
+    """Daily totals kept by month: built without some files of 1995, then with all (which rebuilds the months of the late files only), then once more (which rebuilds none)."""
+    path = t.scratch("manifest")
+    build = lambda rows: core.daily_totals(core.dedup_observations(rows))
+    facts = core.clean(t.raw, "filter")
+    months.refresh(facts.filter("count_date >= '1996-01-01' or source_file_id % 7 <> 0"), path, "source_file_id", build)
+    late = months.refresh(facts, path, "source_file_id", build)
+    if months.refresh(facts, path, "source_file_id", build):
+        raise ValueError("months without new files were built again")
+    return months.read(t.spark, path).withColumn("late", F.col("month_label").isin(late))
+
+
+add(
+    "refresh_by_manifest",
+    kept_by_manifest,
+    ", lt AS (SELECT DISTINCT strftime(count_date, '%Y-%m') AS l FROM raw WHERE volume_15m >= 0 AND count_date < DATE '1996-01-01' AND source_file_id % 7 = 0) SELECT count_date, day_total_volume, strftime(count_date, '%Y-%m') AS month_label, strftime(count_date, '%Y-%m') IN (SELECT l FROM lt) AS late FROM daily",
+)
+
+
 def runs(t):  # noqa: ANN001, ANN201
     """Site months of an older run over all, and of a newer one over the even sites."""
     older, newer = t.sm.withColumns({"epoch": F.lit(1), "month_site_volume": -F.col("month_site_volume")}), t.sm.filter("site_id % 2 = 0").withColumn("epoch", F.lit(2))
@@ -89,7 +145,7 @@ add("latest_run", lambda t: stores.latest_run(runs(t), ["month_label"], "epoch")
 add("latest_by_key", lambda t: stores.latest_by_key(runs(t), ["month_label", "site_id"], "epoch"), "SELECT month_label, site_id, CASE WHEN site_id % 2 = 0 THEN month_site_volume ELSE -month_site_volume END AS month_site_volume, CASE WHEN site_id % 2 = 0 THEN 2 ELSE 1 END AS epoch FROM sm")
 add(
     "data_rows",
-    lambda t: stores.data_rows(core.monthly_totals(t.obs, core.month_calendar(t.raw, extra=2))).select("month_label", "month_total_volume"),
+    lambda t: stores.data_rows(core.monthly_totals(t.day_bins, core.month_calendar(t.raw, extra=2))).select("month_label", "month_total_volume"),
     "SELECT * FROM monthly",
 )
 add(

@@ -13,7 +13,7 @@ from slotwise.operators import trends as T
 from slotwise.plans.base import add
 from slotwise.plans.profiles import _SPLIT, DATE, DOW, _r6, bins
 
-dow_month = lambda t: core.profile(t.obs, month_label=C.month_label(DATE), iso_dow=C.iso_dow(DATE))
+dow_month = lambda t: core.profile(t.day_bins, month_label=C.month_label(DATE), iso_dow=C.iso_dow(DATE))
 
 add("rolling_mean", lambda t: _r6(T.rolling_mean(T.rolling_mean(t.daily, "count_date", "day_total_volume", 7, 3, "mean_7"), "count_date", "day_total_volume", 30, 10, "mean_30"), "mean_7", "mean_30"),
     "SELECT *, round(CASE WHEN count(*) OVER a >= 3 THEN avg(day_total_volume) OVER a END, 6) AS mean_7, round(CASE WHEN count(*) OVER b >= 10 THEN avg(day_total_volume) OVER b END, 6) AS mean_30 FROM daily WINDOW a AS (ORDER BY count_date ROWS 6 PRECEDING), b AS (ORDER BY count_date ROWS 29 PRECEDING)")
@@ -32,7 +32,7 @@ add("shock_timeline", lambda t: _r6(T.shock_timeline(t.monthly), "rolling_sd", "
     ", x AS (SELECT *, CASE WHEN count(*) OVER w >= 6 THEN median(month_total_volume) OVER w END::DOUBLE AS rolling_median, CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(month_total_volume) OVER w END AS sd FROM monthly WINDOW w AS (ORDER BY month_label ROWS 11 PRECEDING)), z AS (SELECT *, (month_total_volume - rolling_median) / sd AS z FROM x) SELECT month_label, month_total_volume, rolling_median, round(sd, 6) AS rolling_sd, round(z, 6) AS z_score, CASE WHEN z >= 2 THEN 'Positive shock' WHEN z <= -2 THEN 'Negative shock' ELSE 'Normal' END AS shock_type FROM z")
 add("site_anomalies", lambda t: _r6(T.site_anomalies(t.sm), "rolling_mean", "ratio"), ", x AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(month_site_volume) OVER w END AS m FROM sm WINDOW w AS (PARTITION BY site_id ORDER BY month_label ROWS 11 PRECEDING)), y AS (SELECT *, month_site_volume / nullif(m, 0) AS r FROM x) SELECT month_label, site_id, month_site_volume, round(m, 6) AS rolling_mean, round(r, 6) AS ratio, CASE WHEN r >= 1.5 THEN 'spike' WHEN r <= 0.5 THEN 'drop' ELSE 'normal' END AS flag FROM y")
 add("site_network_share", lambda t: t.sm.join(F.broadcast(t.monthly), "month_label").select("month_label", "site_id", C.pct(F.col("month_site_volume"), F.col("month_total_volume")).alias("share_pct")), "SELECT month_label, site_id, month_site_volume::DOUBLE * 100 / month_total_volume AS share_pct FROM sm JOIN monthly USING (month_label)")
-add("weekday_weekend_trend", lambda t: _r6(T.weekday_weekend_trend(core.weekday_weekend(t.obs, C.month_label(DATE).alias("month_label"))), "intensity_12"),
+add("weekday_weekend_trend", lambda t: _r6(T.weekday_weekend_trend(core.weekday_weekend(t.day_bins, C.month_label(DATE).alias("month_label"))), "intensity_12"),
     f", s AS (SELECT strftime(count_date, '%Y-%m') AS month_label, {_SPLIT} GROUP BY 1), x AS (SELECT *, weekend_volume::DOUBLE * 100 / (weekday_volume + weekend_volume) AS weekend_share_pct, weekday_volume / nullif(weekday_days, 0)::DOUBLE AS weekday_avg, weekend_volume / nullif(weekend_days, 0)::DOUBLE AS weekend_avg FROM s), y AS (SELECT *, weekend_avg / weekday_avg AS weekend_intensity FROM x) SELECT *, round(CASE WHEN count(weekend_intensity) OVER w >= 6 THEN avg(weekend_intensity) OVER w END, 6) AS intensity_12, (sum(weekday_volume) OVER r)::BIGINT AS running_weekday, (sum(weekend_volume) OVER r)::BIGINT AS running_weekend FROM y WINDOW w AS (ORDER BY month_label ROWS 11 PRECEDING), r AS (ORDER BY month_label)")
 _CUM = ", c AS (SELECT time_bin, total_volume, avg_daily_volume, (sum(total_volume) OVER (ORDER BY time_bin))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct FROM bins)"
 add("cumulative_day_share", lambda t: T.cumulative_share(bins(t).drop("days_loaded"), "time_bin", "total_volume"), _CUM + " SELECT * FROM c")
@@ -41,9 +41,9 @@ _CURVE = ", cv AS (SELECT site_id, total_volume, rank, cumulative_volume, cumula
 add("concentration_curve", lambda t: S.concentration_curve(t.site_totals), _CURVE + " SELECT * FROM cv")
 add("concentration_milestones", lambda t: S.concentration_milestones(S.concentration_curve(t.site_totals), [10, 20, 50, 80, 95]), _CURVE + ", n(target_pct) AS (VALUES (10::DOUBLE), (20), (50), (80), (95)) SELECT target_pct, min(rank) AS sites_needed FROM n JOIN cv ON cumulative_share_pct >= target_pct GROUP BY 1")
 add("pct_rank", lambda t: t.obs_days.groupBy("site_id").agg(F.sum("volume_15m").alias("v")).withColumn("pct_rank", F.round(F.coalesce(C.pct_rank(F.col("v")), F.lit(0.0)), 9)), ", x AS (SELECT site_id, sum(volume_15m)::BIGINT AS v FROM obs_days GROUP BY 1) SELECT *, round(CASE WHEN v IS NULL THEN 0 ELSE (rank() OVER (ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2::DOUBLE) / count(v) OVER () END, 9) AS pct_rank FROM x")
-add("dow_shape", lambda t: T.dow_shape(core.profile(t.obs, **DOW())), ", f AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 5) AS f, max(avg_daily_volume) FILTER (iso_dow = 1) AS m FROM dow) SELECT dow.*, (sum(total_volume) OVER (ORDER BY iso_dow))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct, (avg_daily_volume - f) * 100 / f AS drop_from_friday_pct, (avg_daily_volume - m) * 100 / m AS build_from_monday_pct FROM dow, f")
+add("dow_shape", lambda t: T.dow_shape(core.profile(t.day_bins, **DOW())), ", f AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 5) AS f, max(avg_daily_volume) FILTER (iso_dow = 1) AS m FROM dow) SELECT dow.*, (sum(total_volume) OVER (ORDER BY iso_dow))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct, (avg_daily_volume - f) * 100 / f AS drop_from_friday_pct, (avg_daily_volume - m) * 100 / m AS build_from_monday_pct FROM dow, f")
 add("dow_volatility", lambda t: _r6(dow_month(t).groupBy("iso_dow").agg(F.avg("avg_daily_volume").alias("mean"), F.stddev_samp("avg_daily_volume").alias("sd")), "mean", "sd"), "SELECT iso_dow, round(avg(avg_daily_volume), 6) AS mean, round(stddev_samp(avg_daily_volume), 6) AS sd FROM dow_month GROUP BY 1")
-add("month_gaps", lambda t: T.month_gaps(t.monthly, core.month_calendar(t.obs, extra=1)), ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs) SELECT strftime(m, '%Y-%m') AS month_label FROM cal WHERE month_label NOT IN (SELECT month_label FROM monthly)")
+add("month_gaps", lambda t: T.month_gaps(t.monthly, core.month_calendar(t.day_bins, extra=1)), ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs) SELECT strftime(m, '%Y-%m') AS month_label FROM cal WHERE month_label NOT IN (SELECT month_label FROM monthly)")
 add(
     "day_shape",
     lambda t: T.day_shape(bins(t)),
@@ -57,14 +57,14 @@ era = lambda: C.first_match((F.col("month_label") < "1998-01", "early"), (F.col(
 add("era_profile", lambda t: T.era_profile(dow_month(t), era()), ", e AS (SELECT CASE WHEN month_label < '1998-01' THEN 'early' WHEN month_label < '2000-01' THEN 'middle' ELSE 'late' END AS era, iso_dow, sum(total_volume) / sum(days_loaded)::DOUBLE AS avg_daily_volume FROM dow_month GROUP BY 1, 2) SELECT *, avg_daily_volume * 100 / max(avg_daily_volume) FILTER (iso_dow = 5) OVER (PARTITION BY era) AS friday_index FROM e")
 add(
     "era_months",
-    lambda t: _r6(T.era_months(core.profile(t.obs, month_label=C.month_label(DATE)), era()), "avg_daily_volume"),
+    lambda t: _r6(T.era_months(core.profile(t.day_bins, month_label=C.month_label(DATE)), era()), "avg_daily_volume"),
     ", m AS (SELECT strftime(count_date, '%Y-%m') AS l, sum(volume_15m) / count(DISTINCT count_date)::DOUBLE AS a FROM obs GROUP BY 1) SELECT CASE WHEN l < '1998-01' THEN 'early' WHEN l < '2000-01' THEN 'middle' ELSE 'late' END AS era, l[6:7]::INTEGER AS month_of_year, round(avg(a), 6) AS avg_daily_volume FROM m GROUP BY 1, 2",
 )
 _WD = {d: n for d, n in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun"), 1)}
 
 
 def yearly_days(t):  # noqa: ANN001, ANN201
-    wide = P.matrix(core.profile(t.obs, year=F.year(DATE), iso_dow=C.iso_dow(DATE)), F.col("year"), "iso_dow", list(_WD), "avg_daily_volume", F.max)
+    wide = P.matrix(core.profile(t.day_bins, year=F.year(DATE), iso_dow=C.iso_dow(DATE)), F.col("year"), "iso_dow", list(_WD), "avg_daily_volume", F.max)
     wide = wide.select("year", *[F.col(str(d)).alias(n) for d, n in _WD.items()])
     over = lambda a, b: (C.safe_div(a, b) - 1) * 100
     week = (F.col("mon") + F.col("tue") + F.col("wed") + F.col("thu") + F.col("fri")) / 5
@@ -82,12 +82,12 @@ add(
 
 
 def month_days(t):  # noqa: ANN001, ANN201
-    wide = P.matrix(core.profile(t.obs, month_of_year=F.month(DATE), iso_dow=C.iso_dow(DATE)), F.col("month_of_year"), "iso_dow", list(_WD), "avg_daily_volume", F.max)
+    wide = P.matrix(core.profile(t.day_bins, month_of_year=F.month(DATE), iso_dow=C.iso_dow(DATE)), F.col("month_of_year"), "iso_dow", list(_WD), "avg_daily_volume", F.max)
     return wide.select("month_of_year", *[F.col(str(d)).alias(n) for d, n in _WD.items()])
 
 
 def weekend_months(t):  # noqa: ANN001, ANN201
-    split = core.weekday_weekend(t.obs, F.year(DATE).alias("year"), F.date_format(DATE, "MM").alias("m")).withColumn("share", C.pct(F.col("weekend_volume"), F.col("weekday_volume") + F.col("weekend_volume")))
+    split = core.weekday_weekend(t.day_bins, F.year(DATE).alias("year"), F.date_format(DATE, "MM").alias("m")).withColumn("share", C.pct(F.col("weekend_volume"), F.col("weekday_volume") + F.col("weekend_volume")))
     return P.matrix(split, F.col("year"), "m", [m for m, _ in _MM], "share", F.max).select("year", *[F.col(m).alias(n) for m, n in _MM])
 
 
@@ -98,7 +98,7 @@ add(
     f", s AS (SELECT year(count_date)::INTEGER AS year, strftime(count_date, '%m') AS m, {_SPLIT} GROUP BY 1, 2), x AS (SELECT year, m, weekend_volume::DOUBLE * 100 / (weekday_volume + weekend_volume) AS v FROM s) SELECT year, "
     + ", ".join(f"max(v) FILTER (m = '{m}') AS {n}" for m, n in _MM) + " FROM x GROUP BY 1",
 )
-add("weekend_share_by_year", lambda t: core.weekday_weekend(t.obs, F.year(DATE).alias("year")).select("year", C.pct(F.col("weekend_volume"), F.col("weekday_volume") + F.col("weekend_volume")).alias("weekend_share_pct")), f", s AS (SELECT year(count_date)::INTEGER AS year, {_SPLIT} GROUP BY 1) SELECT year, weekend_volume::DOUBLE * 100 / (weekday_volume + weekend_volume) AS weekend_share_pct FROM s")
+add("weekend_share_by_year", lambda t: core.weekday_weekend(t.day_bins, F.year(DATE).alias("year")).select("year", C.pct(F.col("weekend_volume"), F.col("weekday_volume") + F.col("weekend_volume")).alias("weekend_share_pct")), f", s AS (SELECT year(count_date)::INTEGER AS year, {_SPLIT} GROUP BY 1) SELECT year, weekend_volume::DOUBLE * 100 / (weekday_volume + weekend_volume) AS weekend_share_pct FROM s")
 PERIODS = [("2024-01-03", "baseline"), ("2024-01-10", "shock"), ("2024-01-17", "recovery")]
 NAMES = [n for _, n in PERIODS]
 rows = lambda t: T.period_rows(t.obs_days, PERIODS)

@@ -6,6 +6,7 @@ Observation: site_id, count_date, detector_id, interval_index (0..95), volume_15
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
 from slotwise.operators import core
-from slotwise.sources import stores
+from slotwise.sources import cubes, stores
 
 #: The stores and their priorities.
 PRIORITIES = {"main": 2, "cont": 3, "rec": 1}
-_STORED: dict[tuple[str, str], str] = {}
+#: The mode in which each store is cleaned where stores are merged.
+MODES = {"main": "filter", "cont": "nullify", "rec": "nullify"}
+_WRITTEN: dict[tuple[str, ...], str] = {}
 DETECTORS = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
 
@@ -103,38 +106,66 @@ class Tables:
         return days.withColumn("slots", F.aggregate("m", none, put)).drop("m")
 
     def scratch(self, name: str) -> str:
-        """A new path in the shared folder of checkpoints, or of the warehouse where none is named."""
-        named = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.spark.conf.get("spark.sql.warehouse.dir")
-        return f"{named.rstrip('/')}/slotwise-{name}-{uuid.uuid4().hex}"
+        """A new path in the shared folder."""
+        return f"{stores.shared_folder(self.spark)}/slotwise-{name}-{uuid.uuid4().hex}"
+
+    def written(self, name: str, table: str, write: Callable[[str], None]) -> str:
+        """Where ``write`` has put a table derived from ``table``: once a session and state of the source's files (their sizes and times)."""
+        files = self.spark.read.format("binaryFile").load(f"{self.folder}/{table}.parquet").select("path", "length", F.col("modificationTime").cast("string"))
+        state = files.agg(F.sort_array(F.collect_list(F.struct(*files.columns))).alias("f")).first().f
+        key = (self.spark.sparkContext.applicationId, self.folder, name, str(hash(tuple(map(tuple, state)))))
+        if key not in _WRITTEN:
+            path = self.scratch(name)
+            write(path)
+            _WRITTEN[key] = path
+        return _WRITTEN[key]
 
     @cached_property
     def stored(self) -> DataFrame:
-        """``wide`` as three stores of 96 columns, written once a session and folder, and read as one input."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _STORED:
-            path = self.scratch("stores")
-            for name in PRIORITIES:
-                stores.write_detector_days(self.wide.filter(F.col("source") == name), f"{path}/{name}")
-            _STORED[key] = path
-        return stores.read_sources(self.spark, {n: (f"{_STORED[key]}/{n}", p) for n, p in PRIORITIES.items()})
+        """``wide`` as three stores of 96 columns by month, written once and read as one input."""
+        path = self.written("stores", "lineitem", lambda path: stores.write_stores(self.wide, path))
+        return stores.read_stores(self.spark, path, PRIORITIES)
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        """Dates that several stores have, written down."""
+        return self.spark.read.schema("count_date date").parquet(self.written("shared-dates", "lineitem", lambda path: core.shared_dates(self.stored).write.parquet(path)))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The base cubes of ``obs``, written once by month."""
+        path = self.written("cubes", "lineitem", lambda path: cubes.write(self.obs, path))
+        return self.spark.read.schema(cubes.SCHEMA).parquet(path)
+
+    @cached_property
+    def site_days(self) -> DataFrame:
+        return cubes.site_days(self.cells)
+
+    @cached_property
+    def day_bins(self) -> DataFrame:
+        return cubes.day_bins(self.cells)
 
     @cached_property
     def merged(self) -> DataFrame:
         """Clean detector-days: one a site, date and detector."""
-        return core.merge_overlaps(self.stored)
+        return core.merge_overlaps(self.stored, shared=self.shared)
+
+    def merged_by_month(self, first: str, end: str) -> DataFrame:
+        """``merged`` of the months that dates from ``first`` to ``end`` fall in, read from their folders alone."""
+        return core.merge_overlaps(core.between_dates(self.stored, first, end), shared=self.shared)
 
     @cached_property
     def daily(self) -> DataFrame:
-        return core.daily_totals(self.obs)
+        return core.daily_totals(self.site_days)
 
     @cached_property
     def sm(self) -> DataFrame:
-        return core.site_month_totals(self.obs)
+        return core.site_month_totals(self.site_days)
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return self.obs.groupBy(C.month_label(F.col("count_date")).alias("month_label")).agg(F.sum("volume_15m").alias("month_total_volume"))
+        return self.site_days.groupBy(C.month_label(F.col("count_date")).alias("month_label")).agg(F.sum("volume_15m").alias("month_total_volume"))
 
     @cached_property
     def site_totals(self) -> DataFrame:
-        return core.site_totals(self.obs)
+        return core.site_totals(self.site_days)

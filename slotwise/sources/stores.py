@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +16,14 @@ SLOTS = [f"v{i:02d}" for i in range(96)]
 _KEYS = [("scats_site", T.IntegerType()), ("count_date", T.DateType()), ("detector", T.IntegerType()), ("region_code", T.StringType()), ("ct_records", T.ShortType()), ("volume_24hour", T.IntegerType()), ("alarm_24hour", T.IntegerType()), ("source_file_id", T.LongType())]
 #: One row a site, date and detector, with 96 columns of counts.
 DETECTOR_DAY = T.StructType([T.StructField(n, t) for n, t in _KEYS] + [T.StructField(c, T.IntegerType()) for c in SLOTS])
+_ROW = ["scats_site AS site_id", "count_date", "detector AS detector_id", "region_code", "ct_records", "volume_24hour", "alarm_24hour", "source_file_id", f"array({', '.join(SLOTS)}) AS slots"]
 
 
 def read_detector_days(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """Wide facts with an explicit schema; the 96 columns become one array, so later steps carry one column."""
     reader = spark.read.schema(DETECTOR_DAY)
     df = reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
-    return df.select(F.col("scats_site").alias("site_id"), "count_date", F.col("detector").alias("detector_id"), "region_code", "ct_records", "volume_24hour", "alarm_24hour", "source_file_id", F.array(*SLOTS).alias("slots"))
+    return df.selectExpr(*_ROW)
 
 
 def read_sources(spark: SparkSession, stores: dict[str, tuple[str, int]], kind: str = "parquet") -> DataFrame:
@@ -31,11 +32,42 @@ def read_sources(spark: SparkSession, stores: dict[str, tuple[str, int]], kind:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def write_detector_days(wide: DataFrame, path: str) -> None:
-    """Detector-days with an array of slots, as the 96 columns that ``read_detector_days`` takes; what is not known is null."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, where tables that several steps read are written; only a session in one process, as in tests, may do without and use the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _as_columns(wide: DataFrame) -> list[Column]:
     known = {"scats_site": "site_id", "count_date": "count_date", "detector": "detector_id", "source_file_id": "source_file_id"}
     keys = [(F.col(known[n]) if n in known else F.lit(None)).cast(t).alias(n) for n, t in _KEYS]
-    wide.select(*keys, *[F.get("slots", F.lit(i)).cast("int").alias(c) for i, c in enumerate(SLOTS)]).write.parquet(path)
+    return [*keys, *[F.get("slots", F.lit(i)).cast("int").alias(c) for i, c in enumerate(SLOTS)]]
+
+
+def write_detector_days(wide: DataFrame, path: str) -> None:
+    """Detector-days with an array of slots, as the 96 columns that ``read_detector_days`` takes; what is not known is null."""
+    wide.select(*_as_columns(wide)).write.parquet(path)
+
+
+def write_stores(wide: DataFrame, path: str) -> None:
+    """Detector-days of several stores as one table of 96 columns, a folder for each source and month; partitions that are large are split, small ones written together."""
+    kept = wide.select(*_as_columns(wide), "source", C.month_label(F.col("count_date")).alias("month_label"))
+    kept.hint("rebalance", "source", "month_label").write.partitionBy("source", "month_label").parquet(path)
+
+
+def read_stores(spark: SparkSession, path: str, priorities: dict[str, int]) -> DataFrame:
+    """A table of ``write_stores`` as one scan, with each source's priority. ``month_label`` stays: a filter on it (``core.between_dates`` adds one) keeps other months' files unread."""
+    schema = T.StructType([*DETECTOR_DAY.fields, T.StructField("source", T.StringType()), T.StructField("month_label", T.StringType())])
+    priority = C.first_match(*[(F.col("source") == n, F.lit(p)) for n, p in priorities.items()])
+    return spark.read.schema(schema).parquet(path).select(*map(F.expr, _ROW), "source", priority.alias("source_priority"), "month_label")
+
+
+def in_periods(stored: DataFrame, periods: DataFrame) -> DataFrame:
+    """Rows of the periods' dates (``d``, with any other columns). The join is on month and date, so Spark prunes month folders by the periods it finds at run time."""
+    wanted = periods.withColumn("month_label", C.month_label(F.col("d")))
+    return stored.join(F.broadcast(wanted), (stored["month_label"] == wanted["month_label"]) & (stored["count_date"] == wanted["d"])).drop(wanted["month_label"]).drop("d")
 
 
 def data_rows(df: DataFrame, kinds: tuple[str, ...] = ("data", "normal")) -> DataFrame:
