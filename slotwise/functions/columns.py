@@ -37,22 +37,37 @@ def clean_site_id(text: Column) -> Column:
     return F.regexp_extract(text, r"\d+", 0).try_cast("bigint")
 
 
-def clean_label(text: Column, most: int = 40) -> Column:
-    """'' for null, blank, date-like and number-only names; runs of spaces become one; longer text ends in '...'."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    odd = flat.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}$") | flat.rlike(r"^[\d.]+$")
-    return F.when(odd, "").when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 3)), F.lit("..."))).otherwise(flat)
+# Words that stand for a missing name, and the most characters of a label.
+NO_NAMES = ["nan", "none", "null", "na", "n/a"]
+LABEL_LENGTH = 58
 
+# What road words are written as. The first list holds in any name, in this order; the second in names all in capitals, after they are put in title case.
+ROAD_WORDS = [(" NR ", " near "), (" BTW ", " between "), (" FWY ", " Freeway "), (" HWY", " Highway"), ("PHE", "Princes Highway East"), ("/", " / ")]
+TITLE_WORDS = [("Fwy", "Freeway"), ("Hwy", "Highway"), ("Mrr", "MRR"), ("Phe", "Princes Highway East"), ("Nr", "near"), ("Btw", "between"), ("Cbd", "CBD"), ("Rd", "Road"), ("St", "Street"), ("Ave", "Avenue")]
 
-#: Abbreviations of road names.
-ROAD_WORDS = {"RD": "Road", "ST": "Street", "AV": "Avenue", "AVE": "Avenue", "HWY": "Highway", "FWY": "Freeway", "DR": "Drive", "PDE": "Parade", "CT": "Court", "BVD": "Boulevard", "LA": "Lane", "NR": "near"}
+
+def clean_label(text: Column, most: int = LABEL_LENGTH) -> Column:
+    """'' for null, blank, date-like and number-only names and words for nothing; underscores and runs of spaces become one space; longer text is cut and ends in an ellipsis."""
+    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    odd = bare.rlike(r"^\d{4}-\d{2}(-\d{2})?$") | bare.rlike(r"^\d+(\.0)?$") | F.lower(bare).isin(NO_NAMES)
+    flat = F.trim(F.regexp_replace(bare, r"[_\s]+", " "))
+    return F.when(odd, "").when(F.length(flat) > most, F.concat(F.rtrim(F.left(flat, F.lit(most - 1))), F.lit("…"))).otherwise(flat)
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first, whatever stands between (initcap knows spaces only)."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def friendly_name(name: Column, site: Column) -> Column:
-    """Title case with road words written out; 'Site <id>' for an empty name."""
-    titled = F.initcap(F.lower(F.regexp_replace(F.trim(name), r"[_\s]+", " ")))
-    full = reduce(lambda c, w: F.regexp_replace(c, rf"(?i)\b{w[0]}\b", w[1]), ROAD_WORDS.items(), titled)
-    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", F.concat(F.lit("Site "), site.cast("string"))).otherwise(full)
+    """A road name with its words written out; 'SCATS Site <id>' for an empty name. Only names all in capitals are put in title case."""
+    bare = F.trim(F.coalesce(name, F.lit("")))
+    spaced = reduce(lambda c, w: F.replace(c, F.lit(w[0]), F.lit(w[1])), ROAD_WORDS, bare)
+    spaced = F.trim(F.regexp_replace(spaced, r"\s+", " "))
+    titled = reduce(lambda c, w: F.replace(c, F.lit(w[0]), F.lit(w[1])), TITLE_WORDS, title_case(spaced))
+    empty = (bare == "") | (F.lower(bare) == "nan")
+    return F.when(empty, F.concat(F.lit("SCATS Site "), site.cast("string"))).when(F.upper(spaced) == spaced, titled).otherwise(spaced)
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -104,4 +119,4 @@ def percentile_band(rank: Column, n: Column) -> Column:
 
 def season(month: Column) -> Column:
     """Southern hemisphere."""
-    return first_match((month.isin(12, 1, 2), "Summer"), (month.isin(3, 4, 5), "Autumn"), (month.isin(6, 7, 8), "Winter"), (month.isin(9, 10, 11), "Spring"))
+    return first_match((month.isin(12, 1, 2), "summer"), (month.isin(3, 4, 5), "autumn"), (month.isin(6, 7, 8), "winter"), (month.isin(9, 10, 11), "spring"))

@@ -104,17 +104,24 @@ def detector_stability(obs: DataFrame) -> DataFrame:
     return days.agg(F.count("*").alias("detectors"), F.avg("d").alias("mean_days"), F.percentile("d", F.lit(0.5)).alias("median_days"), F.max("d").alias("max_days"), F.min("d").alias("min_days"))
 
 
-def month_audit(obs: DataFrame, calendar: DataFrame, unavailable: list[str], partial: list[str]) -> DataFrame:
-    """Each month of the calendar: the stores that have it, and a status."""
-    stores = obs.groupBy(C.month_label(F.col("count_date")).alias("month_label")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.countDistinct("source").alias("source_count"))
-    m = F.col("month_label")
-    status = C.first_match((m.isin(unavailable), "Known unavailable"), (m.isin(partial), "Partial final"), (F.col("source_count") > 0, "Detected"), otherwise="Missing")
-    return calendar.select("month_label").join(stores, "month_label", "left").select("month_label", F.substring(m, 1, 4).cast("int").alias("year"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("source_count", F.lit(0)).alias("source_count"), status.alias("status"))
-
-
-def year_audit(months: DataFrame) -> DataFrame:
-    s = F.col("status")
-    return months.groupBy("year").agg(F.count("*").alias("expected_months"), F.count_if(F.col("source_count") > 0).alias("detected_months"), F.count_if(s == "Detected").alias("valid_months"), F.count_if(s == "Missing").alias("unexplained_missing"))
+def month_audit(obs: DataFrame, calendar: DataFrame, unavailable: list[str], final: str) -> DataFrame:
+    """Each month of the calendar: the stores that have it, rows and volume, whether it is detected or known to be unavailable, and a status; ``final`` is the audit's last, partial month."""
+    stores = obs.groupBy(C.month_label(F.col("count_date")).alias("month_label")).agg(
+        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.countDistinct("source").alias("source_count"), F.count("*").alias("n_rows"), F.sum("volume_15m").alias("total_volume")
+    )
+    m, found = F.col("month_label"), F.coalesce(F.col("source_count") > 0, F.lit(False))
+    status = C.first_match(((m == final) & found, "Detected partial final month"), (m.isin(unavailable), "Known unavailable"), (found, "Detected"), otherwise="Missing")
+    return calendar.select("month_label").join(stores, "month_label", "left").select(
+        "month_label", F.substring(m, 1, 4).cast("int").alias("year"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "n_rows", "total_volume",
+        found.alias("detected"), m.isin(unavailable).alias("known_unavailable"), status.alias("status"),
+    )
+
+
+def year_audit(months: DataFrame, final_year: int) -> DataFrame:
+    """Months of each year: expected, detected, known to be unavailable, valid (detected less unavailable) and missing without a reason; rows and volume; whether the audit ends within it."""
+    out = months.groupBy("year").agg(F.count("*").alias("expected_months"), F.count_if("detected").alias("detected_months"), F.count_if("known_unavailable").alias("known_unavailable_months"), F.sum("n_rows").alias("n_rows"), F.sum("total_volume").alias("total_volume"))
+    expected, detected, known = (F.col(f"{n}_months") for n in ("expected", "detected", "known_unavailable"))
+    return out.withColumns({"valid_months_detected": detected - known, "missing_unexplained_months": expected - detected - known, "is_partial_year": F.col("year") == final_year})
 
 
 def unified_summary(obs: DataFrame) -> DataFrame:

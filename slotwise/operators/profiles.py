@@ -65,6 +65,13 @@ def variability(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
     return out.filter(F.col("n") >= least).withColumn("cv", C.safe_div(F.col("sd"), F.col("mean")))
 
 
+def daily_variability(site_days: DataFrame, least: int = 100) -> DataFrame:
+    """Mean, sample deviation and coefficient of variation (4 places; null where the mean is not positive) of each site's daily volumes, of sites with at least ``least`` days."""
+    own = variability(site_daily(site_days), "site_id", "v", least)
+    cv = F.when(F.col("mean") > 0, F.round("cv", 4))
+    return own.select("site_id", F.col("mean").alias("mean_daily_volume"), F.col("sd").alias("sd_daily_volume"), cv.alias("cv"))
+
+
 def site_daily(obs: DataFrame) -> DataFrame:
     return obs.groupBy("site_id", "count_date").agg(F.sum("volume_15m").alias("v"))
 
@@ -134,10 +141,14 @@ def window_stats(bins: DataFrame, windows: list[tuple[str, str, str]] = WINDOWS)
 
 
 def daily_summary(daily: DataFrame) -> DataFrame:
-    """Mean, median, extremes, and the biggest rise and fall against the day before."""
+    """Days and their range, total, mean, median; busiest and quietest day, biggest rise and fall against the day before, each with its date (the first of ties)."""
     change = daily.withColumn("change", F.col("day_total_volume") - F.lag("day_total_volume").over(Window.orderBy("count_date")))
     v = "day_total_volume"
-    return change.agg(F.count("*").alias("days"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("highest"), F.min(v).alias("lowest"), F.max("change").alias("biggest_rise"), F.min("change").alias("biggest_fall"))
+    date = F.col("count_date")
+    first = lambda c, low: (F.min if low else F.max)(F.when(c.isNotNull(), F.struct(c.alias("v"), (F.unix_date(date) * (1 if low else -1)).alias("o"), date.alias("d"))))
+    ends = {"busiest_day": (F.col(v), False), "quietest_day": (F.col(v), True), "biggest_rise": (F.col("change"), False), "biggest_fall": (F.col("change"), True)}
+    out = change.agg(F.count("*").alias("days"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.sum(v).alias("total_volume"), F.avg(v).alias("mean"), F.median(v).alias("median"), *[first(c, low).alias(n) for n, (c, low) in ends.items()])
+    return out.select("days", "first_date", "last_date", "total_volume", "mean", "median", *[c for n in ends for c in (F.col(f"{n}.v").alias(n), F.col(f"{n}.d").alias(f"{n}_date"))])
 
 
 def headline_metrics(*one_row: DataFrame) -> DataFrame:

@@ -26,18 +26,25 @@ def orphans(facts: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return facts.groupBy(key).agg(F.count("*").alias("n_rows")).join(known.select(key), key, "left_anti")
 
 
+# The box (south, north, west, east) outside which a lookup's place is taken to be wrong.
+LOOKUP_BOX = (-40.0, -33.0, 140.0, 150.0)
+
+
 def best_site_lookup(lookups: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """One row a site from several lookups: the longest name (then the smallest), the first known coordinates; overrides win.
+    """One row of the lookups a site, whole: of those with a place in the box, the one with the longest name (ties: the earlier lookup, then the smaller name and place). Overrides win, name and place each.
 
     ``lookups``: site_id, site_name, latitude, longitude, lookup_order.
     """
-    order = F.col("lookup_order")
-    longest = F.min(F.when(F.col("site_name").isNotNull(), F.struct(-F.length("site_name"), F.col("site_name").alias("n"))))
-    out = lookups.groupBy("site_id").agg(longest.getField("n").alias("site_name"), *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("latitude", "longitude")])
+    south, north, west, east = LOOKUP_BOX
+    placed = lookups.filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east)).withColumn("site_name", F.coalesce("site_name", F.lit("")))
+    best = F.min(F.struct(-F.length("site_name"), "lookup_order", "site_name", "latitude", "longitude")).alias("b")
+    out = placed.groupBy("site_id").agg(best).select("site_id", "b.site_name", "b.latitude", "b.longitude")
     if overrides is None:
         return out
     o = overrides.select("site_id", *[F.col(c).alias(f"o_{c}") for c in ("site_name", "latitude", "longitude")])
-    return out.join(o, "site_id", "full").select("site_id", *[F.coalesce(f"o_{c}", c).alias(c) for c in ("site_name", "latitude", "longitude")])
+    moved = F.col("o_latitude").isNotNull() & F.col("o_longitude").isNotNull()
+    place = [F.when(moved, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in ("latitude", "longitude")]
+    return out.join(o, "site_id", "left").select("site_id", F.coalesce("o_site_name", "site_name").alias("site_name"), *place)
 
 
 def valid_coordinates(sites: DataFrame, box: tuple[float, float, float, float] = (-39.5, -36.0, 143.0, 147.5)) -> DataFrame:
@@ -228,6 +235,11 @@ def exposure_metrics(site_totals: DataFrame, years: float, peak_hour_factor: flo
     return out.withColumn("peak_hour_volume", whole(F.col("daily_volume") * F.lit(float(peak_hour_factor))))
 
 
+#: Tiers of traffic by rank.
+STRATEGY_TIERS = [(50, "Tier 1: Core"), (100, "Tier 2: Strategic"), (500, "Tier 3: Major"), (1000, "Tier 4: Broad Network")]
+LAST_TIER = "Tier 5: Long Tail"
+
+
 def opportunity_tier(rk: DataFrame) -> DataFrame:
     r = F.col("rank")
     return rk.withColumn("tier", C.first_match((r <= 10, "Elite Top 10"), (r <= 25, "Premium Top 25"), (r <= 50, "Strategic Top 50"), otherwise="High-Value Top 100"))
@@ -246,18 +258,28 @@ def tier_revenue(rk: DataFrame, cost_per_site: float, tiers_: list[tuple[int | N
     return out.withColumns({"profit": F.col("revenue") - F.col("cost"), "roi_pct": C.pct(F.col("revenue") - F.col("cost"), F.col("cost"))})
 
 
+EARTH = 6_371_000
+
+
 def nearest_within(points: DataFrame, features: DataFrame, metres: float, point_key: str = "site_id", feature_key: str = "feature_id") -> DataFrame:
-    """The nearest feature within ``metres`` of each point (ties: the smaller key).
+    """The nearest feature within ``metres`` of each point (ties: the smaller key), anywhere on the globe.
 
-    Features stand in grid cells of that size in latitude and (at the equator's spacing, widened by latitude) longitude; a point is held against the nine cells around it.
+    Places are points on the unit sphere, cut into cubes as wide as the distance: whatever lies within it stands in one of the 27 cubes around, also at the
+    poles and across the 180th meridian. Rows without a place have no neighbours.
     """
-    size = metres / 110_000.0
-    cell = lambda lat, lon: (F.floor(F.col(lat) / size).alias("cy"), F.floor(F.col(lon) / (2 * size)).alias("cx"))
-    f = features.select(F.col(feature_key), F.col("latitude").alias("flat"), F.col("longitude").alias("flon")).select("*", *cell("flat", "flon"))
-    steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    p = points.filter("latitude is not null and longitude is not null").select(point_key, "latitude", "longitude", *cell("latitude", "longitude"), F.explode(steps).alias("s"))
-    p = p.withColumns({"cy": F.col("cy") + F.col("s.y"), "cx": F.col("cx") + F.col("s.x")})
+    size = metres / EARTH
+
+    def cubes(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+        a, b = F.radians("latitude"), F.radians("longitude")
+        sides = {"cx": F.cos(a) * F.cos(b), "cy": F.cos(a) * F.sin(b), "cz": F.sin(a)}
+        placed = df.filter("latitude is not null and longitude is not null")
+        return placed.select(F.col(key), F.col("latitude").alias(lat), F.col("longitude").alias(lon), *[F.floor(v / size).alias(c) for c, v in sides.items()])
+
+    f = cubes(features, feature_key, "flat", "flon")
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", (i // 9 - 1, i // 3 % 3 - 1, i % 3 - 1), strict=True)]) for i in range(27)])
+    p = cubes(points, point_key, "latitude", "longitude").withColumn("s", F.explode(steps))
+    p = p.withColumns({f"c{n}": F.col(f"c{n}") + F.col(f"s.{n}") for n in "xyz"})
     half = lambda a, b: F.pow(F.sin((F.radians(a) - F.radians(b)) / 2), 2)
     h = half(F.col("latitude"), F.col("flat")) + F.cos(F.radians("latitude")) * F.cos(F.radians("flat")) * half(F.col("longitude"), F.col("flon"))
-    near = p.join(f, ["cy", "cx"]).withColumn("metres", 2 * 6_371_000 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))).filter(F.col("metres") <= metres)
+    near = p.join(f, ["cx", "cy", "cz"]).withColumn("metres", 2 * EARTH * F.asin(F.sqrt(F.least(h, F.lit(1.0))))).filter(F.col("metres") <= metres)
     return core.top_per_group(near, point_key, "metres", feature_key, asc=True).select(point_key, feature_key, "metres")

@@ -31,12 +31,33 @@ def drop_partial_tail(monthly: DataFrame, value: str = "month_total_volume") ->
     return marked.filter(~((F.col("_r") == 1) & (F.col("_n") > 8) & (F.col(value) < 0.75 * F.col("_m")))).drop("_r", "_n", "_m")
 
 
-def year_trend(monthly: DataFrame) -> DataFrame:
-    """Total, months, partial flag, running total, growth and index (first year = 100) of each year."""
-    years = monthly.groupBy(F.substring("month_label", 1, 4).cast("int").alias("year")).agg(F.sum("month_total_volume").alias("total_volume"), F.count("*").alias("valid_months"))
+def month_table(calendar_totals: DataFrame, profile: DataFrame) -> DataFrame:
+    """Months of the calendar (``core.monthly_totals``) with their days and average day; both are null in a month without rows."""
+    return calendar_totals.join(profile.select("month_label", "days_loaded", "avg_daily_volume"), "month_label", "left")
+
+
+def year_trend(months: DataFrame) -> DataFrame:
+    """Of each year: total, mean of the months' average days, days, months and months with rows, partial flag, running total; growth and index over full years.
+
+    A year is partial with under 12 valid months. It counts as a full year for growth and index (first full year = 100) unless it is partial without
+    a month known to be empty, as the running year is.
+    """
+    empty = F.col("row_type") == "zero_row_month"
+    years = months.groupBy(F.substring("month_label", 1, 4).cast("int").alias("year")).agg(
+        F.sum("month_total_volume").alias("total_volume"), F.avg("avg_daily_volume").alias("avg_daily_volume"), F.sum("days_loaded").alias("days_loaded"), F.count("*").alias("months_loaded"), F.count_if(empty).alias("empty")
+    )
     w = Window.orderBy("year")
-    total, before = F.col("total_volume"), F.lag("total_volume").over(w)
-    return years.withColumns({"is_partial": F.col("valid_months") < 12, "cumulative_volume": F.sum(total).over(w), "yoy_pct": C.pct(total - before, before), "index": C.pct(total, F.first(total).over(w))})
+    total = F.col("total_volume")
+    out = years.withColumn("valid_months", F.col("months_loaded") - F.col("empty")).withColumns({"is_partial": F.col("valid_months") < 12, "cumulative_volume": F.sum(total).over(w)})
+    full = out.filter("not is_partial or empty > 0").withColumn("_before", F.lag("total_volume").over(w))
+    full = full.select("year", C.pct(total - F.col("_before"), F.col("_before")).alias("yoy_pct"), C.pct(total, F.first("total_volume").over(w)).alias("index"))
+    return out.drop("empty").join(full, "year", "left")
+
+
+def momentum(monthly: DataFrame) -> DataFrame:
+    """Change against the month before and its mean over three changes, without an obviously partial last month."""
+    whole = lag_growth(drop_partial_tail(monthly), "month_label", "month_total_volume", 1)
+    return rolling_mean(whole, "month_label", "growth_pct", 3, 3, "mean_3")
 
 
 def shock_timeline(monthly: DataFrame, n: int = 12, least: int = 6, cut: float = 2.0) -> DataFrame:
@@ -56,11 +77,17 @@ def site_anomalies(sm: DataFrame) -> DataFrame:
 
 
 def weekday_weekend_trend(split: DataFrame) -> DataFrame:
+    """Shares and average days of weekdays and weekends by month, weekend intensity (per cent of the average weekday), mean weekend share of 12 rows (6 at least), running totals. A month without volume has nulls and adds nothing."""
     w = Window.orderBy("month_label")
+    names = ["weekday_volume", "weekend_volume", "weekday_days", "weekend_days"]
     both = F.col("weekday_volume") + F.col("weekend_volume")
-    out = split.withColumns({"weekend_share_pct": C.pct(F.col("weekend_volume"), both), "weekday_avg": C.safe_div(F.col("weekday_volume"), F.col("weekday_days")), "weekend_avg": C.safe_div(F.col("weekend_volume"), F.col("weekend_days"))})
-    out = out.withColumn("weekend_intensity", C.safe_div(F.col("weekend_avg"), F.col("weekday_avg")))
-    return out.withColumns({"intensity_12": C.rolling(F.col("weekend_intensity"), w, 12, 6), "running_weekday": F.sum("weekday_volume").over(w), "running_weekend": F.sum("weekend_volume").over(w)})
+    known = split.withColumn("total_volume", F.when(both != 0, both)).withColumns({c: F.when(both != 0, F.col(c)) for c in names})
+    out = known.withColumns({
+        "weekday_share_pct": C.pct(F.col("weekday_volume"), F.col("total_volume")), "weekend_share_pct": C.pct(F.col("weekend_volume"), F.col("total_volume")),
+        "weekday_avg": C.safe_div(F.col("weekday_volume"), F.col("weekday_days")), "weekend_avg": C.safe_div(F.col("weekend_volume"), F.col("weekend_days")),
+    }).withColumn("weekend_intensity", C.pct(F.col("weekend_avg"), F.col("weekday_avg")))
+    running = {n: F.sum(F.coalesce(c, F.lit(0))).over(w) for n, c in (("running_weekday", "weekday_volume"), ("running_weekend", "weekend_volume"), ("running_total", "total_volume"))}
+    return out.withColumn("weekend_share_12", C.rolling(F.col("weekend_share_pct"), w, 12, 6)).withColumns(running)
 
 
 def cumulative_share(df: DataFrame, order: str, value: str, name: str = "cumulative_share_pct") -> DataFrame:
@@ -75,9 +102,17 @@ def time_at_share(bins: DataFrame, targets: list[float]) -> DataFrame:
 
 
 def dow_shape(dow: DataFrame) -> DataFrame:
+    """Running share of the week; build-up from Monday (Monday to Friday) and drop from Friday (Friday to Sunday) of the average day, in per cent; null on other days."""
     own = lambda d: F.max(F.when(F.col("iso_dow") == d, F.col("avg_daily_volume"))).over(Window.partitionBy())
+    v, day = F.col("avg_daily_volume"), F.col("iso_dow")
+    drop, build = (1 - C.safe_div(v, own(5))) * 100, (C.safe_div(v, own(1)) - 1) * 100
+    return cumulative_share(dow, "iso_dow", "total_volume").withColumns({"drop_from_friday_pct": F.when(day >= 5, drop), "build_from_monday_pct": F.when(day <= 5, build)})
+
+
+def dow_volatility(dow_month: DataFrame) -> DataFrame:
+    """Mean, sample deviation and coefficient of variation (per cent) of each weekday's average day over the months."""
     v = F.col("avg_daily_volume")
-    return cumulative_share(dow, "iso_dow", "total_volume").withColumns({"drop_from_friday_pct": C.pct(v - own(5), own(5)), "build_from_monday_pct": C.pct(v - own(1), own(1))})
+    return dow_month.groupBy("iso_dow").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).withColumn("coefficient_of_variation_pct", C.pct(F.col("sd"), F.col("mean")))
 
 
 def month_gaps(present: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -118,8 +153,8 @@ def era_months(months: DataFrame, era: Column) -> DataFrame:
 
 
 def period_rows(obs: DataFrame, periods: list[tuple[str, str]]) -> DataFrame:
-    """Observations of chosen days, with their period's name and number. The days are a literal table."""
-    table = obs.sparkSession.createDataFrame([(d, n, i) for i, (d, n) in enumerate(periods, 1)], "d string, period string, sequence int").withColumn("d", F.to_date("d"))
+    """Observations of chosen days, with their period's name and number (from 0). The days are a literal table."""
+    table = obs.sparkSession.createDataFrame([(d, n, i) for i, (d, n) in enumerate(periods)], "d string, period string, sequence int").withColumn("d", F.to_date("d"))
     return obs.filter(F.col("count_date").isin(*[F.lit(d).cast("date") for d, _ in periods])).join(F.broadcast(table), F.col("count_date") == F.col("d")).drop("d")
 
 
@@ -135,11 +170,13 @@ def hourly_change(rows: DataFrame, baseline: str) -> DataFrame:
 
 
 def site_period_change(rows: DataFrame, periods: list[str]) -> DataFrame:
-    """Volume of each site in three periods (baseline, shock, recovery); collapse and recovery, absolute and in per cent."""
-    a, b, c = periods
+    """Volume of each site on three days (baseline, shock, busiest): what the shock took off the baseline and what the busiest day has over it, absolute and in per cent of the baseline (null without one)."""
+    base, shock, busiest = periods
     wide = rows.groupBy("site_id").pivot("period", periods).agg(F.sum("volume_15m"))
     wide = wide.select("site_id", *[F.coalesce(F.col(p), F.lit(0)).alias(p) for p in periods])
-    return wide.withColumns({"collapse": F.col(b) - F.col(a), "collapse_pct": C.pct(F.col(b) - F.col(a), F.col(a)), "recovery_pct": C.pct(F.col(c) - F.col(b), F.col(b)), "recovery_index": C.pct(F.col(c), F.col(a))})
+    share = lambda c: F.when(F.col(base) > 0, C.pct(c, F.col(base)))
+    lost, grown = F.col(base) - F.col(shock), F.col(busiest) - F.col(base)
+    return wide.withColumns({"collapse": lost, "collapse_pct": share(lost), "growth": grown, "growth_pct": share(grown)})
 
 
 def recovery_scatter(changes: DataFrame, periods: list[str], floor: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotwise.operators import core
+from slotwise.operators import exports as E
 from slotwise.operators import sites as S
 from slotwise.plans.base import add
 from slotwise.plans.profiles import _r6
@@ -59,7 +60,7 @@ add(
     "SELECT row_number() OVER (ORDER BY ooh_exposure_score DESC, site_id)::INTEGER AS rank, site_id, archetype, ooh_exposure_score FROM d QUALIFY rank <= 25",
 )
 _TIER = " SELECT *, traffic_share_pct / site_share_pct AS efficiency FROM (SELECT {n}, sites, total_volume, total_volume::DOUBLE * 100 / sum(total_volume) OVER () AS traffic_share_pct, sites::DOUBLE * 100 / sum(sites) OVER () AS site_share_pct FROM (SELECT {c} AS {n}, count(*) AS sites, sum(total_volume)::BIGINT AS total_volume FROM rk GROUP BY 1))"
-add("strategy_tiers", lambda t: S.tiers(rk(t), [(5, "Tier 1"), (10, "Tier 2"), (25, "Tier 3"), (50, "Tier 4")], "Tier 5", "tier"), _TIER.format(n="tier", c="CASE WHEN rank <= 5 THEN 'Tier 1' WHEN rank <= 10 THEN 'Tier 2' WHEN rank <= 25 THEN 'Tier 3' WHEN rank <= 50 THEN 'Tier 4' ELSE 'Tier 5' END"))
+add("strategy_tiers", lambda t: S.tiers(rk(t), S.STRATEGY_TIERS, S.LAST_TIER, "tier"), _TIER.format(n="tier", c="CASE WHEN rank <= 50 THEN 'Tier 1: Core' WHEN rank <= 100 THEN 'Tier 2: Strategic' WHEN rank <= 500 THEN 'Tier 3: Major' WHEN rank <= 1000 THEN 'Tier 4: Broad Network' ELSE 'Tier 5: Long Tail' END"))
 add("rank_group_density", lambda t: S.tiers(rk(t), [(10, "Top 10"), (50, "11-50")], "Rest", "rank_group"), _TIER.format(n="rank_group", c="CASE WHEN rank <= 10 THEN 'Top 10' WHEN rank <= 50 THEN '11-50' ELSE 'Rest' END"))
 _PF = ", n(portfolio_size) AS (VALUES (5), (10), (25), (50)), h AS (SELECT portfolio_size, sum(total_volume)::BIGINT AS captured_volume, count(*) AS sites, any_value(network_volume) AS nv, any_value(rk.sites) AS ns FROM n JOIN rk ON rank <= portfolio_size GROUP BY 1), pf AS (SELECT portfolio_size, captured_volume, sites, captured_volume::DOUBLE * 100 / nv AS captured_share_pct, sites::DOUBLE * 100 / ns AS site_share_pct, sites - coalesce(lag(sites) OVER w, 0) AS incremental_sites, captured_volume - coalesce(lag(captured_volume) OVER w, 0) AS incremental_volume, (captured_volume::DOUBLE * 100 / nv) / (sites::DOUBLE * 100 / ns) AS efficiency_ratio, nv - captured_volume AS remaining_volume FROM h WINDOW w AS (ORDER BY portfolio_size))"
 add("portfolio_simulation", lambda t: S.portfolio_simulation(rk(t), [5, 10, 25, 50]), _PF + " SELECT * FROM pf")
@@ -82,4 +83,10 @@ add(
     lambda t: S.exposure_metrics(t.site_totals, 7),
     ", e AS (SELECT *, round_even(total_volume / 7::DOUBLE, 0)::BIGINT AS annual_volume, round_even(total_volume / (7 * 365.25)::DOUBLE, 0)::BIGINT AS daily_volume FROM st) SELECT *, round_even(daily_volume * 0.1::DOUBLE, 0)::BIGINT AS peak_hour_volume FROM e",
 )
+add(
+    "exposure_text",
+    lambda t: S.exposure_metrics(t.site_totals, 7).select("site_id", E.exposure_text(F.col("total_volume"), F.col("annual_volume"), F.col("daily_volume"), F.col("peak_hour_volume"), "seven years").alias("exposure_summary")),
+    ", e AS (SELECT *, round_even(total_volume / 7::DOUBLE, 0)::BIGINT AS a, round_even(total_volume / (7 * 365.25)::DOUBLE, 0)::BIGINT AS d FROM st), x AS (SELECT *, round_even(d * 0.1::DOUBLE, 0)::BIGINT AS p FROM e) SELECT site_id, CASE WHEN total_volume <= 0 THEN 'Traffic total not matched; parcel enrichment is available but exposure metrics require a matching site total.' "
+    "ELSE format('{:,}', total_volume) || ' vehicle movements across seven years; approximately ' || format('{:,}', a) || ' per year, ' || format('{:,}', d) || ' per day, and an indicative ' || format('{:,}', p) || ' vehicles in a major peak hour.' END AS exposure_summary FROM x",
+)
 add("opportunity_tier", lambda t: S.opportunity_tier(rk(t)), " SELECT site_id, total_volume, rank, CASE WHEN rank <= 10 THEN 'Elite Top 10' WHEN rank <= 25 THEN 'Premium Top 25' WHEN rank <= 50 THEN 'Strategic Top 50' ELSE 'High-Value Top 100' END AS tier FROM rk")

@@ -78,7 +78,7 @@ add(
     "c.time_bin AS pm_peak_time_bin, c.v AS pm_peak_volume, c.v / d AS pm_peak_avg FROM td, "
     + f"{_PEAK_BEST.format('true')} a, " + _PEAK_BEST.format("time_bin >= '07:00' AND time_bin < '10:00'") + " b, " + _PEAK_BEST.format("time_bin >= '16:00' AND time_bin < '19:00'") + " c",
 )
-add("seasonal_table", lambda t: core.profile(t.day_bins, **MOY()).select("month_of_year", "avg_daily_volume", C.season(F.col("month_of_year")).alias("season")), "SELECT month_of_year, avg_daily_volume, CASE WHEN month_of_year IN (12, 1, 2) THEN 'Summer' WHEN month_of_year <= 5 THEN 'Autumn' WHEN month_of_year <= 8 THEN 'Winter' ELSE 'Spring' END AS season FROM moy")
+add("seasonal_table", lambda t: core.profile(t.day_bins, **MOY()).select("month_of_year", "avg_daily_volume", C.season(F.col("month_of_year")).alias("season")), "SELECT month_of_year, avg_daily_volume, CASE WHEN month_of_year IN (12, 1, 2) THEN 'summer' WHEN month_of_year <= 5 THEN 'autumn' WHEN month_of_year <= 8 THEN 'winter' ELSE 'spring' END AS season FROM moy")
 add("year_table", lambda t: core.profile(t.day_bins, **YEAR()).select("year", "total_volume", "avg_daily_volume"), "SELECT year, total_volume, avg_daily_volume FROM yearly")
 add("site_extreme_slots", lambda t: P.site_extreme_slots(t.obs), "SELECT site_id, max(volume_15m) AS max_slot_volume, min(volume_15m) FILTER (volume_15m > 0) AS min_nonzero_slot_volume FROM obs GROUP BY 1")
 _TOP = ", top AS (SELECT site_id FROM st ORDER BY total_volume DESC, site_id LIMIT 5), o AS (SELECT * FROM obs WHERE site_id IN (SELECT site_id FROM top))"
@@ -118,6 +118,13 @@ add(
     "j AS (SELECT * FROM w JOIN bins ON time_bin >= a AND time_bin < b) SELECT window_name, count(*) AS bins, sum(total_volume)::BIGINT AS volume, round(sum(avg_daily_volume), 6) AS avg_daily_volume_sum, sum(total_volume)::DOUBLE * 100 / (SELECT sum(total_volume) FROM bins) AS share_pct, "
     "arg_max(time_bin, (avg_daily_volume, -(time_bin[1:2]::INTEGER * 60 + time_bin[4:5]::INTEGER))) AS strongest_bin, max(avg_daily_volume) AS strongest_bin_avg FROM j GROUP BY 1",
 )
-add("daily_summary", lambda t: P.daily_summary(t.daily), ", x AS (SELECT *, day_total_volume - lag(day_total_volume) OVER (ORDER BY count_date) AS c FROM daily) SELECT count(*) AS days, avg(day_total_volume) AS mean, median(day_total_volume)::DOUBLE AS median, max(day_total_volume) AS highest, min(day_total_volume) AS lowest, max(c) AS biggest_rise, min(c) AS biggest_fall FROM x")
+_END = "(SELECT {0} FROM x WHERE {1} IS NOT NULL ORDER BY {1} {2}, count_date LIMIT 1)"
+add(
+    "daily_summary",
+    lambda t: P.daily_summary(t.daily),
+    ", x AS (SELECT *, day_total_volume AS v, day_total_volume - lag(day_total_volume) OVER (ORDER BY count_date) AS c FROM daily) SELECT count(*) AS days, min(count_date) AS first_date, max(count_date) AS last_date, sum(v)::BIGINT AS total_volume, avg(v) AS mean, median(v)::DOUBLE AS median, "
+    + ", ".join(f"{_END.format(c, c, o)} AS {n}, {_END.format('count_date', c, o)} AS {n}_date" for n, c, o in (("busiest_day", "v", "DESC"), ("quietest_day", "v", ""), ("biggest_rise", "c", "DESC"), ("biggest_fall", "c", "")))
+    + " FROM x",
+)
 add("completion_summary", lambda t: core.monthly_totals(t.day_bins, core.month_calendar(t.day_bins, extra=1)).agg(F.count("*").alias("months_total"), F.count_if(F.col("row_type") == "data").alias("months_with_data"), F.expr("listagg(month_label, ',') WITHIN GROUP (ORDER BY month_label) FILTER (WHERE row_type = 'zero_row_month')").alias("zero_months")),
     ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs), x AS (SELECT strftime(m, '%Y-%m') AS l, month_total_volume AS v FROM cal LEFT JOIN monthly ON month_label = strftime(m, '%Y-%m')) SELECT count(*) AS months_total, count(v) AS months_with_data, string_agg(l, ',' ORDER BY l) FILTER (v IS NULL) AS zero_months FROM x")
