@@ -89,15 +89,13 @@ def merge_slots(wide: DataFrame, mode: str | dict[str, str] = "filter") -> DataF
     stores' values. ``mode`` is one for all or a mapping of ``source`` to mode; sources it leaves out are nullified.
     """
     strict = _filtered(mode) if isinstance(mode, dict) else F.lit(mode == "filter")
-    stores = F.array_sort(F.collect_list(F.struct("source_priority", "source_file_id", strict.alias("strict"), "slots")))
-    merged = wide.groupBy(*KEYS[:3]).agg(stores.alias("stores"))
-
-    def pick(i: Column) -> Column:
-        values = F.transform("stores", lambda s: F.struct(F.get(s["slots"], i).alias("v"), s["strict"].alias("strict")))
-        first = F.get(F.filter(values, lambda s: ~s["strict"] | F.coalesce(s["v"] >= 0, F.lit(False))), F.lit(0))["v"]
-        return F.when(first >= 0, first)
-
-    return merged.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(95)), pick)).drop("stores")
+    # a value counts, null is passed over, -1 is a null that counts
+    codes = F.transform("slots", lambda v: F.when(v >= 0, v)), F.transform("slots", lambda v: F.when(v >= 0, v).otherwise(-1))
+    coded = wide.select(*KEYS[:3], "source_priority", "source_file_id", F.when(strict, codes[0]).otherwise(codes[1]).alias("codes"))
+    stores = F.array_sort(F.collect_list(F.struct("source_priority", "source_file_id", "codes")))
+    merged = coded.groupBy(*KEYS[:3]).agg(stores.alias("stores"))
+    first = F.aggregate("stores", F.array_repeat(F.lit(None).cast("int"), 96), lambda a, s: F.zip_with(a, s["codes"], lambda x, y: F.coalesce(x, y)))
+    return merged.select(*KEYS[:3], F.transform(first, lambda v: F.when(v >= 0, v)).alias("slots"))
 
 
 def shared_dates(wide: DataFrame) -> DataFrame:

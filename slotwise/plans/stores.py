@@ -36,7 +36,7 @@ PERIODS = [("1996-03-12", "baseline"), ("1998-06-30", "shock"), ("2000-09-05", "
 def stored_periods(t):  # noqa: ANN001, ANN201
     """Chosen days out of the store: only their months' folders are read, and only those of their rows that several stores have are merged."""
     periods = t.spark.createDataFrame(PERIODS, "d string, period string").withColumn("d", F.to_date("d"))
-    days = core.merge_overlaps(stores.in_periods(t.stored, periods.select("d")), shared=t.shared)
+    days = core.merge_overlaps(stores.on_dates(t.stored, [d for d, _ in PERIODS]), shared=t.shared)
     return days.join(F.broadcast(periods), days["count_date"] == periods["d"]).groupBy("period").agg(F.sum(core.slots_total(F.col("slots"))).alias("total_volume"), F.count("*").alias("detector_days"))
 
 

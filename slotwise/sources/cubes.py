@@ -23,9 +23,9 @@ def build(obs: DataFrame) -> DataFrame:
 
 
 def write(obs: DataFrame, path: str) -> None:
-    """Both cubes, partitioned by cube and month."""
+    """Both cubes, a folder a month."""
     cells = build(obs).withColumn("month_label", C.month_label(F.col("count_date")))
-    cells.hint("rebalance", "cube", "month_label").write.partitionBy("cube", "month_label").parquet(path)
+    cells.hint("rebalance", "month_label").write.partitionBy("month_label").parquet(path)
 
 
 def site_days(cells: DataFrame) -> DataFrame:

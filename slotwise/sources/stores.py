@@ -52,9 +52,9 @@ def write_detector_days(wide: DataFrame, path: str) -> None:
 
 
 def write_stores(wide: DataFrame, path: str) -> None:
-    """Detector-days of several stores as one table of 96 columns, a folder for each source and month; partitions that are large are split, small ones written together."""
+    """Detector-days of several stores as one table of 96 columns, a folder a month; partitions that are large are split, small ones written together."""
     kept = wide.select(*_as_columns(wide), "source", C.month_label(F.col("count_date")).alias("month_label"))
-    kept.hint("rebalance", "source", "month_label").write.partitionBy("source", "month_label").parquet(path)
+    kept.hint("rebalance", "month_label").write.partitionBy("month_label").parquet(path)
 
 
 def read_stores(spark: SparkSession, path: str, priorities: dict[str, int]) -> DataFrame:
@@ -64,10 +64,9 @@ def read_stores(spark: SparkSession, path: str, priorities: dict[str, int]) -> D
     return spark.read.schema(schema).parquet(path).select(*map(F.expr, _ROW), "source", priority.alias("source_priority"), "month_label")
 
 
-def in_periods(stored: DataFrame, periods: DataFrame) -> DataFrame:
-    """Rows of the periods' dates (``d``, with any other columns). The join is on month and date, so Spark prunes month folders by the periods it finds at run time."""
-    wanted = periods.withColumn("month_label", C.month_label(F.col("d")))
-    return stored.join(F.broadcast(wanted), (stored["month_label"] == wanted["month_label"]) & (stored["count_date"] == wanted["d"])).drop(wanted["month_label"]).drop("d")
+def on_dates(stored: DataFrame, dates: list[str]) -> DataFrame:
+    """Rows of chosen dates ('yyyy-MM-dd', few enough to be named); only their months' folders are listed and read."""
+    return stored.filter(F.col("month_label").isin(sorted({d[:7] for d in dates})) & F.col("count_date").isin(*[F.lit(d).cast("date") for d in dates]))
 
 
 def data_rows(df: DataFrame, kinds: tuple[str, ...] = ("data", "normal")) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
 from slotwise.operators import core, trends
-from slotwise.sources import stores
+from slotwise.operators import exports, profiles, sites
+from slotwise.sources import cubes, months, stores
 
 SCHEMA = "site_id int, count_date date, detector_id int, interval_index int, volume_15m int, source_file_id long, source string, source_priority int"
 D = dt.date(2024, 1, 1)
@@ -112,10 +113,154 @@ def test_gaps_are_found(spark):
     assert [r.month_total_volume for r in trends.mask_gaps(months, ["2024-02"]).orderBy("month_label").collect()] == [5, None, 0]
     calendar = core.month_calendar(df, extra=2)
     assert [r.month_label for r in trends.month_gaps(months.filter("month_label <> '2024-02'"), calendar).collect()] == ["2024-02"]
-    audit = audits.month_audit(df, calendar, ["2024-02"], [])
+    audit = audits.month_audit(df, calendar, ["2024-02"], "2024-03")
     assert {r.month_label: r.status for r in audit.collect()} == {"2024-01": "Detected", "2024-02": "Known unavailable", "2024-03": "Missing"}
 
 
 def test_slots_of_text(spark):
     df = spark.createDataFrame([("95",), ("96",), ("200",), ("-1",), ("23:45:00",)], "t string")
     assert [r[0] for r in df.select(C.time_bin_to_minutes(F.col("t"))).collect()] == [1425, None, None, None, 1425]
+
+
+def slots(**v):
+    return [v.get(f"s{i}") for i in range(96)]
+
+
+WIDE = "site_id int, count_date date, detector_id int, source string, source_priority int, source_file_id long, slots array<int>"
+
+
+def test_modes_by_store(spark):
+    modes = {"main": "filter", "cont": "nullify"}
+    rows = obs(spark, (0, -5, 1, "main", 1), (0, 7, 2, "cont", 2), (1, -5, 1, "cont", 1), (1, 8, 2, "main", 2), (2, None, 1, "other", 1), (3, None, 1, "main", 1))
+    won = core.dedup_observations(core.clean(rows, modes), "priority")
+    assert {(r.interval_index, r.volume_15m) for r in won.collect()} == {(0, 7), (1, None), (2, None)}
+    wide = spark.createDataFrame([(1, D, 1, "main", 1, 5, slots(s0=-5, s1=3)), (1, D, 1, "cont", 2, 6, slots(s0=9, s1=4, s2=-1)), (1, D, 2, "cont", 2, 6, slots(s0=-9)), (1, D, 2, "main", 3, 6, slots(s0=4, s5=5))], WIDE)
+    merged = {r.detector_id: r.slots for r in core.merge_overlaps(wide, modes).collect()}
+    assert merged[1][:3] == [9, 3, None] and merged[2] == [None] * 96
+    assert {r.detector_id: r.slots[:6] for r in core.merge_slots(wide).collect()} == {1: [9, 3, None, None, None, None], 2: [4, None, None, None, None, 5]}
+    with pytest.raises(ValueError):
+        core.clean(rows, {"main": "drop"})
+
+
+def test_dedup_sorts_nothing(spark):
+    for order in ("file", "priority"):
+        plan = core.dedup_observations(obs(spark, (0, 5, 1, "main", 2)), order)._jdf.queryExecution().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan and plan.count("Exchange hashpartitioning") <= plan.count("REPARTITION_BY_COL")
+
+
+def test_stores_are_read_by_month(spark, tmp_path):
+    path = str(tmp_path / "stores")
+    days = [dt.date(2024, 1, 31), dt.date(2024, 2, 1), dt.date(2024, 2, 2), dt.date(2024, 4, 1)]
+    wide = spark.createDataFrame([(1, d, 1, s, p, i, slots(s0=i, s95=1)) for i, d in enumerate(days) for s, p in (("main", 2), ("rec", 1)) if s == "main" or d.month == 2], WIDE)
+    stores.write_stores(wide, path)
+    read = stores.read_stores(spark, path, {"main": 2, "rec": 1})
+    assert sorted(map(str, read.select(wide.columns).collect())) == sorted(map(str, wide.collect()))
+    some = core.between_dates(read, "2024-02-01", "2024-02-02")
+    assert some.count() == 2
+    scan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month_label" in scan
+    chosen = stores.on_dates(read, ["2024-02-02", "2024-04-01"])
+    assert "PartitionFilters: [month_label" in chosen._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.source, r.month_label) for r in chosen.collect()) == [("main", "2024-02"), ("main", "2024-04"), ("rec", "2024-02")]
+
+
+def test_months_follow_their_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame([(dt.date(2024, m, d), f, v) for m, d, f, v in r], "count_date date, file string, v int")
+    build = lambda df: df.groupBy("count_date").agg(F.sum("v").alias("v"))
+    first = [(1, 1, "a", 1), (1, 2, "b", 2), (2, 1, "b", 4)]
+    got = lambda: {(r.month_label, r.count_date.day, r.v) for r in months.read(spark, path).collect()}
+    assert months.refresh(rows(*first), path, "file", build) == ["2024-01", "2024-02"]
+    assert months.refresh(rows(*first), path, "file", build) == []
+    late = [*first, (2, 9, "c", 8), (3, 1, None, 16), (3, 2, "c", 1)]
+    with pytest.raises(RuntimeError):  # a run that dies before the manifest leaves the months as they were
+        months.refresh(rows(*late), path, "file", lambda df: (_ for _ in ()).throw(RuntimeError()))
+    before = {("2024-01", 1, 1), ("2024-01", 2, 2), ("2024-02", 1, 4)}
+    build(rows(*late)).withColumn("month_label", C.month_label("count_date")).write.partitionBy("month_label").parquet(f"{path}/data/run=dead")
+    assert got() == before
+    assert months.changed_months(rows(*late), path, "file") == ["2024-02", "2024-03"]
+    assert months.refresh(rows(*late), path, "file", build) == ["2024-02", "2024-03"]
+    assert got() == before | {("2024-02", 9, 8), ("2024-03", 1, 16), ("2024-03", 2, 1)}
+    gone = [r for r in late if r[2] != "c"]
+    assert months.refresh(rows(*gone), path, "file", build) == ["2024-02", "2024-03"]
+    assert months.refresh(rows(*gone), path, "file", build) == []
+    assert got() == before | {("2024-03", 1, 16)}
+
+
+def test_cubes_hold_all_totals(spark, tmp_path):
+    df = obs(spark, (0, 5, 1, "main", 2), (1, None, 1, "main", 2), (95, 7, 1, "main", 2)).withColumn("site_id", F.when(F.col("interval_index") != 95, 1))
+    cubes.write(df, str(tmp_path / "c"))
+    cells = spark.read.schema(cubes.SCHEMA).parquet(str(tmp_path / "c"))
+    assert {(r.site_id, r.volume_15m, r.n_rows) for r in cubes.site_days(cells).collect()} == {(1, 5, 2), (None, 7, 1)}
+    assert {(r.time_bin, r.volume_15m, r.n_rows) for r in cubes.day_bins(cells).collect()} == {("00:00", 5, 1), ("00:15", None, 1), ("23:45", 7, 1)}
+    assert profiles.dataset_summary(cubes.site_days(cells)).first().row_count == 3
+    assert "cube" not in cubes.day_bins(cells).columns
+
+
+def test_nearest_on_the_whole_globe(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    hubs = [(90.0, 0.0), (-90.0, 20.0), (0.0, 180.0), (10.0, -180.0), (75.0, 10.0), (-37.8, 145.0), (0.0, 0.0)]
+    place = lambda: (lambda h: (max(-90.0, min(90.0, h[0] + rng.gauss(0, 0.001))), (h[1] + rng.gauss(0, 0.002) + 180) % 360 - 180))(rng.choice(hubs))
+    points, features = [(i, *place()) for i in range(60)], [(i, *place()) for i in range(120)]
+    points += [(900, None, 1.0), (901, 10.0, 179.9999), (902, 75.0, 10.0008)]
+    features += [(900, 10.0, -179.9999), (902, 75.0, 10.0025)]
+
+    def metres(a, b):
+        (la, lo), (lb, ob) = [(math.radians(x), math.radians(y)) for x, y in (a, b)]
+        h = math.sin((la - lb) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lo - ob) / 2) ** 2
+        return 2 * sites.EARTH * math.asin(math.sqrt(min(1.0, h)))
+
+    for reach in (50.0, 3000.0):
+        want = {}
+        for p, lat, lon in points:
+            near = sorted((metres((lat, lon), (fl, fo)), f) for f, fl, fo in features) if lat is not None else []
+            if near and near[0][0] <= reach:
+                want[p] = near[0][1]
+        got = sites.nearest_within(spark.createDataFrame(points, "site_id int, latitude double, longitude double"), spark.createDataFrame(features, "feature_id int, latitude double, longitude double"), reach)
+        assert {r.site_id: r.feature_id for r in got.collect()} == want
+        assert {901, 902} <= set(want)
+
+
+def test_names_and_labels(spark):
+    names = ["SMITH ST/JONES AVE", "Smith St/Jones", "A BTW B", "O'BRIEN ST", "  ", None, "nan", "PHE NR CBD", "Bell St NR High St", "MRR HWY"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    got = [r[0] for r in df.orderBy("i").select(C.friendly_name(F.col("n"), F.col("i"))).collect()]
+    assert got == ["Smith Street / Jones Avenue", "Smith St / Jones", "A between B", "O'Brien Street", "SCATS Site 4", "SCATS Site 5", "SCATS Site 6", "Princes Highway East near CBD", "Bell St near High St", "MRR Highway"]
+    labels = ["2024-01", "2024-01-31", "44", "44.0", "N/A", "none", "", None, "a_b  c", "y" * 58, "y" * 59, "4.4"]
+    df = spark.createDataFrame(list(enumerate(labels)), "i int, n string")
+    assert [r[0] for r in df.orderBy("i").select(C.clean_label(F.col("n"))).collect()] == ["", "", "", "", "", "", "", "", "a b c", "y" * 58, "y" * 57 + "…", "4.4"]
+
+
+def test_lookup_keeps_one_row(spark):
+    schema = "site_id int, site_name string, latitude double, longitude double, lookup_order int"
+    rows = [(1, "long name", -37.0, None, 1), (1, "name", -38.0, 145.0, 2), (2, "a", -38.0, 145.0, 2), (2, "b", -38.5, 145.5, 1), (3, "far", 10.0, 145.0, 1), (4, None, -38.0, 145.0, 1)]
+    over = spark.createDataFrame([(2, None, -39.0, 146.0), (4, "named", None, None)], "site_id int, site_name string, latitude double, longitude double")
+    best = sites.best_site_lookup(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, best.collect())) == [(1, "name", -38.0, 145.0), (2, "b", -38.5, 145.5), (4, "", -38.0, 145.0)]
+    moved = sites.best_site_lookup(spark.createDataFrame(rows, schema), over)
+    assert sorted(map(tuple, moved.collect())) == [(1, "name", -38.0, 145.0), (2, "b", -39.0, 146.0), (4, "named", -38.0, 145.0)]
+
+
+def test_years_months_and_audits(spark):
+    from slotwise.operators import audits
+
+    table = lambda rows: spark.createDataFrame([(m, v, None if v == 0 else 30, None if v == 0 else v / 30, "zero_row_month" if v == 0 else "data") for m, v in rows], "month_label string, month_total_volume long, days_loaded long, avg_daily_volume double, row_type string")
+    rows = [(f"{y}-{m:02d}", 100 * (y - 2016) * (0 if (y, m) == (2018, 12) else 1)) for y in (2017, 2018, 2019) for m in range(1, 13)] + [("2020-01", 100)]
+    got = {r.year: r for r in trends.year_trend(table(rows)).collect()}
+    assert [(y, got[y].valid_months, got[y].is_partial, got[y]["index"], got[y].yoy_pct) for y in sorted(got)] == [(2017, 12, False, 100.0, None), (2018, 11, True, pytest.approx(2200 / 12), pytest.approx(1000 / 12)), (2019, 12, False, 300.0, pytest.approx(1400 / 22)), (2020, 1, True, None, None)]
+    dates = spark.createDataFrame([(1, dt.date(2024, m, 1), 1, 0, 5, 1, "main", 2) for m in (1, 3, 4)], SCHEMA)
+    audit = audits.month_audit(dates, core.month_calendar(dates, extra=1), ["2024-02", "2024-04"], "2024-04")
+    assert {r.month_label: r.status for r in audit.collect()} == {"2024-01": "Detected", "2024-02": "Known unavailable", "2024-03": "Detected", "2024-04": "Detected partial final month", "2024-05": "Missing"}
+    year = audits.year_audit(audit, 2024).first()
+    assert (year.expected_months, year.detected_months, year.known_unavailable_months, year.valid_months_detected, year.missing_unexplained_months, year.is_partial_year) == (5, 3, 2, 1, 0, True)
+
+
+def test_pulse_without_volume(spark):
+    rows = spark.createDataFrame([(1, D, "07:00", 0), (2, D, "07:00", 5)], "site_id int, count_date date, time_bin string, volume long")
+    place = spark.createDataFrame([(1, "a", 1.0, 2.0), (2, "b", None, 2.0)], "site_id int, site_name string, latitude double, longitude double")
+    assert exports.enrich_pulse(rows, place).collect() == []
+    r = exports.enrich_pulse(rows, place, 0).first()
+    assert (r.scaled_volume, r.scaled_volume_0_100, r.intensity_band, r.time_label, r.day_name) == (0.0, 0.0, "extreme", "07:00", "Monday")

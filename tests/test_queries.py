@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -19,25 +20,33 @@ def _rows(names, rows):
     return sorted(str([round(v, 9) if isinstance(v, float) else v for v in (r[i] for i in order)]) for r in rows)
 
 
-@pytest.fixture(autouse=True)
-def one_task(spark):
-    """The smallest tables need no more."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+@pytest.fixture(scope="module")
+def results(spark):
+    """Columns and rows of every query, or what it raised; several at a time, over several partitions."""
+
+    def run(name):
+        try:
+            got = QUERIES[name](spark, FOLDER)
+            return got.columns, got.collect()
+        except Exception as e:  # noqa: BLE001
+            return e
+
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(NAMES, pool.map(run, NAMES), strict=True))
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
 @pytest.mark.parametrize("name", NAMES)
-def test_same_as_sql(spark, name):
+def test_same_as_sql(results, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
+    columns, rows = results[name]
     db = duckdb.connect()
     for p in Path(FOLDER).glob("*.parquet"):
         db.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     want = db.sql(ORACLES[name])
-    got = QUERIES[name](spark, FOLDER)
-    assert sorted(got.columns) == sorted(want.columns)
-    assert _rows(got.columns, got.collect()) == _rows(want.columns, want.fetchall())
+    assert sorted(columns) == sorted(want.columns)
+    assert _rows(columns, rows) == _rows(want.columns, want.fetchall())
 
 
 def test_every_query_has_a_twin():
