@@ -28,10 +28,13 @@ MAIN = {"article", "main"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id and role that name a part of the page beside the article; and those that article parts bear as well.
 SURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|comments?|commentlist|disqus|sidebar\w*|menus?|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|"
-    r"share|sharing|newsletter|subscri\w*|signup|popup|login|pagination|pager|contentinfo|complementary)(?=$|[\s_-])"
+    r"ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|comments?|commentlist|disqus|sidebar\w*|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|"
+    r"share|sharing|newsletter|subscri\w*|signup|popup|login|pagination|pager|contentinfo|complementary"
 )
-DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:notices?|notifications?|alerts?|repl(?:y|ies)|discussion|responses?|side|rail|foot|header|social|related|recommend\w*|modal|overlay|widgets?|search\w*|dialog|copyright|disclaimer|legal|skip)(?=$|[\s_-])")
+DOUBTFUL = re.compile(r"menus?|notices?|notifications?|alerts?|repl(?:y|ies)|discussion|responses?|side|rail|foot|header|social|related|recommend\w*|modal|overlay|widgets?|search\w*|dialog|copyright|disclaimer|legal|skip")
+#: First parts of names that tell a state of the page, and last parts that say no more than "a piece of it".
+STATE = set("has with no not without is show shows hide hides hidden enable enabled disable disabled toggle".split())
+PIECE = set("area bar block blocks body bottom box btn button buttons col column container content form group head heading icon icons inner item items large left link links list main module outer panel primary right row secondary section slot small text thread title top unit wrap wrapper".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b(?:[^>]*)(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)",
@@ -42,6 +45,24 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "page_has_main", "in_part", "surely_named", "doubtfully_named", "heading"]
 
 
+class Named:
+    """An element whose own name means another part of the page, and the nearest such element around it. A wrapper of the article is ``void``: its name tells of the layout."""
+
+    __slots__ = ("above", "void", "counts")
+
+    def __init__(self, above: Named | None) -> None:
+        self.above, self.void, self.counts = above, False, True
+
+
+class Root:
+    """An outermost article or main element: the names around it, and its words that no name within it covers."""
+
+    __slots__ = ("tag", "sure", "doubtful", "words")
+
+    def __init__(self, tag: str, sure: Named | None, doubtful: Named | None) -> None:
+        self.tag, self.sure, self.doubtful, self.words = tag, sure, doubtful, 0
+
+
 @dataclass(frozen=True)
 class Place:
     """Where a block stands: what its open elements say together."""
@@ -50,8 +71,9 @@ class Place:
     silent: bool = False
     main: bool = False
     part: bool = False
-    sure: bool = False
-    doubtful: bool = False
+    sure: Named | None = None
+    doubtful: Named | None = None
+    root: Root | None = None
     heading: bool = False
     label: bool = False
 
@@ -102,22 +124,72 @@ class _Open:
                     held.pop()
 
 
-def _place(tag: str, attributes: str, above: Place) -> Place:
-    sure, doubtful, label = above.sure, above.doubtful, above.label
+def _meaning(name: str) -> str:
+    """'sure' or 'doubtful' if one of the names in a class, id or role attribute means another part of the page, else ''.
+
+    A name's last part tells what it is ('post-comments'), once parts that only say "a piece" are gone ('comment-list'); a doubtful last part is
+    sure with a sure word before it ('cookie-notice'). 'share-price' is no sharing, and 'has-sidebar' or 'comments-open' tell of a state.
+    """
+    found = ""
+    for token in name.split():
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        while len(parts) > 1 and (parts[-1] in PIECE or parts[-1].isdigit()):
+            parts.pop()
+        if parts and (len(parts) == 1 or parts[0] not in STATE):
+            if SURE.fullmatch(parts[-1]):
+                return "sure"
+            if DOUBTFUL.fullmatch(parts[-1]):
+                if any(SURE.fullmatch(p) for p in parts):
+                    return "sure"
+                found = "doubtful"
+    return found
+
+
+def _place(tag: str, attributes: str, above: Place, named: list[Named]) -> Place:
+    sure, doubtful, label, root = above.sure, above.doubtful, above.label, above.root
     if attributes.strip() and tag not in ("html", "body"):
         found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
         label = label or any(name == "data-main" for name, _ in found)
         if tag not in MAIN:
             # the id of a heading is the name of its section
-            names = " ".join(value for name, value in found if name in ("class", "role") or (name == "id" and tag not in HEADING)).lower()
-            sure, doubtful = sure or bool(SURE.search(names)), doubtful or bool(DOUBTFUL.search(names))
+            meaning = _meaning(" ".join(value for name, value in found if name in ("class", "role") or (name == "id" and tag not in HEADING)).lower())
+            if meaning == "sure":
+                named.append(sure := Named(sure))
+            elif meaning:
+                named.append(doubtful := Named(doubtful))
+    if tag in MAIN and root is None:
+        root = Root(tag, sure, doubtful)
     part = above.part or (tag in PART and not (tag == "header" and above.main))
-    return Place(tag, above.silent or tag in SILENT, above.main or tag in MAIN, part, sure, doubtful, above.heading or tag in HEADING, label)
+    return Place(tag, above.silent or tag in SILENT, above.main or tag in MAIN, part, sure, doubtful, root, above.heading or tag in HEADING, label)
+
+
+def _settle(found: list[Block], roots: list[Root], named: list[Named]) -> None:
+    """Names count for what they hold, but not for the article that they wrap.
+
+    The largest article (or main) is the page's own if it has as many words as stand outside articles and names; then a name on an element around it is void.
+    """
+    free = 0
+    for b in found:
+        root = b.place.root
+        if root is not None and not b.place.part and b.place.sure is root.sure:
+            root.words += b.words
+        elif root is None and not b.place.part and b.place.sure is None:
+            free += b.words
+    if roots:
+        own = max(roots, key=lambda r: r.words)
+        if own.words and own.words >= free:
+            for name in (own.sure, own.doubtful):
+                while name is not None:
+                    name.void, name = True, name.above
+    for name in named:  # outer elements come first
+        name.counts = not name.void or (name.above is not None and name.above.counts)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Tags may be unclosed or cut off; `br` is white space. The time goes with the page's length."""
     out: list[Block] = []
+    named: list[Named] = []
+    roots: list[Root] = []
     open_ = _Open()
     text: list[str] = []
     linked = 0
@@ -161,10 +233,14 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             open_.close("a", open_.blocks[-1] if open_.blocks else -1)
         if tag not in VOID and not m[4].endswith("/"):
-            open_.push(_place(tag, m[4], open_.top()))
+            place = _place(tag, m[4], open_.top(), named)
+            if place.root is not open_.top().root:
+                roots.append(place.root)
+            open_.push(place)
     if not open_.top().silent:
         text.append(page[at:])
     flush()
+    _settle(out, roots, named)
     return out
 
 
@@ -174,7 +250,7 @@ def features(found: list[Block]) -> np.ndarray:
     words = np.array([0, *(b.words for b in found), 0], float)
     dense = np.array([0, *(b.linked / b.words for b in found), 0], float)
     has_main = float(any(b.place.main for b in found))
-    flags = np.array([(b.place.main, has_main, b.place.part, b.place.sure, b.place.doubtful, b.place.heading) for b in found], float).reshape(n, 6)
+    flags = np.array([(b.place.main, has_main, b.place.part, bool(b.place.sure and b.place.sure.counts), bool(b.place.doubtful and b.place.doubtful.counts), b.place.heading) for b in found], float).reshape(n, 6)
     return np.column_stack([words[1:-1], dense[1:-1], words[:-2], dense[:-2], words[2:], dense[2:], flags])
 
 
@@ -205,6 +281,8 @@ LABELLED = [
     "<article><p data-main>[30]</p><div class=comments>{4}</div><p data-main>[9]</p><div class=ad>{5}</div><p data-main>[12]</p><div class=share>{3}</div><p data-main>[15]</p><div class=related>{6}</div><p data-main>[7]</p></article>",
     "<article><h1 data-main>[5]</h1><div class=ad>{4}</div><p data-main>[30]</p><p data-main>{5}</p><div class=newsletter>{3}</div><div class=related>{5}</div><p data-main>[30]</p><div class=sidebar>{7}</div></article><footer>[6]</footer>",
     "<div>{4}</div><div data-main><p>[20]</p><p>[40]</p></div>", "<div>{3} {4}</div><div>{5}</div><div data-main><p>[33]</p><p>[9]</p><p>[14]</p></div>", "<p data-main>[30]</p>", "<div data-main><h1>[6]</h1><p>[25]</p><p>[12]</p></div>",
+    "<article><div data-main><h1>[4]</h1><p>[30]</p><div class=menu><p>[20]</p><p>[9]</p></div><p>[12]</p></div><div class=menu>{3} {2}</div></article><div class=menu>{4} {2}</div>",
+    "<div class=menu>{2} {3}</div><article data-main><h1>[3]</h1><div class=menu><h2>[2]</h2><p>[11]</p><p>[25]</p></div><p>[40]</p></article><div class=menu><ul><li>{1}</li><li>{2}</li></ul></div>",
     "<div class=header>{3} [2]</div><div class=notice>[18]</div><div data-main><p>[18]</p><p>[40]</p><p>[11]</p></div><div class=related>[8] {6}</div><div class=disclaimer>[35]</div>",
 ]
 

@@ -41,6 +41,33 @@ def test_other_parts_go(tree, part):
     assert "gone" not in H.main_text(page(part), tree)
 
 
+WRAPPED = [
+    "<div class='layout has-sidebar'>{}<aside class=sidebar>gone</aside></div>", "<div class='page with-sidebar'>{}<div class=sidebar>gone</div></div>", "<div class='post comments-open'>{}<div class=comments><article>gone as an article of its own</article></div></div>",
+    "<div class='no-sidebar'>{}</div>", "<div class=sidebar-layout><div class='content-sidebar'>{}</div><div class=sidebar>gone <a>x</a></div></div>", "<div id=comments class=related>{}</div><div class=comments>gone</div>", "<section class='nav-open cookie-consent-hidden'>{}</section>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPED)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_of_the_article_take_nothing(tree, wrapper, tag):
+    article = f"<{tag}><h1>Title</h1><p>{LONG * 2}</p><div class=share-price><p>{LONG}</p></div><div class=menu><p>soup of the day and bread</p></div><div class=ad>gone</div><p>last</p></{tag}>"
+    got = H.main_text(f"<body><nav><a>Home</a></nav>{wrapper.format(article)}<footer>foot</footer></body>", tree)
+    assert got == "\n\n".join(["Title", (LONG * 2).strip(), LONG.strip(), "soup of the day and bread", "last"])
+
+
+def test_comments_in_articles_are_no_main_text(tree):
+    text = "".join(f"<p>{'plain ' * 30}</p>" for _ in range(4))
+    got = H.main_text(f"<body><div>{text}</div><div class=comments><article>gone one</article><article>gone two</article></div></body>", tree)
+    assert "gone" not in got and got.count("plain") == 120
+    got = H.main_text(f"<body><article>{text}<div class=comments><article><p>gone {LONG}</p></article></div></article></body>", tree)
+    assert "gone" not in got and got.count("plain") == 120
+
+
+@pytest.mark.parametrize(("name", "meaning"), [("share-price", ""), ("has-sidebar", ""), ("post-comments", "sure"), ("comment-list", "sure"), ("no-comments", ""), ("comments-open", ""), ("menu", "doubtful"), ("sidebar_left", "sure"), ("ad-slot-2", "sure"), ("headline", ""), ("x ads", "sure"), ("", "")])
+def test_names(name, meaning):
+    assert H._meaning(name) == meaning
+
+
 def test_link_density_decides_without_an_article(tree):
     text = "".join(f"<div><p>{'plain ' * n}</p></div>" for n in (12, 40, 8, 25))
     links = "".join(f"<div><a>{'link ' * n}</a></div>" for n in (3, 14, 30))
