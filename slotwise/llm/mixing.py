@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +33,29 @@ def repetition_rates(docs: DataFrame, source_col: str = "source", weights: dict[
     return weighted.crossJoin(total).select("source", F.coalesce(F.expr("try_divide(w / all_w * all_n, n)"), F.lit(0.0)).alias("rate"))
 
 
-def _inverse(rate: Column) -> tuple[Column, Column]:
-    """(n, distribution function at n, n + 1, n + 2, ...) of a Poisson variable, far enough into its tails that 52 bits see no more.
+def _distribution(rate: float) -> tuple[int, list[float]]:
+    """(n, distribution function at n, n + 1, n + 2, ...) of a Poisson variable, far enough into its tails that 52 bits see no more; linear in its terms.
 
     From a rate of 500 on, n is not 0 (exp(-rate) vanishes from 745 on): the terms start with 1 twelve standard deviations under the mean
     and are divided by their sum.
     """
-    spread = 12 * F.sqrt(rate) + 14
-    most = F.ceil(rate + spread).cast("int")
-    least = F.when(rate < 500, 0).otherwise(F.floor(rate - spread)).cast("int")
-    first = F.when(rate < 500, F.exp(-rate)).otherwise(1.0)
-    start = F.struct(first.alias("p"), F.array(first).alias("cdf"))
+    spread = 12 * math.sqrt(rate) + 14
+    most = math.ceil(rate + spread)
+    least, p = (0, math.exp(-rate)) if rate < 500 else (math.floor(rate - spread), 1.0)
+    sums = [p]
+    for k in range(least + 1, most + 1):
+        p = p * rate / k
+        sums.append(sums[-1] + p)
+    return least, sums if rate < 500 else [c / sums[-1] for c in sums]
+
 
-    def step(s: Column, k: Column) -> Column:
-        p = s["p"] * rate / k
-        return F.struct(p.alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + p)).alias("cdf"))
+def _inverse(rate: Column) -> Column:
+    @F.arrow_udf(returnType="struct<least int, cdf array<double>>")
+    def tables(rates: pa.Array) -> pa.Array:
+        rows = [_distribution(r) for r in rates.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.list_(pa.float64()))], ["least", "cdf"])
 
-    sums = F.aggregate(F.sequence(least + 1, most), start, step, lambda s: s["cdf"])
-    return least, F.when(rate < 500, sums).otherwise(F.transform(sums, lambda c: c / F.element_at(sums, -1)))
+    return tables(rate)
 
 
 def mix_sources(
@@ -64,8 +72,7 @@ def mix_sources(
     hash of id, text, copy and seed and sorted by it within each partition, which is a random order of the whole; it depends on the number of shuffle partitions.
     """
     names = [c for c in docs.columns if c != "copy"]
-    least, cdf = _inverse(F.col("rate"))
-    rates = repetition_rates(docs, source_col, weights, temperature).select("source", least.alias("least"), cdf.alias("cdf"))
+    rates = repetition_rates(docs, source_col, weights, temperature).select("source", _inverse(F.col("rate")).alias("d")).select("source", "d.least", "d.cdf")
     size = rates.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
     rates = F.broadcast(rates) if size <= broadcast_bytes else rates.hint("merge")
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))

@@ -249,3 +249,27 @@ def test_decontamination_in_parts_of_items_that_share_text(spark):
     docs = spark.createDataFrame([(i, f"{words(9)} {t} {shared[(i // 2 + 5) % 12]} {words(9)}") for i, t in enumerate(own)], "doc_id long, text string")
     whole, parts = ({(r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontam.find_leaks(docs, items, threshold=0.2, radius=31, part_bytes=n).collect()} for n in (1 << 26, 10_000))
     assert whole and parts == whole
+
+
+def test_rates_take_linear_time(spark):
+    """A row beside very many: a rate of a million, whose counts lie about it; and the distribution against the exact one."""
+    import math
+    import time
+
+    from slotwise.llm import mixing
+
+    began = time.perf_counter()
+    least, cdf = mixing._distribution(1e6)
+    assert time.perf_counter() - began < 5
+    middle = cdf[1_000_000 - least]
+    assert abs(middle - 0.5) < 1e-3 and cdf[-1] == 1.0 and 1e-30 < cdf[0] < 1e-20 or cdf[0] < 1e-20
+    for rate in (0.3, 4.0, 499.0, 501.0, 800.0):
+        least, cdf = mixing._distribution(rate)
+        total = 0.0
+        for k in range(least + len(cdf)):
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            if k >= least:
+                assert abs(cdf[k - least] - total) < 1e-9
+    docs = spark.createDataFrame([(1, "x", "big"), (2, "y", "small")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, weights={"big": 1.0, "small": 1e-7}).groupBy("source").count().collect()
+    assert {r.source for r in got} <= {"big", "small"}
