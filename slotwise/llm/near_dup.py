@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import text_arrays as ta
@@ -290,8 +290,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat both, the one with the smallest hash of all columns stays. Rows without words belong to no component and all stay.
     """
     judged = _judged(docs, id_col, text_col, k, num, den, slack, fine_slack, rounds, block).filter("key is not null")
-    wordy = judged.groupBy(F.col("doc").alias("_doc")).agg(F.max(F.col("doc") == F.col("first")).alias("_kept"))
-    named = docs.withColumn("_doc", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash")))
-    left = _join(named, wordy, "_doc", "left").filter("_kept is null or _kept")
-    at = Window.partitionBy("_doc").orderBy(F.xxhash64(*docs.columns))
-    return left.withColumn("_n", F.row_number().over(at)).filter("_kept is null or _n = 1").select(*docs.columns)
+    kept = judged.groupBy(F.col("doc").alias("_doc")).agg(F.max(F.col("doc") == F.col("first")).alias("_kept")).filter("_kept").drop("_kept")
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.filter(words).withColumn("_doc", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash")))
+    # rows that repeat id and text are brought to one before they are shuffled; rows without words meet nowhere
+    one = _join(named, kept, "_doc").groupBy("_doc").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.filter(~words))
