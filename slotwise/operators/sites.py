@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
-from slotwise.operators import core
+from slotwise.operators import core, ordered
 
 
 
@@ -63,10 +63,8 @@ def site_rankings(sm: DataFrame) -> DataFrame:
     v = F.col("month_site_volume")
     top_month = F.max_by("month_label", F.struct(v, -F.regexp_replace("month_label", "-", "").cast("int")))
     out = sm.groupBy("site_id").agg(F.sum(v).alias("total_volume"), F.count("*").alias("months_present"), F.min("month_label").alias("first_month"), F.max("month_label").alias("last_month"), F.avg(v).alias("avg_monthly_volume"), F.max(v).alias("max_monthly_volume"), top_month.alias("best_month"))
-    order = Window.orderBy(F.desc("total_volume"), "site_id")
-    total = F.sum("total_volume").over(Window.partitionBy())
-    ranked = out.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy()), "cumulative_volume": F.sum("total_volume").over(order), "percent_of_network": C.pct(F.col("total_volume"), total)})
-    return ranked.withColumns({"cumulative_percent": C.pct(F.col("cumulative_volume"), total), "percentile_band": C.percentile_band(F.col("rank"), F.col("n"))}).drop("n")
+    ranked = ordered.ranked(out, "total_volume", "site_id").withColumn("percent_of_network", C.pct(F.col("total_volume"), F.col("all_volume")))
+    return ranked.withColumns({"cumulative_percent": C.pct(F.col("cumulative_volume"), F.col("all_volume")), "percentile_band": C.percentile_band(F.col("rank"), F.col("all_rows"))}).drop("all_rows", "all_volume")
 
 
 def monthly_site_rank(sm: DataFrame) -> DataFrame:
@@ -75,15 +73,14 @@ def monthly_site_rank(sm: DataFrame) -> DataFrame:
 
 
 def concentration_curve(site_totals: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.desc("total_volume"), "site_id")
-    out = site_totals.withColumns({"rank": F.row_number().over(order), "cumulative_volume": F.sum("total_volume").over(order)})
-    return out.withColumns({"cumulative_share_pct": C.pct(F.col("cumulative_volume"), F.sum("total_volume").over(Window.partitionBy())), "site_share_pct": C.pct(F.col("rank"), F.count("*").over(Window.partitionBy()))})
+    return ordered.running_share(site_totals, "total_volume", "site_id").drop("all_rows", "all_volume")
 
 
-def concentration_milestones(curve: DataFrame, targets: list[float]) -> DataFrame:
-    """The fewest sites that hold each share."""
-    wanted = curve.sparkSession.createDataFrame([(float(t),) for t in targets], "target_pct double")
-    return curve.join(F.broadcast(wanted), F.col("cumulative_share_pct") >= F.col("target_pct")).groupBy("target_pct").agg(F.min("rank").alias("sites_needed"))
+def concentration_milestones(site_totals: DataFrame, targets: list[float]) -> DataFrame:
+    """The fewest sites that hold each share: the rank at which the running share reaches it."""
+    run = ordered.running_share(site_totals, "total_volume", "site_id")
+    before = F.when(F.col("rank") > 1, C.pct(F.col("cumulative_volume") - F.col("total_volume"), F.col("all_volume")))
+    return run.select(F.explode(ordered.crossed(before, F.col("cumulative_share_pct"), targets)).alias("target_pct"), F.col("rank").alias("sites_needed"))
 
 
 def growth_by_year(obs: DataFrame) -> DataFrame:
@@ -198,13 +195,16 @@ def tiers(rk: DataFrame, cuts: list[tuple[int, str]], rest: str, name: str) -> D
 
 
 def portfolio_simulation(rk: DataFrame, sizes: list[int]) -> DataFrame:
-    """What the best n sites hold, for each n, and what each step adds."""
-    wanted = rk.sparkSession.createDataFrame([(n,) for n in sizes], "portfolio_size int")
-    total = rk.agg(F.sum("total_volume").alias("all_volume"), F.count("*").alias("all_sites"))
-    held = rk.join(F.broadcast(wanted), F.col("rank") <= F.col("portfolio_size")).groupBy("portfolio_size").agg(F.sum("total_volume").alias("captured_volume"), F.count("*").alias("sites")).crossJoin(F.broadcast(total))
+    """What the best n sites hold, for each n, and what each step adds; from the running volume at rank n (``ordered.ranked``), or at the last rank where there are fewer sites."""
+    rank, rows = F.col("rank"), F.col("all_rows")
+    met = F.filter(F.array(*map(F.lit, sizes)), lambda n: (n == rank) | ((rank == rows) & (n > rows)))
+    held = rk.select(F.explode(met).alias("portfolio_size"), F.col("cumulative_volume").alias("captured_volume"), rank.cast("long").alias("sites"), F.col("all_volume"), rows.alias("all_sites"))
     before = Window.orderBy("portfolio_size")
     out = held.withColumns({"captured_share_pct": C.pct(F.col("captured_volume"), F.col("all_volume")), "site_share_pct": C.pct(F.col("sites"), F.col("all_sites"))})
-    out = out.withColumns({"incremental_sites": F.col("sites") - F.coalesce(F.lag("sites").over(before), F.lit(0)), "incremental_volume": F.col("captured_volume") - F.coalesce(F.lag("captured_volume").over(before), F.lit(0)), "efficiency_ratio": C.safe_div(F.col("captured_share_pct"), F.col("site_share_pct")), "remaining_volume": F.col("all_volume") - F.col("captured_volume")})
+    out = out.withColumns({
+        "incremental_sites": F.col("sites") - F.coalesce(F.lag("sites").over(before), F.lit(0)), "incremental_volume": F.col("captured_volume") - F.coalesce(F.lag("captured_volume").over(before), F.lit(0)),
+        "efficiency_ratio": C.safe_div(F.col("captured_share_pct"), F.col("site_share_pct")), "remaining_volume": F.col("all_volume") - F.col("captured_volume"),
+    })
     return out.drop("all_volume", "all_sites")
 
 
@@ -242,7 +242,7 @@ LAST_TIER = "Tier 5: Long Tail"
 
 def opportunity_tier(rk: DataFrame) -> DataFrame:
     r = F.col("rank")
-    return rk.withColumn("tier", C.first_match((r <= 10, "Elite Top 10"), (r <= 25, "Premium Top 25"), (r <= 50, "Strategic Top 50"), otherwise="High-Value Top 100"))
+    return rk.select("site_id", "total_volume", "rank", C.first_match((r <= 10, "Elite Top 10"), (r <= 25, "Premium Top 25"), (r <= 50, "Strategic Top 50"), otherwise="High-Value Top 100").alias("tier"))
 
 
 #: Tiers of the ranking and what a thousand movements bring in each.

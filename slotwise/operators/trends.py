@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
+from slotwise.operators import ordered
 
 
 
@@ -96,9 +97,9 @@ def cumulative_share(df: DataFrame, order: str, value: str, name: str = "cumulat
 
 def time_at_share(bins: DataFrame, targets: list[float]) -> DataFrame:
     """The first bin at which the running share reaches each target."""
-    wanted = bins.sparkSession.createDataFrame([(float(t),) for t in targets], "target_pct double")
     run = cumulative_share(bins, "time_bin", "total_volume")
-    return run.join(F.broadcast(wanted), F.col("cumulative_share_pct") >= F.col("target_pct")).groupBy("target_pct").agg(F.min("time_bin").alias("time_bin"))
+    before = F.lag("cumulative_share_pct").over(Window.orderBy("time_bin"))
+    return run.withColumn("reached", ordered.crossed(before, F.col("cumulative_share_pct"), targets)).select(F.explode("reached").alias("target_pct"), "time_bin")
 
 
 def dow_shape(dow: DataFrame) -> DataFrame:
@@ -135,8 +136,8 @@ def day_shape(bins: DataFrame) -> DataFrame:
 
 def plateau(bins: DataFrame, thresholds: list[float]) -> DataFrame:
     """Bins (and hours) at or above a share of the peak."""
-    wanted = bins.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold_pct double")
-    held = bins.withColumn("of_peak_pct", C.pct(F.col("avg_daily_volume"), F.max("avg_daily_volume").over(Window.partitionBy()))).join(F.broadcast(wanted), F.col("of_peak_pct") >= F.col("threshold_pct"))
+    share = C.pct(F.col("avg_daily_volume"), F.max("avg_daily_volume").over(Window.partitionBy()))
+    held = bins.withColumn("of_peak_pct", share).withColumn("threshold_pct", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda x: x <= F.col("of_peak_pct"))))
     return held.groupBy("threshold_pct").agg(F.count("*").alias("bins"), (F.count("*") / F.lit(4.0)).alias("hours"), F.min("time_bin").alias("first_bin"), F.max("time_bin").alias("last_bin"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import columns as C
 from slotwise.operators import audits as A
 from slotwise.operators import core
+from slotwise.operators import ordered as O
 from slotwise.plans.base import add
 from slotwise.plans.profiles import _WIDE, _r6
 
@@ -30,6 +31,12 @@ add("duplicate_summary", lambda t: A.duplicate_summary(t.raw, core.KEYS), f"SELE
 add("slot_range", lambda t: A.slot_range(t.raw), "SELECT min(interval_index) AS min_slot, max(interval_index) AS max_slot, count(*) FILTER (interval_index IS NULL OR interval_index NOT BETWEEN 0 AND 95) AS bad_rows FROM raw")
 add("time_bin_coverage", lambda t: t.obs.groupBy("time_bin").agg(F.count("*").alias("n_rows")), "SELECT time_bin, count(*) AS n_rows FROM obs GROUP BY 1")
 add("volume_distribution", lambda t: A.volume_distribution(t.raw_days), "SELECT min(volume_15m) AS min_volume, max(volume_15m) AS max_volume, count(*) FILTER (volume_15m < 0) AS negative_rows, count(*) FILTER (volume_15m = 0) AS zero_rows, count(*) FILTER (volume_15m > 0) AS positive_rows, count(*) FILTER (volume_15m IS NULL) AS null_rows FROM raw_days")
+_SHARES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98, 0.999, 1.0]
+add(
+    "volume_quantiles",
+    lambda t: t.spark.createDataFrame(list(zip(_SHARES, O.quantiles(t.raw_days, "volume_15m", _SHARES), strict=True)), "share double, volume double"),
+    "SELECT unnest([" + ", ".join(f"{q}::DOUBLE" for q in _SHARES) + "]) AS share, unnest([" + ", ".join(f"quantile_cont(volume_15m, {q})::DOUBLE" for q in _SHARES) + "]) AS volume FROM raw_days",
+)
 add("negative_values", lambda t: core.top(A.negatives_by(t.raw_days, "volume_15m"), 20, "negative_rows", "volume_15m"), "SELECT volume_15m, count(*) AS negative_rows, row_number() OVER (ORDER BY count(*) DESC, volume_15m)::INTEGER AS rank FROM raw_days WHERE volume_15m < 0 GROUP BY 1 QUALIFY rank <= 20")
 for name, asc in (("daily_row_counts", True), ("daily_row_counts_high", False)):
     add(

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
 from slotwise.operators import core
+from slotwise.operators import ordered as O
 from slotwise.operators import profiles as P
 from slotwise.operators import sites as S
 from slotwise.plans.base import add
 from slotwise.plans.profiles import DOW, MOY, YEAR, _r6, bins
 
-rk = lambda t: t.site_totals.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_volume"), "site_id")))
+rk = lambda t: O.ranked(t.site_totals, "total_volume", "site_id")
 
 _NAMED = "SELECT site_id, total_volume, row_number() OVER (ORDER BY total_volume {0}, site_id)::INTEGER AS rank, coalesce(site_name, site_id::VARCHAR) AS site_name FROM st LEFT JOIN sites USING (site_id) QUALIFY rank <= 50"
 for name, asc in (("top_sites", False), ("bottom_sites", True)):

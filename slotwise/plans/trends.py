@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
 from slotwise.operators import core
+from slotwise.operators import ordered as O
 from slotwise.operators import profiles as P
 from slotwise.operators import sites as S
 from slotwise.operators import trends as T
@@ -58,8 +59,8 @@ add("cumulative_day_share", lambda t: T.cumulative_share(bins(t).drop("days_load
 add("time_at_share", lambda t: T.time_at_share(bins(t), [25, 50, 75]), _CUM + ", n(target_pct) AS (VALUES (25::DOUBLE), (50), (75)) SELECT target_pct, min(time_bin) AS time_bin FROM n JOIN c ON cumulative_share_pct >= target_pct GROUP BY 1")
 _CURVE = ", cv AS (SELECT site_id, total_volume, rank, cumulative_volume, cumulative_volume::DOUBLE * 100 / network_volume AS cumulative_share_pct, rank::DOUBLE * 100 / sites AS site_share_pct FROM rk)"
 add("concentration_curve", lambda t: S.concentration_curve(t.site_totals), _CURVE + " SELECT * FROM cv")
-add("concentration_milestones", lambda t: S.concentration_milestones(S.concentration_curve(t.site_totals), [10, 20, 50, 80, 95]), _CURVE + ", n(target_pct) AS (VALUES (10::DOUBLE), (20), (50), (80), (95)) SELECT target_pct, min(rank) AS sites_needed FROM n JOIN cv ON cumulative_share_pct >= target_pct GROUP BY 1")
-add("pct_rank", lambda t: t.obs_days.groupBy("site_id").agg(F.sum("volume_15m").alias("v")).withColumn("pct_rank", F.round(F.coalesce(C.pct_rank(F.col("v")), F.lit(0.0)), 9)), ", x AS (SELECT site_id, sum(volume_15m)::BIGINT AS v FROM obs_days GROUP BY 1) SELECT *, round(CASE WHEN v IS NULL THEN 0 ELSE (rank() OVER (ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2::DOUBLE) / count(v) OVER () END, 9) AS pct_rank FROM x")
+add("concentration_milestones", lambda t: S.concentration_milestones(t.site_totals, [10, 20, 50, 80, 95]), _CURVE + ", n(target_pct) AS (VALUES (10::DOUBLE), (20), (50), (80), (95)) SELECT target_pct, min(rank) AS sites_needed FROM n JOIN cv ON cumulative_share_pct >= target_pct GROUP BY 1")
+add("pct_rank", lambda t: t.obs_days.groupBy("site_id").agg(F.sum("volume_15m").alias("v")).transform(O.pct_rank, "v").withColumn("pct_rank", F.round(F.coalesce("pct_rank", F.lit(0.0)), 9)), ", x AS (SELECT site_id, sum(volume_15m)::BIGINT AS v FROM obs_days GROUP BY 1) SELECT *, round(CASE WHEN v IS NULL THEN 0 ELSE (rank() OVER (ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2::DOUBLE) / count(v) OVER () END, 9) AS pct_rank FROM x")
 add("dow_shape", lambda t: T.dow_shape(core.profile(t.day_bins, **DOW())), ", f AS (SELECT max(avg_daily_volume) FILTER (iso_dow = 5) AS f, max(avg_daily_volume) FILTER (iso_dow = 1) AS m FROM dow) SELECT dow.*, (sum(total_volume) OVER (ORDER BY iso_dow))::DOUBLE * 100 / sum(total_volume) OVER () AS cumulative_share_pct, CASE WHEN iso_dow >= 5 THEN (1 - avg_daily_volume / f) * 100 END AS drop_from_friday_pct, CASE WHEN iso_dow <= 5 THEN (avg_daily_volume / m - 1) * 100 END AS build_from_monday_pct FROM dow, f")
 add("dow_volatility", lambda t: _r6(T.dow_volatility(dow_month(t)), "mean", "sd", "coefficient_of_variation_pct"), "SELECT iso_dow, round(avg(avg_daily_volume), 6) AS mean, round(stddev_samp(avg_daily_volume), 6) AS sd, round(stddev_samp(avg_daily_volume) * 100 / avg(avg_daily_volume), 6) AS coefficient_of_variation_pct FROM dow_month GROUP BY 1")
 add("month_gaps", lambda t: T.month_gaps(t.monthly, core.month_calendar(t.day_bins, extra=1)), ", cal AS (SELECT unnest(generate_series(date_trunc('month', min(count_date)), date_trunc('month', max(count_date)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM obs) SELECT strftime(m, '%Y-%m') AS month_label FROM cal WHERE month_label NOT IN (SELECT month_label FROM monthly)")

@@ -264,3 +264,51 @@ def test_pulse_without_volume(spark):
     assert exports.enrich_pulse(rows, place).collect() == []
     r = exports.enrich_pulse(rows, place, 0).first()
     assert (r.scaled_volume, r.scaled_volume_0_100, r.intensity_band, r.time_label, r.day_name) == (0.0, 0.0, "extreme", "07:00", "Monday")
+
+
+def test_ranks_and_shares_over_ranges(spark):
+    """Cut in many ranges, with ties, a hot value and nulls: as one window over all rows has it, and no exchange to one partition of the rows."""
+    import random
+
+    from pyspark.sql import Window
+
+    from slotwise.operators import ordered
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 5, 5, 5, rng.randrange(50), rng.randrange(10**6)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "site_id int, v long").repartition(7)
+    at = ordered.cuts(df, "v", 200)
+    assert len(at) > 3
+    order = Window.orderBy(F.desc_nulls_last("v"), "site_id")
+    want = df.select("site_id", F.row_number().over(order).alias("rank"), F.coalesce(F.sum("v").over(order), F.lit(0)).alias("cumulative_volume"))
+    got = ordered.ranked(df, "v", "site_id", at)
+    assert sorted(map(tuple, got.select("site_id", "rank", "cumulative_volume").collect())) == sorted(map(tuple, want.collect()))
+    assert got.select("all_rows", "all_volume").distinct().collect() == [(3000, sum(v for _, v in rows if v is not None))]
+    assert [r[0] for r in ordered.ranked(df, "v", "site_id", []).orderBy("site_id").select("rank").collect()] == [r[0] for r in got.orderBy("site_id").select("rank").collect()]
+    shares = {r.site_id: r.p for r in df.select("site_id", C.pct_rank(F.col("v")).alias("p")).collect()}
+    assert {r.site_id: r.pct_rank for r in ordered.pct_rank(df, "v", at=at).collect()} == pytest.approx(shares)
+    # what is sorted in one task are range totals
+    for part in got._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1:]:
+        assert "windowspecdefinition(_range" in part or "_rows" in part or "_volume" in part
+    assert ordered.ranked(df.filter("false"), "v", "site_id").collect() == []
+
+
+def test_quantiles_equal_percentile(spark):
+    from slotwise.operators import ordered
+
+    shares = [0.0, 0.1, 0.37, 0.5, 0.98, 1.0]
+    for sql in ("cast(id % 7 as double)", "exp(id / 40.0)", "-1.0 * id * id", "cast(if(id < 900, 3, id) as double)", "if(id % 3 = 0, null, rand(4))", "1e-300 * id"):
+        df = spark.range(1000).selectExpr(f"{sql} AS v")
+        want = df.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0]
+        assert ordered.quantiles(df, "v", shares, bins=16) == pytest.approx(want, rel=1e-12)
+    assert ordered.quantiles(spark.range(0).selectExpr("id AS v"), "v", [0.5]) == [None]
+
+
+def test_crossings_join_nothing(spark):
+    bins = spark.createDataFrame([("00:00", 10), ("00:15", 0), ("00:30", 70), ("00:45", 20)], "time_bin string, total_volume long")
+    got = trends.time_at_share(bins, [5, 10, 11, 80, 100])
+    assert sorted(map(tuple, got.collect())) == [(5.0, "00:00"), (10.0, "00:00"), (11.0, "00:30"), (80.0, "00:30"), (100.0, "00:45")]
+    totals = spark.createDataFrame([(i, v) for i, v in enumerate((50, 30, 15, 5))], "site_id int, total_volume long")
+    got2 = sites.concentration_milestones(totals, [1, 50, 80.5, 100])
+    assert sorted(map(tuple, got2.collect())) == [(1.0, 1), (50.0, 1), (80.5, 3), (100.0, 4)]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() + got2._jdf.queryExecution().executedPlan().toString()
