@@ -73,7 +73,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = whitening.fit_whitening(vectors, components=4)
-    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode_outer("whitened").alias("at", "whitened")).filter("at is not null")  # outer: else a filter on the list's size is put under the projection, which then runs twice
     shares = [float(e) for e in model.explained] if model else []
     explained = F.element_at(F.array(*map(F.lit, shares)) if shares else F.array(F.lit(None).cast("double")), F.col("at") + 1)
     n, error = (model.n, model.identity_error) if model else (0, 0.0)
