@@ -155,7 +155,13 @@ def phones(text: str) -> Iterator[Span]:
 
 
 def national_phones(text: str) -> Iterator[Span]:
-    return (m.span() for m in _NATIONAL.finditer(text))
+    """(234) 567-8901 or 234-567-8901"""
+    return (m.span() for m in _NATIONAL.finditer(text) if m[1] or " " not in m.group())
+
+
+def spaced_phones(text: str) -> Iterator[Span]:
+    """234 567 8901, which may be any three numbers, so words nearby must speak of a telephone."""
+    return (m.span() for m in _NATIONAL.finditer(text) if not m[1] and " " in m.group())
 
 
 def social_numbers(text: str) -> Iterator[Span]:
@@ -212,6 +218,7 @@ KINDS = (
     Kind("card", cards_in_runs, 0.6, _CARD, _NUMBER),
     Kind("email", spelled_emails, 0.6, _MAIL),
     Kind("phone", national_phones, 0.5, _TEL, _NUMBER),
+    Kind("phone", spaced_phones, 0.3, _TEL, _NUMBER),
     Kind("ipv6", long_addresses, 0.6, _NET),
 )
 SPANS = "array<struct<kind string, start int, end int, score double, base boolean>>"

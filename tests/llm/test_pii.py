@@ -63,6 +63,8 @@ def test_method_adds_and_keeps():
     assert found("4111111111111111 4012888888881881") == [("card", "4111111111111111"), ("card", "4012888888881881")]
     assert found("anna.b [at] mail [dot] example.com") == [("email", "anna.b [at] mail [dot] example.com")]
     assert found("call (743) 555-3824 now") == [("phone", "(743) 555-3824")]
+    assert found("200 300 4000") == [] and found("tel 200 300 4000") == [("phone", "200 300 4000")]
+    assert found("743-555-3824") == [("phone", "743-555-3824")]
     assert found("ssn 536-22-8741") == [("ssn", "536-22-8741")]
     assert found("part 536-22-8741") == []
     assert found("at 2001:db8::ff00:42:8329.") == [("ipv6", "2001:db8::ff00:42:8329")]
