@@ -344,8 +344,8 @@ def main_text(page: str | None, tree: Node) -> str:
 def extract_main_text(pages: DataFrame, html_col: str = "html", training_pages: list[str] | None = None) -> DataFrame:
     """``pages`` with ``text`` (the main blocks of the whole page, joined by an empty line) and ``n_chars``; without the html.
 
-    A null, empty or wholly unreadable page has an empty text. Each row stands for itself, so repeated rows repeat. Columns named
-    ``text`` or ``n_chars`` are replaced.
+    A null, empty or wholly unreadable page has an empty text. Each row stands for itself, so repeated rows repeat; pages are read whole, in time that goes with
+    their length; an empty table stays empty. Columns named ``text`` or ``n_chars`` are replaced.
     """
     tree = train(training_pages)
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]

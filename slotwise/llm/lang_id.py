@@ -158,7 +158,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The network learns from at most ``per_lang`` windows of ``chars`` characters a language (``most`` in all), of documents with crc32(id) mod 4 other than 2.
     Null texts and texts without a letter are ``und`` with score 0; so is every text if there is nothing to learn from. A row with
-    a null id is not held out and not learned from. Each row stands for itself.
+    a null id is not held out and not learned from. Each row stands for itself, so repeated rows are labelled alike; texts are read whole, however long; an empty table gives an empty one.
     """
     rows = training_windows(docs, id_col, text_col, lang_col, per_lang, chars).orderBy("k", "lang").limit(most).collect()
     rows = [r for r in rows if r["window"]]

@@ -248,6 +248,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``probability`` is that of the family, or of a licence at all for ``unknown``. ``similarity`` is the largest share of a template's n-grams, of that family, that the paragraph
     holds; ``confirmed`` from ``least_shared`` on (never for ``unknown``). Ordinary paragraphs give no row; nor do null or empty texts. Repeated rows of a
     document repeat its paragraphs. Other columns are ignored. A long line of other text that ends in a licence sentence counts as other text.
+    Texts are read whole, however long, paragraph by paragraph; an empty table gives an empty one.
     """
     model = model or default_model()
     n = len(model.families)

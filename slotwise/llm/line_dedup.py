@@ -254,7 +254,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A block counts from ``min_words`` words on. Other columns pass, whatever their names.
 
     A text without removed units is as it was, byte for byte; one that loses all its lines is empty. Null and empty texts, and rows with a
-    null id, stay as they are. Rows that repeat both id and text are one document and are cut alike.
+    null id, stay as they are. Rows that repeat both id and text are one document and are cut alike. Ids are whole numbers (text that holds none raises). Texts are read whole; an empty table stays empty.
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_removed")]
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest"))

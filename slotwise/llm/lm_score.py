@@ -77,7 +77,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest of the corpus has the n-gram, times ``backoff`` for each word of context given up; a word that the rest of the corpus lacks has a count of one half. The corpus is all words of
     all rows (A-Z lowered), less the document's own; copies in other rows count. The score is null for a text without words (or null).
     Chunks of documents take about ``chunk_bytes`` of text (less where that leaves shuffle partitions idle), counted from the table; there are as many count tables as chunks.
-    Rows that repeat id and text fall in one chunk. Counts have 64 bits.
+    Rows that repeat id and text fall in one chunk, so very many equal rows make one large chunk. Counts have 64 bits. Texts are read whole; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked if ``den * intersection >= num * union`` of their sets of ``k``-word shingles (A-Z lowered).
     A text of fewer words has its whole sequence as its set; a null or empty one has no set, no links, and its own id.
     Repeated rows and repeated ids are rows like others; a null id counts as larger than any (its row is kept only if
-    nothing else of its component has an id; then component_id is null). Other columns are ignored.
+    nothing else of its component has an id; then component_id is null). Ids are whole numbers (text that holds none raises). Other columns are ignored; an empty table gives an empty one.
     """
     judged = _judged(docs, id_col, text_col, k, num, den, slack, fine_slack, rounds, block)
     return judged.select(F.col("doc.id").alias("doc_id"), "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -184,7 +184,12 @@ def learn_from(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> DataFrame:
-    """Per row: id, ``COUNTS``, ``base_failed`` and ``kept`` (false if ``base_failed``, else the learned list's verdict)."""
+    """Per row: id, ``COUNTS``, ``base_failed`` and ``kept`` (false if ``base_failed``, else the learned list's verdict).
+
+    A null or empty text has counts of 0 and fails the base rules. Each row stands for itself: repeated rows are judged alike, and a row with a null id is judged but not learned
+    from. Texts are read whole, however long. The list is learned from at most ``sample`` labelled rows, the first by a hash, so ties fall alike on every run; without labels the base
+    rules decide. An empty table gives an empty one. Other columns are ignored.
+    """
     counted = cut_lineage(with_counts(docs.select(id_col, text_col), text_col).drop(text_col))
     rules = learn_from(counted, labels, id_col, sample=sample)
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & list_expression(rules))

@@ -124,5 +124,38 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.co
 """
 
 
+# The CRC of conv_id:turn bit by bit; faults by row; the cheapest edits row by row (z, s, u, a: cost and audit with nothing, a system, user or assistant row before).
+_OP12_SQL = r"""
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(key) + 1), lambda j: [unicode(key[j:j])::BIGINT, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, b: xor((CASE WHEN b >= 0 THEN xor(x, b) ELSE x END) >> 1, CASE WHEN (CASE WHEN b >= 0 THEN xor(x, b) ELSE x END) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+  CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'x' END AS initial FROM o),
+y AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM f),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT gone) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM y GROUP BY 1),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 's': ''} AS z, {'c': 1000000000::BIGINT, 's': ''} AS s, {'c': 1000000000::BIGINT, 's': ''} AS u, {'c': 1000000000::BIGINT, 's': ''} AS a FROM convs
+  UNION ALL SELECT conv_id, i, {'c': z.c + 2, 's': z.s || 'D'},
+    list_min([{'c': s.c + 2, 's': s.s || 'D'}, {'c': CASE WHEN initial = 's' AND NOT gone THEN z.c + more ELSE 2000000000 END, 's': z.s || 'K'}]),
+    list_min([{'c': u.c + 2, 's': u.s || 'D'}] || list_transform([z, s, a], lambda q: {'c': CASE WHEN gone THEN 2000000000 WHEN initial = 'u' THEN q.c + more ELSE q.c + more + 1 END, 's': q.s || CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END})),
+    list_min([{'c': a.c + 2, 's': a.s || 'D'}, {'c': CASE WHEN gone THEN 2000000000 WHEN initial = 'a' THEN u.c + more ELSE u.c + more + 1 END, 's': u.s || CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END}])
+  FROM (SELECT conv_id, y.i, z, s, u, list_min([a, {'c': u.c + 5, 's': u.s || 'I'}]) AS a, initial, gone, more
+    FROM (SELECT conv_id AS c0, i AS i0, z, s, a, list_min([u] || list_transform([z, s, a], lambda q: {'c': q.c + 5, 's': q.s || 'I'})) AS u FROM dp) JOIN y ON y.conv_id IS NOT DISTINCT FROM c0 AND y.i = i0 + 1)),
+e AS (SELECT conv_id, list_min([z, a, {'c': list_min([u] || list_transform([z, s, a], lambda q: {'c': q.c + 5, 's': q.s || 'I'})).c + 5, 's': list_min([u] || list_transform([z, s, a], lambda q: {'c': q.c + 5, 's': q.s || 'I'})).s || 'I'}]) AS best
+  FROM dp JOIN (SELECT convs.conv_id AS c1, coalesce(n, 0) AS n FROM convs LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM convs.conv_id) ON c1 IS NOT DISTINCT FROM conv_id AND i = n),
+l AS (SELECT conv_id, unnest(range(1, len(best.s) + 1)) AS p, best.s AS audit FROM e),
+w AS (SELECT conv_id, p, audit[p:p] AS letter, count(*) FILTER (audit[p:p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM l),
+m AS (SELECT w.*, y.role, y.text, y.initial, row_number() OVER (PARTITION BY w.conv_id ORDER BY p) AS place FROM w LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM w.conv_id AND y.i = w.i AND letter <> 'I' WHERE letter <> 'D'),
+v AS (SELECT *, max(CASE WHEN place = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM m),
+r AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS repaired FROM v GROUP BY 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.s AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM e LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1_SQL, "op2_url_filter": _OP2_SQL, "op4_near_dup": _OP4_SQL}
+    return {"op1_mix_sources": _OP1_SQL, "op2_url_filter": _OP2_SQL, "op4_near_dup": _OP4_SQL, "op12_conversation_repair": _OP12_SQL}

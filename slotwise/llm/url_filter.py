@@ -52,7 +52,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     wins (host and path together; then the longer host, then the larger text). A rule given twice with different verdicts has the
     larger one, block. Null or odd urls have empty host and path, so no rule. Columns of ``pages`` with these four
     names are replaced; others pass, whatever their names. Equal urls are judged once. A host with more than one in ``parts`` of all different urls is dealt to
-    several sweeps of that size, each with that host's rules; there are fewer than ``parts`` such hosts, so their list is broadcast.
+    several sweeps of that size, each with that host's rules; there are fewer than ``parts`` such hosts, so their list is broadcast. Very long urls are judged whole. Repeated
+    rows stay, judged alike; without rules every url has the default; an empty table stays empty.
     """
     depth = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]

@@ -146,3 +146,18 @@ def test_query_against_plain(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     _check(queries.op12_conversation_repair(spark, folder).collect(), plain_damage(rows))
+
+
+def test_sql_twin_of_odd_rows(spark, tmp_path):
+    """Nulls, repeats, odd roles and conversations that lose all rows, in Spark, SQL and plain Python."""
+    import duckdb
+
+    rows = _random(500, 12, [None, *range(70)]) + [(1000 + i, 0, "user", "Hi.") for i in range(40)]
+    spark.createDataFrame([r for r in rows], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.sql(queries.oracle_sql()["op12_conversation_repair"])
+    got = queries.op12_conversation_repair(spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+    assert any(r.audit == "" and r.cost == 0 for r in got.collect())
+    _check(got.collect(), plain_damage(rows))
