@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import columns as C
@@ -73,6 +73,32 @@ def coverage_by(df: DataFrame, *keys: str) -> DataFrame:
     return small.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.countDistinct("count_date").alias("dates"), F.countDistinct(C.month_label(F.col("count_date"))).alias("months"), F.countDistinct("site_id").alias("sites"), F.countDistinct("site_id", "detector_id").alias("detectors"), F.sum("v").alias("total_volume"))
 
 
+def coverage_state(df: DataFrame, *keys: str, per_site: int = 1024) -> DataFrame:
+    """Mergeable coverage of each key: rows (dim 'rows': n, v) and exact sets of dates, sites and detectors as bitmaps of 32,768 numbers (dim, bucket, bits).
+
+    States add up over keys (``merge_coverage``), so a level of any other grouping needs no second pass over the facts. Facts are first added up by key, date, site and detector, so only those
+    rows are copied once a set. Detector numbers must be under ``per_site``; others raise. A null date, site or detector is in no set.
+    """
+    number = F.col("detector_id").cast("long")
+    fits = number.isNull() | number.between(0, per_site - 1)
+    pair = F.when(fits, F.col("site_id").cast("long") * per_site + number).otherwise(F.raise_error(F.concat(F.lit("detector number out of range: "), number.cast("string"))).cast("long"))
+    small = df.groupBy(*keys, "count_date", "site_id", "detector_id").agg(F.count("*").alias("n"), F.sum("volume_15m").alias("v"))
+    sets = {"dates": F.unix_date("count_date").cast("long"), "sites": F.col("site_id").cast("long"), "detectors": pair}
+    none = F.lit(None).cast("long")
+    cells = [F.struct(F.lit("rows").alias("dim"), none.alias("x"), F.col("n").alias("n"), F.col("v").cast("long").alias("v"))]
+    cells += [F.struct(F.lit(name).alias("dim"), x.alias("x"), none.alias("n"), none.alias("v")) for name, x in sets.items()]
+    flat = small.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*").withColumn("bucket", F.bitmap_bucket_number("x"))
+    return flat.groupBy(*keys, "dim", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+
+
+def merge_coverage(state: DataFrame, levels: dict[str, Column]) -> DataFrame:
+    """(level, key, n_rows, dates, sites, detectors, total_volume) of every level at once; a level is a text made of the state's keys. Sets are united bitmap by bitmap, then counted."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), key.alias("key")) for name, key in levels.items()]))
+    united = state.select(each.alias("l"), "dim", "bucket", "bits", "n", "v").groupBy("l.level", "l.key", "dim", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    counted = lambda name: F.coalesce(F.sum(F.when(F.col("dim") == name, F.bitmap_count("bits"))), F.lit(0)).alias(name)
+    return united.groupBy("level", "key").agg(F.sum("n").alias("n_rows"), *[counted(n) for n in ("dates", "sites", "detectors")], F.sum("v").alias("total_volume"))
+
+
 def file_usage(df: DataFrame) -> DataFrame:
     return df.groupBy("source_file_id").agg(F.count("*").alias("n_rows"), F.min("count_date").alias("first_date"), F.max("count_date").alias("last_date"), F.countDistinct("site_id").alias("sites"))
 

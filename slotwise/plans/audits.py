@@ -61,6 +61,22 @@ add("source_contribution", lambda t: A.coverage_by(t.raw, "source"), f"SELECT so
 add("coverage_by_month", lambda t: A.coverage_by(t.raw.withColumn("month_label", C.month_label(F.col("count_date"))), "source", "month_label"), f"SELECT source, strftime(count_date, '%Y-%m') AS month_label, {_COV} FROM raw GROUP BY 1, 2")
 add("coverage_by_year", lambda t: A.coverage_by(t.raw.withColumn("year", F.year("count_date")), "year"), f"SELECT year(count_date)::INTEGER AS year, {_COV} FROM raw GROUP BY 1")
 add("coverage_by_region", lambda t: A.coverage_by(t.raw.join(t.sites.select("site_id", "region_code"), "site_id"), "region_code"), f"SELECT region_code, {_COV} FROM raw JOIN sites USING (site_id) GROUP BY 1")
+_LEVELS = {"month": "strftime(count_date, '%Y-%m')", "year": "year(count_date)::VARCHAR", "region": "region_code", "source": "source", "all": "'all'"}
+
+
+def coverage_levels(t):  # noqa: ANN001, ANN201
+    """Coverage by month, year, region, source and overall, from states by month, region and source."""
+    facts = t.raw.join(t.sites.select("site_id", "region_code"), "site_id").withColumn("month_label", C.month_label(F.col("count_date")))
+    state = A.coverage_state(facts, "source", "month_label", "region_code")
+    return A.merge_coverage(state, {"month": F.col("month_label"), "year": F.substring("month_label", 1, 4), "region": F.col("region_code"), "source": F.col("source"), "all": F.lit("all")})
+
+
+add(
+    "coverage_levels",
+    coverage_levels,
+    ", rr AS (SELECT raw.*, region_code FROM raw JOIN sites USING (site_id)) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS level, {k} AS key, count(*) AS n_rows, count(DISTINCT count_date) AS dates, count(DISTINCT site_id) AS sites, count(DISTINCT (site_id, detector_id)) AS detectors, sum(volume_15m)::BIGINT AS total_volume FROM rr GROUP BY 2" for n, k in _LEVELS.items()),
+)
 _SLOTS = _WIDE + ", dd AS (SELECT source, count(DISTINCT (site_id, count_date, detector_id)) AS n FROM raw GROUP BY 1), q AS (SELECT source, interval_index, count(v) AS c, count(*) FILTER (v < 0) AS neg, count(*) FILTER (v IN (-1, -2, -3, -4, -5, -9, -99, -999)) AS sen FROM w GROUP BY 1, 2), f AS (SELECT dd.source, s::INTEGER AS interval_index, n AS detector_days, n - coalesce(c, 0) AS null_count, coalesce(neg, 0) AS negative_count, coalesce(sen, 0) AS sentinel_count FROM dd CROSS JOIN range(0, 96) r(s) LEFT JOIN q ON q.source = dd.source AND q.interval_index = s)"
 _TB = "printf('%02d:%02d', interval_index // 4, interval_index % 4 * 15) AS time_bin, (detector_days - null_count)::DOUBLE * 100 / detector_days AS coverage_pct"
 add("slot_quality", lambda t: A.slot_quality(t.stored, "source"), _SLOTS + f" SELECT *, {_TB} FROM f")

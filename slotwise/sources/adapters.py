@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ PRIORITIES = {"main": 2, "cont": 3, "rec": 1}
 #: The mode in which each store is cleaned where stores are merged.
 MODES = {"main": "filter", "cont": "nullify", "rec": "nullify"}
 _WRITTEN: dict[tuple[str, ...], str] = {}
+_LOCK = RLock()
 DETECTORS = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
 
@@ -43,6 +45,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._states: dict[str, str] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -109,15 +112,21 @@ class Tables:
         """A new path in the shared folder."""
         return f"{stores.shared_folder(self.spark)}/slotwise-{name}-{uuid.uuid4().hex}"
 
+    def state(self, table: str) -> str:
+        """A print of the sizes and times of a source's files, taken once a query."""
+        if table not in self._states:
+            files = self.spark.read.format("binaryFile").load(f"{self.folder}/{table}.parquet").select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+            self._states[table] = str(files.agg(F.sort_array(F.collect_list("h"))).first()[0])
+        return self._states[table]
+
     def written(self, name: str, table: str, write: Callable[[str], None]) -> str:
-        """Where ``write`` has put a table derived from ``table``: once a session and state of the source's files (their sizes and times)."""
-        files = self.spark.read.format("binaryFile").load(f"{self.folder}/{table}.parquet").select("path", "length", F.col("modificationTime").cast("string"))
-        state = files.agg(F.sort_array(F.collect_list(F.struct(*files.columns))).alias("f")).first().f
-        key = (self.spark.sparkContext.applicationId, self.folder, name, str(hash(tuple(map(tuple, state)))))
-        if key not in _WRITTEN:
-            path = self.scratch(name)
-            write(path)
-            _WRITTEN[key] = path
+        """Where ``write`` has put a table derived from ``table``: once a session and state of the source's files."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name, self.state(table))
+        with _LOCK:
+            if key not in _WRITTEN:
+                path = self.scratch(name)
+                write(path)
+                _WRITTEN[key] = path
         return _WRITTEN[key]
 
     @cached_property

@@ -312,3 +312,23 @@ def test_crossings_join_nothing(spark):
     got2 = sites.concentration_milestones(totals, [1, 50, 80.5, 100])
     assert sorted(map(tuple, got2.collect())) == [(1.0, 1), (50.0, 1), (80.5, 3), (100.0, 4)]
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() + got2._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_states_add_up(spark):
+    import random
+
+    from slotwise.operators import audits
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, 40_000, 70_000, None]), dt.date(rng.choice([1960, 1999, 2024]), rng.randrange(1, 13), rng.randrange(1, 28)), rng.choice([0, 3, 1023, None]), 0, rng.choice([None, 4]), 1, rng.choice(["a", "b"]), 1) for _ in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("year", F.year("count_date").cast("string"))
+    got = audits.merge_coverage(audits.coverage_state(df, "source", "year"), {"source": F.col("source"), "year": F.col("year"), "all": F.lit("x")})
+    want = set()
+    for level, key in (("source", lambda r: r[6]), ("year", lambda r: str(r[1].year)), ("all", lambda r: "x")):
+        for k in {key(r) for r in rows}:
+            own = [r for r in rows if key(r) == k]
+            pairs = {(r[0], r[2]) for r in own if r[0] is not None and r[2] is not None}
+            want.add((level, k, len(own), len({r[1] for r in own}), len({r[0] for r in own} - {None}), len(pairs), sum(r[4] or 0 for r in own)))
+    assert {tuple(r) for r in got.collect()} == want
+    with pytest.raises(Exception, match="detector number out of range"):
+        audits.coverage_state(df.withColumn("detector_id", F.lit(1024)), "source").collect()

@@ -59,3 +59,22 @@ def test_breakdowns_sum_to_the_total(spark):
     total = QUERIES["total_volume"](spark, FOLDER).first()[0]
     for name, column in (("daily_totals", "day_total_volume"), ("monthly_totals", "month_total_volume"), ("site_totals", "total_volume"), ("time_bin_totals", "total_volume")):
         assert sum(r[column] for r in QUERIES[name](spark, FOLDER).collect()) == total
+
+
+HEADLINES = ["total_volume", "daily_totals", "monthly_totals", "site_totals", "site_month_totals", "time_bin_profile", "day_of_week_profile", "month_of_year_profile", "yearly_totals", "weekday_weekend_split", "peak_shares", "best_day", "best_site", "growth_by_year"]
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", HEADLINES)
+def test_headlines_read_the_cubes(spark, name):
+    """No scan of the facts, no exchange of observations, no sorting aggregation."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "slotwise-cubes" in plan and "lineitem" not in plan and "SortAggregate" not in plan and "detector_id" not in plan
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["stored_period_summary", "stored_window_totals"])
+def test_store_reads_list_their_months_only(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "slotwise-stores" in line]
+    assert scans and all("PartitionFilters: []" not in line for line in scans)
