@@ -37,7 +37,7 @@ rounded = lambda df, *stamps: df.withColumns({"scaled_volume": F.round("scaled_v
 _MINUTE = "strftime({0}, '%Y-%m-%d %H:%M') AS {0}"
 add("pulse", pulse, _P + " SELECT * FROM pl")
 add("enrich_pulse", lambda t: rounded(full(t), "timestamp"), _E + f" SELECT {_SHOWN.format(_MINUTE.format('timestamp'))} FROM en")
-add("intensity_band", lambda t: full(t).groupBy("intensity_band").agg(F.count("*").alias("n_rows"), F.min("volume").alias("least"), F.max("volume").alias("most")), _E + " SELECT intensity_band, count(*) AS n_rows, min(volume) AS least, max(volume) AS most FROM en GROUP BY 1")
+add("intensity_band", lambda t: full(t).select("site_id", "count_date", "time_bin", "volume", "intensity_band"), _E + " SELECT site_id, count_date, time_bin, volume, intensity_band FROM en")
 add(
     "pulse_all_stores",
     lambda t: E.pulse(core.clean(t.raw_days, "filter").withColumn("time_bin", C.slot_to_time_bin(F.col("interval_index"))), DAYS),

@@ -78,3 +78,11 @@ def test_store_reads_list_their_months_only(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan" in line and "slotwise-stores" in line]
     assert scans and all("PartitionFilters: []" not in line for line in scans)
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+def test_intensity_band_keeps_every_row(results):
+    """One row a site, date and slot of the pulse, not a summary of the bands."""
+    columns, rows = results["intensity_band"]
+    assert columns == ["site_id", "count_date", "time_bin", "volume", "intensity_band"]
+    assert len(rows) == len(results["enrich_pulse"][1])
