@@ -332,3 +332,23 @@ def test_coverage_states_add_up(spark):
     assert {tuple(r) for r in got.collect()} == want
     with pytest.raises(Exception, match="detector number out of range"):
         audits.coverage_state(df.withColumn("detector_id", F.lit(1024)), "source").collect()
+
+
+def test_dedup_deals_tasks_by_rows(spark, monkeypatch):
+    """A task's maps hold so many observations, however many there are."""
+    monkeypatch.setattr(core, "PER_TASK", 20)
+    df = obs(spark, *[(i % 96, i, i, "main", 2) for i in range(150)])
+    won = core.dedup_observations(df)
+    assert won.rdd.getNumPartitions() == 8
+    assert sorted(r.source_file_id for r in won.collect()) == list(range(96))
+    assert core.tasks_for(df.limit(0)) == 1
+
+
+def test_cube_months_are_parted_among_tasks(spark, tmp_path):
+    """With more tasks than months no task sorts a whole month."""
+    df = spark.range(400).select(F.col("id").cast("int").alias("site_id"), F.lit(D).alias("count_date"), F.lit(0).alias("interval_index"), F.lit(1).alias("volume_15m"))
+    path = str(tmp_path / "cubes")
+    cubes.write(df, path, tasks=4, months=1)
+    cells = spark.read.schema(cubes.SCHEMA).parquet(path)
+    assert cubes.site_days(cells).select(F.input_file_name()).distinct().count() > 1
+    assert (cubes.site_days(cells).count(), cubes.day_bins(cells).first().volume_15m) == (400, 400)
