@@ -352,3 +352,13 @@ def test_cube_months_are_parted_among_tasks(spark, tmp_path):
     cells = spark.read.schema(cubes.SCHEMA).parquet(path)
     assert cubes.site_days(cells).select(F.input_file_name()).distinct().count() > 1
     assert (cubes.site_days(cells).count(), cubes.day_bins(cells).first().volume_15m) == (400, 400)
+
+
+def test_proximity_pairs_are_not_sorted_or_shuffled(spark):
+    """Many rows of few places: pairs stand for places, and only sums by place leave the join."""
+    points = spark.range(600).select(F.col("id").cast("int").alias("site_id"), (F.col("id") % 3 / 1000.0).alias("latitude"), F.lit(10.0).alias("longitude"))
+    features = spark.range(600).select((600 - F.col("id")).cast("int").alias("feature_id"), (F.col("id") % 3 / 1000.0).alias("latitude"), F.lit(10.0005).alias("longitude"))
+    got = sites.nearest_within(points, features, 500.0)
+    assert {(r.site_id % 3, r.feature_id) for r in got.collect()} == {(0, 3), (1, 2), (2, 1)} and got.count() == 600
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") >= 4
