@@ -13,11 +13,18 @@ from slotwise.sources.adapters import DETECTORS, MODES, to_observations
 
 _MERGED = _WIDE + ", md AS (SELECT * FROM w WHERE v >= 0 QUALIFY row_number() OVER (PARTITION BY site_id, count_date, detector_id, interval_index ORDER BY source_priority) = 1)"
 
+
+def source_summary(t):  # noqa: ANN001, ANN201
+    """Values of each store, counted and added within the row, and the dates that have any."""
+    wide = stores.require_columns(t.stored, ["site_id", "count_date", "detector_id", "slots", "source", "source_priority"])
+    days = wide.select("source", "source_priority", "count_date", core.slots_count(F.col("slots")).alias("n"), core.slots_total(F.col("slots")).alias("v"))
+    date = F.when(F.col("n") > 0, F.col("count_date"))
+    return days.groupBy("source", "source_priority").agg(F.sum("n").alias("n_rows"), F.sum("v").alias("total_volume"), F.min(date).alias("first_date"), F.max(date).alias("last_date")).filter("n_rows > 0")
+
+
 add(
     "stored_sources",
-    lambda t: core.clean(core.to_long(stores.require_columns(t.stored, ["site_id", "count_date", "detector_id", "slots", "source", "source_priority"])), "filter").groupBy("source", "source_priority").agg(
-        F.count("*").alias("n_rows"), F.sum("volume_15m").alias("total_volume"), F.min("count_date").alias("first_date"), F.max("count_date").alias("last_date")
-    ),
+    source_summary,
     _WIDE + "SELECT source, source_priority, count(*) AS n_rows, sum(v)::BIGINT AS total_volume, min(count_date) AS first_date, max(count_date) AS last_date FROM w WHERE v >= 0 GROUP BY 1, 2",
 )
 add("stored_total_volume", lambda t: t.merged.agg(F.sum(core.slots_total(F.col("slots"))).alias("total_volume")), _MERGED + " SELECT sum(v)::BIGINT AS total_volume FROM md")

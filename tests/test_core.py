@@ -362,3 +362,16 @@ def test_proximity_pairs_are_not_sorted_or_shuffled(spark):
     assert {(r.site_id % 3, r.feature_id) for r in got.collect()} == {(0, 3), (1, 2), (2, 1)} and got.count() == 600
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Aggregate") >= 4
+
+
+def test_stores_are_dealt_before_they_are_spread(spark, tmp_path):
+    """Counts become 96 columns after the shuffle and the sort by month; several tasks part a month."""
+    schema = "site_id int, count_date date, detector_id int, source_file_id long, source string, counts array<struct<interval_index:int,volume_15m:int>>"
+    days = spark.createDataFrame([(i, D, 1, i, "main", [(5, 2), (i % 96, 3), (5, 1)]) for i in range(200)], schema)
+    path = str(tmp_path / "stores")
+    stores.write_stores(days, path, tasks=4, months=1)
+    read = stores.read_stores(spark, path, {"main": 2})
+    assert read.select(F.input_file_name()).distinct().count() > 1
+    got = {r.site_id: r for r in read.select("site_id", core.slots_count(F.col("slots")).alias("n"), core.slots_total(F.col("slots")).alias("v"), F.get("slots", F.lit(5)).alias("s5")).collect()}
+    assert len(got) == 200 and {r.v for r in got.values()} == {6}
+    assert (got[5].n, got[5].s5) == (1, 6) and (got[6].n, got[6].s5) == (2, 3)
