@@ -375,3 +375,15 @@ def test_stores_are_dealt_before_they_are_spread(spark, tmp_path):
     got = {r.site_id: r for r in read.select("site_id", core.slots_count(F.col("slots")).alias("n"), core.slots_total(F.col("slots")).alias("v"), F.get("slots", F.lit(5)).alias("s5")).collect()}
     assert len(got) == 200 and {r.v for r in got.values()} == {6}
     assert (got[5].n, got[5].s5) == (1, 6) and (got[6].n, got[6].s5) == (2, 3)
+
+
+def test_merge_deals_detector_days_before_listing_them(spark, monkeypatch):
+    """No list of wide rows on the side of the files, and tasks by the number of detector-days."""
+    monkeypatch.setattr(core, "PER_TASK", 20)
+    days = spark.range(150).select(F.col("id").cast("int").alias("site_id"), F.date_add(F.lit(D), (F.col("id") % 3).cast("int")).alias("count_date"), (F.col("id") % 2).cast("int").alias("detector_id"), F.lit(1).alias("source_priority"), "id", F.array_repeat(F.lit(2), 96).alias("slots")).withColumnRenamed("id", "source_file_id")
+    merged = core.merge_slots(days)
+    assert {r.v for r in merged.select(core.slots_total(F.col("slots")).alias("v")).collect()} == {192} and merged.count() == 150
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and ", 8), REPARTITION_BY_NUM" in plan[dealt[0]]
+    assert max(i for i, line in enumerate(plan) if "ObjectHashAggregate" in line) < dealt[0]
