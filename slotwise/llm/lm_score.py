@@ -23,13 +23,23 @@ from pyspark.sql import functions as F
 
 from slotwise.llm import text_arrays as ta
 
-_ROW = np.uint64(0xA24BAED4963EE407)
 
+def _rest(w: ta.Words, n: int, grams: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Of the run of n words that ends at each word, its occurrences in other rows (``corpus`` counts those of the sorted ``grams``); -1 where its row is too short.
 
-def _grams(w: ta.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs of n words within a row."""
+    Runs are taken in the order of their hashes, so a row's own occurrences lie together, and the table of the whole chunk is read from front to back, not at random.
+    """
+    out = np.full(len(w.hash), -1, np.int64)
     at = np.flatnonzero(ta.whole_runs(w, n))
-    return at, ta.run_hash(w.hash, n)[at]
+    if len(at):
+        h = ta.run_hash(w.hash, n)[at]
+        by = np.argsort(h, kind="stable")
+        at, h = at[by], h[by]
+        row = w.row[at]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
+        own = np.diff(first, append=len(at))
+        out[at + n - 1] = np.repeat(corpus[np.searchsorted(grams, h[first])] - own, own)
+    return out
 
 
 def _pack(values: np.ndarray) -> list[bytes]:
@@ -123,14 +133,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for w in words:
             n_rows = len(w.first) - 1
             size = np.diff(w.first)
-            rest: list[np.ndarray] = []  # of the n-gram that ends at each word: occurrences outside the document; -1 where the row is too short
-            for n in range(1, order + 1):
-                out = np.full(len(w.hash), -1, np.int64)
-                at, h = _grams(w, n)
-                if len(at):
-                    _, inverse, own = np.unique(ta.mix(h + w.row[at].astype(np.uint64) * _ROW), return_inverse=True, return_counts=True)
-                    out[at + n - 1] = corpus[np.searchsorted(grams, h)] - own[inverse]
-                rest.append(out)
+            rest = [_rest(w, n, grams, corpus) for n in range(1, order + 1)]
             others = np.maximum(n_all - size, 1)[w.row]
             value = np.log(np.maximum(rest[0], 0.5) / others) + (order - 1) * np.log(backoff)
             full = rest[0] > 0 if order == 1 else np.zeros(len(w.hash), bool)

@@ -9,6 +9,7 @@ from collections import Counter
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slotwise.llm import lang_id, lm_score, mixing, quality, url_filter
@@ -60,6 +61,24 @@ def test_packed_values():
         assert (lm_score._unpack(lm_score._pack(values), len(values)) == values).all()
 
 
+def test_lm_counts_are_looked_up_in_the_order_of_hashes(monkeypatch):
+    """A search at random in a chunk's millions of n-grams misses the cache at nearly every step."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 30))) for _ in range(200)]
+    (w,) = lm_score._chunk_words(pa.array(texts))
+    grams, counts, _ = lm_score._chunk_table([(w.hash, w.row)], 3, 1)
+    asked = []
+    search = np.searchsorted
+    monkeypatch.setattr(lm_score.np, "searchsorted", lambda a, v: asked.append(v) or search(a, v))
+    split = [t.split() for t in texts]
+    for n in (1, 2, 3):
+        rows = [Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in split]
+        every = sum(rows, Counter())
+        expected = [every[g] - own[g] if len(g) == n else -1 for x, own in zip(split, rows, strict=True) for i in range(len(x)) for g in [tuple(x[max(0, i - n + 1) : i + 1])]]
+        assert lm_score._rest(w, n, grams, counts).tolist() == expected
+    assert len(asked) == 3 and all((v[1:] >= v[:-1]).all() for v in asked)
+
+
 def test_quality_counts(spark):
     alphabet = ["a", "b ", "#", "é", "\n", "\n\n", "|x", " ", "\t", "word ", "word word ", "\x0b", "日本 "]
     texts = ["".join(_rng.choice(alphabet) for _ in range(_rng.randrange(120))) for _ in range(200)] + ["", None]
