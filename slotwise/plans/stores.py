@@ -16,8 +16,8 @@ _MERGED = _WIDE + ", md AS (SELECT * FROM w WHERE v >= 0 QUALIFY row_number() OV
 
 def source_summary(t):  # noqa: ANN001, ANN201
     """Values of each store, counted and added within the row, and the dates that have any."""
-    wide = stores.require_columns(t.stored, ["site_id", "count_date", "detector_id", "slots", "source", "source_priority"])
-    days = wide.select("source", "source_priority", "count_date", core.slots_count(F.col("slots")).alias("n"), core.slots_total(F.col("slots")).alias("v"))
+    wide = stores.require_columns(t.stored, ["site_id", "count_date", "detector_id", "counts", "source", "source_priority"])
+    days = wide.select("source", "source_priority", "count_date", core.counts_count(F.col("counts")).alias("n"), core.counts_total(F.col("counts")).alias("v"))
     date = F.when(F.col("n") > 0, F.col("count_date"))
     return days.groupBy("source", "source_priority").agg(F.sum("n").alias("n_rows"), F.sum("v").alias("total_volume"), F.min(date).alias("first_date"), F.max(date).alias("last_date")).filter("n_rows > 0")
 

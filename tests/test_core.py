@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -387,3 +388,20 @@ def test_merge_deals_detector_days_before_listing_them(spark, monkeypatch):
     dealt = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
     assert len(dealt) == 1 and ", 8), REPARTITION_BY_NUM" in plan[dealt[0]]
     assert max(i for i, line in enumerate(plan) if "ObjectHashAggregate" in line) < dealt[0]
+
+
+def test_stored_days_keep_filled_slots_alone(spark, tmp_path):
+    """A store has as many values as counts, not 96 a row, and is built in one shuffle; merged by counts it equals the merge of 96 slots."""
+    rows = obs(spark, (5, 2, 9, "main", 2), (5, 1, 8, "main", 2), (3, -4, 7, "main", 2), (7, None, 7, "main", 2), (3, 6, 1, "rec", 1), (9, -1, 2, "rec", 1))
+    rows = rows.unionByName(rows.withColumns({"count_date": F.lit("2024-03-05").cast("date"), "detector_id": F.lit(4)}).filter("source = 'main'"))
+    keys = ["site_id", "count_date", "detector_id", "source"]
+    days = stores.list_counts(stores.deal(rows, 4, 3), keys)
+    assert days._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    path = str(tmp_path / "stores")
+    stores.write_stores(days, path)
+    assert spark.read.parquet(path).columns[-3:] == ["counts", "source", "month_label"]
+    read = stores.read_stores(spark, path, {"main": 2, "rec": 1})
+    got = {(r.count_date.month, r.source): (list(map(tuple, r.counts)), r.source_file_id) for r in read.collect()}
+    assert got == {(1, "main"): ([(3, -4), (5, 3), (7, None)], 7), (3, "main"): ([(3, -4), (5, 3), (7, None)], 7), (1, "rec"): ([(3, 6), (9, -1)], 1)}
+    sums = read.select(core.counts_count(F.col("counts")) == core.slots_count(F.col("slots")), core.counts_total(F.col("counts")) == core.slots_total(F.col("slots")))
+    assert {tuple(r) for r in sums.collect()} == {(True, True)}
