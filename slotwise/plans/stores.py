@@ -27,11 +27,11 @@ add(
     source_summary,
     _WIDE + "SELECT source, source_priority, count(*) AS n_rows, sum(v)::BIGINT AS total_volume, min(count_date) AS first_date, max(count_date) AS last_date FROM w WHERE v >= 0 GROUP BY 1, 2",
 )
-add("stored_total_volume", lambda t: t.merged.agg(F.sum(core.slots_total(F.col("slots"))).alias("total_volume")), _MERGED + " SELECT sum(v)::BIGINT AS total_volume FROM md")
-add("stored_daily_totals", lambda t: t.merged.groupBy("count_date").agg(F.sum(core.slots_total(F.col("slots"))).alias("day_total_volume")).filter("day_total_volume > 0"), _MERGED + " SELECT count_date, sum(v)::BIGINT AS day_total_volume FROM md GROUP BY 1 HAVING sum(v) > 0")
+add("stored_total_volume", lambda t: t.merged.agg(F.sum(core.counts_total(F.col("counts"))).alias("total_volume")), _MERGED + " SELECT sum(v)::BIGINT AS total_volume FROM md")
+add("stored_daily_totals", lambda t: t.merged.groupBy("count_date").agg(F.sum(core.counts_total(F.col("counts"))).alias("day_total_volume")).filter("day_total_volume > 0"), _MERGED + " SELECT count_date, sum(v)::BIGINT AS day_total_volume FROM md GROUP BY 1 HAVING sum(v) > 0")
 add(
     "stored_site_months",
-    lambda t: t.merged.groupBy("site_id", C.month_label(F.col("count_date")).alias("month_label")).agg(F.sum(core.slots_total(F.col("slots"))).alias("v")).filter("v > 0"),
+    lambda t: t.merged.groupBy("site_id", C.month_label(F.col("count_date")).alias("month_label")).agg(F.sum(core.counts_total(F.col("counts"))).alias("v")).filter("v > 0"),
     _MERGED + " SELECT site_id, strftime(count_date, '%Y-%m') AS month_label, sum(v)::BIGINT AS v FROM md GROUP BY 1, 2 HAVING sum(v) > 0",
 )
 add("stored_slot_totals", lambda t: core.slots_by_bin(t.merged), _MERGED + " SELECT interval_index, sum(v)::BIGINT AS total_volume FROM md GROUP BY 1")
@@ -44,7 +44,7 @@ def stored_periods(t):  # noqa: ANN001, ANN201
     """Chosen days out of the store: only their months' folders are read, and only those of their rows that several stores have are merged."""
     periods = t.spark.createDataFrame(PERIODS, "d string, period string").withColumn("d", F.to_date("d"))
     days = core.merge_overlaps(stores.on_dates(t.stored, [d for d, _ in PERIODS]), shared=t.shared)
-    return days.join(F.broadcast(periods), days["count_date"] == periods["d"]).groupBy("period").agg(F.sum(core.slots_total(F.col("slots"))).alias("total_volume"), F.count("*").alias("detector_days"))
+    return days.join(F.broadcast(periods), days["count_date"] == periods["d"]).groupBy("period").agg(F.sum(core.counts_total(F.col("counts"))).alias("total_volume"), F.count("*").alias("detector_days"))
 
 
 add(
@@ -55,7 +55,7 @@ add(
 )
 add(
     "stored_window_totals",
-    lambda t: core.between_dates(t.merged_by_month("1996-05-10", "1996-08-20"), "1996-05-10", "1996-08-20").groupBy("count_date").agg(F.sum(core.slots_total(F.col("slots"))).alias("day_total_volume")),
+    lambda t: core.between_dates(t.merged_by_month("1996-05-10", "1996-08-20"), "1996-05-10", "1996-08-20").groupBy("count_date").agg(F.sum(core.counts_total(F.col("counts"))).alias("day_total_volume")),
     _MERGED + ", dd AS (SELECT DISTINCT count_date FROM w WHERE count_date >= DATE '1996-05-10' AND count_date < DATE '1996-08-20') SELECT count_date, coalesce(sum(v), 0)::BIGINT AS day_total_volume FROM dd LEFT JOIN md USING (count_date) GROUP BY 1",
 )
 add(
@@ -66,7 +66,7 @@ add(
 )
 add(
     "merge_by_store",
-    lambda t: core.merge_overlaps(t.stored, MODES, t.shared).select("site_id", "count_date", "detector_id", core.slots_total(F.col("slots")).alias("day_volume")),
+    lambda t: core.merge_overlaps(t.stored, MODES, t.shared).select("site_id", "count_date", "detector_id", core.counts_total(F.col("counts")).alias("day_volume")),
     _WIDE + ", days AS (SELECT DISTINCT source, source_priority, site_id, count_date, detector_id FROM w), g AS (SELECT days.*, i::INTEGER AS interval_index FROM days, range(96) s(i)), "
     "x AS (SELECT g.*, v FROM g LEFT JOIN w USING (source, source_priority, site_id, count_date, detector_id, interval_index)), won AS (SELECT * FROM x WHERE source <> 'main' OR v >= 0 "
     "QUALIFY row_number() OVER (PARTITION BY site_id, count_date, detector_id, interval_index ORDER BY source_priority) = 1), s AS (SELECT site_id, count_date, detector_id, coalesce(sum(v) FILTER (v >= 0), 0)::BIGINT AS v FROM won GROUP BY ALL) "

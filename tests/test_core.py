@@ -405,3 +405,21 @@ def test_stored_days_keep_filled_slots_alone(spark, tmp_path):
     assert got == {(1, "main"): ([(3, -4), (5, 3), (7, None)], 7), (3, "main"): ([(3, -4), (5, 3), (7, None)], 7), (1, "rec"): ([(3, 6), (9, -1)], 1)}
     sums = read.select(core.counts_count(F.col("counts")) == core.slots_count(F.col("slots")), core.counts_total(F.col("counts")) == core.slots_total(F.col("slots")))
     assert {tuple(r) for r in sums.collect()} == {(True, True)}
+
+
+@pytest.mark.parametrize("mode", ["filter", "nullify", {"main": "filter", "cont": "nullify"}])
+def test_merge_by_counts_equals_merge_by_slots(spark, mode):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        files = rng.sample([None, 5, 6, 7], 4)
+        for (source, priority), file in zip(rng.sample([("main", 2), ("cont", 2), ("rec", None), ("old", 1)], rng.randint(1, 4)), files):
+            filled = rng.sample(range(96), rng.choice([0, 1, 3, 60, 96]))
+            rows.append((i, D + dt.timedelta(i % 3), 1, source, priority, file, [rng.randint(-3, 9) if k in filled else None for k in range(96)]))
+    wide = spark.createDataFrame(rows, WIDE)
+    kept = wide.withColumn("counts", core.slots_to_counts(F.col("slots"))).drop("slots")
+    keys = ["site_id", "count_date", "detector_id"]
+    for merge in (core.merge_slots, core.merge_overlaps):
+        by_slots = {tuple(r[:3]): r.slots for r in merge(wide, mode).select(*keys, "slots").collect()}
+        other = core.merge_counts(kept, mode).withColumn("slots", core.counts_to_slots(F.col("counts"))) if merge is core.merge_slots else merge(kept, mode)
+        assert {tuple(r[:3]): r.slots for r in other.select(*keys, "slots").collect()} == by_slots
