@@ -126,11 +126,12 @@ add("refresh_months", refreshed, "SELECT count_date, day_total_volume + CASE WHE
 def kept_by_manifest(t):  # noqa: ANN001, ANN201
     """Daily totals kept by month: built without some files of 1995, then with all (which rebuilds the months of the late files only), then once more (which rebuilds none)."""
     path = t.scratch("manifest")
-    build = lambda rows: core.daily_totals(core.dedup_observations(rows))
+    tasks = t.obs_tasks
+    build = lambda rows: core.daily_totals(core.dedup_observations(rows, tasks=tasks))
     facts = core.clean(t.raw, "filter")
-    months.refresh(facts.filter("count_date >= '1996-01-01' or source_file_id % 7 <> 0"), path, "source_file_id", build)
-    late = months.refresh(facts, path, "source_file_id", build)
-    if months.refresh(facts, path, "source_file_id", build):
+    months.refresh(facts.filter("count_date >= '1996-01-01' or source_file_id % 7 <> 0"), path, "source_file_id", build, tasks=tasks)
+    late = months.refresh(facts, path, "source_file_id", build, tasks=tasks)
+    if months.refresh(facts, path, "source_file_id", build, tasks=tasks):
         raise ValueError("months without new files were built again")
     return months.read(t.spark, path).withColumn("late", F.col("month_label").isin(late))
 

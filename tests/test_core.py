@@ -188,6 +188,44 @@ def test_months_follow_their_files(spark, tmp_path):
     assert got() == before | {("2024-03", 1, 16)}
 
 
+def test_files_are_listed_and_compared_by_all_tasks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda n: spark.range(n).selectExpr("date_add(date'2024-01-01', cast(id % 60 as int)) AS count_date", "id AS file", "1 AS v")
+    listed = lambda: {(r.month_label, r.file) for r in months.manifest(spark, path).collect()}
+    expected = lambda n: {(f"2024-0{1 if i % 60 < 31 else 2}", str(i)) for i in range(n)}
+    assert months.refresh(rows(600), path, "file") == ["2024-01", "2024-02"]
+    assert spark.read.parquet(f"{path}/manifest").count() == 2  # one row a month, as one task writes them
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # nothing is sorted by month
+        assert "SortMergeJoin" not in months.manifest(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert listed() == expected(600)
+    # files that a dead run has listed count for nothing
+    rows(900).selectExpr("'2024-01' AS month_label", "cast(file AS string) AS file").write.parquet(f"{path}/files/run=dead")
+    assert listed() == expected(600)
+    for tasks in (None, 3):
+        assert months.changed_months(rows(600), path, "file", tasks=tasks) == []
+        assert months.changed_months(rows(601), path, "file", tasks=tasks) == ["2024-01"]
+        assert months.changed_months(rows(599), path, "file", tasks=tasks) == ["2024-02"]
+    assert months.refresh(rows(601), path, "file", tasks=3) == ["2024-01"]
+    assert sorted(len(list(run.glob("part-*"))) for run in tmp_path.glob("t/files/run=*") if run.name != "run=dead")[-1] == 3
+    assert listed() == expected(601)
+    assert months.read(spark, path).count() == 601
+
+
+def test_manifests_that_name_files_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame([(dt.date(2024, m, 1), f, v) for m, f, v in r], "count_date date, file string, v int")
+    old = [(1, "a", 1), (2, "a", 2), (2, "b", 4)]
+    rows(*old).withColumn("month_label", C.month_label("count_date")).write.partitionBy("month_label").parquet(f"{path}/data/run=old")
+    spark.createDataFrame([("2024-01", "a", "old", 1), ("2024-02", "a", "old", 1), ("2024-02", "b", "old", 1), ("2024-03", None, "old", 1)], "month_label string, file string, run string, epoch long").write.parquet(f"{path}/manifest")
+    assert months.refresh(rows(*old), path, "file") == []
+    assert months.refresh(rows(*old[:2]), path, "file") == ["2024-02"]
+    assert sorted((r.month_label, r.v) for r in months.read(spark, path).collect()) == [("2024-01", 1), ("2024-02", 2)]
+    assert months.refresh(rows(*old[:2]), path, "file") == []
+
+
 def test_cubes_hold_all_totals(spark, tmp_path):
     df = obs(spark, (0, 5, 1, "main", 2), (1, None, 1, "main", 2), (95, 7, 1, "main", 2)).withColumn("site_id", F.when(F.col("interval_index") != 95, 1))
     cubes.write(df, str(tmp_path / "c"))
